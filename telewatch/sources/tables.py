@@ -43,6 +43,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.lit(100.0) - mem) * F.lit(MB_PER_PERCENT)).alias("memory_available_mb"),
         (F.col("value") / F.lit(10.0)).alias("disk_write_mbps"),
         F.col("event_type").alias("process_name"),
+        F.floor(F.col("value")).cast("int").alias("process_count"),
         F.col("value"),
     )
 
@@ -57,5 +58,6 @@ TELEMETRY_CTE = """telemetry AS (
          (100.0 - TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) * 163.84 AS memory_available_mb,
          value / 10.0 AS disk_write_mbps,
          event_type AS process_name,
+         CAST(floor(value) AS INTEGER) AS process_count,
          value
   FROM events)"""
