@@ -78,6 +78,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                  lags: dict[str, str] | None = None,
                  running_sums: dict[str, str | Column] | None = None,
                  running_max: dict[str, str | Column] | None = None,
+                 last_position: dict[str, Column] | None = None,
                  per_segment: int | None = None) -> DataFrame:
     """Add per-key ordered columns without putting a whole key in one task.
 
@@ -87,8 +88,13 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                      integral inputs; floating sums may differ in the last
                      bit from a single-pass sum).
     ``running_max``  {output: expression} inclusive running max, nulls skipped.
+    ``last_position`` {output: condition} 1-based position (as in
+                     ``row_number``) of the latest row so far where the
+                     condition held; null when it never held.  This is the
+                     gaps-and-islands primitive.
     """
     lags = lags or {}
+    last_position = last_position or {}
     running_sums = running_sums or {}
     running_max = running_max or {}
     keys = list(keys)
@@ -96,7 +102,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
 
     seg = segment(df, keys, order, per_segment)
     # Expressions are materialised first so the window only sees plain columns.
-    for name, expr in {**running_sums, **running_max}.items():
+    for name, expr in {**running_sums, **running_max, **last_position}.items():
         seg = seg.withColumn(f"_in_{name}", expr if isinstance(expr, Column) else F.col(expr))
 
     w = Window.partitionBy(*keys, SEG).orderBy(*order)
@@ -108,6 +114,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         local = local.withColumn(f"_rs_{name}", F.sum(f"_in_{name}").over(w_run))
     for name in running_max:
         local = local.withColumn(f"_rm_{name}", F.max(f"_in_{name}").over(w_run))
+    for name in last_position:
+        local = local.withColumn(f"_lp_{name}", F.max(F.when(F.col(f"_in_{name}"), F.col("_lrn")))
+                                 .over(w_run))
 
     # One summary row per (key, segment): what a later segment needs to know.
     aggs = [F.count(F.lit(1)).alias("_cnt")]
@@ -119,7 +128,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         aggs.append(F.sum(f"_in_{name}").alias(f"_tot_{name}"))
     for name in running_max:
         aggs.append(F.max(f"_in_{name}").alias(f"_max_{name}"))
-    summary = seg.groupBy(*keys, SEG).agg(*aggs)
+    if last_position:
+        # Positions inside a segment exist only after its window, so the
+        # summary reads the (narrow, column-pruned) windowed rows instead.
+        src = local
+        for name in last_position:
+            aggs.append(F.max(f"_lp_{name}").alias(f"_lpmax_{name}"))
+    else:
+        src = seg
+    summary = src.groupBy(*keys, SEG).agg(*aggs)
 
     ws = Window.partitionBy(*keys).orderBy(SEG)
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
@@ -130,7 +147,13 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         carry.append(F.sum(f"_tot_{name}").over(before).alias(f"_cs_{name}"))
     for name in running_max:
         carry.append(F.max(f"_max_{name}").over(before).alias(f"_cm_{name}"))
+    carry += [F.col(f"_lpmax_{name}") for name in last_position]
     summary = summary.select(*carry)
+    if last_position:
+        summary = summary.select(
+            *[c for c in summary.columns if not c.startswith("_lpmax_")],
+            *[F.max(F.col(f"_lpmax_{name}") + F.col("_off")).over(before).alias(f"_cl_{name}")
+              for name in last_position])
 
     out = local.join(summary, on=[*keys, SEG], how="inner")
     exprs = []
@@ -144,10 +167,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     for name in running_max:
         local_max, prior = F.col(f"_rm_{name}"), F.col(f"_cm_{name}")
         exprs.append((name, F.greatest(local_max, prior)))
+    for name in last_position:
+        exprs.append((name, F.coalesce(F.col(f"_lp_{name}") + F.col("_off"),
+                                       F.col(f"_cl_{name}"))))
     out = out.withColumns(dict(exprs))
+    produced = set(lags) | set(running_sums) | set(running_max) | set(last_position)
+    if row_number:
+        produced.add(row_number)
     helper = [c for c in out.columns
-              if c.startswith(("_lrn", "_off", "_prev", "_lag_", "_rs_", "_rm_", "_cs_",
-                               "_cm_", "_in_")) or c == SEG]
+              if c not in df.columns and c not in produced]
     return out.drop(*helper)
 
 

@@ -439,3 +439,6 @@ SELECT system_id, id AS metric_id, ts AS metric_ts, cpu_percent, memory_percent,
 FROM p"""
 
 register("q15_status_panel", "Q15 Q1 Q2", PANEL_SQL)(status_panel)
+
+
+from . import catalog_derive  # noqa: E402,F401  (registers derivation queries)
