@@ -53,11 +53,16 @@ def rows_per_segment(df: DataFrame) -> int:
 
 
 def segment(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-            per_segment: int | None = None) -> DataFrame:
-    """Tag each row with a time-bucket segment id of bounded expected size."""
+            per_segment: int | None = None, position: Column | None = None) -> DataFrame:
+    """Tag each row with a bucket segment id of bounded expected size.
+
+    Buckets cut the leading order column, or ``position`` when given: a long
+    that never decreases along the order (e.g. a composite of several
+    order columns).
+    """
     per_segment = per_segment or rows_per_segment(df)
     keys = list(keys)
-    pos = _position(df, order[0])
+    pos = position if position is not None else _position(df, order[0])
     tagged = df.withColumn("_pos", pos)
     stats = (tagged.groupBy(*keys)
              .agg(F.min("_pos").alias("_p0"), F.max("_pos").alias("_p1"),
@@ -79,7 +84,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                  running_sums: dict[str, str | Column] | None = None,
                  running_max: dict[str, str | Column] | None = None,
                  last_position: dict[str, Column] | None = None,
-                 per_segment: int | None = None) -> DataFrame:
+                 per_segment: int | None = None,
+                 position: Column | None = None) -> DataFrame:
     """Add per-key ordered columns without putting a whole key in one task.
 
     ``row_number``   name of a 1-based position column within the key.
@@ -100,7 +106,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     keys = list(keys)
     order = list(order)
 
-    seg = segment(df, keys, order, per_segment)
+    seg = segment(df, keys, order, per_segment, position)
     # Expressions are materialised first so the window only sees plain columns.
     for name, expr in {**running_sums, **running_max, **last_position}.items():
         seg = seg.withColumn(f"_in_{name}", expr if isinstance(expr, Column) else F.col(expr))
@@ -180,8 +186,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
 
 
 def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_id",
-                      per_segment: int | None = None) -> DataFrame:
+                      per_segment: int | None = None,
+                      position: Column | None = None) -> DataFrame:
     """Contiguous 1..n over the whole frame without a one-partition window."""
     tagged = df.withColumn("_all", F.lit(0))
     return ordered_scan(tagged, ["_all"], order, row_number=name,
-                        per_segment=per_segment).drop("_all")
+                        per_segment=per_segment, position=position).drop("_all")

@@ -444,3 +444,4 @@ register("q15_status_panel", "Q15 Q1 Q2", PANEL_SQL)(status_panel)
 from . import catalog_derive  # noqa: E402,F401  (registers derivation queries)
 from . import catalog_alerts  # noqa: E402,F401  (registers alert queries)
 from . import catalog_calibrate  # noqa: E402,F401  (registers calibration queries)
+from . import catalog_prep  # noqa: E402,F401  (registers preparation and ML queries)

@@ -106,3 +106,57 @@ def smart_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("")),
     )
     return p.select(F.col("p_partkey").alias("part_id"), report.alias("report"))
+
+
+# Label order of the labelled folders (normal, moderate, high).
+LABEL_RANK = {"Normal": 1, "Moderate": 2, "High": 3}
+
+
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 model features per telemetry row, labelled by its risk band.
+
+    Features the driver data lacks are derived from the event value and
+    memory percent (fixed affine maps).
+    """
+    t = telemetry(spark, sf_dir).withColumn("risk_score", R.risk_score())
+    return t.select(
+        "system_id", "id", "ts",
+        F.col("cpu_percent"),
+        (F.lit(2000.0) + F.col("value") * 2.0).alias("cpu_frequency_mhz"),
+        F.col("memory_percent"),
+        F.col("memory_available_mb"),
+        (F.lit(40.0) + F.col("memory_percent") / 4.0).alias("disk_percent"),
+        (F.col("disk_write_mbps") / 2.0).alias("disk_read_mbps"),
+        F.col("disk_write_mbps"),
+        (F.col("value") / 100.0).alias("network_upload_mbps"),
+        (F.col("value") / 50.0).alias("network_download_mbps"),
+        F.col("process_count"),
+        R.state_label().alias("label"),
+    )
+
+
+TRAINING_CTE = """training AS (
+  SELECT system_id, id, ts, cpu_percent, 2000.0 + value * 2.0 AS cpu_frequency_mhz,
+         memory_percent, memory_available_mb, 40.0 + memory_percent / 4.0 AS disk_percent,
+         disk_write_mbps / 2.0 AS disk_read_mbps, disk_write_mbps,
+         value / 100.0 AS network_upload_mbps, value / 50.0 AS network_download_mbps,
+         process_count,
+         CASE WHEN (cpu_percent * 0.4 + memory_percent * 0.6) / 100.0 >= 0.7 THEN 'High'
+              WHEN (cpu_percent * 0.4 + memory_percent * 0.6) / 100.0 >= 0.4 THEN 'Moderate'
+              ELSE 'Normal' END AS label
+  FROM telemetry)"""
+
+
+def with_process_ids(training: DataFrame) -> DataFrame:
+    """D5 over the labelled rows in folder order (label rank, then time, id)."""
+    from ..operators.prep import assign_ids
+    rank = F.create_map(*[F.lit(x) for kv in LABEL_RANK.items() for x in kv])[F.col("label")]
+    tagged = training.withColumn("_lr", rank.cast("long"))
+    pos = F.col("_lr") * F.lit(10 ** 16) + F.unix_micros(F.col("ts").cast("timestamp"))
+    return assign_ids(tagged, ["_lr", "ts", "id"], position=pos).drop("_lr")
+
+
+IDS_CTE = """ided AS (
+  SELECT *, row_number() OVER (ORDER BY CASE label WHEN 'Normal' THEN 1 WHEN 'Moderate' THEN 2
+                                          ELSE 3 END, ts, id) AS process_id
+  FROM training)"""
