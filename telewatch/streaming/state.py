@@ -46,7 +46,7 @@ def _decide(key, frames: Iterator[pd.DataFrame], state: GroupState, *, cooldown_
 
 def stateful_alerts(scored: DataFrame, cooldown_s: float = 300.0, streak_len: int = 30,
                     moderate_lo: float = 0.4, high: float = 0.7) -> DataFrame:
-    """T1 + T2 on a (streaming or batch) frame with system_id, id, ts, risk_score."""
+    """T1 + T2 on a streaming frame with system_id, id, ts, risk_score."""
     slim = scored.select("system_id", "id", "ts", "risk_score",
                          F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"))
     cooldown_us = int(cooldown_s * 1_000_000)
