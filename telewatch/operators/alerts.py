@@ -1,26 +1,30 @@
 """Alert decisions in batch (T1-T5, T7) and minimum-gap thinning.
 
 Cooldown alerts depend on the time of the last *fire*, not the last row, so
-no plain window expresses them.  The fold is split at *reset points*: a
-candidate whose predecessor (any candidate of the same key) lies more than a
-gap behind it always fires, whatever happened before.  Reset points are found
-with the skew-safe ordered scan; each island between two reset points is
-then folded independently by a grouped pandas step that jumps from fire to
-fire with ``searchsorted`` (work per island is O(fires * log rows), not a row
-loop).  Only an island - an unbroken run of candidates closer than the gap -
-is ever held by one task.
+no plain window expresses them.  The fold is done without ever holding a
+key, or a run of candidates, in one task:
+
+1. *Reset points*: a candidate whose predecessor (any candidate of the same
+   key) lies more than its gap behind always fires, whatever happened
+   before.  Reset points cut each key into islands (skew-safe ordered scan).
+2. *Next-fire pointers*: for every candidate ``i``, ``next(i)`` is the first
+   later candidate of the island that would fire if ``i`` fired.  This is an
+   as-of lookup, done as one reverse ordered scan over the candidates unioned
+   with a probe row at ``t_i + gap`` per gap class.
+3. *Pointer doubling*: the fires of an island are the chain
+   ``head, next(head), next(next(head)), ...``.  Each round doubles the
+   pointer length with a self-join on the row id and extends the fired set
+   with a join, so ``ceil(log2(longest chain))`` rounds of balanced joins
+   find every fire.  Each round is checkpointed to cut the lineage.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import risk as R
-from .ordered import ordered_scan
+from .ordered import materialize, ordered_scan
 
 US = 1_000_000
 
@@ -33,54 +37,102 @@ def _micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _fold_islands(pdf: pd.DataFrame, strict: bool) -> pd.DataFrame:
-    """Greedy cooldown over one island: returns the ids that fire."""
-    pdf = pdf.sort_values(["_t", "_id"], kind="stable")
-    t = pdf["_t"].to_numpy(dtype=np.int64)
-    gap = pdf["_gap"].to_numpy(dtype=np.int64)
-    ids = pdf["_id"].to_numpy(dtype=np.int64)
-    n = len(t)
-    side = "right" if strict else "left"
-    # Rows grouped by gap value; each group is sorted by time already.
-    groups = [(g, np.nonzero(gap == g)[0]) for g in np.unique(gap)]
-    fired = []
-    i = 0
-    while i < n:
-        fired.append(ids[i])
-        nxt = n
-        for g, idx in groups:
-            k = np.searchsorted(t[idx], t[i] + g, side=side)
-            # the first row of this gap class past the cooldown, after row i
-            while k < len(idx) and idx[k] <= i:
-                k += 1
-            if k < len(idx):
-                nxt = min(nxt, idx[k])
-        i = nxt
-    return pd.DataFrame({"_id": np.asarray(fired, dtype=np.int64)})
-
-
-def cooldown_fires(df: DataFrame, key: str, candidate: Column, gap_seconds, *,
+def _gap_classes(gaps) -> list[tuple[Column, int]]:
+    """Normalise ``gaps`` to [(condition, gap in microseconds)], first match wins."""
+    if isinstance(gaps, (int, float)):
+        return [(F.lit(True), int(round(gaps * US)))]
+    return [(cond, int(round(g * US))) for cond, g in gaps]
+
+
+def _next_pointers(cand: DataFrame, key: str, classes: list[tuple[Column, int]],
+                   strict: bool) -> DataFrame:
+    """(key, _id, _nxt): the first candidate of the same island past i's gap.
+
+    Data rows and probes share one ordering per (key, island): by time, then
+    data before probes when the gap is strict (a row exactly one gap later
+    does not fire) and probes before data otherwise.  Scanning backwards, the
+    earliest data row of each class seen so far is carried with a running
+    max over (-t, -id).
+    """
+    data_rank, probe_rank = (0, 1) if strict else (1, 0)
+    base = cand.select(key, "_island", "_t", "_id", "_cls")
+    data = base.select(key, "_island", F.col("_t").alias("_at"), F.lit(data_rank).alias("_k"),
+                       F.col("_id").alias("_node"), "_cls", F.lit(None).cast("long").alias("_src"),
+                       F.lit(-1).alias("_pcls"))
+    probes = [base.select(key, "_island", (F.col("_t") + F.lit(g)).alias("_at"),
+                          F.lit(probe_rank).alias("_k"), F.col("_id").alias("_node"), "_cls",
+                          F.col("_id").alias("_src"), F.lit(c).alias("_pcls"))
+              for c, (_, g) in enumerate(classes)]
+    events = data
+    for p in probes:
+        events = events.unionByName(p)
+    events = (events.withColumn("_rat", -F.col("_at")).withColumn("_rk", -F.col("_k"))
+              .withColumn("_rn", -F.col("_node")))
+    is_data = F.col("_src").isNull()
+    marks = {f"_nx{c}": F.when(is_data & (F.col("_cls") == c),
+                              F.struct((-F.col("_at")).alias("a"), (-F.col("_node")).alias("b"),
+                                       F.col("_node").alias("node")))
+             for c in range(len(classes))}
+    scanned = ordered_scan(events, [key, "_island"], ["_rat", "_rk", "_rn"], running_max=marks)
+    found = F.coalesce(*[F.when(F.col("_pcls") == c, F.col(f"_nx{c}"))
+                         for c in range(len(classes))])
+    hits = scanned.filter(~is_data).select(key, F.col("_src").alias("_id"), found.alias("_f"))
+    return (hits.groupBy(key, "_id").agg(F.max("_f").alias("_f"))
+            .filter(F.col("_f").isNotNull())
+            .select(key, "_id", F.col("_f.node").alias("_nxt")))
+
+
+def _chain_fires(heads: DataFrame, nxt: DataFrame, key: str) -> DataFrame:
+    """All nodes on the pointer chains starting at ``heads`` (pointer doubling)."""
+    fired = heads.checkpoint(eager=True)
+    jump = nxt.checkpoint(eager=True)
+    while True:
+        step = (fired.join(jump, [key, "_id"])
+                .select(key, F.col("_nxt").alias("_id"))).checkpoint(eager=True)
+        if step.isEmpty():
+            return fired
+        fired = fired.unionByName(step).checkpoint(eager=True)
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = (a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) &
+                       (F.col("a._nxt") == F.col("b._id")))
+                .select(F.col(f"a.{key}").alias(key), F.col("a._id").alias("_id"),
+                        F.col("b._nxt").alias("_nxt"))).checkpoint(eager=True)
+        if jump.isEmpty():
+            # chains are now shorter than the pointers: one last extension
+            return fired
+
+
+def cooldown_fires(df: DataFrame, key: str, candidate: Column, gaps, *,
                    strict: bool = True, id_col: str = "id", ts: str = "ts") -> DataFrame:
     """Rows of ``df`` that fire under a cooldown measured from the last fire.
 
-    ``candidate``    rows that may fire (others neither fire nor reset the clock);
-    ``gap_seconds``  number or per-row Column; a row fires when its time minus the
-                     last fire time is ``> gap`` (``>= gap`` when not strict).
-    The first candidate of every key fires.
+    ``candidate``  rows that may fire (others neither fire nor reset the clock);
+    ``gaps``       seconds, or [(condition, seconds), ...] gap classes (first
+                   match wins); a row fires when its time minus the last fire
+                   time is ``> gap`` (``>= gap`` when not strict).
+    The first candidate of every key fires.  ``(key, id_col)`` must be unique.
     """
-    gap = gap_seconds if isinstance(gap_seconds, Column) else F.lit(float(gap_seconds))
+    classes = _gap_classes(gaps)
+    cls = None
+    for c, (cond, _) in enumerate(classes):
+        cls = F.when(cond, F.lit(c)) if cls is None else cls.when(cond, F.lit(c))
+    gap = None
+    for c, (_, g) in enumerate(classes):
+        gap = F.when(F.col("_cls") == c, F.lit(g)) if gap is None else gap.when(
+            F.col("_cls") == c, F.lit(g))
     cand = (df.filter(candidate)
-            .withColumn("_t", _micros(ts))
-            .withColumn("_gap", (gap * F.lit(US)).cast("long")))
-    scanned = ordered_scan(cand, [key], [ts, id_col], lags={"_pt": "_t"})
+            .select(key, ts, F.col(id_col).alias("_id"),
+                    cls.otherwise(F.lit(len(classes) - 1)).alias("_cls"))
+            .withColumn("_t", _micros(ts)).withColumn("_gap", gap))
+    scanned = materialize(ordered_scan(cand, [key], [ts, "_id"], lags={"_pt": "_t"}))
     past = F.col("_t") - F.col("_pt")
     reset = F.col("_pt").isNull() | ((past > F.col("_gap")) if strict else (past >= F.col("_gap")))
-    islands = ordered_scan(scanned.withColumn("_reset", reset), [key], [ts, id_col],
-                           last_position={"_island": F.col("_reset")})
-    slim = islands.select(key, "_island", "_t", F.col("_gap"), F.col(id_col).alias("_id"))
-    fires = (slim.groupBy(key, "_island")
-             .applyInPandas(lambda p: _fold_islands(p, strict), "_id long"))
-    return df.join(fires.withColumnRenamed("_id", id_col), on=id_col, how="left_semi")
+    islands = materialize(ordered_scan(scanned.withColumn("_reset", reset), [key], [ts, "_id"],
+                                       last_position={"_island": F.col("_reset")}))
+    heads = islands.filter("_reset").select(key, "_id")
+    pointers = _next_pointers(islands, key, classes, strict)
+    fires = _chain_fires(heads, pointers, key)
+    return df.join(fires.withColumnRenamed("_id", id_col), on=[key, id_col], how="left_semi")
 
 
 def moderate_cooldown(df: DataFrame, cooldown_s: float = 300.0, key: str = "system_id",
@@ -95,8 +147,8 @@ def two_band_cooldown(df: DataFrame, high_gap_s: float = 30.0, moderate_gap_s: f
                       key: str = "system_id", t: R.Thresholds = R.DEFAULT) -> DataFrame:
     """T4: high and moderate toasts share one clock, each with its own gap."""
     risk = F.col("risk_score")
-    gap = F.when(risk >= t.band_high, F.lit(float(high_gap_s))).otherwise(F.lit(float(moderate_gap_s)))
-    fires = cooldown_fires(df, key, risk >= t.band_moderate, gap, strict=True)
+    gaps = [(risk >= t.band_high, high_gap_s), (F.lit(True), moderate_gap_s)]
+    fires = cooldown_fires(df, key, risk >= t.band_moderate, gaps, strict=True)
     return fires.withColumn("toast", F.when(risk >= t.band_high, "HIGH").otherwise("MODERATE"))
 
 
@@ -147,7 +199,7 @@ def with_resolution(df: DataFrame, key: str = "system_id",
 def alert_table(scored: DataFrame, cooldown_s: float = 300.0, streak: int = 30,
                 key: str = "system_id", t: R.Thresholds = R.DEFAULT) -> DataFrame:
     """Alerts from T1 and T2, with the time each condition cleared."""
-    resolved = with_resolution(scored, key, t)
+    resolved = materialize(with_resolution(scored, key, t))
     moderate = moderate_cooldown(resolved, cooldown_s, key, t)
     high = sustained_high(resolved, streak, key, t)
 
@@ -158,5 +210,3 @@ def alert_table(scored: DataFrame, cooldown_s: float = 300.0, streak: int = 30,
                             "resolved_at")
     return shape(moderate, MODERATE_ALERT).unionByName(shape(high, HIGH_ALERT))
 
-
-_ = T  # types kept importable for callers building schemas

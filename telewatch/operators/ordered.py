@@ -185,6 +185,18 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     return out.drop(*helper)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Used between nested ordered scans: each scan reads its input in three
+    branches (statistics, window, summary), so an unmaterialised input would
+    be recomputed per branch and per nesting level.  Checkpoint files live in
+    ``spark.checkpoint.dir`` (shared storage on a cluster), so lost executors
+    do not lose them.
+    """
+    return df.checkpoint(eager=True)
+
+
 def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_id",
                       per_segment: int | None = None,
                       position: Column | None = None) -> DataFrame:

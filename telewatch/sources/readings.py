@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import risk as R
-from ..operators.ordered import ordered_scan
+from ..operators.ordered import materialize, ordered_scan
 from .tables import read_table, telemetry
 
 # Bytes per unit of event value for the synthetic counters.
@@ -32,7 +32,7 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
                               "memory_percent"),
                      ["hostname"], ["ts", "id"],
                      running_sums={"write_bytes": inc_w, "bytes_sent": inc_s})
-    return s.select("hostname", "ts", "id", "write_bytes", "bytes_sent")
+    return materialize(s.select("hostname", "ts", "id", "write_bytes", "bytes_sent"))
 
 
 COUNTERS_CTE = """counters AS (
