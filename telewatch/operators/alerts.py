@@ -83,22 +83,29 @@ def _next_pointers(cand: DataFrame, key: str, classes: list[tuple[Column, int]],
 
 
 def _chain_fires(heads: DataFrame, nxt: DataFrame, key: str) -> DataFrame:
-    """All nodes on the pointer chains starting at ``heads`` (pointer doubling)."""
-    fired = heads.checkpoint(eager=True)
-    jump = nxt.checkpoint(eager=True)
+    """All nodes on the pointer chains starting at ``heads`` (pointer doubling).
+
+    Invariant after round k: ``fired`` holds the first 2^k nodes of every
+    chain and ``jump`` maps each node to its 2^k-th successor.  Every round
+    is written to the shared checkpoint folder, so the lineage stays short.
+    """
+    fired = materialize(heads)
+    jump = materialize(nxt)
+    n_fired = fired.count()
     while True:
-        step = (fired.join(jump, [key, "_id"])
-                .select(key, F.col("_nxt").alias("_id"))).checkpoint(eager=True)
-        if step.isEmpty():
+        step = fired.join(jump, [key, "_id"]).select(key, F.col("_nxt").alias("_id"))
+        grown = materialize(fired.unionByName(step))
+        n_grown = grown.count()
+        if n_grown == n_fired:
             return fired
-        fired = fired.unionByName(step).checkpoint(eager=True)
+        fired, n_fired = grown, n_grown
         a, b = jump.alias("a"), jump.alias("b")
-        jump = (a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) &
-                       (F.col("a._nxt") == F.col("b._id")))
-                .select(F.col(f"a.{key}").alias(key), F.col("a._id").alias("_id"),
-                        F.col("b._nxt").alias("_nxt"))).checkpoint(eager=True)
+        jump = materialize(
+            a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) &
+                   (F.col("a._nxt") == F.col("b._id")))
+            .select(F.col(f"a.{key}").alias(key), F.col("a._id").alias("_id"),
+                    F.col("b._nxt").alias("_nxt")))
         if jump.isEmpty():
-            # chains are now shorter than the pointers: one last extension
             return fired
 
 

@@ -186,15 +186,21 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` as a parquet table in the shared checkpoint folder and
+    read it back (one job; the lineage is cut at the written table).
 
     Used between nested ordered scans: each scan reads its input in three
     branches (statistics, window, summary), so an unmaterialised input would
-    be recomputed per branch and per nesting level.  Checkpoint files live in
-    ``spark.checkpoint.dir`` (shared storage on a cluster), so lost executors
-    do not lose them.
+    be recomputed per branch and per nesting level.  The folder comes from
+    ``spark.checkpoint.dir`` (shared storage on a cluster), so a lost
+    executor does not lose the table.
     """
-    return df.checkpoint(eager=True)
+    import uuid
+
+    from ..session import scratch_table_dir
+    path = scratch_table_dir(df.sparkSession, f"stage-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_id",

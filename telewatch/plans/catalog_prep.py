@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ml as M
 from ..operators import prep as P
+from ..operators.ordered import global_row_number, materialize
 from ..schemas import FEATURES
 from ..session import scratch_table_dir
 from ..sources import readings as RD
@@ -213,8 +214,10 @@ register("m10_classification_metrics", "M10", METRICS_SQL)(rule_metrics)
 def model_comparison(spark, sf_dir):
     """M1, M5-M9, M11, M12 (+ S8 sink, S15 round trip, R5 on the latest rows)."""
     t = RD.with_process_ids(RD.training_rows(spark, sf_dir))
-    b = P.stratified_split(P.balance(t, balance_target(t)).withColumn(
-        "_row", F.monotonically_increasing_id()), id_col="_row")
+    # oversampled rows repeat a process_id: give every balanced row its own id
+    bal = materialize(P.balance(t, balance_target(t)))
+    bal = materialize(global_row_number(bal, ["process_id", "label"], "_row"))
+    b = P.stratified_split(bal, id_col="_row")
     train, test = b.filter("split = 'train'"), b.filter("split = 'test'")
     table, fitted = M.fit_and_compare(spark, train, test)
     out = scratch_table_dir(spark, f"models-{uuid.uuid4().hex}")

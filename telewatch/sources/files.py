@@ -93,21 +93,26 @@ def read_labelled(spark: SparkSession, base: str, folders: dict[str, str] = LABE
 def read_telemetry_csv(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """Collector CSV (24 columns, header) with its declared schema."""
     df = spark.read.schema(TELEMETRY).option("header", True).csv(paths)
-    return df.withColumn("ts", F.to_timestamp("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    return df.withColumn("ts", F.to_timestamp_ntz("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
 def read_moderate_csv(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """S3: moderate-session CSV (21 columns) with ISO-8601 timestamps."""
     df = spark.read.schema(MODERATE).option("header", True).csv(paths)
-    return df.withColumn("ts", F.to_timestamp("timestamp"))
+    return df.withColumn("ts", F.to_timestamp_ntz("timestamp"))
 
 
-def read_calibration_csv(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """The four calibration measures from a live-data CSV (by header name)."""
+def read_calibration_csv(spark: SparkSession, paths: Sequence[str] | str,
+                         keys: Sequence[str] = ()) -> DataFrame:
+    """The four calibration measures from a live-data CSV (by header name).
+
+    Only the header line of the first file is inspected by Spark; columns are
+    then selected by name, so extra columns in the log are ignored.
+    """
     df = spark.read.option("header", True).csv(paths)
-    return df.select(*[F.col(c).try_cast("double").alias(c)
-                       for c in ("cpu_percent", "memory_percent", "memory_available_mb",
-                                 "disk_write_mbps")])
+    return df.select(*keys, *[F.col(c).try_cast("double").alias(c)
+                              for c in ("cpu_percent", "memory_percent", "memory_available_mb",
+                                        "disk_write_mbps")])
 
 
 _ = MODERATE

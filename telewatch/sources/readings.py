@@ -153,7 +153,7 @@ def with_process_ids(training: DataFrame) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for kv in LABEL_RANK.items() for x in kv])[F.col("label")]
     tagged = training.withColumn("_lr", rank.cast("long"))
     pos = F.col("_lr") * F.lit(10 ** 16) + F.unix_micros(F.col("ts").cast("timestamp"))
-    return assign_ids(tagged, ["_lr", "ts", "id"], position=pos).drop("_lr")
+    return materialize(assign_ids(tagged, ["_lr", "ts", "id"], position=pos).drop("_lr"))
 
 
 IDS_CTE = """ided AS (
