@@ -6,11 +6,13 @@ key, or a run of candidates, in one task:
 
 1. *Reset points*: a candidate whose predecessor (any candidate of the same
    key) lies more than its gap behind always fires, whatever happened
-   before.  Reset points cut each key into islands (skew-safe ordered scan).
+   before.  Reset points cut each key into islands.
 2. *Next-fire pointers*: for every candidate ``i``, ``next(i)`` is the first
-   later candidate of the island that would fire if ``i`` fired.  This is an
-   as-of lookup, done as one reverse ordered scan over the candidates unioned
-   with a probe row at ``t_i + gap`` per gap class.
+   later candidate that would fire if ``i`` fired; pointers into a reset
+   point are cut, since that row starts its own chain.  Pointers and reset
+   points come from one reverse skew-safe ordered scan over the candidates
+   unioned with probe rows (at ``t_i + gap`` per gap class, and just after
+   ``t_i`` for the successor).
 3. *Pointer doubling*: the fires of an island are the chain
    ``head, next(head), next(next(head)), ...``.  Each round doubles the
    pointer length with a self-join on the row id and extends the fired set
@@ -44,42 +46,59 @@ def _gap_classes(gaps) -> list[tuple[Column, int]]:
     return [(cond, int(round(g * US))) for cond, g in gaps]
 
 
-def _next_pointers(cand: DataFrame, key: str, classes: list[tuple[Column, int]],
-                   strict: bool) -> DataFrame:
-    """(key, _id, _nxt): the first candidate of the same island past i's gap.
+def _pointer_scan(cand: DataFrame, key: str, classes: list[tuple[Column, int]],
+                  strict: bool) -> tuple[DataFrame, DataFrame]:
+    """One reverse ordered scan giving next-fire pointers and the non-reset rows.
 
-    Data rows and probes share one ordering per (key, island): by time, then
-    data before probes when the gap is strict (a row exactly one gap later
-    does not fire) and probes before data otherwise.  Scanning backwards, the
-    earliest data row of each class seen so far is carried with a running
-    max over (-t, -id).
+    Events per key: every candidate (data), one probe per gap class at
+    ``t + gap`` and one successor probe just after the row itself.  Ordered
+    by (time, rank, id, sub) - data before class probes at equal time when
+    the gap is strict, after them otherwise - and scanned backwards, a running
+    max over (-t, -id) carries the earliest data row (per class, and of any
+    class) seen so far, i.e. the first one after each probe.
+
+    Returns ``(pointers, followers)``: ``(key, _id, _nxt)`` for the first
+    candidate that would fire after ``_id`` fired, and ``(key, _id)`` for
+    candidates within their gap of the previous candidate (not reset points).
     """
     data_rank, probe_rank = (0, 1) if strict else (1, 0)
-    base = cand.select(key, "_island", "_t", "_id", "_cls")
-    data = base.select(key, "_island", F.col("_t").alias("_at"), F.lit(data_rank).alias("_k"),
-                       F.col("_id").alias("_node"), "_cls", F.lit(None).cast("long").alias("_src"),
-                       F.lit(-1).alias("_pcls"))
-    probes = [base.select(key, "_island", (F.col("_t") + F.lit(g)).alias("_at"),
-                          F.lit(probe_rank).alias("_k"), F.col("_id").alias("_node"), "_cls",
-                          F.col("_id").alias("_src"), F.lit(c).alias("_pcls"))
-              for c, (_, g) in enumerate(classes)]
-    events = data
-    for p in probes:
-        events = events.unionByName(p)
-    events = (events.withColumn("_rat", -F.col("_at")).withColumn("_rk", -F.col("_k"))
-              .withColumn("_rn", -F.col("_node")))
+    base = cand.select(key, "_t", "_id", "_cls", "_gap")
+
+    def events(at, rank, sub, src, pcls):
+        return base.select(key, at.alias("_at"), F.lit(rank).alias("_k"),
+                           F.col("_id").alias("_node"), F.lit(sub).alias("_sub"), "_cls", "_gap",
+                           src.cast("long").alias("_src"), F.lit(pcls).alias("_pcls"))
+
+    ev = events(F.col("_t"), data_rank, 0, F.lit(None), -1)
+    for c, (_, g) in enumerate(classes):
+        ev = ev.unionByName(events(F.col("_t") + F.lit(g), probe_rank, 0, F.col("_id"), c))
+    ev = ev.unionByName(events(F.col("_t"), data_rank, 1, F.col("_id"), -2))
+    ev = ev.select("*", (-F.col("_at")).alias("_rat"), (-F.col("_k")).alias("_rk"),
+                   (-F.col("_node")).alias("_rn"), (-F.col("_sub")).alias("_rs"))
     is_data = F.col("_src").isNull()
-    marks = {f"_nx{c}": F.when(is_data & (F.col("_cls") == c),
-                              F.struct((-F.col("_at")).alias("a"), (-F.col("_node")).alias("b"),
-                                       F.col("_node").alias("node")))
+
+    def earliest(*extra):
+        return F.struct((-F.col("_at")).alias("a"), (-F.col("_node")).alias("b"),
+                        F.col("_node").alias("node"), *extra)
+
+    marks = {f"_nx{c}": F.when(is_data & (F.col("_cls") == c), earliest())
              for c in range(len(classes))}
-    scanned = ordered_scan(events, [key, "_island"], ["_rat", "_rk", "_rn"], running_max=marks)
+    marks["_succ"] = F.when(is_data, earliest(F.col("_at").alias("t"), F.col("_gap").alias("gap")))
+    scanned = ordered_scan(ev, [key], ["_rat", "_rk", "_rn", "_rs"], running_max=marks)
+    keep = [key, "_at", "_src", "_pcls", "_succ", *[f"_nx{c}" for c in range(len(classes))]]
+    probes = materialize(scanned.filter(~is_data).select(*keep))
+
     found = F.coalesce(*[F.when(F.col("_pcls") == c, F.col(f"_nx{c}"))
                          for c in range(len(classes))])
-    hits = scanned.filter(~is_data).select(key, F.col("_src").alias("_id"), found.alias("_f"))
-    return (hits.groupBy(key, "_id").agg(F.max("_f").alias("_f"))
-            .filter(F.col("_f").isNotNull())
-            .select(key, "_id", F.col("_f.node").alias("_nxt")))
+    pointers = (probes.filter(F.col("_pcls") >= 0)
+                .groupBy(key, F.col("_src").alias("_id")).agg(F.max(found).alias("_f"))
+                .filter(F.col("_f").isNotNull())
+                .select(key, "_id", F.col("_f.node").alias("_nxt")))
+    within = F.col("_succ.t") - F.col("_at")
+    close = (within <= F.col("_succ.gap")) if strict else (within < F.col("_succ.gap"))
+    followers = (probes.filter((F.col("_pcls") == -2) & F.col("_succ").isNotNull() & close)
+                 .select(key, F.col("_succ.node").alias("_id")))
+    return pointers, followers
 
 
 def _chain_fires(heads: DataFrame, nxt: DataFrame, key: str) -> DataFrame:
@@ -89,16 +108,15 @@ def _chain_fires(heads: DataFrame, nxt: DataFrame, key: str) -> DataFrame:
     chain and ``jump`` maps each node to its 2^k-th successor.  Every round
     is written to the shared checkpoint folder, so the lineage stays short.
     """
-    fired = materialize(heads)
+    fired = heads
     jump = materialize(nxt)
-    n_fired = fired.count()
     while True:
-        step = fired.join(jump, [key, "_id"]).select(key, F.col("_nxt").alias("_id"))
-        grown = materialize(fired.unionByName(step))
-        n_grown = grown.count()
-        if n_grown == n_fired:
+        # J^(2^k) maps the first 2^k nodes of each chain onto the next 2^k
+        extended = materialize(fired.join(jump, [key, "_id"])
+                               .select(key, F.col("_nxt").alias("_id")))
+        if extended.isEmpty():
             return fired
-        fired, n_fired = grown, n_grown
+        fired = fired.unionByName(extended)
         a, b = jump.alias("a"), jump.alias("b")
         jump = materialize(
             a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) &
@@ -131,14 +149,11 @@ def cooldown_fires(df: DataFrame, key: str, candidate: Column, gaps, *,
             .select(key, ts, F.col(id_col).alias("_id"),
                     cls.otherwise(F.lit(len(classes) - 1)).alias("_cls"))
             .withColumn("_t", _micros(ts)).withColumn("_gap", gap))
-    scanned = materialize(ordered_scan(cand, [key], [ts, "_id"], lags={"_pt": "_t"}))
-    past = F.col("_t") - F.col("_pt")
-    reset = F.col("_pt").isNull() | ((past > F.col("_gap")) if strict else (past >= F.col("_gap")))
-    islands = materialize(ordered_scan(scanned.withColumn("_reset", reset), [key], [ts, "_id"],
-                                       last_position={"_island": F.col("_reset")}))
-    heads = islands.filter("_reset").select(key, "_id")
-    pointers = _next_pointers(islands, key, classes, strict)
-    fires = _chain_fires(heads, pointers, key)
+    pointers, followers = _pointer_scan(cand, key, classes, strict)
+    # reset points (island heads) always fire; chains stop where one begins
+    heads = materialize(cand.select(key, "_id").join(followers, [key, "_id"], "left_anti"))
+    jumps = pointers.join(heads.withColumnRenamed("_id", "_nxt"), [key, "_nxt"], "left_anti")
+    fires = _chain_fires(heads, jumps, key)
     return df.join(fires.withColumnRenamed("_id", id_col), on=[key, id_col], how="left_semi")
 
 
