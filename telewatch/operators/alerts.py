@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import risk as R
+from ..functions.timefn import epoch_micros
 from .ordered import materialize, ordered_scan
 
 US = 1_000_000
@@ -36,7 +37,7 @@ HIGH_ALERT = ("CRITICAL SYSTEM RISK", "CRITICAL", "CPU")
 
 
 def _micros(ts: str = "ts") -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    return epoch_micros(ts)
 
 
 def _gap_classes(gaps) -> list[tuple[Column, int]]:

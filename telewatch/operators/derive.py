@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timefn import epoch_micros
 from ..schemas import STATES
 from .ordered import ordered_scan
 
@@ -24,7 +25,7 @@ SENSOR_PRIORITY = ["coretemp", "cpu_thermal", "hwmon", "k10temp", "zenpower"]
 
 
 def _micros(ts: str = "ts") -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    return epoch_micros(ts)
 
 
 def counter_rates(counters: DataFrame, counter_cols: Sequence[str], key: str = "hostname",

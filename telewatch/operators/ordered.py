@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.timefn import epoch_micros
+
 SEG = "_seg"
 ROWS_PER_SEGMENT_CONF = "telewatch.ordered.rowsPerSegment"
 DEFAULT_ROWS_PER_SEGMENT = 2_000_000
@@ -38,10 +40,8 @@ def _position(df: DataFrame, name: str) -> Column:
     """Monotone long view of the leading order column."""
     dtype = df.schema[name].dataType
     col = F.col(name)
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.unix_micros(col.cast("timestamp"))
-    if isinstance(dtype, (T.TimestampType,)):
-        return F.unix_micros(col)
+    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
+        return epoch_micros(col)
     if isinstance(dtype, T.DateType):
         return F.unix_date(col).cast("long")
     return F.floor(col).cast("long")

@@ -51,10 +51,16 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
-def write_session_files(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One CSV folder per host and session, with header."""
-    (df.write.mode(mode).option("header", True)
-     .partitionBy("hostname", "session_id").csv(path))
+def write_session_files(df: DataFrame, path: str, mode: str = "overwrite",
+                        host: str = "hostname", session: str = "session_id") -> None:
+    """One CSV folder per host and session, with header.
+
+    The files keep the collector columns (hostname included); the folders are
+    named by copies of the host and session keys.  No shuffle by session: a
+    very large session is written by many tasks as several part files.
+    """
+    out = df.withColumn("host", F.col(host)).withColumn("session", F.col(session)).drop(session)
+    out.write.mode(mode).option("header", True).partitionBy("host", "session").csv(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append",

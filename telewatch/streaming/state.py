@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.timefn import epoch_micros
+
 STATE_SCHEMA = "last_fire_us long, streak long"
 OUTPUT_SCHEMA = "system_id string, id long, ts timestamp_ntz, alert_type string, streak long"
 
@@ -48,7 +50,7 @@ def stateful_alerts(scored: DataFrame, cooldown_s: float = 300.0, streak_len: in
                     moderate_lo: float = 0.4, high: float = 0.7) -> DataFrame:
     """T1 + T2 on a streaming frame with system_id, id, ts, risk_score."""
     slim = scored.select("system_id", "id", "ts", "risk_score",
-                         F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"))
+                         epoch_micros("ts").alias("_t"))
     cooldown_us = int(cooldown_s * 1_000_000)
 
     def fn(key, frames, state):
