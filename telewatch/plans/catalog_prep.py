@@ -165,7 +165,8 @@ SCALE_COLS = ["cpu_percent", "memory_percent", "memory_available_mb", "disk_writ
 
 
 def scaling(spark, sf_dir):
-    t = P.stratified_split(RD.with_process_ids(RD.training_rows(spark, sf_dir)))
+    # the split feeds the fitted statistics and the output: write it once
+    t = materialize(P.stratified_split(RD.with_process_ids(RD.training_rows(spark, sf_dir))))
     s = P.standard_scale(t, SCALE_COLS)
     return s.select("process_id", "split", *[sig(F.col(f"{c}_scaled"), 9).alias(f"{c}_scaled")
                                              for c in SCALE_COLS])
