@@ -150,6 +150,8 @@ def cooldown_fires(df: DataFrame, key: str, candidate: Column, gaps, *,
             .select(key, ts, F.col(id_col).alias("_id"),
                     cls.otherwise(F.lit(len(classes) - 1)).alias("_cls"))
             .withColumn("_t", _micros(ts)).withColumn("_gap", gap))
+    # candidates feed three event sets, each read by the scan's three branches
+    cand = materialize(cand)
     pointers, followers = _pointer_scan(cand, key, classes, strict)
     # reset points (island heads) always fire; chains stop where one begins
     heads = materialize(cand.select(key, "_id").join(followers, [key, "_id"], "left_anti"))

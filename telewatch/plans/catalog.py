@@ -446,3 +446,4 @@ from . import catalog_alerts  # noqa: E402,F401  (registers alert queries)
 from . import catalog_calibrate  # noqa: E402,F401  (registers calibration queries)
 from . import catalog_prep  # noqa: E402,F401  (registers preparation and ML queries)
 from . import catalog_io  # noqa: E402,F401  (registers source / sink round trips)
+from . import catalog_stream  # noqa: E402,F401  (registers streaming queries)
