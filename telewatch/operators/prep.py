@@ -8,7 +8,7 @@ so a label holding a third of the data is still ranked by many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FEATURES
@@ -55,32 +55,28 @@ def balance(df: DataFrame, n: int = TARGET_PER_CLASS, seed: int = SEED,
     spark = df.sparkSession
     ranked = ordered_scan(df.withColumn("_h", hash_rank_key(F.col(id_col), F.lit(seed))),
                           [label], ["_h", id_col], row_number="_rank")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_cnt"))
-    big = counts.filter(F.col("_cnt") >= n).select(label)
-    small = counts.filter(F.col("_cnt") < n)
-
-    without = ranked.join(big, label, "left_semi").filter(F.col("_rank") <= n)
-
-    # index the small labels 0..k-1 (k <= number of labels) to spread slots
-    # one row per small label: ranking this table is metadata-sized
-    small_idx = small.select(label, "_cnt", F.dense_rank().over(Window.orderBy(label))
-                             .alias("_li"))
-    slots = spark.range(0, n * _num_labels_upper_bound(df, label)).select(
-        (F.col("id") / F.lit(n)).cast("long").alias("_li_0"),
+    # one row per label (a handful): fetched once to plan the two branches
+    counts = {r[label]: r["_cnt"] for r in
+              df.groupBy(label).agg(F.count(F.lit(1)).alias("_cnt")).collect()}
+    big = [k for k, c in counts.items() if c >= n]
+    small = sorted(k for k, c in counts.items() if c < n)
+
+    without = ranked.filter(F.col(label).isin(big) & (F.col("_rank") <= n))
+    if not small:
+        return without.drop("_h", "_rank")
+
+    # slot s of small label i: row hash(label, s, seed) mod count + 1 of that label
+    names = F.array(*[F.lit(k) for k in small])
+    sizes = F.array(*[F.lit(counts[k]) for k in small])
+    slots = spark.range(0, n * len(small)).select(
+        F.element_at(names, (F.col("id") / F.lit(n)).cast("int") + 1).alias(label),
+        F.element_at(sizes, (F.col("id") / F.lit(n)).cast("int") + 1).alias("_cnt"),
         (F.col("id") % F.lit(n) + 1).alias("_slot"))
-    slots = slots.withColumn("_li", F.col("_li_0") + 1).drop("_li_0")
-    picks = slots.join(small_idx, "_li").select(
-        label, "_slot",
-        (F.pmod(hash_rank_key(F.col(label), F.col("_slot"), F.lit(seed)), F.col("_cnt")) + 1)
+    picks = slots.select(
+        label, (F.pmod(hash_rank_key(F.col(label), F.col("_slot"), F.lit(seed)), F.col("_cnt")) + 1)
         .alias("_rank"))
-    with_rep = ranked.join(picks, [label, "_rank"]).drop("_slot")
-    out = without.unionByName(with_rep)
-    return out.drop("_h", "_rank")
-
-
-def _num_labels_upper_bound(df: DataFrame, label: str) -> int:
-    """Number of distinct labels (a handful): one tiny aggregate on the driver."""
-    return df.select(label).distinct().count()
+    with_rep = ranked.join(picks, [label, "_rank"])
+    return without.unionByName(with_rep).drop("_h", "_rank")
 
 
 def audit(df: DataFrame, label: str = "label", file_col: str | None = "source_file",
