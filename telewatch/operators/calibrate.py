@@ -48,12 +48,16 @@ def determinant_sql() -> str:
     return _det([0, 1, 2, 3], [0, 1, 2, 3])
 
 
-def inverse_sql(i: int, j: int) -> str:
-    """(i, j) entry of the inverse: cofactor(j, i) / det."""
+def inverse_sql(i: int, j: int, det: str | None = None) -> str:
+    """(i, j) entry of the inverse: cofactor(j, i) / det.
+
+    ``det`` names a column already holding the determinant; by default the
+    determinant expression is written out.
+    """
     rows = [r for r in range(4) if r != j]
     cols = [c for c in range(4) if c != i]
     sign = "-" if (i + j) % 2 else ""
-    return f"({sign}{_det(rows, cols)} / {determinant_sql()})"
+    return f"({sign}{_det(rows, cols)} / {det or determinant_sql()})"
 
 
 def inverse_names() -> list[tuple[int, int, str]]:
@@ -98,7 +102,7 @@ def calibrate(df: DataFrame, key: str = "system_id", min_samples: int = MIN_SAMP
     stat_cols = [c for c in stats.columns if c not in (key, "samples")]
     out = stats.select(key, "samples", det.alias("cov_det"), status.alias("status"),
                        *[F.when(enough, F.col(c)).alias(c) for c in stat_cols])
-    inv = [F.when(F.col("status") == "calibrated", F.expr(inverse_sql(i, j))).alias(name)
+    inv = [F.when(F.col("status") == "calibrated", F.expr(inverse_sql(i, j, "cov_det"))).alias(name)
            for i, j, name in inverse_names()]
     return out.select("*", *inv)
 

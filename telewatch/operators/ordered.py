@@ -2,7 +2,9 @@
 
 A plain ``Window.partitionBy(system_id).orderBy(ts)`` sends every row of a key
 to one task, so a host holding a third of the data would run on one core.
-Here each key is cut into *segments*: contiguous time buckets whose width is
+When no key exceeds ``rows_per_segment`` rows (measured first with one
+partial aggregate) that plain window is bounded and is used as is.
+Otherwise each key is cut into *segments*: contiguous time buckets whose width is
 chosen per key from its row count and time span (one partial aggregate, so the
 statistics pass is itself skew-safe), giving about ``rows_per_segment`` rows
 per bucket.  Each segment is scanned with an ordinary window on
@@ -78,6 +80,35 @@ def segment(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out.drop("_pos", "_p0", "_w")
 
 
+def _largest_key(df: DataFrame, keys: list[str]) -> int:
+    """Row count of the largest key (one partial aggregate and a scalar)."""
+    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(top or 0)
+
+
+def _single_window(df, keys, order, row_number, lags, running_sums, running_max,
+                   last_position) -> DataFrame:
+    """Fast path when every key fits in one segment: one window per key."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = {}
+    if row_number or last_position:
+        cols["_rn0"] = F.row_number().over(w)
+    for out, src in lags.items():
+        cols[out] = F.lag(src).over(w)
+    for out, expr in running_sums.items():
+        cols[out] = F.sum(expr if isinstance(expr, Column) else F.col(expr)).over(run)
+    for out, expr in running_max.items():
+        cols[out] = F.max(expr if isinstance(expr, Column) else F.col(expr)).over(run)
+    out = df.withColumns(cols)
+    more = {}
+    if row_number:
+        more[row_number] = F.col("_rn0")
+    for name, cond in last_position.items():
+        more[name] = F.max(F.when(cond, F.col("_rn0"))).over(run)
+    return out.withColumns(more).drop("_rn0") if more or "_rn0" in cols else out
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                  row_number: str | None = None,
                  lags: dict[str, str] | None = None,
@@ -105,6 +136,11 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     running_max = running_max or {}
     keys = list(keys)
     order = list(order)
+    per_segment = per_segment or rows_per_segment(df)
+
+    if _largest_key(df, keys) <= per_segment:
+        return _single_window(df, keys, order, row_number, lags, running_sums, running_max,
+                              last_position)
 
     seg = segment(df, keys, order, per_segment, position)
     # Expressions are materialised first so the window only sees plain columns.
