@@ -41,7 +41,9 @@ def vote_table(preds: DataFrame) -> DataFrame:
     """
     votes = F.from_json("models_json", "map<string,int>")
     probs = F.from_json("probabilities_json", "map<string,double>")
+    # the anomaly count is per prediction: computed on its row before exploding
     exploded = preds.select("system_id", "id", "fault_type", probs.alias("_probs"),
+                            F.size(F.map_filter(votes, lambda k, v: v == 1)).alias("anomaly_count"),
                             F.explode(votes).alias("model", "vote"))
     prob = F.col("_probs")[F.col("model")]
     f1 = _f1_lookup()[F.lower(F.trim(F.col("model")))]
@@ -51,11 +53,7 @@ def vote_table(preds: DataFrame) -> DataFrame:
     reason = F.when(F.col("vote") == 1,
                     F.concat(F.lit("High "), F.col("fault_type"), F.lit(" anomaly detected"))) \
         .otherwise(F.lit("Normal operating pattern"))
-    out = exploded.select(
+    return exploded.select(
         "system_id", "id", "model",
         F.when(F.col("vote") == 1, "Anomaly").otherwise("Normal").alias("vote_label"),
-        score.alias("score"), reason.alias("reason"), "vote")
-    # votes of one prediction sit in one row of the input: count them there.
-    counts = preds.select("id", F.size(F.map_filter(votes, lambda k, v: v == 1))
-                          .alias("anomaly_count"))
-    return out.join(counts, "id").drop("vote")
+        score.alias("score"), reason.alias("reason"), "anomaly_count")
