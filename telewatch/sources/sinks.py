@@ -52,15 +52,20 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 
 def write_session_files(df: DataFrame, path: str, mode: str = "overwrite",
-                        host: str = "hostname", session: str = "session_id") -> None:
+                        host: str = "hostname", session: str = "session_id",
+                        order: str = "timestamp") -> None:
     """One CSV folder per host and session, with header.
 
     The files keep the collector columns (hostname included); the folders are
-    named by copies of the host and session keys.  No shuffle by session: a
-    very large session is written by many tasks as several part files.
+    named by copies of the host and session keys.  Rows are range-partitioned
+    on (host, session, time) first: each task writes a contiguous run of
+    sessions (few open files, few small files), and a very large session is
+    cut by time across several tasks instead of landing in one.
     """
     out = df.withColumn("host", F.col(host)).withColumn("session", F.col(session)).drop(session)
-    out.write.mode(mode).option("header", True).partitionBy("host", "session").csv(path)
+    keys = [F.col("host"), F.col("session")] + ([F.col(order)] if order in df.columns else [])
+    (out.repartitionByRange(*keys).write.mode(mode).option("header", True)
+     .partitionBy("host", "session").csv(path))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append",
