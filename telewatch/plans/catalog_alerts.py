@@ -7,8 +7,6 @@ the streak length are scaled to it: moderate cooldown 86,400 s, high gap
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import risk as R
 from ..operators import alerts as A
 from ..operators import serving as Q
@@ -180,4 +178,3 @@ register("q9_active_alerts", "Q9 T7",
          _rec(*ALERTS_CTES) + "SELECT *, 'Active' AS status FROM alerts WHERE resolved_at IS NULL")(
     active_alerts)
 
-_ = F

@@ -137,5 +137,3 @@ def read_calibration_csv(spark: SparkSession, paths: Sequence[str] | str,
                               for c in ("cpu_percent", "memory_percent", "memory_available_mb",
                                         "disk_write_mbps")])
 
-
-_ = MODERATE

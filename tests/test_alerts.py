@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from telewatch.operators import alerts as A
 
 T0 = dt.datetime(2024, 1, 1, 0, 0, 0)
@@ -66,4 +64,3 @@ def test_resolution_time(spark):
     res = [None if r["resolved_at"] is None else int((r["resolved_at"] - T0).total_seconds())
            for r in out]
     assert res == [20, 20, 20, None]
-    _ = F

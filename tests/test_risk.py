@@ -1,7 +1,5 @@
 """Golden rows for the row classification rules (FIXTURES.md §3)."""
 
-from pyspark.sql import functions as F
-
 from telewatch.functions import risk as R
 from telewatch.operators.classify import contribution
 
@@ -60,4 +58,3 @@ def test_contribution(spark):
     got = {(r["system_id"], r["component"]): r["contribution"] for r in contribution(df).collect()}
     assert [got[("s", c)] for c in ("CPU", "Memory", "Disk", "Other")] == [50, 70, 100, 40]
     assert [got[("t", c)] for c in ("CPU", "Memory", "Disk", "Other")] == [0, 0, 0, 100]
-    _ = F
