@@ -103,9 +103,9 @@ def _single_window(df, keys, order, row_number, lags, running_sums, running_max,
     out = df.withColumns(cols)
     more = {}
     if row_number:
-        more[row_number] = F.col("_rn0")
+        more[row_number] = F.col("_rn0").cast("long")
     for name, cond in last_position.items():
-        more[name] = F.max(F.when(cond, F.col("_rn0"))).over(run)
+        more[name] = F.max(F.when(cond, F.col("_rn0"))).over(run).cast("long")
     return out.withColumns(more).drop("_rn0") if more or "_rn0" in cols else out
 
 
@@ -200,7 +200,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     out = local.join(summary, on=[*keys, SEG], how="inner")
     exprs = []
     if row_number:
-        exprs.append((row_number, F.col("_lrn") + F.col("_off")))
+        exprs.append((row_number, (F.col("_lrn") + F.col("_off")).cast("long")))
     for name in lags:
         exprs.append((name, F.when(F.col("_lrn") == 1, F.col(f"_prev.{name}"))
                       .otherwise(F.col(f"_lag_{name}"))))

@@ -92,7 +92,7 @@ def last_n_per_system(df: DataFrame, n: int, key: str = "system_id") -> DataFram
     """Q4 / Q10: the last n rows of every system (ascending position column)."""
     w = Window.partitionBy(key).orderBy(F.col("ts").desc(), F.col("id").desc())
     ranked = df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n)
-    return ranked.withColumn("position", F.lit(n + 1) - F.col("_rk")).drop("_rk")
+    return ranked.withColumn("position", (F.lit(n + 1) - F.col("_rk")).cast("long")).drop("_rk")
 
 
 def history(metrics: DataFrame, n: int = 100) -> DataFrame:

@@ -94,7 +94,7 @@ def t3(spark, sf_dir):
 
 
 T3_SQL = "WITH " + ",\n".join([TELEMETRY_CTE, SCORED_CTE, STREAK_CTE]) + """
-SELECT system_id, id, n AS notice, ts + to_seconds(2 * (n - 1)) AS notice_ts
+SELECT system_id, id, CAST(n AS INTEGER) AS notice, ts + to_seconds(2 * (n - 1)) AS notice_ts
 FROM streaks, (SELECT unnest(range(1, 4)) AS n) r"""
 
 register("t3_high_burst", "T3 T2", T3_SQL)(t3)

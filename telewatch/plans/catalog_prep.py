@@ -59,7 +59,7 @@ def labelled_scan(spark, sf_dir):
 SCAN_SQL = _sql(TELEMETRY_CTE, RD.TRAINING_CTE) + f"""
 SELECT label, count(*) AS rows, {sig_sql("sum(cpu_percent)", 9)} AS sum_cpu,
        {sig_sql("sum(memory_available_mb)", 9)} AS sum_avail,
-       sum(process_count) AS sum_processes
+       CAST(sum(process_count) AS BIGINT) AS sum_processes
 FROM training GROUP BY label"""
 
 register("s1_labelled_scan", "S1 S2 S6 D1 D2 D3 D4", SCAN_SQL)(labelled_scan)

@@ -80,7 +80,7 @@ LOG_SQL = "WITH " + TELEMETRY_CTE + f"""
 SELECT process_name AS top_cpu_process, count(*) AS rows,
        count(*) FILTER (WHERE {rnd("(cpu_percent * 0.4 + memory_percent * 0.6) / 100.0", 3)} > 0.6)
          AS high_risk_rows,
-       sum(process_count) AS processes
+       CAST(sum(process_count) AS BIGINT) AS processes
 FROM telemetry GROUP BY process_name"""
 
 register("s5_live_log", "S5 S12 T6", LOG_SQL)(live_log)
