@@ -133,13 +133,9 @@ register("r_risk_classes", "R1 R2 R3 R4 R6 R8 R9 R10 R11 R12 R13 R14 R15 R17 R18
 
 def risk_contribution(spark, sf_dir):
     """R16 on the latest metric of every system: 4 rows each."""
-    latest = Q.latest_metric(telemetry(spark, sf_dir))
-    return Q_contribution(latest)
-
-
-def Q_contribution(df):
     from ..operators.classify import contribution
-    return contribution(df).select("system_id", "component", "contribution")
+    latest = Q.latest_metric(telemetry(spark, sf_dir))
+    return contribution(latest).select("system_id", "component", "contribution")
 
 
 CONTRIB_SQL = _with(TELEMETRY_CTE, """l AS (
@@ -439,11 +435,3 @@ SELECT system_id, id AS metric_id, ts AS metric_ts, cpu_percent, memory_percent,
 FROM p"""
 
 register("q15_status_panel", "Q15 Q1 Q2", PANEL_SQL)(status_panel)
-
-
-from . import catalog_derive  # noqa: E402,F401  (registers derivation queries)
-from . import catalog_alerts  # noqa: E402,F401  (registers alert queries)
-from . import catalog_calibrate  # noqa: E402,F401  (registers calibration queries)
-from . import catalog_prep  # noqa: E402,F401  (registers preparation and ML queries)
-from . import catalog_io  # noqa: E402,F401  (registers source / sink round trips)
-from . import catalog_stream  # noqa: E402,F401  (registers streaming queries)

@@ -37,5 +37,7 @@ def register(name: str, ids: str, sql: str | None = None):
 
 
 def entries() -> dict[str, Entry]:
-    from . import catalog  # noqa: F401  (registers on import)
+    """All registered queries (the catalog modules register on import)."""
+    from . import (catalog, catalog_alerts, catalog_calibrate, catalog_derive,  # noqa: F401
+                   catalog_io, catalog_prep, catalog_stream)
     return dict(_REGISTRY)
