@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import FEATURES
 from .ordered import global_row_number, ordered_scan
 
 TARGET_PER_CLASS = 8366
@@ -24,13 +23,6 @@ def hash_rank_key(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def project_features(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """The 10 model features (typed), plus requested passthrough columns."""
-    cols = [F.col(f).try_cast("int" if f == "process_count" else "double").alias(f)
-            for f in FEATURES]
-    return df.select(*cols, *(extra or []))
-
-
 def assign_ids(df: DataFrame, order: list[str], name: str = "process_id",
                position: Column | None = None) -> DataFrame:
     """Contiguous 1..n in the given order, without a one-partition window."""

@@ -134,8 +134,7 @@ def paginate(df: DataFrame, page_size: int = PAGE_SIZE, key: str = "system_id")
     return (ranked.join(counts, key)
             .withColumn("page", F.ceil(F.col("_pos") / F.lit(page_size)).cast("long"))
             .withColumn("row_in_page", ((F.col("_pos") - 1) % F.lit(page_size) + 1).cast("long"))
-            .withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(page_size)))
-                        .cast("long"))
+            .withColumn("pages", page_count(F.col("_n"), page_size))
             .drop("_pos", "_n"))
 
 

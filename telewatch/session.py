@@ -63,7 +63,3 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
 
-
-def target_partitions(spark: SparkSession) -> int:
-    """Partition count used for range partitioning of ordered scans."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

@@ -46,11 +46,6 @@ def live_log_rows(packets: DataFrame) -> DataFrame:
                             for c in LIVE_LOG_COLUMNS])
 
 
-def append_csv(df: DataFrame, path: str) -> None:
-    """Append with a header per part file."""
-    df.write.mode("append").option("header", True).csv(path)
-
-
 def write_session_files(df: DataFrame, path: str, mode: str = "overwrite",
                         host: str = "hostname", session: str = "session_id",
                         order: str = "timestamp") -> None:
