@@ -64,3 +64,17 @@ def test_resolution_time(spark):
     res = [None if r["resolved_at"] is None else int((r["resolved_at"] - T0).total_seconds())
            for r in out]
     assert res == [20, 20, 20, None]
+
+
+def test_cooldown_edge_cases(spark):
+    # no candidates at all
+    none = frame(spark, [(0, 0.1), (10, 0.2)])
+    assert A.moderate_cooldown(none, 300).count() == 0
+    # a single candidate fires
+    one = frame(spark, [(0, 0.1), (10, 0.5)])
+    assert fired_seconds(A.moderate_cooldown(one, 300)) == [10]
+    # a key whose only row is not a candidate, next to a key with fires
+    mixed = spark.createDataFrame(
+        [("A", 1, T0, 0.1), ("B", 2, T0, 0.5), ("B", 3, T0 + dt.timedelta(seconds=400), 0.5)],
+        "system_id string, id long, ts timestamp_ntz, risk_score double")
+    assert sorted(r["id"] for r in A.moderate_cooldown(mixed, 300).collect()) == [2, 3]
