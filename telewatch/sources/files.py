@@ -105,6 +105,12 @@ def read_labelled(spark: SparkSession, base: str, folders: dict[str, str] = LABE
     for layout in layouts:
         df = read_csv_by_header(spark, layout["files"], schema, layout["columns"])
         frames.append(df.select(*[F.col(c) for c in required], "source_file", "_block", "_row"))
+    if not frames:  # every file was rejected: an empty frame of the right shape
+        fields = [f for f in schema.fields if f.name in required]
+        empty = T.StructType(fields + [T.StructField("source_file", T.StringType()),
+                                       T.StructField("_block", T.LongType()),
+                                       T.StructField("_row", T.LongType())])
+        frames = [spark.createDataFrame([], empty)]
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionByName(f)

@@ -80,3 +80,11 @@ def test_moderate_and_calibration_csv(spark):
                                "disk_write_mbps"], [[1, "x", 2, 3, 4], [5, "y", 6, "bad", 8]])
     c = read_calibration_csv(spark, cal).collect()
     assert [tuple(r) for r in c] == [(1.0, 2.0, 3.0, 4.0), (5.0, 6.0, None, 8.0)]
+
+
+def test_all_files_rejected(spark):
+    base = tempfile.mkdtemp(prefix="telewatch-labelled-")
+    _write(f"{base}/normal/a.csv", list(FEATURES)[:-1], [[1.0] * 9])
+    rows, rejected = read_labelled(spark, base)
+    assert rows.count() == 0 and "label" in rows.columns
+    assert rejected.count() == 1
