@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import op9_mixing, op10_chat
+from . import (op1_substrings, op2_packing, op4_near_dups, op6_quality, op9_mixing,
+               op10_chat)
 
 QUERIES = {
+    "op1_substrings": op1_substrings.op1_substrings,
+    "op2_packing": op2_packing.op2_packing,
+    "op4_near_dups": op4_near_dups.op4_near_dups,
+    "op6_quality": op6_quality.op6_quality,
     "op9_mixing": op9_mixing.op9_mixing,
     "op10_chat": op10_chat.op10_chat,
 }
 
 ORACLE_SQL = {
+    "op1_substrings": op1_substrings.SQL,
+    "op4_near_dups": op4_near_dups.SQL,
+    "op6_quality": op6_quality.SQL,
     "op9_mixing": op9_mixing.SQL,
     "op10_chat": op10_chat.SQL,
 }

@@ -9,7 +9,7 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -43,8 +43,8 @@ def repetition_rates(docs: DataFrame, targets: dict[str, float]) -> DataFrame:
         weight = F.when(F.col("grp") == name, F.lit(float(w))).otherwise(weight)
     size = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
     by = docs.groupBy(_group(targets).alias("grp")).agg(F.sum(size).alias("chars"))
-    total = by.agg(F.sum("chars").alias("total"))
-    rates = by.crossJoin(F.broadcast(total)).select(   # one row beside <= 10,001 rows
+    every = Window.partitionBy()                        # at most 10,001 rows
+    rates = by.withColumn("total", F.sum("chars").over(every)).select(
         "grp", F.when(F.col("chars") > 0, weight * F.col("total") / F.col("chars"))
         .otherwise(F.lit(1.0)).alias("rate"))
     steps = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
