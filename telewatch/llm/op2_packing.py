@@ -14,8 +14,9 @@ group is left, so the whole loses less than one sequence per final group.
 
 from __future__ import annotations
 
+import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,19 +30,38 @@ END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 PER_GROUP = 8_192           # pieces packed together by one task
 NODES = 20_000              # branch-and-bound nodes per group
-WORDS_CACHED = 250_000      # words per generation of the cache of one worker
+WORDS_CACHED = 400_000      # words per generation of the cache of one worker
 
 
 # ------------------------------------------------------------------ tokens
 
+def _byte_characters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others
+    are the characters from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in own}
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(256 + len(out) - len(own))
+    return out
+
+
 class WordTokens:
-    """Ids of a text, tokenized word by word with a bounded cache.
+    """Ids of a text, tokenized word by word with bounded caches.
 
     White space is dropped by this vocabulary and no token spans it, so the
-    ids of a text are those of its words in order.  Words not yet seen are
-    tokenized together in one call.  ``dtype`` is the packed id type.
+    ids of a text are those of its words in order.  Words of ASCII and Latin-1
+    letters, digits and signs are normalised and split here by the rules the
+    vocabulary file states (lower case; letters, single digits, runs of signs,
+    English contractions), and each part goes to its BPE model; all other
+    words, and any that may hold a special token, take the whole tokenizer in
+    one call.  ``dtype`` is the packed id type.
     """
 
+    SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]"
+                       "|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+
     def __init__(self, vocabulary: str, dtype: str = "<u4"):
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -49,17 +69,35 @@ class WordTokens:
         self.dtype = dtype
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.alphabet = _byte_characters()
+
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) > WORDS_CACHED:
+            self.parts.clear()
+        text = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
+        ids = self.parts[part] = b"".join(
+            t.id.to_bytes(int(self.dtype[2]), "little") for t in self.model.model.tokenize(text))
+        return ids
 
     def _learn(self, missing: list[bytes]) -> None:
         import numpy as np
-        for at in range(0, len(missing), 4096):
-            part = missing[at:at + 4096]
-            enc = self.model.encode([w.decode("utf-8", "replace") for w in part],
-                                    is_pretokenized=True, add_special_tokens=False)
+        rest = []
+        for w in missing:
+            word = w.decode("utf-8", "replace")
+            if self.SIMPLE.fullmatch(word) and "<|" not in word:
+                self.young[w] = b"".join([self.parts.get(p) or self._part(p)
+                                          for p in self.PARTS.findall(word.lower())])
+            else:
+                rest.append((w, word))
+        for at in range(0, len(rest), 4096):
+            part = rest[at:at + 4096]
+            enc = self.model.encode([word for _, word in part], is_pretokenized=True,
+                                    add_special_tokens=False)
             ids = np.array(enc.ids, self.dtype)
-            owner = np.array([-1 if w is None else w for w in enc.word_ids], np.int64)
+            owner = np.array([-1 if i is None else i for i in enc.word_ids], np.int64)
             bounds = np.searchsorted(owner, np.arange(len(part) + 1))
-            for k, w in enumerate(part):
+            for k, (w, _) in enumerate(part):
                 self.young[w] = ids[bounds[k]:bounds[k + 1]].tobytes()
 
     def packed(self, texts: list[bytes]) -> Iterator[bytes]:
@@ -182,8 +220,6 @@ def completions(count: list[int], sizes: list[int], room: int, width: int = 24)
     while first >= 0 and tried < width:
         a = sizes[first]
         first -= 1
-        if not count[a]:
-            continue
         tried += 1
         left = room - a
         b = largest(left, (a,)) if left else 0
@@ -237,21 +273,25 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> lis
     placed = 0
     visited = 0
 
-    def take(fill):
+    def take(fill):                                       # ``sizes`` lists the sizes left
         for s in fill:
             count[s] -= 1
+            if not count[s]:
+                del sizes[bisect_left(sizes, s)]
 
     def give(fill):
         for s in fill:
+            if not count[s]:
+                insort(sizes, s)
             count[s] += 1
 
     def open_bin():
-        top = next((s for s in reversed(sizes) if count[s]), 0)
-        if not top:
+        if not sizes:
             return None
-        count[top] -= 1
+        top = sizes[-1]
+        take((top,))
         fills = completions(count, sizes, capacity - top)
-        count[top] += 1
+        give((top,))
         return [(top, *f) for f in reversed(fills)]
 
     frame = open_bin()
