@@ -1,23 +1,18 @@
 """Alert decisions in batch (T1-T5, T7) and minimum-gap thinning.
 
 Cooldown alerts depend on the time of the last *fire*, not the last row, so
-no plain window expresses them.  The fold is done without ever holding a
-key, or a run of candidates, in one task:
-
-1. *Reset points*: a candidate whose predecessor (any candidate of the same
-   key) lies more than its gap behind always fires, whatever happened
-   before.  Reset points cut each key into islands.
-2. *Next-fire pointers*: for every candidate ``i``, ``next(i)`` is the first
-   later candidate that would fire if ``i`` fired; pointers into a reset
-   point are cut, since that row starts its own chain.  Pointers and reset
-   points come from one reverse skew-safe ordered scan over the candidates
-   unioned with probe rows (at ``t_i + gap`` per gap class, and just after
-   ``t_i`` for the successor).
-3. *Pointer doubling*: the fires of an island are the chain
-   ``head, next(head), next(next(head)), ...``.  Each round doubles the
-   pointer length with a self-join on the row id and extends the fired set
-   with a join, so ``ceil(log2(longest chain))`` rounds of balanced joins
-   find every fire.  Each round is checkpointed to cut the lineage.
+no plain window expresses them.  The fold works on the segments of
+``operators.ordered`` (bounded ranges of rows along key and time), written once:
+
+1. For a key that spans segments, each segment becomes a step function from
+   the last fire before it to the last fire in it: next-fire pointers by
+   binary search, exits by one pass from the last row back.
+2. The few steps of such a key are composed in segment order, which gives
+   every segment the last fire before it.
+3. Each segment marks its fires by following the pointers from there.
+
+No key is ever held in one task, and the number of written tables and
+shuffles does not depend on the length of the chains.
 """
 
 from __future__ import annotations
@@ -27,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk as R
 from ..functions.timefn import epoch_micros
-from .ordered import materialize, ordered_scan
+from .ordered import SEG, TIE, materialize, ordered_scan, segments
 
 US = 1_000_000
 
@@ -47,85 +42,121 @@ def _gap_classes(gaps) -> list[tuple[Column, int]]:
     return [(cond, int(round(g * US))) for cond, g in gaps]
 
 
-def _pointer_scan(cand: DataFrame, key: str, classes: list[tuple[Column, int]],
-                  strict: bool) -> tuple[DataFrame, DataFrame]:
-    """One reverse ordered scan giving next-fire pointers and the non-reset rows.
-
-    Events per key: every candidate (data), one probe per gap class at
-    ``t + gap`` and one successor probe just after the row itself.  Ordered
-    by (time, rank, id, sub) - data before class probes at equal time when
-    the gap is strict, after them otherwise - and scanned backwards, a running
-    max over (-t, -id) carries the earliest data row (per class, and of any
-    class) seen so far, i.e. the first one after each probe.
-
-    Returns ``(pointers, followers)``: ``(key, _id, _nxt)`` for the first
-    candidate that would fire after ``_id`` fired, and ``(key, _id)`` for
-    candidates within their gap of the previous candidate (not reset points).
-    """
-    data_rank, probe_rank = (0, 1) if strict else (1, 0)
-    base = cand.select(key, "_t", "_id", "_cls", "_gap")
-
-    def events(at, rank, sub, src, pcls):
-        return base.select(key, at.alias("_at"), F.lit(rank).alias("_k"),
-                           F.col("_id").alias("_node"), F.lit(sub).alias("_sub"), "_cls", "_gap",
-                           src.cast("long").alias("_src"), F.lit(pcls).alias("_pcls"))
-
-    ev = events(F.col("_t"), data_rank, 0, F.lit(None), -1)
-    for c, (_, g) in enumerate(classes):
-        ev = ev.unionByName(events(F.col("_t") + F.lit(g), probe_rank, 0, F.col("_id"), c))
-    ev = ev.unionByName(events(F.col("_t"), data_rank, 1, F.col("_id"), -2))
-    ev = ev.select("*", (-F.col("_at")).alias("_rat"), (-F.col("_k")).alias("_rk"),
-                   (-F.col("_node")).alias("_rn"), (-F.col("_sub")).alias("_rs"))
-    is_data = F.col("_src").isNull()
-
-    def earliest(*extra):
-        return F.struct((-F.col("_at")).alias("a"), (-F.col("_node")).alias("b"),
-                        F.col("_node").alias("node"), *extra)
-
-    marks = {f"_nx{c}": F.when(is_data & (F.col("_cls") == c), earliest())
-             for c in range(len(classes))}
-    marks["_succ"] = F.when(is_data, earliest(F.col("_at").alias("t"), F.col("_gap").alias("gap")))
-    scanned = ordered_scan(ev, [key], ["_rat", "_rk", "_rn", "_rs"], running_max=marks)
-    keep = [key, "_at", "_src", "_pcls", "_succ", *[f"_nx{c}" for c in range(len(classes))]]
-    probes = materialize(scanned.filter(~is_data).select(*keep))
-
-    found = F.coalesce(*[F.when(F.col("_pcls") == c, F.col(f"_nx{c}"))
-                         for c in range(len(classes))])
-    pointers = (probes.filter(F.col("_pcls") >= 0)
-                .groupBy(key, F.col("_src").alias("_id")).agg(F.max(found).alias("_f"))
-                .filter(F.col("_f").isNotNull())
-                .select(key, "_id", F.col("_f.node").alias("_nxt")))
-    within = F.col("_succ.t") - F.col("_at")
-    close = (within <= F.col("_succ.gap")) if strict else (within < F.col("_succ.gap"))
-    followers = (probes.filter((F.col("_pcls") == -2) & F.col("_succ").isNotNull() & close)
-                 .select(key, F.col("_succ.node").alias("_id")))
-    return pointers, followers
-
-
-def _chain_fires(heads: DataFrame, nxt: DataFrame, key: str) -> DataFrame:
-    """All nodes on the pointer chains starting at ``heads`` (pointer doubling).
-
-    Invariant after round k: ``fired`` holds the first 2^k nodes of every
-    chain and ``jump`` maps each node to its 2^k-th successor.  Every round
-    is written to the shared checkpoint folder, so the lineage stays short.
+def _runs(pdf, key: str):
+    """Row ranges of equal keys in a frame sorted by (key, time, id)."""
+    import numpy as np
+    codes = pdf[key].factorize(use_na_sentinel=False)[0]
+    cut = np.flatnonzero(np.diff(codes)) + 1
+    return zip(np.r_[0, cut], np.r_[cut, len(codes)], strict=True) if len(codes) else ()
+
+
+def _next_fires(t, cls, gaps: list[int], side: str):
+    """For every candidate of a run the position of the first later one that
+    would fire if it fired (``len(t)`` when none in the run)."""
+    import numpy as np
+    n = len(t)
+    here = np.arange(n)
+    best = np.full(n, n)
+    for c, gap in enumerate(gaps):
+        pos = np.flatnonzero(cls == c)
+        if len(pos):
+            at = np.searchsorted(t[pos], t + gap, side=side)
+            at = np.maximum(at, np.searchsorted(pos, here, side="right"))
+            best = np.minimum(best, np.append(pos, n)[at])
+    return best
+
+
+def _entry_steps(t, cls, gaps: list[int], strict: bool, nxt):
+    """The run as a step function of the last fire before it.
+
+    The first candidate that fires after a fire at ``t0`` is the first with
+    ``t - gap`` beyond ``t0``, so only record highs of ``t - gap`` matter, up
+    to the first that fires whatever the entry was.  Steps with the same exit
+    (the last fire of the chain they start) are one.  Returns (bounds, exits).
     """
-    fired = heads
-    jump = materialize(nxt)
-    while True:
-        # J^(2^k) maps the first 2^k nodes of each chain onto the next 2^k
-        extended = materialize(fired.join(jump, [key, "_id"])
-                               .select(key, F.col("_nxt").alias("_id")))
-        if extended.isEmpty():
-            return fired
-        fired = fired.unionByName(extended)
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = materialize(
-            a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) &
-                   (F.col("a._nxt") == F.col("b._id")))
-            .select(F.col(f"a.{key}").alias(key), F.col("a._id").alias("_id"),
-                    F.col("b._nxt").alias("_nxt")))
-        if jump.isEmpty():
-            return fired
+    import numpy as np
+    exit_time = t.tolist()
+    jump = nxt.tolist()
+    for i in range(len(t) - 1, -1, -1):            # from the last row back
+        if jump[i] < len(t):
+            exit_time[i] = exit_time[jump[i]]
+    bound = t - np.asarray(gaps)[cls]
+    high = np.maximum.accumulate(bound)
+    record = np.r_[True, bound[1:] > high[:-1]]
+    always = (bound > t[0]) if strict else (bound >= t[0])
+    if always.any():
+        record[int(np.argmax(always)) + 1:] = False
+    rows = np.flatnonzero(record).tolist()
+    bounds, exits = [], []
+    for i in rows:
+        if exits and exits[-1] == exit_time[i]:
+            bounds[-1] = int(bound[i])
+        else:
+            bounds.append(int(bound[i]))
+            exits.append(int(exit_time[i]))
+    return bounds, exits
+
+
+def _fold_segments(cand: DataFrame, key: str, gaps: list[int], strict: bool) -> DataFrame:
+    """``(key, _id)`` of the candidates that fire; see the module docstring."""
+    import numpy as np
+    import pandas as pd
+    side = "right" if strict else "left"
+    sort = [key, "_t", "_id", TIE]
+    laid = segments(cand, [key], ["_t", "_id"])
+    kind = laid.schema[key].dataType.simpleString()
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(sort, na_position="first", kind="stable")
+        t, cls, out = pdf["_t"].to_numpy(), pdf["_cls"].to_numpy(), []
+        for a, b in _runs(pdf, key):
+            nxt = _next_fires(t[a:b], cls[a:b], gaps, side)
+            out.append((pdf[key].iloc[a], pdf[SEG].iloc[a],
+                        *_entry_steps(t[a:b], cls[a:b], gaps, strict, nxt)))
+        return pd.DataFrame(out, columns=[key, SEG, "bounds", "exits"])
+
+    # only keys that span segments need an entry time: two per segment boundary at most
+    several = (laid.groupBy(key).agg(F.min(SEG).alias("_lo"), F.max(SEG).alias("_hi"))
+               .where(F.col("_lo") < F.col("_hi")).select(F.col(key).alias("_k")))
+    spans = laid.join(several, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+    steps = spans.groupBy(SEG).applyInPandas(
+        summarise, f"{key} {kind}, {SEG} int, bounds array<long>, exits array<long>")
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, entry = None, []
+        pdf = pdf.sort_values(SEG)
+        for bounds, exits in zip(pdf["bounds"], pdf["exits"], strict=True):
+            entry.append(last)
+            i = 0 if last is None else int(np.searchsorted(bounds, last, side=side))
+            if i < len(exits):
+                last = int(exits[i])
+        return pd.DataFrame({key: pdf[key], SEG: pdf[SEG], "_entry": pd.array(entry, "Int64")})
+
+    entries = materialize(steps.groupBy(key).applyInPandas(
+        compose, f"{key} {kind}, {SEG} int, _entry long")).select(
+        F.col(key).alias("_k"), F.col(SEG).alias("_s"), "_entry")
+    entered = laid.join(entries, F.col(key).eqNullSafe(F.col("_k")) & (F.col(SEG) == F.col("_s")), "left")
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(sort, na_position="first", kind="stable")
+        t, cls = pdf["_t"].to_numpy(), pdf["_cls"].to_numpy()
+        entry = pdf["_entry"]
+        fires = []
+        for a, b in _runs(pdf, key):
+            run, kinds = t[a:b], cls[a:b]
+            nxt = _next_fires(run, kinds, gaps, side).tolist()
+            i = 0
+            if not pd.isna(entry.iloc[a]):
+                bound = run - np.asarray(gaps)[kinds]
+                ok = bound > entry.iloc[a] if strict else bound >= entry.iloc[a]
+                i = int(np.argmax(ok)) if ok.any() else b - a
+            while i < b - a:
+                fires.append(a + i)
+                i = nxt[i]
+        return pdf.iloc[fires][[key, "_id"]]
+
+    columns = [key, "_t", "_id", "_cls", SEG, TIE, "_entry"]
+    return entered.select(*columns).groupBy(SEG).applyInPandas(mark, f"{key} {kind}, _id long")
 
 
 def cooldown_fires(df: DataFrame, key: str, candidate: Column, gaps, *,
@@ -136,28 +167,19 @@ def cooldown_fires(df: DataFrame, key: str, candidate: Column, gaps, *,
     ``gaps``       seconds, or [(condition, seconds), ...] gap classes (first
                    match wins); a row fires when its time minus the last fire
                    time is ``> gap`` (``>= gap`` when not strict).
-    The first candidate of every key fires.  ``(key, id_col)`` must be unique.
+    The first candidate of every key fires; a null key is a key of its own, a
+    row without a time never fires.  ``(key, id_col)`` must be unique.
     """
     classes = _gap_classes(gaps)
     cls = None
     for c, (cond, _) in enumerate(classes):
         cls = F.when(cond, F.lit(c)) if cls is None else cls.when(cond, F.lit(c))
-    gap = None
-    for c, (_, g) in enumerate(classes):
-        gap = F.when(F.col("_cls") == c, F.lit(g)) if gap is None else gap.when(
-            F.col("_cls") == c, F.lit(g))
-    cand = (df.filter(candidate)
-            .select(key, ts, F.col(id_col).alias("_id"),
-                    cls.otherwise(F.lit(len(classes) - 1)).alias("_cls"))
-            .withColumn("_t", _micros(ts)).withColumn("_gap", gap))
-    # candidates feed three event sets, each read by the scan's three branches
-    cand = materialize(cand)
-    pointers, followers = _pointer_scan(cand, key, classes, strict)
-    # reset points (island heads) always fire; chains stop where one begins
-    heads = materialize(cand.select(key, "_id").join(followers, [key, "_id"], "left_anti"))
-    jumps = pointers.join(heads.withColumnRenamed("_id", "_nxt"), [key, "_nxt"], "left_anti")
-    fires = _chain_fires(heads, jumps, key)
-    return df.join(fires.withColumnRenamed("_id", id_col), on=[key, id_col], how="left_semi")
+    cand = (df.filter(candidate & F.col(ts).isNotNull())
+            .select(key, F.col(id_col).cast("long").alias("_id"), _micros(ts).alias("_t"),
+                    cls.otherwise(F.lit(len(classes) - 1)).alias("_cls")))
+    fires = _fold_segments(cand, key, [g for _, g in classes], strict).select(
+        F.col(key).alias("_k"), "_id")
+    return df.join(fires, F.col(key).eqNullSafe(F.col("_k")) & (F.col(id_col) == F.col("_id")), "left_semi")
 
 
 def moderate_cooldown(df: DataFrame, cooldown_s: float = 300.0, key: str = "system_id",
@@ -184,8 +206,9 @@ def thin_min_gap(df: DataFrame, interval_s: float, key: str = "session_id") -> D
 
 def sustained_high(df: DataFrame, length: int = 30, key: str = "system_id",
                    t: R.Thresholds = R.DEFAULT) -> DataFrame:
-    """Every ``length``-th consecutive high sample fires; any lower one resets."""
-    high = F.col("risk_score") >= t.band_high
+    """Every ``length``-th consecutive high sample fires; any other resets
+    (also one without a score)."""
+    high = F.coalesce(F.col("risk_score") >= t.band_high, F.lit(False))   # no score: not high
     s = ordered_scan(df, [key], ["ts", "id"], row_number="_rn",
                      last_position={"_last_low": ~high})
     streak = F.col("_rn") - F.coalesce(F.col("_last_low"), F.lit(0))

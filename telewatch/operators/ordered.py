@@ -2,51 +2,37 @@
 
 A plain ``Window.partitionBy(system_id).orderBy(ts)`` sends every row of a key
 to one task, so a host holding a third of the data would run on one core.
-When no key exceeds ``rows_per_segment`` rows (measured first with one
-partial aggregate) that plain window is bounded and is used as is.
-Otherwise each key is cut into *segments*: contiguous time buckets whose width is
-chosen per key from its row count and time span (one partial aggregate, so the
-statistics pass is itself skew-safe), giving about ``rows_per_segment`` rows
-per bucket.  Each segment is scanned with an ordinary window on
-``(key, segment)``; a small per-segment summary (about ``rows /
-rows_per_segment + keys`` rows) carries counts, last values and running maxima
-across segment boundaries and is joined back on ``(key, segment)``.
-
-Segment ids are a deterministic function of the row, so every branch of the
-plan (and every task retry after an executor loss) agrees on them.  The key
-statistics and the summary are small; adaptive execution broadcasts them when
-their runtime size is under the broadcast threshold and falls back to a
-sort-merge join (with skew splitting) otherwise.
+Here the rows are range-partitioned by (keys, order) into segments of about
+``rows_per_segment`` rows and written once, with the segment number as a
+column.  A key spans as many consecutive segments as it needs, whatever its
+rows look like in time (bursts, gaps, equal timestamps), and several small
+keys share one.  Each segment is scanned with an ordinary window on
+``(keys, segment)``; a summary of one row per (key, segment) carries counts,
+last values and running maxima across segment boundaries and is joined back.
+
+There is one algorithm at every size, and a written segment never changes, so
+every branch of the plan (and every task retry after an executor loss) agrees
+on it.  Null keys are a key of their own, as in a plain window.  The summary
+has about ``rows / rows_per_segment + keys`` rows; adaptive execution
+broadcasts it when its runtime size is under the broadcast threshold.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..functions.timefn import epoch_micros
 
 SEG = "_seg"
+TIE = "_tie"
 ROWS_PER_SEGMENT_CONF = "telewatch.ordered.rowsPerSegment"
 DEFAULT_ROWS_PER_SEGMENT = 2_000_000
 
 
-def _cols(names: Sequence[str | Column]) -> list[Column]:
-    return [F.col(n) if isinstance(n, str) else n for n in names]
-
-
-def _position(df: DataFrame, name: str) -> Column:
-    """Monotone long view of the leading order column."""
-    dtype = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
-        return epoch_micros(col)
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(col).cast("long")
-    return F.floor(col).cast("long")
+def _col(expr: str | Column) -> Column:
+    return expr if isinstance(expr, Column) else F.col(expr)
 
 
 def rows_per_segment(df: DataFrame) -> int:
@@ -54,59 +40,18 @@ def rows_per_segment(df: DataFrame) -> int:
     return int(conf) if conf else DEFAULT_ROWS_PER_SEGMENT
 
 
-def segment(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-            per_segment: int | None = None, position: Column | None = None) -> DataFrame:
-    """Tag each row with a bucket segment id of bounded expected size.
+def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+             per_segment: int | None = None) -> DataFrame:
+    """``df`` written in segments of about ``per_segment`` rows along (keys, order).
 
-    Buckets cut the leading order column, or ``position`` when given: a long
-    that never decreases along the order (e.g. a composite of several
-    order columns).
+    Adds the segment number and a tie-breaker (input position), which also
+    splits runs of rows that are equal in every order column.
     """
     per_segment = per_segment or rows_per_segment(df)
-    keys = list(keys)
-    pos = position if position is not None else _position(df, order[0])
-    tagged = df.withColumn("_pos", pos)
-    stats = (tagged.groupBy(*keys)
-             .agg(F.min("_pos").alias("_p0"), F.max("_pos").alias("_p1"),
-                  F.count(F.lit(1)).alias("_n")))
-    # width = ceil(span * per_segment / n), at least 1; one bucket for small keys.
-    span = F.col("_p1") - F.col("_p0") + F.lit(1)
-    width = F.when(F.col("_n") <= per_segment, span).otherwise(
-        F.greatest(F.lit(1), F.ceil(span.cast("double") * F.lit(float(per_segment)) / F.col("_n"))))
-    stats = stats.select(*keys, "_p0", width.cast("long").alias("_w"))
-    out = tagged.join(stats, on=keys, how="left")
-    out = out.withColumn(SEG, F.coalesce(F.floor((F.col("_pos") - F.col("_p0")) / F.col("_w")),
-                                         F.lit(0)).cast("long"))
-    return out.drop("_pos", "_p0", "_w")
-
-
-def _largest_key(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the largest key (one partial aggregate and a scalar)."""
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(top or 0)
-
-
-def _single_window(df, keys, order, row_number, lags, running_sums, running_max,
-                   last_position) -> DataFrame:
-    """Fast path when every key fits in one segment: one window per key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = {}
-    if row_number or last_position:
-        cols["_rn0"] = F.row_number().over(w)
-    for out, src in lags.items():
-        cols[out] = F.lag(src).over(w)
-    for out, expr in running_sums.items():
-        cols[out] = F.sum(expr if isinstance(expr, Column) else F.col(expr)).over(run)
-    for out, expr in running_max.items():
-        cols[out] = F.max(expr if isinstance(expr, Column) else F.col(expr)).over(run)
-    out = df.withColumns(cols)
-    more = {}
-    if row_number:
-        more[row_number] = F.col("_rn0").cast("long")
-    for name, cond in last_position.items():
-        more[name] = F.max(F.when(cond, F.col("_rn0"))).over(run).cast("long")
-    return out.withColumns(more).drop("_rn0") if more or "_rn0" in cols else out
+    parts = max(1, -(-df.count() // per_segment))
+    tied = df.withColumn(TIE, F.monotonically_increasing_id())
+    laid = tied.repartitionByRange(parts, *keys, *order, TIE) if parts > 1 else tied.coalesce(1)
+    return materialize(laid.withColumn(SEG, F.spark_partition_id()))
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
@@ -115,124 +60,99 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                  running_sums: dict[str, str | Column] | None = None,
                  running_max: dict[str, str | Column] | None = None,
                  last_position: dict[str, Column] | None = None,
-                 per_segment: int | None = None,
-                 position: Column | None = None) -> DataFrame:
+                 key_count: str | None = None,
+                 per_segment: int | None = None) -> DataFrame:
     """Add per-key ordered columns without putting a whole key in one task.
 
     ``row_number``   name of a 1-based position column within the key.
     ``lags``         {output: input} previous row's value within the key.
-    ``running_sums`` {output: expression} inclusive running sum (exact for
-                     integral inputs; floating sums may differ in the last
-                     bit from a single-pass sum).
+    ``running_sums`` {output: expression} inclusive running sum, null until the
+                     first value that is not null (exact for integral inputs;
+                     floating sums may differ in the last bit).
     ``running_max``  {output: expression} inclusive running max, nulls skipped.
     ``last_position`` {output: condition} 1-based position (as in
                      ``row_number``) of the latest row so far where the
                      condition held; null when it never held.  This is the
                      gaps-and-islands primitive.
+    ``key_count``    name of a column with the number of rows of the key.
+    An empty list of keys scans the whole frame as one key.
     """
-    lags = lags or {}
-    last_position = last_position or {}
-    running_sums = running_sums or {}
-    running_max = running_max or {}
-    keys = list(keys)
-    order = list(order)
-    per_segment = per_segment or rows_per_segment(df)
-
-    if _largest_key(df, keys) <= per_segment:
-        return _single_window(df, keys, order, row_number, lags, running_sums, running_max,
-                              last_position)
-
-    seg = segment(df, keys, order, per_segment, position)
-    # Expressions are materialised first so the window only sees plain columns.
-    for name, expr in {**running_sums, **running_max, **last_position}.items():
-        seg = seg.withColumn(f"_in_{name}", expr if isinstance(expr, Column) else F.col(expr))
-
-    w = Window.partitionBy(*keys, SEG).orderBy(*order)
-    w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = seg.withColumn("_lrn", F.row_number().over(w))
-    for out, src in lags.items():
-        local = local.withColumn(f"_lag_{out}", F.lag(src).over(w))
-    for name in running_sums:
-        local = local.withColumn(f"_rs_{name}", F.sum(f"_in_{name}").over(w_run))
-    for name in running_max:
-        local = local.withColumn(f"_rm_{name}", F.max(f"_in_{name}").over(w_run))
-    for name in last_position:
-        local = local.withColumn(f"_lp_{name}", F.max(F.when(F.col(f"_in_{name}"), F.col("_lrn")))
-                                 .over(w_run))
+    lags, last_position = lags or {}, last_position or {}
+    running_sums, running_max = running_sums or {}, running_max or {}
+    keys, order = list(keys), list(order)
+    inputs = {**running_sums, **running_max, **last_position}
+    seg = segments(df.withColumns({f"_in_{n}": _col(e) for n, e in inputs.items()}) if inputs else df,
+                   keys, order, per_segment)
+
+    w = Window.partitionBy(*keys, SEG).orderBy(*order, TIE)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = {"_lrn": F.row_number().over(w).cast("long")}
+    cols |= {f"_lag_{out}": F.lag(src).over(w) for out, src in lags.items()}
+    cols |= {f"_rs_{n}": F.sum(f"_in_{n}").over(run) for n in running_sums}
+    cols |= {f"_rm_{n}": F.max(f"_in_{n}").over(run) for n in running_max}
+    local = seg.withColumns(cols)
+    if last_position:
+        local = local.withColumns({f"_lp_{n}": F.max(F.when(F.col(f"_in_{n}"), F.col("_lrn"))).over(run)
+                                   for n in last_position})
 
     # One summary row per (key, segment): what a later segment needs to know.
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     if lags:
-        last = F.max_by(F.struct(*[F.col(src).alias(out) for out, src in lags.items()]),
-                        F.struct(*_cols(order)))
-        aggs.append(last.alias("_last"))
-    for name in running_sums:
-        aggs.append(F.sum(f"_in_{name}").alias(f"_tot_{name}"))
-    for name in running_max:
-        aggs.append(F.max(f"_in_{name}").alias(f"_max_{name}"))
-    if last_position:
-        # Positions inside a segment exist only after its window, so the
-        # summary reads the (narrow, column-pruned) windowed rows instead.
-        src = local
-        for name in last_position:
-            aggs.append(F.max(f"_lp_{name}").alias(f"_lpmax_{name}"))
-    else:
-        src = seg
-    summary = src.groupBy(*keys, SEG).agg(*aggs)
+        aggs.append(F.max_by(F.struct(*[F.col(src).alias(out) for out, src in lags.items()]),
+                             F.struct(*[F.col(o) for o in order], F.col(TIE))).alias("_last"))
+    aggs += [F.sum(f"_in_{n}").alias(f"_tot_{n}") for n in running_sums]
+    aggs += [F.max(f"_in_{n}").alias(f"_max_{n}") for n in running_max]
+    # positions inside a segment exist only after its window
+    aggs += [F.max(f"_lp_{n}").alias(f"_lpmax_{n}") for n in last_position]
+    summary = (local if last_position else seg).groupBy(*keys, SEG).agg(*aggs)
 
     ws = Window.partitionBy(*keys).orderBy(SEG)
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
-    carry = [*keys, SEG, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")]
+    whole = Window.partitionBy(*keys)
+    carry = [F.col(k).alias(f"_key_{k}") for k in keys] + [
+        F.col(SEG).alias("_sseg"), F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+        F.sum("_cnt").over(whole).alias("_all")]
     if lags:
         carry.append(F.lag("_last").over(ws).alias("_prev"))
-    for name in running_sums:
-        carry.append(F.sum(f"_tot_{name}").over(before).alias(f"_cs_{name}"))
-    for name in running_max:
-        carry.append(F.max(f"_max_{name}").over(before).alias(f"_cm_{name}"))
-    carry += [F.col(f"_lpmax_{name}") for name in last_position]
+    carry += [F.sum(f"_tot_{n}").over(before).alias(f"_cs_{n}") for n in running_sums]
+    carry += [F.max(f"_max_{n}").over(before).alias(f"_cm_{n}") for n in running_max]
+    carry += [F.col(f"_lpmax_{n}") for n in last_position]
     summary = summary.select(*carry)
     if last_position:
-        summary = summary.select(
-            *[c for c in summary.columns if not c.startswith("_lpmax_")],
-            *[F.max(F.col(f"_lpmax_{name}") + F.col("_off")).over(before).alias(f"_cl_{name}")
-              for name in last_position])
-
-    out = local.join(summary, on=[*keys, SEG], how="inner")
-    exprs = []
-    if row_number:
-        exprs.append((row_number, (F.col("_lrn") + F.col("_off")).cast("long")))
-    for name in lags:
-        exprs.append((name, F.when(F.col("_lrn") == 1, F.col(f"_prev.{name}"))
-                      .otherwise(F.col(f"_lag_{name}"))))
-    for name in running_sums:
-        exprs.append((name, F.col(f"_rs_{name}") + F.coalesce(F.col(f"_cs_{name}"), F.lit(0))))
-    for name in running_max:
-        local_max, prior = F.col(f"_rm_{name}"), F.col(f"_cm_{name}")
-        exprs.append((name, F.greatest(local_max, prior)))
-    for name in last_position:
-        exprs.append((name, F.coalesce(F.col(f"_lp_{name}") + F.col("_off"),
-                                       F.col(f"_cl_{name}"))))
-    out = out.withColumns(dict(exprs))
-    produced = set(lags) | set(running_sums) | set(running_max) | set(last_position)
+        ws = Window.partitionBy(*[f"_key_{k}" for k in keys]).orderBy("_sseg")
+        before = ws.rowsBetween(Window.unboundedPreceding, -1)
+        summary = summary.withColumns({f"_cl_{n}": F.max(F.col(f"_lpmax_{n}") + F.col("_off")).over(before)
+                                       for n in last_position})
+
+    same = F.col(SEG) == F.col("_sseg")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    out = local.join(summary, same)
+    exprs = {}
     if row_number:
-        produced.add(row_number)
-    helper = [c for c in out.columns
-              if c not in df.columns and c not in produced]
-    return out.drop(*helper)
+        exprs[row_number] = F.col("_lrn") + F.col("_off")
+    if key_count:
+        exprs[key_count] = F.col("_all")
+    for n in lags:
+        exprs[n] = F.when(F.col("_lrn") == 1, F.col(f"_prev.{n}")).otherwise(F.col(f"_lag_{n}"))
+    for n in running_sums:
+        mine, prior = F.col(f"_rs_{n}"), F.col(f"_cs_{n}")
+        exprs[n] = F.coalesce(mine + prior, mine, prior)
+    for n in running_max:
+        exprs[n] = F.greatest(F.col(f"_rm_{n}"), F.col(f"_cm_{n}"))
+    for n in last_position:
+        exprs[n] = F.coalesce(F.col(f"_lp_{n}") + F.col("_off"), F.col(f"_cl_{n}"))
+    out = out.withColumns(exprs)
+    return out.drop(*[c for c in out.columns if c not in df.columns and c not in exprs])
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a parquet table in the shared checkpoint folder and
     read it back (one job; the lineage is cut at the written table).
 
-    Used between nested ordered scans: each scan reads its input in three
-    branches (statistics, window, summary), so an unmaterialised input would
-    be recomputed per branch and per nesting level.  The folder comes from
-    ``spark.checkpoint.dir`` (shared storage on a cluster), so a lost
-    executor does not lose the table.
+    The folder comes from ``spark.checkpoint.dir`` (shared storage on a
+    cluster), so a lost executor does not lose the table.
     """
-    import uuid
-
     from ..session import scratch_table_dir
     path = scratch_table_dir(df.sparkSession, f"stage-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
@@ -240,9 +160,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_id",
-                      per_segment: int | None = None,
-                      position: Column | None = None) -> DataFrame:
-    """Contiguous 1..n over the whole frame without a one-partition window."""
-    tagged = df.withColumn("_all", F.lit(0))
-    return ordered_scan(tagged, ["_all"], order, row_number=name,
-                        per_segment=per_segment, position=position).drop("_all")
+                      per_segment: int | None = None) -> DataFrame:
+    """Contiguous 1..n over the whole frame without a one-partition window:
+    only the summary (one row per segment) meets in one task."""
+    return ordered_scan(df, [], order, row_number=name, per_segment=per_segment)

@@ -23,10 +23,9 @@ def hash_rank_key(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def assign_ids(df: DataFrame, order: list[str], name: str = "process_id",
-               position: Column | None = None) -> DataFrame:
+def assign_ids(df: DataFrame, order: list[str], name: str = "process_id") -> DataFrame:
     """Contiguous 1..n in the given order, without a one-partition window."""
-    return global_row_number(df, order, name, position=position)
+    return global_row_number(df, order, name)
 
 
 def distinct_labels(df: DataFrame, label: str = "label") -> DataFrame:

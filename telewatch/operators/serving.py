@@ -127,12 +127,11 @@ def date_range(df: DataFrame, start: str | None = None, end: str | None = None,
 def paginate(df: DataFrame, page_size: int = PAGE_SIZE, key: str = "system_id") -> DataFrame:
     """Q7: page number, row within page, and page count for every row.
 
-    Positions come from the skew-safe ordered scan; pages = max(1, ceil(n / size)).
+    Positions and row counts come from the skew-safe ordered scan; pages =
+    max(1, ceil(n / size)).
     """
-    ranked = ordered_scan(df, [key], ["ts", "id"], row_number="_pos")
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return (ranked.join(counts, key)
-            .withColumn("page", F.ceil(F.col("_pos") / F.lit(page_size)).cast("long"))
+    ranked = ordered_scan(df, [key], ["ts", "id"], row_number="_pos", key_count="_n")
+    return (ranked.withColumn("page", F.ceil(F.col("_pos") / F.lit(page_size)).cast("long"))
             .withColumn("row_in_page", ((F.col("_pos") - 1) % F.lit(page_size) + 1).cast("long"))
             .withColumn("pages", page_count(F.col("_n"), page_size))
             .drop("_pos", "_n"))

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import risk as R
-from ..functions.timefn import epoch_micros
 from ..operators.ordered import materialize, ordered_scan
 from .tables import read_table, telemetry
 
@@ -153,8 +152,7 @@ def with_process_ids(training: DataFrame) -> DataFrame:
     from ..operators.prep import assign_ids
     rank = F.create_map(*[F.lit(x) for kv in LABEL_RANK.items() for x in kv])[F.col("label")]
     tagged = training.withColumn("_lr", rank.cast("long"))
-    pos = F.col("_lr") * F.lit(10 ** 16) + epoch_micros("ts")
-    return materialize(assign_ids(tagged, ["_lr", "ts", "id"], position=pos).drop("_lr"))
+    return materialize(assign_ids(tagged, ["_lr", "ts", "id"]).drop("_lr"))
 
 
 IDS_CTE = """ided AS (

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from telewatch.operators.alerts import cooldown_fires
-from telewatch.operators.ordered import ordered_scan, segment
+from telewatch.operators.ordered import SEG, ordered_scan, segments
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -16,7 +16,7 @@ def brute_force(rows, gaps, strict):
     """rows: (key, id, t_seconds, cls, candidate); gaps: per class seconds."""
     fired = set()
     last = {}
-    for key, rid, t, cls, cand in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+    for key, rid, t, cls, cand in sorted(rows, key=lambda r: (r[0] or '', r[2], r[1])):
         if not cand:
             continue
         g = gaps[cls]
@@ -38,6 +38,7 @@ def make_rows(seed):
             t += rng.choice([0, 1, 2, 3, 5, 8, 13, 40])
             rid += 1
             rows.append((key, rid, t, rng.randint(0, 1), rng.random() < 0.8))
+    rows += [(None, 100_000 + i, 3 * i, i % 2, True) for i in range(200)]     # the null key
     return rows
 
 
@@ -64,10 +65,8 @@ def test_hot_key_is_split_into_bounded_segments(spark):
     rows += [(f"k{j}", 10_000 + j * 10 + i, T0 + dt.timedelta(seconds=i))
              for j in range(50) for i in range(10)]
     df = spark.createDataFrame(rows, "system_id string, id long, ts timestamp_ntz")
-    seg = segment(df, ["system_id"], ["ts", "id"], per_segment=200)
-    sizes = seg.groupBy("system_id", "_seg").count()
-    hot = sizes.filter("system_id = 'hot'")
-    assert hot.count() >= 20
-    assert sizes.agg(F.max("count")).first()[0] <= 2 * 200
+    seg = segments(df, ["system_id"], ["ts", "id"], per_segment=200)
+    assert seg.filter("system_id = 'hot'").select(SEG).distinct().count() >= 20
+    assert seg.groupBy(SEG).count().agg(F.max("count")).first()[0] <= 2 * 200
     scanned = ordered_scan(df, ["system_id"], ["ts", "id"], per_segment=200, row_number="rn")
     assert scanned.filter("system_id = 'hot'").agg(F.max("rn")).first()[0] == 5000
