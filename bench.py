@@ -17,7 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from telewatch.plans.registry import entries  # noqa: E402
-from telewatch.session import build_session  # noqa: E402
+from telewatch.session import build_session, drop_scratch  # noqa: E402
 
 HEADLINE = [
     "q8_report_by_system",      # flagship: date range + per-system report
@@ -49,7 +49,9 @@ def main() -> None:
     def run(name: str) -> float:
         t0 = time.perf_counter()
         reg[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return round(time.perf_counter() - t0, 3)
+        took = round(time.perf_counter() - t0, 3)
+        drop_scratch(spark)
+        return took
 
     cold = {name: run(name) for name in names}
     times = {name: run(name) for name in names}

@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_table_dir
 from ..sources.tables import TELEMETRY_CTE, telemetry
-from ..streaming.live import TELEMETRY_STREAM_SCHEMA, start_alerts, start_live
+from ..streaming.live import TELEMETRY_STREAM_SCHEMA, run_to_end, start_alerts, start_live
 from .catalog import rnd
 from .catalog_alerts import (COOLDOWN_S, MOD_BAND, SCORED_CTE, STREAK, STREAK_CTE,
                              _rec, cooldown_sql)
 from .registry import register
 
 TICK_FILES = 4
-TIMEOUT_S = 1800
 
 
 def write_ticks(spark, sf_dir) -> str:
@@ -41,17 +40,11 @@ def write_ticks(spark, sf_dir) -> str:
     return path
 
 
-def _run(query) -> None:
-    query.awaitTermination(TIMEOUT_S)
-    if query.exception() is not None:
-        raise RuntimeError(str(query.exception()))
-
-
 def live_metrics(spark, sf_dir):
     base = scratch_table_dir(spark, f"live-{uuid.uuid4().hex}")
-    _run(start_live(spark, write_ticks(spark, sf_dir), os.path.join(base, "out"),
+    run_to_end(start_live(spark, write_ticks(spark, sf_dir), os.path.join(base, "out"),
                     os.path.join(base, "state"), max_files=1))
-    return spark.read.parquet(os.path.join(base, "out", "metrics")).drop("batch_id")
+    return spark.read.parquet(os.path.join(base, "out", "metrics")).drop("batch_id", "query_id")
 
 
 LIVE_SQL = "WITH " + TELEMETRY_CTE + f"""
@@ -67,7 +60,7 @@ register("t6_live_pipeline", "T6 S11 S9 C13", LIVE_SQL)(live_metrics)
 
 def live_log(spark, sf_dir):
     base = scratch_table_dir(spark, f"live-{uuid.uuid4().hex}")
-    _run(start_live(spark, write_ticks(spark, sf_dir), os.path.join(base, "out"),
+    run_to_end(start_live(spark, write_ticks(spark, sf_dir), os.path.join(base, "out"),
                     os.path.join(base, "state"), max_files=1))
     log = spark.read.option("header", True).csv(os.path.join(base, "out", "live_log"))
     return log.groupBy("top_cpu_process").agg(
@@ -88,7 +81,7 @@ register("s5_live_log", "S5 S12 T6", LOG_SQL)(live_log)
 
 def stream_alerts(spark, sf_dir):
     base = scratch_table_dir(spark, f"alerts-{uuid.uuid4().hex}")
-    _run(start_alerts(spark, write_ticks(spark, sf_dir), os.path.join(base, "out"),
+    run_to_end(start_alerts(spark, write_ticks(spark, sf_dir), os.path.join(base, "out"),
                       os.path.join(base, "state"), COOLDOWN_S, STREAK, max_files=1))
     return spark.read.parquet(os.path.join(base, "out"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -36,16 +37,16 @@ def build_session(master: str | None = None, app: str = "telewatch",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    return spark
+    return prepare(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when nothing is configured (local tests) is a private folder
-    created, so lineage cutting works the same way everywhere.
+    as is; without it nothing may be written, since every executor would write
+    to its own disk, so an error is raised.  Only in local mode (tests) is a
+    private folder created.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,13 +54,59 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="telewatch-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def scratch_table_dir(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint location for written tables."""
+def is_local(master: str) -> bool:
+    """One process runs everything (``local`` or ``local[n]``)."""
+    return master == "local" or master.startswith("local[")
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """What every job needs on its session: the shared folder, and this
+    package on the executors when they are other processes elsewhere."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers (once per application), so jobs
+    do not depend on the working folder or on an installed copy."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="telewatch-lib-")), "telewatch.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(target)
+
+
+def _scratch_root(spark: SparkSession) -> str:
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    return os.path.join(base, f"telewatch-{spark.sparkContext.applicationId}")
+
+
+def scratch_table_dir(spark: SparkSession, name: str) -> str:
+    """A folder of this application under the shared checkpoint location."""
+    return os.path.join(_scratch_root(spark), name)
+
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the written tables of this application (when no DataFrame that
+    reads them is needed any more)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)

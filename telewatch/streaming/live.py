@@ -70,7 +70,9 @@ def write_batch(out_dir: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         tag = F.lit(batch_id).alias("batch_id")
-        part = f"batch_id={batch_id}"
+        # batch ids start again with a new checkpoint: the query id keeps runs apart
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "query"
+        part = os.path.join(f"query_id={query}", f"batch_id={batch_id}")
         metric_rows(batch).select("*", tag).write.mode("overwrite").parquet(
             os.path.join(out_dir, "metrics", part))
         predictions(batch).select("*", tag).write.mode("overwrite").parquet(
@@ -96,6 +98,20 @@ def start_live(spark: SparkSession, source: str, out_dir: str, checkpoint: str,
     return writer.start()
 
 
+def run_to_end(query, timeout_s: float | None = None) -> None:
+    """Wait for an ``availableNow`` query to process all its input.
+
+    Its error is raised by the wait itself.  With a limit, a query that is not
+    done in time is stopped and an error raised: what its sinks hold by then is
+    part of the result and must not be read as the whole.
+    """
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream did not finish within {timeout_s} s")
+
+
 def start_alerts(spark: SparkSession, source: str, out_dir: str, checkpoint: str,
                  cooldown_s: float, streak_len: int, max_files: int | None = None):
     """Streaming T1 + T2 with keyed state, appended to parquet."""

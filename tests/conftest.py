@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from telewatch.session import build_session  # noqa: E402
+from telewatch.session import build_session, drop_scratch  # noqa: E402
 
 SF001 = "/root/testdata/sf0.001"
 
@@ -15,6 +15,7 @@ SF001 = "/root/testdata/sf0.001"
 def spark():
     s = build_session("local[4]", app="telewatch-tests", shuffle_partitions=8)
     yield s
+    drop_scratch(s)
     s.stop()
 
 

@@ -4,12 +4,14 @@ import glob
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from telewatch.functions import risk as R
 from telewatch.operators import alerts as A
 from telewatch.sources.tables import telemetry
-from telewatch.streaming.live import start_alerts, start_live
+from telewatch.streaming.live import run_to_end, start_alerts, start_live
 
 from .conftest import SF001
 
@@ -33,14 +35,14 @@ def test_live_pipeline_writes_all_sinks(spark):
     src = _tick_files(spark, base)
     q = start_live(spark, src + "/*.parquet", os.path.join(base, "out"),
                    os.path.join(base, "ckpt"), max_files=1)
-    q.awaitTermination(300)
+    run_to_end(q, 300)
     n = telemetry(spark, SF001).count()
     metrics = spark.read.parquet(os.path.join(base, "out", "metrics"))
     preds = spark.read.parquet(os.path.join(base, "out", "predictions"))
     assert metrics.count() == n and preds.count() == n
     assert metrics.select("batch_id").distinct().count() >= 2
     log = spark.read.option("header", True).csv(os.path.join(base, "out", "live_log"))
-    assert [c for c in log.columns if c != "batch_id"] == ["cpu", "memory", "disk", "risk", "process_count",
+    assert [c for c in log.columns if c not in ("batch_id", "query_id")] == ["cpu", "memory", "disk", "risk", "process_count",
                            "memory_available_mb", "timestamp", "top_cpu_process",
                            "top_mem_process"]
 
@@ -50,7 +52,7 @@ def test_stateful_alerts_equal_batch(spark):
     src = _tick_files(spark, base)
     q = start_alerts(spark, src + "/*.parquet", os.path.join(base, "alerts"),
                      os.path.join(base, "ckpt"), cooldown_s=86400, streak_len=3, max_files=1)
-    q.awaitTermination(300)
+    run_to_end(q, 300)
     got = spark.read.parquet(os.path.join(base, "alerts"))
     scored = telemetry(spark, SF001).withColumn("risk_score", R.risk_score())
     t1 = {r["id"] for r in A.moderate_cooldown(scored, 86400).collect()}
@@ -69,14 +71,29 @@ def test_alert_state_survives_restart(spark):
     out, ckpt = os.path.join(base, "alerts"), os.path.join(base, "ckpt")
     for f in files[:2]:
         os.link(f, os.path.join(live, os.path.basename(f)))
-    start_alerts(spark, live, out, ckpt, cooldown_s=86400, streak_len=3,
-                 max_files=1).awaitTermination(300)
+    run_to_end(start_alerts(spark, live, out, ckpt, cooldown_s=86400, streak_len=3, max_files=1), 300)
     for f in files[2:]:
         os.link(f, os.path.join(live, os.path.basename(f)))
-    start_alerts(spark, live, out, ckpt, cooldown_s=86400, streak_len=3,
-                 max_files=1).awaitTermination(300)
+    run_to_end(start_alerts(spark, live, out, ckpt, cooldown_s=86400, streak_len=3, max_files=1), 300)
     got = spark.read.parquet(out)
     scored = telemetry(spark, SF001).withColumn("risk_score", R.risk_score())
     t1 = {r["id"] for r in A.moderate_cooldown(scored, 86400).collect()}
     assert {r["id"] for r in got.filter("alert_type = 'MODERATE'").collect()} == t1
     assert got.count() == got.select("id", "alert_type").distinct().count()
+
+
+def test_a_stream_that_is_not_done_in_time_raises(spark):
+    base = tempfile.mkdtemp(prefix="telewatch-stream-")
+    src = _tick_files(spark, base)
+    q = start_live(spark, src + "/*.parquet", os.path.join(base, "out"), os.path.join(base, "ckpt"), max_files=1)
+    with pytest.raises(TimeoutError):
+        run_to_end(q, 0.01)
+    assert not q.isActive
+
+
+def test_a_fresh_checkpoint_keeps_earlier_output(spark):
+    base = tempfile.mkdtemp(prefix="telewatch-stream-")
+    src = _tick_files(spark, base)
+    for n in range(2):
+        run_to_end(start_live(spark, src + "/*.parquet", os.path.join(base, "out"), os.path.join(base, f"ckpt{n}")), 300)
+    assert spark.read.parquet(os.path.join(base, "out", "metrics")).count() == 2 * telemetry(spark, SF001).count()
