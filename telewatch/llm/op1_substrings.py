@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, stage, table, window_hashes, word_hashes
+from .common import arrow_batches, mix, stage, table, window_hashes, word_hashes
 
 MIN_WORDS = 50
 BASE_FLOOR = 12             # no level is shorter than this
-FLUSH = 1_000_000           # entries gathered by a task before it deals them out
-PER_BUCKET = 400_000        # entries aimed at per bucket
+FLUSH = 200_000             # entries gathered by a task before it deals them out
+PER_BUCKET = 150_000        # entries aimed at per bucket
 CHUNK = 1 << 20             # base windows compared at once in a very long text
 
 NORMAL, WITNESS, KNOWN = 0, 1, 2
@@ -113,6 +113,21 @@ def _local(e: dict, how: str, length: int) -> dict:
     return _concat([{**e, "kind": kind, "level": level}, lead])
 
 
+def _pack(e: dict, key, how: str, buckets: int) -> pa.RecordBatch:
+    """One row per bucket of ``key``, with its entries as packed arrays."""
+    bucket = (key >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    return pa.RecordBatch.from_arrays(
+        [pa.array([int(bucket[p[0]]) for p in parts], pa.int64()),
+         pa.array([b"".join(e[f][p].tobytes() for f in FIELDS[how]) for p in parts], pa.binary())],
+        names=["bucket", "payload"])
+
+
+def _document_key(e: dict):
+    return mix(e["doc"].view("<u8"))
+
+
 def _deal(e: dict, how: str, buckets: int, length: int) -> Iterator[pa.RecordBatch]:
     """Pack entries by bucket: by hash, or by document when nothing is open."""
     if len(e["doc"]) == 0:
@@ -122,17 +137,7 @@ def _deal(e: dict, how: str, buckets: int, length: int) -> Iterator[pa.RecordBat
     if len(open_part["doc"]):
         open_part = _local(open_part, how, length)
     e = _concat([open_part, known])
-    key = np.where(e["kind"] == KNOWN, (e["doc"].view("<u8") * np.uint64(0x9E3779B97F4A7C15))
-                   ^ e["pos"].astype("<u8"), e["h"])
-    bucket = (key >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.diff(bucket[order])) + 1
-    numbers, payloads = [], []
-    for part in np.split(order, cut):
-        numbers.append(int(bucket[part[0]]))
-        payloads.append(b"".join(e[f][part].tobytes() for f in FIELDS[how]))
-    yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(payloads, pa.binary())],
-                                     names=["bucket", "payload"])
+    yield _pack(e, np.where(e["kind"] == KNOWN, _document_key(e), e["h"]), how, buckets)
 
 
 def _unpack(payload: bytes, how: str) -> dict:
@@ -187,7 +192,8 @@ def _by_document(e: dict, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
 
 def _exchange(rows: DataFrame, entries, how: str, buckets: int, length: int = 0,
               out: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """Deal the entries of ``rows`` into buckets, settle each, regroup by document."""
+    """Deal the entries of ``rows`` into buckets by hash, settle each, then deal
+    what survives by document: one row per document."""
 
     def scatter(batches):
         held, n = [], 0
@@ -202,15 +208,18 @@ def _exchange(rows: DataFrame, entries, how: str, buckets: int, length: int = 0,
             yield from _deal(_concat(held), how, buckets, length)
 
     def gather(t: pa.Table) -> pa.Table:
-        parts = [_unpack(p.as_py(), how) for p in t.column("payload")]
-        e = _settle(parts, how, length)
-        batches = list(_by_document(e, out))
+        e = _settle([_unpack(p.as_py(), how) for p in t.column("payload")], how, length)
+        return pa.Table.from_batches([_pack(e, _document_key(e), how, buckets)])
+
+    def collect(t: pa.Table) -> pa.Table:
+        e = _concat([_unpack(p.as_py(), how) for p in t.column("payload")])
         schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), *((f, pa.binary()) for f in out)])
-        return pa.Table.from_batches([b.cast(schema) for b in batches], schema)
+        return pa.Table.from_batches([b.cast(schema) for b in _by_document(e, out)], schema)
 
-    dealt = rows.mapInArrow(scatter, "bucket long, payload binary")
-    return dealt.groupBy("bucket").applyInArrow(
-        gather, "doc_id long, rk long, " + ", ".join(f"{f} binary" for f in out))
+    packed = "bucket long, payload binary"
+    return (rows.mapInArrow(scatter, packed).groupBy("bucket").applyInArrow(gather, packed)
+            .groupBy("bucket").applyInArrow(
+                collect, "doc_id long, rk long, " + ", ".join(f"{f} binary" for f in out)))
 
 
 def _words(text) -> list:
@@ -278,7 +287,8 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, with_text: boo
     # whole copies: a smaller id with the same text
     sums = named.where(F.length("text") >= 2 * min_words - 1).select(
         "doc_id", F.unhex(F.md5("text")).alias("sum"), F.crc32("text").alias("rk"))
-    lead = sums.groupBy("sum").agg(F.min("doc_id").alias("lead"))
+    # written, so that the join can split the rows of a hot sum
+    lead = stage(sums.groupBy("sum").agg(F.min("doc_id").alias("lead")))
     copies = (sums.join(lead, "sum").where(F.col("doc_id") > F.col("lead"))
               .select("doc_id", "rk").distinct())
 
