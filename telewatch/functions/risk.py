@@ -182,11 +182,10 @@ def warning_flag(pct="risk_pct", t: Thresholds = DEFAULT) -> Column:
 
 def models_json(vote_col="vote", model="xgboost") -> Column:
     """Vote map as JSON text."""
-    return F.concat(F.lit('{"%s": ' % model), _c(vote_col).cast("string"), F.lit("}"))
+    return F.to_json(F.create_map(F.lit(model), _c(vote_col).cast("int")))
 
 
 def probabilities_json(risk="risk_score", model="xgboost") -> Column:
-    """Probability map as JSON text (3 decimals)."""
+    """Probability map as JSON text, at full precision."""
     r = _c(risk)
-    return F.concat(F.lit('{"%s": ' % model), F.format_string("%.3f", r),
-                    F.lit(', "normal": '), F.format_string("%.3f", F.lit(1.0) - r), F.lit("}"))
+    return F.to_json(F.create_map(F.lit(model), r, F.lit("normal"), F.lit(1.0) - r))

@@ -8,7 +8,7 @@ so a label holding a third of the data is still ranked by many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import global_row_number, ordered_scan
@@ -71,12 +71,16 @@ def balance(df: DataFrame, n: int = TARGET_PER_CLASS, seed: int = SEED,
 
 
 def audit(df: DataFrame, label: str = "label", file_col: str | None = "source_file",
-          id_col: str = "process_id") -> DataFrame:
-    """Rows per file and label, with totals and the id range."""
+          id_col: str = "process_id", columns: list[str] | None = None) -> DataFrame:
+    """Rows per file and label with the id range, the total number of rows
+    and the column list (one row per file and label)."""
     keys = [file_col, label] if file_col else [label]
-    return df.groupBy(*keys).agg(
+    per = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.min(id_col).alias("min_id"), F.max(id_col).alias("max_id"))
+    names = columns if columns is not None else df.columns
+    total = F.sum("rows").over(Window.partitionBy())        # over the report, not the data
+    return per.select("*", total.alias("total_rows"), F.array(*[F.lit(c) for c in names]).alias("columns"))
 
 
 def stratified_split(df: DataFrame, train_fraction: float = 0.8, seed: int = SEED,

@@ -47,6 +47,34 @@ def predictions(metrics: DataFrame, t: R.Thresholds = R.DEFAULT) -> DataFrame:
     )
 
 
+def rule_prediction(metrics: DataFrame, systems: DataFrame | None = None,
+                    t: R.Thresholds = R.DEFAULT) -> DataFrame:
+    """R5 (no model): the prediction served for the latest metric of each system.
+
+    Risk has 3 digits, the class probabilities are 0 and the confidence is 0.
+    ``systems`` lists the systems to report; one without any metric gets the
+    no-data row (risk 0, NORMAL / NONE / INFO, no votes, empty maps).
+    """
+    latest = latest_per_system(stamp_system(metrics), ["id", "ts", "cpu_percent", "memory_percent"])
+    if systems is not None:
+        latest = systems.select("system_id").distinct().join(latest, "system_id", "left")
+    risk, data = R.risk_score(), F.col("id").isNotNull()
+    level = R.stored_level(risk, t)
+    zero = F.lit(0.0)
+    return latest.select(
+        "system_id", F.col("ts").alias("metric_ts"),
+        F.when(data, F.round(risk, 3)).otherwise(zero).alias("risk_score"),
+        F.when(data, level).otherwise("NORMAL").alias("risk_level"),
+        zero.alias("confidence"), F.when(data, 1).otherwise(0).alias("votes"),
+        F.when(data, R.stored_fault(risk, t)).otherwise("NONE").alias("fault_type"),
+        F.when(data, R.severity(level)).otherwise("INFO").alias("severity_level"),
+        F.lit("NORMAL").alias("pem_status"), F.lit("NORMAL").alias("md_status"),
+        F.when(data, F.create_map(F.lit("xgboost"), R.vote(risk, t).cast("int")))
+        .otherwise(F.create_map().cast("map<string,int>")).alias("models"),
+        F.when(data, F.create_map(F.lit("normal"), zero, F.lit("moderate"), zero, F.lit("high"), zero))
+        .otherwise(F.create_map().cast("map<string,double>")).alias("probabilities"))
+
+
 def stamp_system(df: DataFrame, default: str = DEFAULT_SYSTEM) -> DataFrame:
     """Every row carries a system id; missing ones get the default."""
     return df.withColumn("system_id", F.coalesce(F.col("system_id"), F.lit(default)))
@@ -247,6 +275,14 @@ def validate_requests(raw: DataFrame, fields: list[tuple[str, str]]) -> DataFram
         "accepted", F.size("missing") == 0)
 
 
+def request_metrics(validated: DataFrame) -> DataFrame:
+    """S9 by request: accepted requests as metric rows, stored as sent (not rounded)."""
+    rows = validated.filter("accepted")
+    if "system_id" not in rows.columns:
+        rows = rows.withColumn("system_id", F.lit(None).cast("string"))
+    return stamp_system(rows).drop("accepted", "missing")
+
+
 def panel(metrics: DataFrame, predictions_df: DataFrame) -> DataFrame:
     """Q15: latest prediction x latest metric x latest status, per system."""
     lm = latest_per_system(metrics, ["id", "ts", "cpu_percent", "memory_percent",

@@ -151,8 +151,12 @@ register("r16_risk_contribution", "R16 Q1", CONTRIB_SQL)(risk_contribution)
 
 
 def prediction_rows(spark, sf_dir):
-    """The stored predictions table in rule mode."""
-    return Q.predictions(telemetry(spark, sf_dir))
+    """The stored predictions table in rule mode; the probability
+    text is read back at full precision."""
+    p = Q.predictions(telemetry(spark, sf_dir))
+    probs = F.from_json("probabilities_json", "map<string,double>")
+    return p.select("*", probs["xgboost"].alias("p_xgboost"), probs["normal"].alias("p_normal")) \
+        .drop("probabilities_json")
 
 
 PRED_SQL = _with(TELEMETRY_CTE, """r AS (
@@ -163,34 +167,74 @@ SELECT system_id, id, ts, risk_score,
        0.95 AS confidence, 1 AS votes,
        CASE WHEN risk_score > 0.6 THEN 'CPU' ELSE 'NONE' END AS fault_type,
        'INFO' AS severity_level, 'NORMAL' AS pem_status, 'NORMAL' AS md_status,
-       '{"xgboost": ' || CASE WHEN risk_score > 0.6 THEN '1' ELSE '0' END || '}' AS models_json,
-       '{"xgboost": ' || printf('%.3f', risk_score) || ', "normal": '
-         || printf('%.3f', 1.0 - risk_score) || '}' AS probabilities_json
+       '{"xgboost":' || CASE WHEN risk_score > 0.6 THEN '1' ELSE '0' END || '}' AS models_json,
+       risk_score AS p_xgboost, 1.0 - risk_score AS p_normal
 FROM r"""
 
 register("s10_predictions_table", "S10 R1 R3 R7 L4", PRED_SQL)(prediction_rows)
 
 
 def vote_table(spark, sf_dir):
-    """One row per model vote of every stored prediction."""
+    """One row per model vote; one model has a probability, one only its
+    published F1, one neither."""
     from ..operators.classify import vote_table as vt
-    return vt(Q.predictions(telemetry(spark, sf_dir)))
+    t = telemetry(spark, sf_dir).withColumn("risk_score", R.risk_score())
+    votes = F.create_map(F.lit("xgboost"), R.vote(F.col("risk_score")).cast("int"),
+                         F.lit("random forest"), (F.col("cpu_percent") > 80).cast("int"),
+                         F.lit("site rule"), (F.col("memory_percent") > 90).cast("int"))
+    return vt(t.select("system_id", "id", R.stored_fault(F.col("risk_score")).alias("fault_type"),
+                       F.to_json(votes).alias("models_json"),
+                       R.probabilities_json(F.col("risk_score")).alias("probabilities_json")))
 
 
 VOTE_SQL = _with(TELEMETRY_CTE, """r AS (
-  SELECT system_id, id, (cpu_percent * 0.4 + memory_percent * 0.6) / 100.0 AS risk_score
-  FROM telemetry)""") + """
-SELECT system_id, id, 'xgboost' AS model,
-       CASE WHEN risk_score > 0.6 THEN 'Anomaly' ELSE 'Normal' END AS vote_label,
-       printf('%.2f', CAST(printf('%.3f', risk_score) AS DOUBLE) * 100.0) || '%' AS score,
-       CASE WHEN risk_score > 0.6 THEN 'High CPU anomaly detected'
-            ELSE 'Normal operating pattern' END AS reason,
-       CASE WHEN risk_score > 0.6 THEN 1 ELSE 0 END AS anomaly_count
-FROM r"""
+  SELECT system_id, id, (cpu_percent * 0.4 + memory_percent * 0.6) / 100.0 AS risk_score,
+         CASE WHEN cpu_percent > 80 THEN 1 ELSE 0 END AS rf,
+         CASE WHEN memory_percent > 90 THEN 1 ELSE 0 END AS site
+  FROM telemetry)""", f"""v AS (
+  SELECT system_id, id, risk_score, 'xgboost' AS model, CASE WHEN risk_score > 0.6 THEN 1 ELSE 0 END AS vote,
+         printf('%.2f', {rnd("risk_score * 100.0", 2)}) || '%' AS score, rf, site FROM r
+  UNION ALL SELECT system_id, id, risk_score, 'random forest', rf, '98.62%', rf, site FROM r
+  UNION ALL SELECT system_id, id, risk_score, 'site rule', site, 'N/A', rf, site FROM r)""") + """
+SELECT system_id, id, model, CASE WHEN vote = 1 THEN 'Anomaly' ELSE 'Normal' END AS vote_label, score,
+       CASE WHEN vote = 1 THEN 'High ' || CASE WHEN risk_score > 0.6 THEN 'CPU' ELSE 'NONE' END
+            || ' anomaly detected' ELSE 'Normal operating pattern' END AS reason,
+       CASE WHEN risk_score > 0.6 THEN 1 ELSE 0 END + rf + site AS anomaly_count
+FROM v"""
 
 register("r19_vote_table", "R19 R7 L17", VOTE_SQL)(vote_table)
 
 
+def served_prediction(spark, sf_dir):
+    """R5 without a model, over the device registry: systems without any metric
+    get the no-data row."""
+    from ..sources.tables import read_table
+    systems = read_table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("SYSTEM-"), F.col("c_custkey").cast("string")).alias("system_id"))
+    out = Q.rule_prediction(telemetry(spark, sf_dir), systems)
+    return out.select("*", F.to_json("models").alias("models_json"),
+                      F.get(F.map_values("probabilities"), F.lit(0)).alias("p_first")) \
+        .drop("models", "probabilities")
+
+
+SERVED_SQL = _with(TELEMETRY_CTE, """l AS (
+  SELECT *, (cpu_percent * 0.4 + memory_percent * 0.6) / 100.0 AS risk FROM telemetry
+  QUALIFY row_number() OVER (PARTITION BY system_id ORDER BY ts DESC, id DESC) = 1)""",
+                   """s AS (SELECT DISTINCT 'SYSTEM-' || CAST(c_custkey AS VARCHAR) AS system_id
+  FROM customer)""") + f"""
+SELECT s.system_id, l.ts AS metric_ts, coalesce({rnd("risk", 3)}, 0.0) AS risk_score,
+       CASE WHEN risk > 0.6 THEN 'HIGH' ELSE 'NORMAL' END AS risk_level, 0.0::DOUBLE AS confidence,
+       CASE WHEN l.id IS NULL THEN 0 ELSE 1 END AS votes,
+       CASE WHEN risk > 0.6 THEN 'CPU' ELSE 'NONE' END AS fault_type,
+       CASE WHEN risk > 0.6 THEN 'WARNING' ELSE 'INFO' END AS severity_level,
+       'NORMAL' AS pem_status, 'NORMAL' AS md_status,
+       CASE WHEN l.id IS NULL THEN '{{}}' WHEN risk > 0.6 THEN '{{"xgboost":1}}' ELSE '{{"xgboost":0}}' END AS models_json,
+       CASE WHEN l.id IS NULL THEN NULL ELSE 0.0::DOUBLE END AS p_first
+FROM s LEFT JOIN l ON s.system_id = l.system_id"""
+
+register("r5_rule_prediction", "R5 R6 R7 R20 Q1", SERVED_SQL)(served_prediction)
+
+
 def latest_status(spark, sf_dir):
     """Q2 + R20 over the device registry (every customer is a system)."""
     from ..sources.tables import read_table
@@ -370,50 +414,75 @@ FROM telemetry"""
 register("q13_feature_defaults", "Q13", DEFAULTS_SQL)(feature_defaults)
 
 
-def ingest_validation(spark, sf_dir):
-    """Q14: requests carried as text (event value and props) parsed and split."""
+def _requests(spark, sf_dir):
+    """Requests as text: some lack the available memory, some carry a process
+    count that is not an integer, the others are complete."""
     from ..sources.tables import read_table
     from ..schemas import METRIC_REQUEST_FIELDS
     ev = read_table(spark, sf_dir, "events")
     raw = ev.select(
-        F.col("event_id").alias("id"),
+        F.col("event_id").alias("id"), "ts",
         F.col("value").cast("string").alias("cpu_percent"),
         F.get_json_object("props", "$.k").alias("memory_percent"),
-        F.get_json_object("props", "$.m").alias("memory_available_mb"),
+        F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 4096).cast("string")).alias("memory_available_mb"),
         F.col("value").cast("string").alias("disk_write_mbps"),
-        F.col("value").cast("string").alias("process_count"),
+        F.when(F.col("event_id") % 7 != 0, F.floor("value").cast("string"))
+        .otherwise(F.concat(F.floor("value").cast("string"), F.lit(" running"))).alias("process_count"),
     )
-    fields = [(n, t.simpleString()) for n, t in METRIC_REQUEST_FIELDS]
-    out = Q.validate_requests(raw, fields)
-    return out.select("id", "cpu_percent", "memory_percent", "memory_available_mb",
-                      "disk_write_mbps", "process_count", "accepted",
-                      F.array_join("missing", ",").alias("missing"))
+    return Q.validate_requests(raw, [(n, t.simpleString()) for n, t in METRIC_REQUEST_FIELDS])
 
 
-INGEST_SQL = """
-WITH raw AS (
-  SELECT event_id AS id, CAST(value AS VARCHAR) AS v,
-         json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.m') AS m
+def ingest_validation(spark, sf_dir):
+    """Q14: requests carried as text, parsed and split."""
+    return _requests(spark, sf_dir).select(
+        "id", "cpu_percent", "memory_percent", "memory_available_mb", "disk_write_mbps",
+        "process_count", "accepted", F.array_join("missing", ",").alias("missing"))
+
+
+REQUESTS_CTE = """t AS (
+  SELECT event_id AS id, ts, value AS cpu_percent,
+         TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS memory_percent,
+         CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 4096 AS DOUBLE) END AS memory_available_mb,
+         value AS disk_write_mbps,
+         CASE WHEN event_id % 7 <> 0 THEN CAST(floor(value) AS INTEGER) END AS process_count
   FROM events),
-t AS (
-  SELECT id, TRY_CAST(v AS DOUBLE) AS cpu_percent, TRY_CAST(k AS DOUBLE) AS memory_percent,
-         TRY_CAST(m AS DOUBLE) AS memory_available_mb, TRY_CAST(v AS DOUBLE) AS disk_write_mbps,
-         CASE WHEN regexp_full_match(v, '\\s*[+-]?[0-9]+\\s*') THEN TRY_CAST(v AS INTEGER) END
-           AS process_count
-  FROM raw)
-SELECT *, (cpu_percent IS NOT NULL AND memory_percent IS NOT NULL
-           AND memory_available_mb IS NOT NULL AND disk_write_mbps IS NOT NULL
-           AND process_count IS NOT NULL) AS accepted,
+checked AS (
+  SELECT *, (cpu_percent IS NOT NULL AND memory_percent IS NOT NULL
+             AND memory_available_mb IS NOT NULL AND disk_write_mbps IS NOT NULL
+             AND process_count IS NOT NULL) AS accepted
+  FROM t)"""
+
+INGEST_SQL = _with(REQUESTS_CTE) + """
+SELECT * EXCLUDE (ts),
        concat_ws(',', CASE WHEN cpu_percent IS NULL THEN 'cpu_percent' END,
                  CASE WHEN memory_percent IS NULL THEN 'memory_percent' END,
                  CASE WHEN memory_available_mb IS NULL THEN 'memory_available_mb' END,
                  CASE WHEN disk_write_mbps IS NULL THEN 'disk_write_mbps' END,
                  CASE WHEN process_count IS NULL THEN 'process_count' END) AS missing
-FROM t"""
+FROM checked"""
 
 register("q14_ingest_validation", "Q14", INGEST_SQL)(ingest_validation)
 
 
+def request_append(spark, sf_dir):
+    """S9 by request: accepted requests appended to the metrics table as sent."""
+    import uuid
+
+    from ..session import scratch_table_dir
+    from ..sources.sinks import write_table
+    path = scratch_table_dir(spark, f"metrics-{uuid.uuid4().hex}")
+    write_table(Q.request_metrics(_requests(spark, sf_dir)), path)
+    return spark.read.parquet(path)
+
+
+APPEND_SQL = _with(REQUESTS_CTE) + """
+SELECT id, ts, cpu_percent, memory_percent, memory_available_mb, disk_write_mbps, process_count,
+       'SYSTEM-01' AS system_id
+FROM checked WHERE accepted"""
+
+register("s9_request_append", "S9 Q14 C13", APPEND_SQL)(request_append)
+
+
 def status_panel(spark, sf_dir):
     m = telemetry(spark, sf_dir)
     return Q.panel(m, Q.predictions(m))

@@ -73,7 +73,18 @@ def rejected_files(spark, sf_dir):
                            F.array_join("missing", ",").alias("missing")).distinct()
 
 
-register("d2_rejected_files", "D2 S1")(rejected_files)
+_HEADERS = ", ".join(f"('{folder}', '{c}')" for folder, cols in
+                     [*((f, ["ts", *FEATURES]) for f in FOLDER_OF_LABEL.values()),
+                      ("high", [c for c in ["ts", *FEATURES] if c != "process_count"])] for c in cols)
+REJECTED_SQL = f"""
+WITH headers(folder, col) AS (VALUES {_HEADERS}),
+required(col) AS (VALUES {", ".join(f"('{c}')" for c in FEATURES)})
+SELECT folder, string_agg(r.col, ',') AS missing
+FROM (SELECT DISTINCT folder FROM headers) f, required r
+WHERE NOT EXISTS (SELECT 1 FROM headers h WHERE h.folder = f.folder AND h.col = r.col)
+GROUP BY folder"""
+
+register("d2_rejected_files", "D2 S1", REJECTED_SQL)(rejected_files)
 
 
 def process_ids(spark, sf_dir):
@@ -87,15 +98,23 @@ register("d5_process_ids", "D5 D3 D4", IDS_SQL)(process_ids)
 
 
 def audit(spark, sf_dir):
-    t = RD.with_process_ids(RD.training_rows(spark, sf_dir))
-    return P.audit(t, file_col=None)
-
-
-AUDIT_SQL = _sql(TELEMETRY_CTE, RD.TRAINING_CTE, RD.IDS_CTE) + """
-SELECT label, count(*) AS rows, min(process_id) AS min_id, max(process_id) AS max_id
+    """D8 over the scanned files: ids run along label, path and row; files per
+    label are summed, since part file names are random."""
+    rows, _ = read_labelled(spark, write_labelled_folders(spark, sf_dir))
+    rank = F.create_map(*[F.lit(x) for kv in RD.LABEL_RANK.items() for x in kv])[F.col("label")]
+    ided = materialize(P.assign_ids(rows.withColumn("_rank", rank), ["_rank", "source_file", "_block", "_row"]))
+    per_file = P.audit(ided, columns=[*FEATURES, "label"])
+    return per_file.groupBy("label").agg(
+        F.sum("rows").alias("rows"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"),
+        F.max("total_rows").alias("total_rows"), F.max(F.array_join("columns", ",")).alias("columns"))
+
+
+AUDIT_SQL = _sql(TELEMETRY_CTE, RD.TRAINING_CTE, RD.IDS_CTE) + f"""
+SELECT label, count(*) AS rows, min(process_id) AS min_id, max(process_id) AS max_id,
+       (SELECT count(*) FROM ided) AS total_rows, '{",".join([*FEATURES, "label"])}' AS columns
 FROM ided GROUP BY label"""
 
-register("d8_dataset_audit", "D8 D5", AUDIT_SQL)(audit)
+register("d8_dataset_audit", "D8 D5 S1", AUDIT_SQL)(audit)
 
 
 def distinct_labels(spark, sf_dir):

@@ -1,20 +1,22 @@
 """CSV sources (S1-S4) and the per-file schema guard.
 
-Files are never schema-inferred.  The header line of every file is read as
-text (``_metadata.file_path`` names its file); files missing a required
-column are reported and left out, and the remaining files are read by
-header name, so column order may differ between files.
+Files are never schema-inferred and columns are never taken by position: the
+first line of every file names its columns, which may differ in order and
+number between files.  Lines are read by Spark's text source (any file system
+it can reach), the first line of each file is a small aggregate per file, and
+the fields of a line are looked up through the header of its own file.  No
+file list comes to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import FEATURES, LABEL_FOLDERS, MODERATE, TELEMETRY
+from ..schemas import CALIBRATION, FEATURES, LABEL_FOLDERS, MODERATE, TELEMETRY
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -24,62 +26,54 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _first_lines(batches):
-    """mapInPandas body: read only the first line of each listed file."""
-    import pandas as pd
-    from pyarrow import fs as pafs
-
-    for pdf in batches:
-        heads = []
-        for uri in pdf["file"]:
-            filesystem, path = pafs.FileSystem.from_uri(uri)
-            with filesystem.open_input_stream(path) as stream:
-                chunk = b""
-                while b"\n" not in chunk:
-                    block = stream.read(1 << 16)
-                    if not block:
-                        break
-                    chunk += block
-            heads.append(chunk.split(b"\n", 1)[0].decode("utf-8", "replace").rstrip("\r"))
-        yield pd.DataFrame({"file": pdf["file"], "header": heads})
-
-
-def headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One row per CSV file: its path and header columns.
-
-    Only the first line of each file is read: the file list comes from
-    Spark's own listing and the files are opened by the executors, so the
-    guard costs one small read per file instead of a scan of the data.
-    """
-    files = (spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
-             .text(list(paths)).inputFiles())
-    listing = spark.createDataFrame([(f,) for f in sorted(files)], "file string")
-    n = max(1, min(len(files), spark.sparkContext.defaultParallelism * 4))
-    heads = listing.repartition(n).mapInPandas(_first_lines, "file string, header string")
-    return heads.select(
-        "file", F.transform(F.split("header", ","), lambda c: F.trim(c)).alias("columns"))
+def _lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """``line`` with its place: file, block of the file, position in the block."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    raw = (spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(paths))
+    return raw.select(F.rtrim(F.col("value"), F.lit("\r")).alias("line"),
+                      F.col("_metadata.file_path").alias("source_file"),
+                      F.col("_metadata.file_block_start").alias("_block"),
+                      F.monotonically_increasing_id().alias("_row"))
 
 
-def schema_guard(spark: SparkSession, paths: Sequence[str],
+def headers(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """One row per CSV file that has a line: its path, its header columns and
+    the place of the header (one partial aggregate over the lines)."""
+    first = F.min(F.struct("_block", "_row", "line")).alias("first")
+    return _lines(spark, paths).groupBy("source_file").agg(first).select(
+        F.col("source_file").alias("file"),
+        F.transform(F.split("first.line", ","), lambda c: F.trim(c, F.lit(' "'))).alias("columns"),
+        F.col("first._block").alias("head_block"), F.col("first._row").alias("head_row"))
+
+
+def schema_guard(spark: SparkSession, paths: Sequence[str] | str,
                  required: Sequence[str] = FEATURES) -> DataFrame:
     """Per file, the required columns it lacks (empty array = accepted)."""
     req = F.array(*[F.lit(c) for c in required])
-    return headers(spark, paths).select("file", "columns",
-                                        F.array_except(req, F.col("columns")).alias("missing"))
-
-
-def read_csv_by_header(spark: SparkSession, files: Iterable[str], schema: T.StructType,
-                       columns: Sequence[str]) -> DataFrame:
-    """Read CSV files whose header lists ``columns`` (in that order) and type
-    them with ``schema`` by name."""
-    string_schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    raw = (spark.read.schema(string_schema).option("header", True).option("mode", "PERMISSIVE")
-           .csv(list(files)))
-    wanted = [f for f in schema.fields if f.name in columns]
-    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted],
-                      F.col("_metadata.file_path").alias("source_file"),
-                      F.col("_metadata.file_block_start").alias("_block"),
-                      F.monotonically_increasing_id().alias("_row"))
+    return headers(spark, paths).select("*", F.array_except(req, F.col("columns")).alias("missing"))
+
+
+def read_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: T.StructType,
+                 guard: DataFrame | None = None) -> DataFrame:
+    """Rows of CSV files typed by ``schema`` by column name.
+
+    A column that a file lacks, and a value that does not parse, is null; other
+    columns of a file are ignored.  ``guard`` limits the read to its files.
+    Adds ``source_file``, ``_block`` and ``_row``: the order of the rows in a
+    file.  Quoted fields are understood, quoted line breaks are not.
+    """
+    known = (headers(spark, paths) if guard is None else guard).select(
+        F.col("file").alias("source_file"), "columns", "head_block", "head_row")
+    width = known.agg(F.max(F.size("columns"))).first()[0] or 1
+    names = [f"c{i}" for i in range(width)]
+    fields = F.from_csv("line", ", ".join(f"{n} string" for n in names))
+    rows = (_lines(spark, paths).join(known, "source_file")
+            .where((F.col("_block") != F.col("head_block")) | (F.col("_row") != F.col("head_row")))
+            .where(F.trim("line") != "").withColumn("_f", fields)
+            .withColumn("_v", F.array(*[F.col(f"_f.{n}") for n in names])))
+    return rows.select(
+        *[F.get("_v", F.array_position("columns", f.name).cast("int") - 1).try_cast(f.dataType).alias(f.name)
+          for f in schema.fields], "source_file", "_block", "_row")
 
 
 def read_labelled(spark: SparkSession, base: str, folders: dict[str, str] = LABEL_FOLDERS,
@@ -88,9 +82,8 @@ def read_labelled(spark: SparkSession, base: str, folders: dict[str, str] = LABE
     """S1 + D1-D4: labelled-folder scan.
 
     Returns ``(rows, rejected)``: the feature rows of every accepted file with
-    ``label`` and ``source_file``; and ``(file, missing)`` for skipped files.
-    Missing folders are skipped.  Distinct header layouts are few (one per
-    writer version), so files are read once per layout and unioned by name.
+    ``label``, ``source_file`` and their place (``_block``, ``_row``); and
+    ``(file, missing)`` for skipped files.  Missing folders are skipped.
     """
     present = [f"{base.rstrip('/')}/{folder}" for folder in folders
                if _exists(spark, f"{base.rstrip('/')}/{folder}")]
@@ -98,48 +91,29 @@ def read_labelled(spark: SparkSession, base: str, folders: dict[str, str] = LABE
         raise FileNotFoundError(f"no labelled folders under {base}")
     guard = schema_guard(spark, present, required)
     rejected = guard.filter(F.size("missing") > 0).select("file", "missing")
-    accepted = guard.filter(F.size("missing") == 0)
-    layouts = accepted.groupBy("columns").agg(F.collect_list("file").alias("files")).collect()
+    wanted = T.StructType([f for f in schema.fields if f.name in required])
+    rows = read_by_name(spark, present, wanted, guard.filter(F.size("missing") == 0))
     label_map = F.create_map(*[F.lit(x) for kv in folders.items() for x in kv])
-    frames = []
-    for layout in layouts:
-        df = read_csv_by_header(spark, layout["files"], schema, layout["columns"])
-        frames.append(df.select(*[F.col(c) for c in required], "source_file", "_block", "_row"))
-    if not frames:  # every file was rejected: an empty frame of the right shape
-        fields = [f for f in schema.fields if f.name in required]
-        empty = T.StructType(fields + [T.StructField("source_file", T.StringType()),
-                                       T.StructField("_block", T.LongType()),
-                                       T.StructField("_row", T.LongType())])
-        frames = [spark.createDataFrame([], empty)]
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionByName(f)
     folder = F.regexp_extract("source_file", r"/([^/]+)/[^/]+$", 1)
-    rows = rows.withColumn("label", label_map[folder])
-    return rows, rejected
+    return (rows.select(*required, "source_file", "_block", "_row", label_map[folder].alias("label")),
+            rejected)
 
 
 def read_telemetry_csv(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """Collector CSV (24 columns, header) with its declared schema."""
-    df = spark.read.schema(TELEMETRY).option("header", True).csv(paths)
+    """Collector CSV (24 columns) with its declared types, by name."""
+    df = read_by_name(spark, paths, TELEMETRY).drop("source_file", "_block", "_row")
     return df.withColumn("ts", F.to_timestamp_ntz("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
 def read_moderate_csv(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """S3: moderate-session CSV (21 columns) with ISO-8601 timestamps."""
-    df = spark.read.schema(MODERATE).option("header", True).csv(paths)
+    """S3: moderate-session CSV (21 columns) with ISO-8601 timestamps, by name."""
+    df = read_by_name(spark, paths, MODERATE).drop("source_file", "_block", "_row")
     return df.withColumn("ts", F.to_timestamp_ntz("timestamp"))
 
 
 def read_calibration_csv(spark: SparkSession, paths: Sequence[str] | str,
                          keys: Sequence[str] = ()) -> DataFrame:
-    """The four calibration measures from a live-data CSV (by header name).
-
-    Only the header line of the first file is inspected by Spark; columns are
-    then selected by name, so extra columns in the log are ignored.
-    """
-    df = spark.read.option("header", True).csv(paths)
-    return df.select(*keys, *[F.col(c).try_cast("double").alias(c)
-                              for c in ("cpu_percent", "memory_percent", "memory_available_mb",
-                                        "disk_write_mbps")])
-
+    """The four calibration measures of a live-data CSV, declared types, by
+    name; ``keys`` are read as text and other columns of the log ignored."""
+    schema = T.StructType([T.StructField(k, T.StringType()) for k in keys] + CALIBRATION.fields)
+    return read_by_name(spark, paths, schema).drop("source_file", "_block", "_row")

@@ -78,7 +78,7 @@ def test_moderate_and_calibration_csv(spark):
     cal = tempfile.mkdtemp(prefix="telewatch-cal-")
     _write(f"{cal}/live.csv", ["cpu_percent", "extra", "memory_percent", "memory_available_mb",
                                "disk_write_mbps"], [[1, "x", 2, 3, 4], [5, "y", 6, "bad", 8]])
-    c = read_calibration_csv(spark, cal).collect()
+    c = read_calibration_csv(spark, cal).orderBy("cpu_percent").collect()
     assert [tuple(r) for r in c] == [(1.0, 2.0, 3.0, 4.0), (5.0, 6.0, None, 8.0)]
 
 
@@ -88,3 +88,32 @@ def test_all_files_rejected(spark):
     rows, rejected = read_labelled(spark, base)
     assert rows.count() == 0 and "label" in rows.columns
     assert rejected.count() == 1
+
+
+def test_files_of_one_folder_may_order_columns_differently(spark):
+    base = tempfile.mkdtemp(prefix="telewatch-order-")
+    a = ["timestamp", "hostname", "cpu_percent", "memory_percent", "ssd_model", "ssd_temperature"]
+    b = ["memory_percent", "ssd_temperature", "timestamp", "cpu_percent", "hostname"]
+    _write(f"{base}/a.csv", a, [["2024-01-01 10:00:00", "h1", 1.0, 2.0, '"Disk, large"', 41]])
+    _write(f"{base}/b.csv", b, [[20.0, 33, "2024-01-01 10:00:01", 10.0, "h2"]])
+    got = {r["hostname"]: (r["cpu_percent"], r["memory_percent"], r["ssd_model"], r["ssd_temperature"])
+           for r in read_telemetry_csv(spark, base).collect()}
+    assert got == {"h1": (1.0, 2.0, "Disk, large", 41), "h2": (10.0, 20.0, None, 33)}
+    cal = tempfile.mkdtemp(prefix="telewatch-order-")
+    names = ["cpu_percent", "memory_percent", "memory_available_mb", "disk_write_mbps"]
+    _write(f"{cal}/a.csv", names, [[1, 2, 3, 4]])
+    _write(f"{cal}/b.csv", list(reversed(names)), [[40, 30, 20, 10]])
+    rows = {tuple(r) for r in read_calibration_csv(spark, cal).collect()}
+    assert rows == {(1.0, 2.0, 3.0, 4.0), (10.0, 20.0, 30.0, 40.0)}
+
+
+def test_rows_keep_the_order_of_their_file(spark):
+    base = tempfile.mkdtemp(prefix="telewatch-rows-")
+    _write(f"{base}/normal/a.csv", list(FEATURES), [[float(i)] * 9 + [i] for i in range(3000)])
+    rows, _ = read_labelled(spark, base)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")      # the file is split
+    try:
+        got = [r["process_count"] for r in rows.orderBy("source_file", "_block", "_row").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(range(3000))
