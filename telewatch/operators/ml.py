@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +23,22 @@ from ..functions import risk as R
 from ..schemas import FEATURES
 
 SEED = 42
+ROWS_PER_PARTITION = 500_000     # of the prepared frames (a vector of 10 doubles per row)
 # The comparison table's model names and columns, in order.
 MODEL_NAMES = ["Random Forest", "XGBoost", "MLP Neural Net", "Logistic Regression"]
 COMPARISON_COLUMNS = ["Model", "Train Acc", "Train F1", "Train Prec", "Train Recall", "Test Acc",
                       "Test F1", "Test Prec", "Test Recall", "Latency (μs)", "Train Time (s)"]
 
 
-def estimators(n_train: int, n_features: int = len(FEATURES), n_classes: int = 3) -> dict:
-    """M5-M8 with the reference's settings mapped onto Spark ML."""
+def estimators(n_train: int, n_features: int = len(FEATURES), n_classes: int = 3,
+               rounds: int = 100, forest_depth: int = 30) -> dict:
+    """M5-M8 with the reference's settings mapped onto Spark ML: 100 boosting
+    rounds, and trees as deep as Spark allows (30) where it sets no limit."""
     return {
-        "Random Forest": RandomForestClassifier(numTrees=100, maxDepth=12, seed=SEED,
+        "Random Forest": RandomForestClassifier(numTrees=100, maxDepth=forest_depth, seed=SEED,
                                                 featuresCol="features", labelCol="label_idx"),
         # boosted trees are binary in Spark ML: one-vs-rest gives the 3-class soft output
-        "XGBoost": OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=6, seed=SEED),
+        "XGBoost": OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=6, seed=SEED),
                              parallelism=n_classes,
                              featuresCol="features", labelCol="label_idx"),
         "MLP Neural Net": MultilayerPerceptronClassifier(
@@ -48,16 +51,22 @@ def estimators(n_train: int, n_features: int = len(FEATURES), n_classes: int = 3
     }
 
 
-def prepare_stages(features=FEATURES):
-    """M1 + M2 + M4: assemble, encode labels alphabetically, scale on train."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="raw_features",
+def prepare_stages(train: DataFrame, features=FEATURES) -> list:
+    """M4 + M1 + M2: scale by the train side (population std, zero divides by
+    1), assemble, encode labels alphabetically.
+
+    The 2 x features statistics are one aggregate; they become literals of a
+    saved SQL stage, so a loaded pipeline scales exactly as the fitted one.
+    """
+    stats = train.agg(*[F.avg(f).alias(f"m_{f}") for f in features],
+                      *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
+    scaled = ", ".join(f"({f} - {float(stats[f'm_{f}'] or 0.0)!r}D) / {float(stats[f's_{f}'] or 1.0)!r}D AS _z_{f}"
+                       for f in features)
+    scaler = SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
+    assembler = VectorAssembler(inputCols=[f"_z_{f}" for f in features], outputCol="features",
                                 handleInvalid="keep")
     indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc")
-    # Spark's scaler uses the sample std; the population std differs by
-    # sqrt(n / (n - 1)), which no tree and hardly any linear model notices.
-    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True,
-                            withStd=True)
-    return [assembler, indexer, scaler]
+    return [scaler, indexer, assembler]
 
 
 def classification_metrics(pred: DataFrame, label: str = "label_idx",
@@ -86,24 +95,25 @@ def classification_metrics(pred: DataFrame, label: str = "label_idx",
 
 
 def fit_and_compare(spark: SparkSession, train: DataFrame, test: DataFrame,
-                    models: list[str] | None = None) -> tuple[DataFrame, dict]:
+                    models: list[str] | None = None,
+                    settings: dict | None = None) -> tuple[DataFrame, dict]:
     """Fit each model, score both sides, time fit and prediction.
 
     Returns the comparison table (one row per model, rounded 4 / 2 digits)
-    and the fitted pipeline models keyed by name.
+    and the fitted pipeline models keyed by name.  ``settings`` overrides the
+    boosting rounds and the forest depth.
     """
-    # iterative fits run one job per iteration: keep one partition per core
-    parallelism = spark.sparkContext.defaultParallelism
-    train = train.repartition(parallelism).cache()
-    test = test.repartition(parallelism).cache()
-    n_train = train.count()
-    n_test = test.count()
-    prep = Pipeline(stages=prepare_stages()).fit(train)
-    tr, te = prep.transform(train).cache(), prep.transform(test).cache()
-    tr.count()
-    te.count()
+    prep = Pipeline(stages=prepare_stages(train)).fit(train)
+    needed = ["features", "label_idx"]
+    n_train, n_test = train.count(), test.count()
+
+    def prepared(side: DataFrame, n: int) -> DataFrame:
+        """Only what the fits read, in partitions of bounded size, cached with spill."""
+        parts = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION))
+        return prep.transform(side).select(needed).repartition(parts).persist()
+    tr, te = prepared(train, n_train), prepared(test, n_test)
     rows, fitted = [], {}
-    for name, est in estimators(n_train).items():
+    for name, est in estimators(n_train, **(settings or {})).items():
         if models and name not in models:
             continue
         t0 = time.perf_counter()
@@ -116,13 +126,12 @@ def fit_and_compare(spark: SparkSession, train: DataFrame, test: DataFrame,
         latency_us = (time.perf_counter() - t0) / max(n_test, 1) * 1e6
         test_m = classification_metrics(model.transform(te)).first()
         fitted[name] = PipelineModel(stages=[*prep.stages, model])
-        print(f"[ml] {name}: fit {fit_s:.1f}s", flush=True)
         rows.append((name, *[round(float(train_m[k] or 0.0), 4) for k in
                              ("accuracy", "f1", "precision", "recall")],
                      *[round(float(test_m[k] or 0.0), 4) for k in
                        ("accuracy", "f1", "precision", "recall")],
                      round(latency_us, 2), round(fit_s, 2)))
-    for frame in (train, test, tr, te):
+    for frame in (tr, te):
         frame.unpersist()
     table = spark.createDataFrame(rows, COMPARISON_COLUMNS)
     return table, fitted
@@ -150,19 +159,34 @@ def model_level(df: DataFrame, model: PipelineModel | None) -> DataFrame:
     """
     if model is None:
         risk = R.risk_score()
+        zero = F.lit(0.0)
         return df.select("*", risk.alias("risk_score"), R.stored_level(risk).alias("risk_level"),
-                         F.lit(0.0).alias("confidence"), R.stored_fault(risk).alias("fault_type"),
+                         zero.alias("confidence"), R.stored_fault(risk).alias("fault_type"),
                          R.severity(R.stored_level(risk)).alias("severity_level"),
-                         F.lit("rule").alias("mode"))
+                         F.lit("rule").alias("mode"), F.lit(1).alias("votes"),
+                         F.lit("NORMAL").alias("pem_status"), F.lit("NORMAL").alias("md_status"),
+                         F.create_map(F.lit("xgboost"), R.vote(risk).cast("int")).alias("models"),
+                         F.create_map(F.lit("normal"), zero, F.lit("moderate"), zero, F.lit("high"), zero)
+                         .alias("probabilities"))
     labels = model.stages[1].labels  # alphabetical: the indexer's own order (ledger L1)
     scored = model.transform(df)
-    prob = vector_to_array("probability")
+    if "probability" in scored.columns:
+        prob = vector_to_array("probability")
+    else:                            # one-vs-rest boosted trees: logistic of each margin, to sum 1
+        odds = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+        total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
+        prob = F.transform(odds, lambda x: x / total)
+    scored = scored.withColumn("_prob", prob)
     names = F.array(*[F.lit(x.upper()) for x in labels])
     level = F.element_at(names, F.col("prediction").cast("int") + 1)
-    risk = F.array_max(prob)
-    out = scored.select(*df.columns, risk.alias("risk_score"), level.alias("risk_level"),
-                        F.round(risk * 100.0, 2).alias("confidence"),
-                        F.when(level == "HIGH", "CPU").otherwise("NONE").alias("fault_type"),
-                        R.severity(level).alias("severity_level"),
-                        F.lit("model").alias("mode"))
-    return out
+    risk = F.array_max("_prob")
+    shown = F.create_map(*[x for i, c in enumerate(labels)
+                           for x in (F.lit(c.lower()), F.round(F.get("_prob", F.lit(i)), 3))])
+    return scored.select(*df.columns, risk.alias("risk_score"), level.alias("risk_level"),
+                         F.round(risk * 100.0, 2).alias("confidence"),
+                         F.when(level == "HIGH", "CPU").otherwise("NONE").alias("fault_type"),
+                         R.severity(level).alias("severity_level"), F.lit("model").alias("mode"),
+                         F.lit(1).alias("votes"), F.lit("NORMAL").alias("pem_status"),
+                         F.lit("NORMAL").alias("md_status"),
+                         F.create_map(F.lit("xgboost"), (level == "HIGH").cast("int")).alias("models"),
+                         shown.alias("probabilities"))

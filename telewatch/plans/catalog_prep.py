@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ml as M
 from ..operators import prep as P
-from ..operators.ordered import global_row_number, materialize
+from ..operators.ordered import materialize
 from ..schemas import FEATURES
 from ..session import scratch_table_dir
 from ..sources import readings as RD
@@ -180,7 +180,7 @@ SPLIT_CTE = f"""split AS (
 register("m3_stratified_split", "M3", _sql(TELEMETRY_CTE, RD.TRAINING_CTE, RD.IDS_CTE, SPLIT_CTE)
          + "SELECT process_id, label, split FROM split")(split)
 
-SCALE_COLS = ["cpu_percent", "memory_percent", "memory_available_mb", "disk_write_mbps"]
+SCALE_COLS = FEATURES
 
 
 def scaling(spark, sf_dir):
@@ -231,20 +231,53 @@ FROM pr"""
 register("m10_classification_metrics", "M10", METRICS_SQL)(rule_metrics)
 
 
+def comparison_sides(spark, sf_dir):
+    """Split first, then balance the train side only: no copy of a row is on both sides."""
+    t = materialize(P.stratified_split(RD.with_process_ids(RD.training_rows(spark, sf_dir))))
+    train, test = t.filter("split = 'train'"), t.filter("split = 'test'")
+    return materialize(P.balance(train, balance_target(train))), test
+
+
+def split_then_balance(spark, sf_dir):
+    """M3 + D6 as the model comparison uses them: rows and distinct rows per side and class."""
+    train, test = comparison_sides(spark, sf_dir)
+    return train.unionByName(test).groupBy("split", "label").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("process_id").alias("sum_ids"), F.countDistinct("process_id").alias("distinct_ids"))
+
+
+SIDES_SQL = _sql(TELEMETRY_CTE, RD.TRAINING_CTE, RD.IDS_CTE, SPLIT_CTE,
+                 "side AS (SELECT label, process_id FROM split WHERE split = 'train')", f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, process_id) AS rk,
+         count(*) OVER (PARTITION BY label) AS cnt
+  FROM (SELECT *, {_h("CAST(process_id AS VARCHAR) || ':42'")} AS h FROM side) x)""",
+                 "target AS (SELECT 2 * count(*) AS n FROM side WHERE label = 'High')",
+                 "small AS (SELECT DISTINCT label, cnt FROM ranked, target WHERE cnt < target.n)", f"""picks AS (
+  SELECT label, {_h("label || ':' || CAST(slot AS VARCHAR) || ':42'")} % cnt + 1 AS rk
+  FROM small, target, generate_series(1, target.n) g(slot))""", """rows_of AS (
+  SELECT 'train' AS split, label, process_id FROM ranked, target WHERE cnt >= target.n AND rk <= target.n
+  UNION ALL
+  SELECT 'train', r.label, r.process_id FROM picks p JOIN ranked r ON r.label = p.label AND r.rk = p.rk
+  UNION ALL
+  SELECT 'test', label, process_id FROM split WHERE split = 'test')""") + """
+SELECT split, label, count(*) AS rows, CAST(sum(process_id) AS BIGINT) AS sum_ids,
+       count(DISTINCT process_id) AS distinct_ids
+FROM rows_of GROUP BY split, label"""
+
+register("m3_split_then_balance", "M3 D6 M12", SIDES_SQL)(split_then_balance)
+
+
 def model_comparison(spark, sf_dir):
-    """M1, M5-M9, M11, M12 (+ S8 sink, S15 round trip, R5 on the latest rows)."""
-    t = RD.with_process_ids(RD.training_rows(spark, sf_dir))
-    # oversampled rows repeat a process_id: give every balanced row its own id
-    bal = materialize(P.balance(t, balance_target(t)))
-    bal = materialize(global_row_number(bal, ["process_id", "label"], "_row"))
-    b = P.stratified_split(bal, id_col="_row")
-    train, test = b.filter("split = 'train'"), b.filter("split = 'test'")
+    """M1, M5-M9, M11, M12 (+ S8 sink, S15 round trip): the whole comparison
+    table, as read back from its CSV."""
+    train, test = comparison_sides(spark, sf_dir)
     table, fitted = M.fit_and_compare(spark, train, test)
     out = scratch_table_dir(spark, f"models-{uuid.uuid4().hex}")
     table.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/comparison")
     M.save_model(fitted["XGBoost"], f"{out}/xgboost")
-    return spark.read.option("header", True).option("inferSchema", False).csv(
-        f"{out}/comparison").select("Model")
+    schema = ", ".join(f"`{c}` {'string' if c == 'Model' else 'double'}" for c in M.COMPARISON_COLUMNS)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(
+        f"{out}/comparison")
 
 
 register("m12_model_comparison", "M1 M5 M6 M7 M8 M9 M10 M11 M12 S8 S15")(model_comparison)

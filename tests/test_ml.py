@@ -47,3 +47,22 @@ def test_logistic_regression_floor_and_round_trip(spark):
     rule = M.model_level(rows, M.load_model(path + "-missing"))
     assert rule.filter(F.col("mode") != "rule").count() == 0
     assert rule.filter((F.col("risk_level") == "HIGH") != (F.col("risk_score") > 0.6)).count() == 0
+
+
+def test_boosted_trees_serve_probabilities(spark):
+    """One-vs-rest margins become class probabilities; the saved pipeline scales
+    with the population statistics of the train side."""
+    t = RD.with_process_ids(RD.training_rows(spark, SF001))
+    s = P.stratified_split(t)
+    train = s.filter("split = 'train'")
+    table, fitted = M.fit_and_compare(spark, train, s.filter("split = 'test'"), models=["XGBoost"],
+                                      settings={"rounds": 3})
+    assert table.columns == M.COMPARISON_COLUMNS and table.first()["Test Acc"] > 0.9
+    out = M.model_level(RD.training_rows(spark, SF001), fitted["XGBoost"])
+    rows = out.select("risk_score", "confidence", "probabilities").collect()
+    assert all(abs(sum(r["probabilities"].values()) - 1) < 0.01 and 0 < r["risk_score"] <= 1 for r in rows)
+    assert {k for r in rows for k in r["probabilities"]} == {"high", "moderate", "normal"}
+    z = fitted["XGBoost"].stages[0].transform(train).agg(F.avg("_z_cpu_percent"), F.stddev_pop("_z_cpu_percent")).first()
+    assert abs(z[0]) < 1e-9 and abs(z[1] - 1) < 1e-9
+    est = M.estimators(100)
+    assert est["XGBoost"].getClassifier().getMaxIter() == 100 and est["Random Forest"].getMaxDepth() == 30
