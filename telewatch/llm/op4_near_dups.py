@@ -9,9 +9,8 @@ full sets, and the links are joined by a distributed union-find.
 
 A bucket never emits all its pairs.  Every member is first compared with the
 smallest member (a star); when all of them end up in one component the bucket
-is finished.  Only in the buckets left open the members of different
-components are compared, behind a size bound and a first sketch comparison in
-the join condition itself.
+is finished.  In the buckets left open, members of different components meet
+only through a prefix filter on their shingles, which is exact.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, components, mix, stage, table, window_hashes, word_hashes
@@ -71,34 +70,30 @@ def bayes_minimum(n: int, threshold: float, miss: float = MISS) -> int:
 
 
 def signatures(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, n_shingles, set_key`` (128-bit digest of the set), ``sig`` and
-    its one-bit sketch ``k0, k1``; null key and signature for an empty set."""
+    """``doc_id, n_shingles, set_key`` (128-bit digest of the set) and ``sig``;
+    null key and signature for an empty set."""
     arrow_batches(docs.sparkSession)
 
     def sign(batches):
         import xxhash
         for batch in batches:
-            n, key, sig, k0, k1 = [], [], [], [], []
+            n, key, sig = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, shingle_words)
                 n.append(len(s))
                 if len(s) == 0:
-                    key.append(None), sig.append(None), k0.append(0), k1.append(0)
+                    key.append(None)
+                    sig.append(None)
                     continue
-                v = signature(s)
-                bits = np.packbits((v & 1).astype(np.uint8)).view(">i8")
                 key.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sig.append(v.tobytes())
-                k0.append(int(bits[0]))
-                k1.append(int(bits[1]))
+                sig.append(signature(s).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
-                 pa.array(sig, pa.binary()), pa.array(k0, pa.int64()), pa.array(k1, pa.int64())],
-                names=["doc_id", "n_shingles", "set_key", "sig", "k0", "k1"])
+                 pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("binary").alias("text")).mapInArrow(
-        sign, "doc_id long, n_shingles long, set_key binary, sig binary, k0 long, k1 long")
+        sign, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
 def _band_rows(classes: DataFrame) -> DataFrame:
@@ -174,6 +169,53 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, shingle_words: int) -> Data
             .where(F.length("shingles") > 0))
 
 
+def _open_nodes(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """``(node, comp)`` of the members of buckets that hold several components."""
+    placed = stage(members.join(comp, "node", "left")
+                   .select("key", "node", F.coalesce("component", "node").alias("comp")))
+    several = (placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+               .where(F.col("low") < F.col("high")).select("key"))
+    return stage(placed.join(several, "key").select("node", "comp").distinct())
+
+
+def _apart(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components that can still be similar.
+
+    An exact prefix filter: with the shingles of every set in one order (rarest
+    first), two similar sets share one among the first ``n - ceil(t n) + 1``,
+    and the first one they share leaves enough behind it in both.  Members of
+    the largest component at a shingle are not compared with each other.
+    """
+
+    def flatten(batches):
+        for batch in batches:
+            node, comp = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
+            held = [np.frombuffer(x, "<i8") for x in batch.column(2).to_pylist()]
+            n = np.array([len(x) for x in held], np.int64)
+            values = np.concatenate(held) if held else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(node, n)), pa.array(np.repeat(comp, n)), pa.array(np.repeat(n, n)),
+                 pa.array(values, pa.int64())], names=["node", "comp", "n", "s"])
+
+    rows = nodes.join(sets, "node").select("node", "comp", "shingles").mapInArrow(
+        flatten, "node long, comp long, n long, s long")
+    seen = rows.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
+    order = Window.partitionBy("node").orderBy("f", "s")
+    first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    prefix = stage(rows.join(seen, "s").withColumn("i", F.row_number().over(order))
+                   .where((F.col("i") <= first) & (F.col("f") > 1)).drop("f"))
+    top = (prefix.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c"))
+           .groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("top")))
+    few = prefix.join(top, "s").where(F.col("comp") != F.col("top"))
+    a, b = few.alias("a"), prefix.alias("b")
+    behind = 1 + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.comp") != F.col("b.comp"))
+                   & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+                   & ((100 + percent) * behind >= percent * (F.col("a.n") + F.col("b.n"))))
+    return pairs.select(F.least("a.node", "b.node").alias("a"),
+                        F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT,
                     shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
@@ -202,7 +244,7 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT,
     named = rows.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     lead = stage(named.groupBy("set_key").agg(F.min("doc_id").alias("node")))
     classes = stage(named.join(lead, "set_key").where(F.col("doc_id") == F.col("node"))
-                    .select("node", "n_shingles", "sig", "k0", "k1"))
+                    .select("node", "n_shingles", "sig"))
 
     band = _band_rows(classes)
     hubs = (band.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"))
@@ -226,32 +268,14 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT,
     links = stage(_confirm(stars, sets, percent))
     comp = stage(components(links))
 
-    # buckets whose members are not all in the component of the hub stay open
-    def component_of(df, col, name):
-        c = comp.select(F.col("node").alias(col), F.col("component").alias(name))
-        return df.join(c, col, "left").withColumn(name, F.coalesce(name, col))
-
-    placed = stage(component_of(component_of(members, "hub", "hub_comp"), "node", "comp"))
-    open_keys = (placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(
-        F.col("comp") != F.col("hub_comp")).alias("apart"))
-        .where((F.col("n") > 1) & (F.col("apart") > 0)).select("key"))
-    rest = stage(placed.join(open_keys, "key").join(
-        classes.select("node", "n_shingles", "k0", "k1"), "node")
-        .select("key", "node", "comp", "n_shingles", "k0", "k1"))
-    a, b = rest.alias("a"), rest.alias("b")
-    unlike = F.bit_count(F.col("a.k0").bitwiseXOR(F.col("b.k0"))) + \
-        F.bit_count(F.col("a.k1").bitwiseXOR(F.col("b.k1")))
-    most = PERMUTATIONS - bayes_minimum(PERMUTATIONS, (1 + percent / 100) / 2)
-    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
-                   & (F.col("a.comp") != F.col("b.comp"))
-                   & (100 * F.least("a.n_shingles", "b.n_shingles")
-                      >= percent * F.greatest("a.n_shingles", "b.n_shingles"))
-                   & (unlike <= most))
-    more = _bayes(cross.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(),
-                  classes, percent)
-    extra = stage(_confirm(more, sets, percent))
-    if extra.limit(1).count():
-        comp = components(links.unionByName(extra))
+    # Buckets whose members are in several components stay open: what is apart
+    # there is compared exactly, through the shingles that could link it.
+    everyone = members.select("key", "node").unionByName(
+        members.select("key", F.col("hub").alias("node")).distinct())
+    nodes = _open_nodes(everyone, comp)
+    if nodes.limit(1).count():
+        last = _bayes(_apart(nodes, sets, percent), classes, percent)
+        comp = components(stage(links.unionByName(_confirm(last, sets, percent))))
 
     own = (rows.select("doc_id", "n_shingles", "set_key").join(lead, "set_key", "left")
            .join(comp.select("node", "component"), "node", "left"))
