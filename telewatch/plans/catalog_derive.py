@@ -13,8 +13,8 @@ from .registry import register
 
 
 def counter_rates(spark, sf_dir):
-    return D.counter_rates(RD.counters(spark, sf_dir), ["write_bytes", "bytes_sent"]).select(
-        "hostname", "id", "elapsed_s", "write_bytes_mbps", "bytes_sent_mbps")
+    return D.counter_rates(RD.counters(spark, sf_dir), RD.COUNTER_COLUMNS).select(
+        "hostname", "id", "elapsed_s", *[f"{c}_mbps" for c in RD.COUNTER_COLUMNS])
 
 
 def _rate_sql(c: str) -> str:
@@ -28,8 +28,7 @@ def _rate_sql(c: str) -> str:
 RATES_SQL = _with(TELEMETRY_CTE, RD.COUNTERS_CTE) + f"""
 SELECT hostname, id,
        coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000.0, 0.0) AS elapsed_s,
-       {_rate_sql("write_bytes")} AS write_bytes_mbps,
-       {_rate_sql("bytes_sent")} AS bytes_sent_mbps
+       {", ".join(f"{_rate_sql(c)} AS {c}_mbps" for c in RD.COUNTER_COLUMNS)}
 FROM counters
 WINDOW w AS (PARTITION BY hostname ORDER BY ts, id)"""
 
@@ -53,16 +52,20 @@ register("c2_counter_deltas", "C2", DELTAS_SQL)(counter_deltas)
 
 def paired_rates(spark, sf_dir):
     t = telemetry(spark, sf_dir)
-    end = F.round(F.col("value") * 100.0).cast("long") * F.lit(RD.BYTES_PER_CENT)
+    start = F.col("id") * F.lit(1024)
+    moved = F.round(F.col("value") * 100.0).cast("long") * F.lit(RD.BYTES_PER_CENT)
+    sent = F.col("memory_percent").cast("long") * F.lit(1048576)
     return t.select("system_id", "id",
-                    D.paired_rate(F.lit(0).cast("long"), end).alias("disk_write_mbps"),
+                    D.paired_rate(start, start + moved).alias("disk_write_mbps"),
+                    D.paired_rate(start, start + sent).alias("network_upload_mbps"),
                     D.to_mib(F.col("memory_available_mb") * 1048576.0).alias("memory_available_mib"))
 
 
 PAIRED_SQL = _with(TELEMETRY_CTE) + f"""
 SELECT system_id, id,
-       {rnd("(CAST(round(value * 100.0) AS BIGINT) * 10486 - 0) / 1048576.0 / 0.1", 2)}
+       {rnd("(CAST(round(value * 100.0) AS BIGINT) * 10486) / 1048576.0 / 0.1", 2)}
          AS disk_write_mbps,
+       {rnd("(CAST(memory_percent AS BIGINT) * 1048576) / 1048576.0 / 0.1", 2)} AS network_upload_mbps,
        {rnd("memory_available_mb * 1048576.0 / 1048576.0", 2)} AS memory_available_mib
 FROM telemetry"""
 
@@ -74,7 +77,7 @@ def top_processes(spark, sf_dir):
 
 
 TOP_SQL = _with(TELEMETRY_CTE, """p AS (
-  SELECT system_id AS hostname, date_trunc('day', ts) AS ts, CAST(id AS INTEGER) AS pid,
+  SELECT system_id AS hostname, date_trunc('day', ts) AS ts, CAST(id % 4194304 AS INTEGER) AS pid,
          process_name AS name, value AS cpu_percent, memory_percent
   FROM telemetry)""", """c AS (
   SELECT hostname, ts, coalesce(name, 'unknown') AS top_cpu_process, pid AS top_cpu_pid

@@ -23,20 +23,31 @@ SENSOR_OF_EVENT = {"view": "coretemp", "signup": "cpu_thermal", "purchase": "hwm
 UNITS = ["TB", "GB", "PB", "MB"]
 
 
+COUNTER_COLUMNS = ["read_bytes", "write_bytes", "bytes_sent", "bytes_recv"]
+# Process ids are bounded (Linux: below 2**22); row ids stay bigint.
+PID_LIMIT = 1 << 22
+
+
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monotone byte counters per host: running sums of event values."""
     t = telemetry(spark, sf_dir)
     inc_w = F.round(F.col("value") * 100.0).cast("long") * F.lit(BYTES_PER_CENT)
     inc_s = F.col("memory_percent").cast("long") * F.lit(1048576)
+    inc_r = F.round(F.col("value") * 10.0).cast("long") * F.lit(BYTES_PER_CENT)
     s = ordered_scan(t.select(F.col("system_id").alias("hostname"), "ts", "id", "value",
                               "memory_percent"),
                      ["hostname"], ["ts", "id"],
-                     running_sums={"write_bytes": inc_w, "bytes_sent": inc_s})
-    return materialize(s.select("hostname", "ts", "id", "write_bytes", "bytes_sent"))
+                     running_sums={"read_bytes": inc_r, "write_bytes": inc_w, "bytes_sent": inc_s,
+                                   "bytes_recv": inc_s + inc_r})
+    return materialize(s.select("hostname", "ts", "id", *COUNTER_COLUMNS))
 
 
 COUNTERS_CTE = """counters AS (
   SELECT system_id AS hostname, ts, id,
+         sum(CAST(round(value * 10.0) AS BIGINT) * 10486)
+           OVER (PARTITION BY system_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS read_bytes,
+         sum(CAST(memory_percent AS BIGINT) * 1048576 + CAST(round(value * 10.0) AS BIGINT) * 10486)
+           OVER (PARTITION BY system_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS bytes_recv,
          sum(CAST(round(value * 100.0) AS BIGINT) * 10486)
            OVER (PARTITION BY system_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS write_bytes,
          sum(CAST(memory_percent AS BIGINT) * 1048576)
@@ -49,7 +60,7 @@ def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir)
     return t.select(F.col("system_id").alias("hostname"),
                     F.date_trunc("day", "ts").alias("ts"),
-                    F.col("id").cast("int").alias("pid"),
+                    (F.col("id") % PID_LIMIT).cast("int").alias("pid"),
                     F.col("process_name").alias("name"),
                     F.col("value").alias("cpu_percent"),
                     F.col("memory_percent"))
