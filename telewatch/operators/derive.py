@@ -69,6 +69,15 @@ def to_mib(bytes_col: Column, digits: int = 2) -> Column:
     return F.round(bytes_col / F.lit(MIB), digits)
 
 
+def top_of_list(processes: str, load: str, empty_name: str = "N/A") -> Column:
+    """C5 on a tick that carries its process list (array of pid, name and
+    loads): the name with the highest load, ties to the lowest pid."""
+    best = F.array_max(F.transform(processes, lambda p: F.struct(
+        F.coalesce(p[load], F.lit(0.0)).alias("load"), (-p["pid"]).alias("pid"),
+        F.coalesce(p["name"], F.lit("unknown")).alias("name"))))
+    return F.coalesce(best["name"], F.lit(empty_name))
+
+
 def top_processes(processes: DataFrame, snapshots: DataFrame | None = None,
                   keys: Sequence[str] = ("hostname", "ts"), empty_name: str = "unknown") -> DataFrame:
     """C5 + C6: top process by CPU and by memory, and the process count, per snapshot.

@@ -1,10 +1,9 @@
-"""Registered streaming queries (T6, S5, S9, S11; streaming T1 + T2).
+"""Registered streaming queries (T6, S5, S9, S10, S11, S12; streaming T1 + T2).
 
-Each builder writes the telemetry of the driver data as time-ordered tick
-files, runs the Structured Streaming query to completion with an
-``availableNow`` trigger (one file per micro-batch, so state crosses batch
-boundaries), and returns what the sinks wrote.  The DuckDB twins compute the
-same rows in batch.
+Each builder writes the telemetry of the driver data as raw tick files, runs
+the Structured Streaming query to its end with an ``availableNow`` trigger (a
+few files per micro-batch, in an order that is not the event order), and
+returns what the sinks hold.  The DuckDB twins compute the same rows in batch.
 """
 
 from __future__ import annotations
@@ -14,76 +13,108 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..schemas import TICK
 from ..session import scratch_table_dir
+from ..sources import readings as RD
 from ..sources.tables import TELEMETRY_CTE, telemetry
-from ..streaming.live import TELEMETRY_STREAM_SCHEMA, run_to_end, start_alerts, start_live
+from ..streaming.live import run_to_end, start_alerts, start_live
+from ..streaming.replay import read_latest
 from .catalog import rnd
 from .catalog_alerts import (COOLDOWN_S, MOD_BAND, SCORED_CTE, STREAK, STREAK_CTE,
                              _rec, cooldown_sql)
 from .registry import register
 
-TICK_FILES = 4
+TICK_FILES = 12
+FILES_PER_BATCH = 4
+
+
+def ticks(spark, sf_dir):
+    """Raw ticks: the write counter and a process list of two per tick."""
+    count = RD.counters(spark, sf_dir).select(F.col("hostname").alias("system_id"), "id",
+                                              F.col("write_bytes").alias("disk_write_bytes"))
+    load, mem = F.col("value"), F.col("memory_percent")
+    process = "array<struct<pid:int,name:string,cpu_percent:double,memory_percent:double>>"
+    t = telemetry(spark, sf_dir).join(count, ["system_id", "id"]).withColumn("processes", F.array(
+        F.struct((F.col("id") % RD.PID_LIMIT + 2).cast("int").alias("pid"), F.col("process_name").alias("name"),
+                 load.alias("cpu_percent"), mem.alias("memory_percent")),
+        F.struct(F.lit(1).alias("pid"), F.lit("init").alias("name"), (100.0 - load).alias("cpu_percent"),
+                 (100.0 - mem).alias("memory_percent"))).cast(process))
+    return t.select(*[f.name for f in TICK.fields])
 
 
 def write_ticks(spark, sf_dir) -> str:
-    """Tick files: telemetry cut into TICK_FILES equal time slices, written
-    one after another so the file source sees them in time order."""
-    from ..functions.timefn import epoch_micros
+    """Tick files dealt by a hash of the tick: no file is a slice of time."""
     path = scratch_table_dir(spark, f"ticks-{uuid.uuid4().hex}")
-    t = telemetry(spark, sf_dir).select(*[f.name for f in TELEMETRY_STREAM_SCHEMA.fields])
-    t = t.withColumn("_us", epoch_micros("ts"))
-    lo, hi = t.agg(F.min("_us"), F.max("_us")).first()
-    width = (hi - lo) // TICK_FILES + 1
-    for i in range(TICK_FILES):
-        part = t.filter((F.col("_us") >= lo + i * width) & (F.col("_us") < lo + (i + 1) * width))
-        part.drop("_us").write.mode("append").parquet(path)
+    ticks(spark, sf_dir).repartition(TICK_FILES, F.xxhash64("system_id", "id")).write.parquet(path)
     return path
 
 
-def live_metrics(spark, sf_dir):
+def _live(spark, sf_dir) -> str:
     base = scratch_table_dir(spark, f"live-{uuid.uuid4().hex}")
-    run_to_end(start_live(spark, write_ticks(spark, sf_dir), os.path.join(base, "out"),
-                    os.path.join(base, "state"), max_files=1))
-    return spark.read.parquet(os.path.join(base, "out", "metrics")).drop("batch_id", "query_id")
-
-
-LIVE_SQL = "WITH " + TELEMETRY_CTE + f"""
+    out = os.path.join(base, "out")
+    run_to_end(start_live(spark, write_ticks(spark, sf_dir), out, os.path.join(base, "state"),
+                          max_files=FILES_PER_BATCH))
+    return out
+
+
+def live_pipeline(spark, sf_dir):
+    """Every tick as the metrics, predictions and packet sinks hold it."""
+    out = _live(spark, sf_dir)
+    metrics = read_latest(spark, out, "metrics")
+    preds = read_latest(spark, out, "predictions").select("system_id", "id", "risk_score", "risk_level")
+    packet = F.from_json("value", "disk double, risk double, top_mem_process string, timestamp string")
+    packets = read_latest(spark, out, "packets").select(
+        "system_id", "id", packet["disk"].alias("packet_disk"), packet["risk"].alias("packet_risk"),
+        packet["top_mem_process"].alias("packet_mem_process"), packet["timestamp"].alias("packet_time"))
+    return metrics.join(preds, ["system_id", "id"]).join(packets, ["system_id", "id"])
+
+
+TICKS_CTE = """ticks AS (
+  SELECT t.*, CASE WHEN value > 100.0 - value THEN process_name ELSE 'init' END AS top_cpu,
+         CASE WHEN memory_percent > 100.0 - memory_percent THEN process_name ELSE 'init' END AS top_mem,
+         CAST(round(value * 100.0) AS BIGINT) * 10486 AS moved,
+         row_number() OVER (PARTITION BY system_id ORDER BY ts, id) AS n
+  FROM telemetry t)"""
+DELTA = f"CASE WHEN n = 1 THEN 0.0 ELSE {rnd('moved / 1048576.0', 2)} END"
+RISK = "(cpu_percent * 0.4 + memory_percent * 0.6) / 100.0"
+
+LIVE_SQL = "WITH " + TELEMETRY_CTE + ", " + TICKS_CTE + f"""
 SELECT id, ts, system_id, {rnd("cpu_percent", 1)} AS cpu_percent,
        {rnd("memory_percent", 1)} AS memory_percent,
        CAST(trunc(memory_available_mb) AS DOUBLE) AS memory_available_mb,
-       {rnd("disk_write_mbps", 2)} AS disk_write_mbps, process_count,
-       process_name AS top_cpu_process, process_name AS top_mem_process
-FROM telemetry"""
+       {DELTA} AS disk_write_mbps, process_count, top_cpu AS top_cpu_process, top_mem AS top_mem_process,
+       {RISK} AS risk_score, CASE WHEN {RISK} > 0.6 THEN 'HIGH' ELSE 'NORMAL' END AS risk_level,
+       {DELTA} AS packet_disk, {rnd(RISK, 3)} AS packet_risk, top_mem AS packet_mem_process,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS packet_time
+FROM ticks"""
 
-register("t6_live_pipeline", "T6 S11 S9 C13", LIVE_SQL)(live_metrics)
+register("t6_live_pipeline", "T6 S9 S10 S11 S12 C2 C5 C13", LIVE_SQL)(live_pipeline)
 
 
 def live_log(spark, sf_dir):
-    base = scratch_table_dir(spark, f"live-{uuid.uuid4().hex}")
-    run_to_end(start_live(spark, write_ticks(spark, sf_dir), os.path.join(base, "out"),
-                    os.path.join(base, "state"), max_files=1))
-    log = spark.read.option("header", True).csv(os.path.join(base, "out", "live_log"))
-    return log.groupBy("top_cpu_process").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("risk").try_cast("double") > 0.6).alias("high_risk_rows"),
-        F.sum(F.col("process_count").try_cast("long")).alias("processes"))
-
-
-LOG_SQL = "WITH " + TELEMETRY_CTE + f"""
-SELECT process_name AS top_cpu_process, count(*) AS rows,
-       count(*) FILTER (WHERE {rnd("(cpu_percent * 0.4 + memory_percent * 0.6) / 100.0", 3)} > 0.6)
-         AS high_risk_rows,
-       CAST(sum(process_count) AS BIGINT) AS processes
-FROM telemetry GROUP BY process_name"""
+    """Every row of the live log, read back from its CSV files as text."""
+    log = read_latest(spark, _live(spark, sf_dir), "live_log", "csv")
+    return log.select("timestamp", "top_cpu_process", "top_mem_process",
+                      *[F.col(c).try_cast("double").alias(c) for c in ("cpu", "memory", "disk", "risk")],
+                      *[F.col(c).try_cast("int").alias(c) for c in ("process_count", "memory_available_mb")])
+
+
+LOG_SQL = "WITH " + TELEMETRY_CTE + ", " + TICKS_CTE + f"""
+SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, top_cpu AS top_cpu_process,
+       top_mem AS top_mem_process, {rnd("cpu_percent", 1)} AS cpu, {rnd("memory_percent", 1)} AS memory,
+       {DELTA} AS disk, {rnd(RISK, 3)} AS risk, process_count,
+       CAST(trunc(memory_available_mb * 1048576.0 / 1048576.0) AS INTEGER) AS memory_available_mb
+FROM ticks"""
 
 register("s5_live_log", "S5 S12 T6", LOG_SQL)(live_log)
 
 
 def stream_alerts(spark, sf_dir):
     base = scratch_table_dir(spark, f"alerts-{uuid.uuid4().hex}")
-    run_to_end(start_alerts(spark, write_ticks(spark, sf_dir), os.path.join(base, "out"),
-                      os.path.join(base, "state"), COOLDOWN_S, STREAK, max_files=1))
-    return spark.read.parquet(os.path.join(base, "out"))
+    out = os.path.join(base, "out")
+    run_to_end(start_alerts(spark, write_ticks(spark, sf_dir), out, os.path.join(base, "state"),
+                            COOLDOWN_S, STREAK, max_files=FILES_PER_BATCH))
+    return read_latest(spark, out, "alerts")
 
 
 STREAM_ALERTS_SQL = _rec(TELEMETRY_CTE, SCORED_CTE,

@@ -52,10 +52,6 @@ MODERATE = _struct(
     ("sample_number", I), ("timestamp_seconds", D),
 )
 
-# Balanced training set.
-TRAINING = _struct(*[(f, I if f == "process_count" else D) for f in FEATURES],
-                   ("label", S), ("process_id", L))
-
 # Live log written once per tick (fixed column order).
 LIVE_LOG_COLUMNS = ["cpu", "memory", "disk", "risk", "process_count",
                     "memory_available_mb", "timestamp", "top_cpu_process", "top_mem_process"]
@@ -64,47 +60,14 @@ LIVE_LOG_COLUMNS = ["cpu", "memory", "disk", "risk", "process_count",
 CALIBRATION_COLUMNS = ["cpu_percent", "memory_percent", "memory_available_mb", "disk_write_mbps"]
 CALIBRATION = _struct(*[(c, D) for c in CALIBRATION_COLUMNS])
 
-METRICS = _struct(
-    ("id", L), ("timestamp", TS), ("system_id", S), ("cpu_percent", D),
-    ("memory_percent", D), ("memory_available_mb", D), ("disk_write_mbps", D),
-    ("process_count", I), ("top_cpu_process", S), ("top_mem_process", S),
-)
-
-PREDICTIONS = _struct(
-    ("id", L), ("timestamp", TS), ("system_id", S), ("risk_score", D),
-    ("risk_level", S), ("confidence", D), ("votes", I), ("fault_type", S),
-    ("severity_level", S), ("pem_status", S), ("md_status", S),
-    ("models_json", S), ("probabilities_json", S),
-)
-
-ALERTS = _struct(
-    ("id", L), ("timestamp", TS), ("system_id", S), ("alert_type", S),
-    ("severity", S), ("fault_type", S), ("resolved_at", TS),
-)
-
-SESSIONS = _struct(
-    ("id", L), ("system_id", S), ("session_label", S), ("start_time", TS),
-    ("end_time", TS), ("total_rows", I),
-)
-
 # Metric ingest request: five required typed fields.
 METRIC_REQUEST_FIELDS = [("cpu_percent", D), ("memory_percent", D),
                          ("memory_available_mb", D), ("disk_write_mbps", D),
                          ("process_count", I)]
 
-# Raw readings the reference polls from the OS, re-aimed as tables.
-COUNTERS = _struct(("hostname", S), ("ts", TS), ("id", L), ("read_bytes", L),
-                   ("write_bytes", L), ("bytes_sent", L), ("bytes_recv", L))
-PROCESSES = _struct(("hostname", S), ("ts", TS), ("pid", I), ("name", S),
-                    ("cpu_percent", D), ("memory_percent", D))
-SMART_REPORTS = _struct(("hostname", S), ("ts", TS), ("report", S))
-SENSORS = T.StructType([
-    T.StructField("hostname", S), T.StructField("ts", TS),
-    T.StructField("temps", T.MapType(S, D)),
-])
-
-# Live tick as it arrives on the stream (one JSON record or file row per tick).
-TICK = _struct(("system_id", S), ("id", L), ("ts", TS), ("cpu_percent", D),
-               ("memory_percent", D), ("memory_available_bytes", D),
-               ("disk_write_bytes", L), ("process_count", I),
-               ("top_cpu_process", S), ("top_mem_process", S))
+# One live tick: raw counters and the process list, before C2 and C5.
+TICK = _struct(("system_id", S), ("id", L), ("ts", T.TimestampNTZType()), ("cpu_percent", D),
+               ("memory_percent", D), ("memory_available_mb", D), ("disk_write_bytes", L),
+               ("process_count", I),
+               ("processes", T.ArrayType(_struct(("pid", I), ("name", S), ("cpu_percent", D),
+                                                 ("memory_percent", D)))))

@@ -36,14 +36,14 @@ def live_packets(df: DataFrame, keys=("system_id", "id")) -> DataFrame:
     return df.select(*keys, F.to_json(packet_struct(df)).alias("value"))
 
 
-def live_log_rows(packets: DataFrame) -> DataFrame:
+def live_log_rows(packets: DataFrame, keys=()) -> DataFrame:
     """Packet fields in the fixed log order; absent values become ''."""
     schema = ("cpu double, memory double, disk double, risk double, process_count int, "
               "memory_available_mb int, timestamp string, top_cpu_process string, "
               "top_mem_process string")
     p = F.from_json("value", schema)
-    return packets.select(*[F.coalesce(p[c].cast("string"), F.lit("")).alias(c)
-                            for c in LIVE_LOG_COLUMNS])
+    return packets.select(*keys, *[F.coalesce(p[c].cast("string"), F.lit("")).alias(c)
+                                   for c in LIVE_LOG_COLUMNS])
 
 
 def write_session_files(df: DataFrame, path: str, mode: str = "overwrite",

@@ -1,46 +1,37 @@
 """The live pipeline as one Structured Streaming query.
 
-tick files -> (optional duplicate drop on (system_id, id)) -> scoring ->
-``foreachBatch`` writing metrics, predictions, live packets and the live log.
-Each sink write carries the batch id and overwrites only that batch's
-partition, so a retried micro-batch replaces its own output (exactly-once
-results with an idempotent sink).
+tick files -> (optional duplicate drop on (system_id, id)) -> ``foreachBatch``:
+counter delta against the previous tick (C2), top process of the tick's list
+(C5), scoring, and the four sinks: metrics, predictions, live packets and the
+live log.  Results follow event order however ticks arrive; see ``replay``.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import risk as R
+from ..operators.alerts import moderate_cooldown, sustained_high
+from ..operators.derive import counter_deltas, top_of_list
+from ..operators.ordered import materialize
 from ..operators.serving import predictions
+from ..schemas import TICK
 from ..sources.sinks import live_log_rows, live_packets
-
-TELEMETRY_STREAM_SCHEMA = T.StructType([
-    T.StructField("system_id", T.StringType()), T.StructField("id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()), T.StructField("cpu_percent", T.DoubleType()),
-    T.StructField("memory_percent", T.DoubleType()),
-    T.StructField("memory_available_mb", T.DoubleType()),
-    T.StructField("disk_write_mbps", T.DoubleType()), T.StructField("process_name", T.StringType()),
-    T.StructField("process_count", T.IntegerType()), T.StructField("value", T.DoubleType()),
-])
+from .replay import Replay, query_id
 
 
 def read_ticks(spark: SparkSession, path: str, max_files: int | None = None,
                dedupe_watermark: str | None = None) -> DataFrame:
     """Tick source (parquet files; a message bus in a deployment).
 
-    By default every tick is kept, late ones included (they are decided in
-    arrival order, as the reference's single producer would).  With
+    By default every tick is kept, late ones included.  With
     ``dedupe_watermark`` set, repeated ``(system_id, id)`` ticks are dropped
     within that event-time window; note that Spark then also drops ticks
     older than the watermark, so only enable it where such ticks are
     redeliveries, not real data.
     """
-    reader = spark.readStream.schema(TELEMETRY_STREAM_SCHEMA)
+    reader = spark.readStream.schema(TICK)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     ticks = reader.parquet(path)
@@ -52,41 +43,50 @@ def read_ticks(spark: SparkSession, path: str, max_files: int | None = None,
     return ticks
 
 
-def metric_rows(ticks: DataFrame) -> DataFrame:
+def derive_ticks(ticks: DataFrame) -> DataFrame:
+    """C2 + C5 on raw ticks: written MiB since the previous tick of the system
+    (0 on its first), and the busiest processes of the tick's list."""
+    rows = counter_deltas(ticks, ["disk_write_bytes"], key="system_id")
+    return rows.withColumnRenamed("disk_write_bytes_delta_mb", "disk_write_mbps").withColumns({
+        "top_cpu_process": top_of_list("processes", "cpu_percent"),
+        "top_mem_process": top_of_list("processes", "memory_percent")}).drop("processes", "disk_write_bytes")
+
+
+def metric_rows(rows: DataFrame) -> DataFrame:
     """Metrics row with the reference's rounding (1 / 1 / int / 2 digits)."""
-    return ticks.select(
+    return rows.select(
         "id", "ts", F.coalesce("system_id", F.lit("SYSTEM-01")).alias("system_id"),
         F.round("cpu_percent", 1).alias("cpu_percent"),
         F.round("memory_percent", 1).alias("memory_percent"),
         F.col("memory_available_mb").cast("long").cast("double").alias("memory_available_mb"),
         F.round("disk_write_mbps", 2).alias("disk_write_mbps"),
         F.col("process_count").cast("int").alias("process_count"),
-        F.col("process_name").alias("top_cpu_process"),
-        F.col("process_name").alias("top_mem_process"))
+        "top_cpu_process", "top_mem_process")
 
 
 def write_batch(out_dir: str):
-    """foreachBatch body: all four sinks for one micro-batch."""
+    """foreachBatch body: all four sinks for the systems a micro-batch touched."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        tag = F.lit(batch_id).alias("batch_id")
-        # batch ids start again with a new checkpoint: the query id keeps runs apart
-        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "query"
-        part = os.path.join(f"query_id={query}", f"batch_id={batch_id}")
-        metric_rows(batch).select("*", tag).write.mode("overwrite").parquet(
-            os.path.join(out_dir, "metrics", part))
-        predictions(batch).select("*", tag).write.mode("overwrite").parquet(
-            os.path.join(out_dir, "predictions", part))
-        packets = live_packets(batch.withColumn(
-            "memory_available_bytes", F.col("memory_available_mb") * 1048576.0))
-        packets.select("*", tag).write.mode("overwrite").parquet(
-            os.path.join(out_dir, "packets", part))
-        live_log_rows(packets).write.mode("overwrite").option("header", True).csv(
-            os.path.join(out_dir, "live_log", part))
-        batch.unpersist()
+        tables = Replay(out_dir, query_id(batch))
+        ticks = tables.absorb(batch, batch_id)
+        if ticks is None:
+            return
+        rows = materialize(derive_ticks(ticks))
+        tables.publish(_with_bucket(metric_rows, rows), "metrics", batch_id)
+        tables.publish(_with_bucket(predictions, rows), "predictions", batch_id)
+        packets = live_packets(rows.withColumn(
+            "memory_available_bytes", F.col("memory_available_mb") * 1048576.0), ("bucket", "system_id", "id"))
+        tables.publish(packets, "packets", batch_id)
+        tables.publish(live_log_rows(packets, ("bucket",)), "live_log", batch_id, "csv")
     return run
 
 
+def _with_bucket(shape, rows: DataFrame) -> DataFrame:
+    """Rows shaped for a sink, keyed again by the bucket of their system."""
+    from .replay import bucket_of
+    return shape(rows).withColumn("bucket", bucket_of("system_id"))
+
+
 def start_live(spark: SparkSession, source: str, out_dir: str, checkpoint: str,
                available_now: bool = True, max_files: int | None = None):
     """Start the live query; returns the StreamingQuery."""
@@ -112,12 +112,28 @@ def run_to_end(query, timeout_s: float | None = None) -> None:
         raise TimeoutError(f"the stream did not finish within {timeout_s} s")
 
 
+def alert_rows(scored: DataFrame, cooldown_s: float, streak_len: int) -> DataFrame:
+    """T1 + T2 of scored ticks: ``system_id, id, ts, alert_type, streak``."""
+    moderate = moderate_cooldown(scored, cooldown_s).select(
+        "system_id", "id", "ts", F.lit("MODERATE").alias("alert_type"), F.lit(None).cast("long").alias("streak"))
+    high = sustained_high(scored, streak_len).select(
+        "system_id", "id", "ts", F.lit("SUSTAINED_HIGH").alias("alert_type"), F.col("streak").cast("long").alias("streak"))
+    return moderate.unionByName(high)
+
+
 def start_alerts(spark: SparkSession, source: str, out_dir: str, checkpoint: str,
                  cooldown_s: float, streak_len: int, max_files: int | None = None):
-    """Streaming T1 + T2 with keyed state, appended to parquet."""
-    from .state import stateful_alerts
-    ticks = read_ticks(spark, source, max_files).withColumn("risk_score", R.risk_score())
-    alerts = stateful_alerts(ticks, cooldown_s, streak_len)
-    return (alerts.writeStream.format("parquet").option("path", out_dir)
-            .option("checkpointLocation", checkpoint).outputMode("append")
+    """Streaming T1 + T2 in event order; read them with ``replay.read_latest(..., "alerts")``."""
+    from .replay import bucket_of
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        tables = Replay(out_dir, query_id(batch))
+        ticks = tables.absorb(batch, batch_id)
+        if ticks is not None:
+            scored = materialize(ticks.withColumn("risk_score", R.risk_score()))
+            tables.publish(alert_rows(scored, cooldown_s, streak_len)
+                           .withColumn("bucket", bucket_of("system_id")), "alerts", batch_id)
+
+    return (read_ticks(spark, source, max_files).select("system_id", "id", "ts", "cpu_percent", "memory_percent")
+            .writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

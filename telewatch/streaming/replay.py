@@ -1,0 +1,84 @@
+"""Event-order results of a stream whose ticks may arrive in any order.
+
+Micro-batches are appended to a tick table in buckets of systems.  After each
+batch, the buckets it touched are derived again from all their ticks by the
+batch operators, in event order, and published as a new version of those
+buckets; a late tick simply changes what its bucket says.  Nothing depends on
+how ticks were cut into files or batches, and nothing is dropped.
+
+A batch writes only folders named by its query and batch id, so a retried
+batch replaces its own output.  The manifest names the last version of every
+bucket; readers take that version.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BUCKETS = 64
+
+
+def bucket_of(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def query_id(batch: DataFrame) -> str:
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "query"
+
+
+class Replay:
+    """Tables of one stream under ``out``; one instance per query run."""
+
+    def __init__(self, out: str, query: str):
+        self.base = os.path.join(out, f"query_id={query}")
+
+    def _write(self, df: DataFrame, name: str, batch_id: int, fmt: str = "parquet") -> None:
+        w = df.write.mode("overwrite")
+        if name == "ticks":
+            w = w.partitionBy("bucket")
+        if fmt == "csv":
+            w = w.option("header", True)
+        w.format(fmt).save(os.path.join(self.base, name, f"batch_id={batch_id}"))
+
+    def absorb(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
+        """Append the batch; all ticks so far of the buckets it touched."""
+        spark = batch.sparkSession
+        self._write(batch.withColumn("bucket", bucket_of("system_id")), "ticks", batch_id)
+        own = spark.read.schema(f"{_ddl(batch)}, bucket int").parquet(
+            os.path.join(self.base, "ticks", f"batch_id={batch_id}"))
+        touched = sorted(r[0] for r in own.select("bucket").distinct().collect())    # at most BUCKETS
+        self._write(spark.createDataFrame([(b,) for b in touched], "bucket int"), "manifest", batch_id)
+        if not touched:
+            return None
+        ticks = spark.read.schema(f"{_ddl(batch)}, batch_id long, bucket int").parquet(
+            os.path.join(self.base, "ticks"))
+        return ticks.where(F.col("bucket").isin(touched) & (F.col("batch_id") <= batch_id)).drop("batch_id")
+
+    def publish(self, df: DataFrame, name: str, batch_id: int, fmt: str = "parquet") -> None:
+        """A new version of ``name`` (with its ``bucket`` column) for the touched buckets."""
+        self._write(df, name, batch_id, fmt)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def read_latest(spark: SparkSession, out: str, name: str, fmt: str = "parquet") -> DataFrame:
+    """The current rows of ``name``: per query and bucket those of its last version."""
+    last = _read(spark, out, "manifest", "parquet").groupBy("query_id", "bucket").agg(
+        F.max("batch_id").alias("batch_id"))
+    rows = _read(spark, out, name, fmt).withColumn("bucket", F.col("bucket").cast("int"))
+    return rows.join(last, ["query_id", "bucket", "batch_id"]).drop("query_id", "bucket", "batch_id")
+
+
+def _read(spark: SparkSession, out: str, name: str, fmt: str) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", True).format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    df = reader.load(os.path.join(out, "query_id=*", name))
+    path = F.col("_metadata.file_path")
+    return df.select("*", F.regexp_extract(path, r"query_id=([^/]+)", 1).alias("query_id"),
+                     F.regexp_extract(path, r"batch_id=(\d+)", 1).cast("long").alias("batch_id"))

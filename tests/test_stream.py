@@ -1,99 +1,110 @@
-"""Batch equals stream: the live pipeline and keyed-state alerts over tick files."""
+"""Batch equals stream, however the ticks are cut into files and ordered."""
 
 import glob
 import os
+import random
 import tempfile
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from telewatch.functions import risk as R
 from telewatch.operators import alerts as A
+from telewatch.plans.catalog_stream import ticks
 from telewatch.sources.tables import telemetry
-from telewatch.streaming.live import run_to_end, start_alerts, start_live
+from telewatch.streaming.live import derive_ticks, run_to_end, start_alerts, start_live
+from telewatch.streaming.replay import read_latest
 
 from .conftest import SF001
 
 
-def _tick_files(spark, base):
-    """Telemetry split into 4 time-ordered parquet files (4 micro-batches)."""
-    t = telemetry(spark, SF001)
-    days = t.select(F.dayofmonth("ts").alias("d")).distinct().count()
-    t = t.withColumn("_part", ((F.dayofmonth("ts") - 1) * 4 / F.lit(max(days, 1))).cast("int"))
-    for p in range(4):
-        t.filter(F.col("_part") == p).drop("_part").coalesce(1).write.mode("overwrite") \
-            .parquet(os.path.join(base, "ticks", f"part{p}"))
-    for p in range(4):  # flatten: the file source reads one folder
-        for f in glob.glob(os.path.join(base, "ticks", f"part{p}", "*.parquet")):
-            os.link(f, os.path.join(base, "ticks", f"{p}-{os.path.basename(f)}"))
-    return os.path.join(base, "ticks")
-
-
-def test_live_pipeline_writes_all_sinks(spark):
+def _tick_files(spark, n, shuffled=False):
+    """Ticks in n time-ordered files, linked into a folder in or out of order."""
     base = tempfile.mkdtemp(prefix="telewatch-stream-")
-    src = _tick_files(spark, base)
-    q = start_live(spark, src + "/*.parquet", os.path.join(base, "out"),
-                   os.path.join(base, "ckpt"), max_files=1)
-    run_to_end(q, 300)
-    n = telemetry(spark, SF001).count()
-    metrics = spark.read.parquet(os.path.join(base, "out", "metrics"))
-    preds = spark.read.parquet(os.path.join(base, "out", "predictions"))
-    assert metrics.count() == n and preds.count() == n
-    assert metrics.select("batch_id").distinct().count() >= 2
-    log = spark.read.option("header", True).csv(os.path.join(base, "out", "live_log"))
-    assert [c for c in log.columns if c not in ("batch_id", "query_id")] == ["cpu", "memory", "disk", "risk", "process_count",
-                           "memory_available_mb", "timestamp", "top_cpu_process",
-                           "top_mem_process"]
-
-
-def test_stateful_alerts_equal_batch(spark):
-    base = tempfile.mkdtemp(prefix="telewatch-stream-")
-    src = _tick_files(spark, base)
-    q = start_alerts(spark, src + "/*.parquet", os.path.join(base, "alerts"),
-                     os.path.join(base, "ckpt"), cooldown_s=86400, streak_len=3, max_files=1)
-    run_to_end(q, 300)
-    got = spark.read.parquet(os.path.join(base, "alerts"))
+    ticks(spark, SF001).repartitionByRange(n, "ts").write.parquet(os.path.join(base, "cut"))
+    files = sorted(glob.glob(os.path.join(base, "cut", "*.parquet")))
+    if shuffled:
+        random.Random(5).shuffle(files)
+    os.makedirs(os.path.join(base, "ticks"))
+    for i, f in enumerate(files):
+        target = os.path.join(base, "ticks", f"{i:03d}.parquet")
+        os.link(f, target)
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    return base
+
+
+def _batch_alerts(spark):
     scored = telemetry(spark, SF001).withColumn("risk_score", R.risk_score())
-    t1 = {r["id"] for r in A.moderate_cooldown(scored, 86400).collect()}
-    t2 = {r["id"] for r in A.sustained_high(scored, 3).collect()}
-    assert {r["id"] for r in got.filter("alert_type = 'MODERATE'").collect()} == t1
-    assert {r["id"] for r in got.filter("alert_type = 'SUSTAINED_HIGH'").collect()} == t2
-
-
-def test_alert_state_survives_restart(spark):
-    """Stop after half the tick files, restart from the checkpoint: same fires."""
-    base = tempfile.mkdtemp(prefix="telewatch-stream-")
-    src = _tick_files(spark, base)
-    files = sorted(glob.glob(os.path.join(src, "*.parquet")))
-    live = os.path.join(base, "live")
+    return ({(r["system_id"], r["id"], "MODERATE") for r in A.moderate_cooldown(scored, 86400).collect()}
+            | {(r["system_id"], r["id"], "SUSTAINED_HIGH") for r in A.sustained_high(scored, 3).collect()})
+
+
+def _alerts(spark, out):
+    rows = [(r["system_id"], r["id"], r["alert_type"]) for r in read_latest(spark, out, "alerts").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+@pytest.mark.parametrize("files,shuffled", [(1, False), (3, False), (10, True)])
+def test_alerts_do_not_depend_on_files_or_order(spark, files, shuffled):
+    base = _tick_files(spark, files, shuffled)
+    out = os.path.join(base, "out")
+    run_to_end(start_alerts(spark, os.path.join(base, "ticks"), out, os.path.join(base, "ckpt"),
+                            cooldown_s=86400, streak_len=3, max_files=4), 300)
+    assert _alerts(spark, out) == _batch_alerts(spark)
+
+
+def test_all_sinks_equal_the_batch(spark):
+    base = _tick_files(spark, 6, shuffled=True)
+    out = os.path.join(base, "out")
+    run_to_end(start_live(spark, os.path.join(base, "ticks"), out, os.path.join(base, "ckpt"), max_files=3), 300)
+    want = derive_ticks(ticks(spark, SF001))
+    metrics = read_latest(spark, out, "metrics")
+    cols = ["system_id", "id", "disk_write_mbps", "top_cpu_process", "top_mem_process"]
+    assert metrics.select(cols).exceptAll(want.select(cols)).count() == 0
+    n = want.count()
+    assert [read_latest(spark, out, s).count() for s in ("metrics", "predictions", "packets")] == [n] * 3
+    log = read_latest(spark, out, "live_log", "csv")
+    assert log.count() == n
+    assert log.columns == ["cpu", "memory", "disk", "risk", "process_count", "memory_available_mb",
+                           "timestamp", "top_cpu_process", "top_mem_process"]
+
+
+def test_alerts_survive_a_restart(spark):
+    """Stop after half the tick files, restart from the checkpoint: same alerts."""
+    base = _tick_files(spark, 4)
+    files = sorted(glob.glob(os.path.join(base, "ticks", "*.parquet")))
+    live, out, ckpt = (os.path.join(base, x) for x in ("live", "out", "ckpt"))
     os.makedirs(live)
-    out, ckpt = os.path.join(base, "alerts"), os.path.join(base, "ckpt")
-    for f in files[:2]:
-        os.link(f, os.path.join(live, os.path.basename(f)))
-    run_to_end(start_alerts(spark, live, out, ckpt, cooldown_s=86400, streak_len=3, max_files=1), 300)
-    for f in files[2:]:
-        os.link(f, os.path.join(live, os.path.basename(f)))
-    run_to_end(start_alerts(spark, live, out, ckpt, cooldown_s=86400, streak_len=3, max_files=1), 300)
-    got = spark.read.parquet(out)
-    scored = telemetry(spark, SF001).withColumn("risk_score", R.risk_score())
-    t1 = {r["id"] for r in A.moderate_cooldown(scored, 86400).collect()}
-    assert {r["id"] for r in got.filter("alert_type = 'MODERATE'").collect()} == t1
-    assert got.count() == got.select("id", "alert_type").distinct().count()
+    for half in (files[:2], files[2:]):
+        for f in half:
+            os.link(f, os.path.join(live, os.path.basename(f)))
+        run_to_end(start_alerts(spark, live, out, ckpt, cooldown_s=86400, streak_len=3, max_files=1), 300)
+    assert _alerts(spark, out) == _batch_alerts(spark)
 
 
 def test_a_stream_that_is_not_done_in_time_raises(spark):
-    base = tempfile.mkdtemp(prefix="telewatch-stream-")
-    src = _tick_files(spark, base)
-    q = start_live(spark, src + "/*.parquet", os.path.join(base, "out"), os.path.join(base, "ckpt"), max_files=1)
+    base = _tick_files(spark, 2)
+    q = start_live(spark, os.path.join(base, "ticks"), os.path.join(base, "out"), os.path.join(base, "ckpt"), max_files=1)
     with pytest.raises(TimeoutError):
         run_to_end(q, 0.01)
     assert not q.isActive
 
 
 def test_a_fresh_checkpoint_keeps_earlier_output(spark):
-    base = tempfile.mkdtemp(prefix="telewatch-stream-")
-    src = _tick_files(spark, base)
+    base = _tick_files(spark, 1)
+    out = os.path.join(base, "out")
     for n in range(2):
-        run_to_end(start_live(spark, src + "/*.parquet", os.path.join(base, "out"), os.path.join(base, f"ckpt{n}")), 300)
-    assert spark.read.parquet(os.path.join(base, "out", "metrics")).count() == 2 * telemetry(spark, SF001).count()
+        run_to_end(start_live(spark, os.path.join(base, "ticks"), out, os.path.join(base, f"ckpt{n}")), 300)
+    assert read_latest(spark, out, "metrics").count() == 2 * telemetry(spark, SF001).count()
+
+
+def test_top_process_of_a_tick(spark):
+    from telewatch.operators.derive import top_of_list
+    t = "array<struct<pid:int,name:string,cpu_percent:double,memory_percent:double>>"
+    df = spark.createDataFrame([(1, [(7, "a", 5.0, 1.0), (3, "b", 5.0, 9.0), (9, None, None, None)]), (2, []), (3, None)],
+                               f"id int, processes {t}")
+    got = {r.id: (r.c, r.m) for r in df.select("id", top_of_list("processes", "cpu_percent").alias("c"),
+                                               top_of_list("processes", "memory_percent").alias("m")).collect()}
+    assert got == {1: ("b", "b"), 2: ("N/A", "N/A"), 3: ("N/A", "N/A")}
+    assert df.select(F.lit(1)).count() == 3
