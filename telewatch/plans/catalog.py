@@ -81,6 +81,7 @@ def risk_classes(spark, sf_dir):
         (F.lit(100.0) - pct).alias("remaining_pct"),
         R.failure_window(pct).alias("failure_window"),
         R.cause_text(R.stored_fault(risk)).alias("cause"),
+        R.cause_text(F.upper(R.row_fault())).alias("row_cause"),
         R.recommendation(pct).alias("recommendation"),
         R.warning_flag(pct).alias("warning"),
     )
@@ -127,6 +128,12 @@ SELECT system_id, id, risk_score,
        risk_score * 100.0 >= 60 AS warning
 FROM r"""
 
+RISK_SQL = f"""SELECT *, CASE upper(row_fault) WHEN 'CPU' THEN 'High CPU utilization and abnormal processing load.'
+         WHEN 'MEMORY' THEN 'Memory pressure and reduced available RAM.'
+         WHEN 'DISK' THEN 'High disk activity and write throughput.'
+         ELSE 'No significant anomaly detected.' END AS row_cause
+FROM ({RISK_SQL}) x"""
+
 register("r_risk_classes", "R1 R2 R3 R4 R6 R8 R9 R10 R11 R12 R13 R14 R15 R17 R18",
          RISK_SQL)(risk_classes)
 
@@ -375,6 +382,9 @@ def packet_roundtrip(spark, sf_dir):
     from ..sources.sinks import live_packets
     packets = live_packets(telemetry(spark, sf_dir).withColumn(
         "memory_available_bytes", F.col("memory_available_mb") * 1048576.0))
+    # every fifth packet comes without disk, process count and memory
+    bare = F.regexp_replace("value", r'"(disk|process_count|memory_available_mb)":[^,]*,', "")
+    packets = packets.withColumn("value", F.when(F.col("id") % 5 == 0, bare).otherwise(F.col("value")))
     return Q.normalise_packet(packets)
 
 
@@ -382,9 +392,10 @@ PACKET_SQL = _with(TELEMETRY_CTE) + f"""
 SELECT system_id, id,
        {rnd("cpu_percent", 1)} AS cpu_percent,
        {rnd("memory_percent", 1)} AS memory_percent,
-       {rnd("disk_write_mbps", 2)} AS disk_write_mbps,
-       coalesce(process_count, 0) AS process_count,
-       CAST(trunc(memory_available_mb * 1048576.0 / 1048576.0) AS INTEGER) AS memory_available_mb,
+       CASE WHEN id % 5 = 0 THEN 0.0 ELSE {rnd("disk_write_mbps", 2)} END AS disk_write_mbps,
+       CASE WHEN id % 5 = 0 THEN 0 ELSE coalesce(process_count, 0) END AS process_count,
+       CASE WHEN id % 5 = 0 THEN 0
+            ELSE CAST(trunc(memory_available_mb * 1048576.0 / 1048576.0) AS INTEGER) END AS memory_available_mb,
        {rnd("(cpu_percent * 0.4 + memory_percent * 0.6) / 100.0", 3)} AS risk,
        process_name AS top_cpu_process,
        process_name AS top_mem_process

@@ -134,9 +134,10 @@ register("c8_cpu_temperature", "C8", TEMP_SQL)(cpu_temperature)
 
 
 def session_clock(spark, sf_dir):
-    s = D.sample_numbers(D.session_clock(RD.sessions(spark, sf_dir)))
+    booted = RD.sessions(spark, sf_dir).withColumn("boot_ts", F.date_trunc("month", "ts").cast("timestamp_ntz"))
+    s = D.sample_numbers(D.session_clock(booted, boot_ts="boot_ts"))
     return s.select("session_id", "id", "elapsed_seconds", "elapsed_minutes",
-                    "timestamp_seconds", "sample_number")
+                    "timestamp_seconds", "system_uptime_seconds", "sample_number")
 
 
 CLOCK_SQL = _with(TELEMETRY_CTE, RD.SESSIONS_CTE) + f"""
@@ -146,6 +147,7 @@ SELECT session_id, id,
        {rnd("(epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY session_id)))"
             " / 1000000.0 / 60.0", 1)} AS elapsed_minutes,
        epoch_us(ts) / 1000000.0 AS timestamp_seconds,
+       {rnd("(epoch_us(ts) - epoch_us(date_trunc('month', ts))) / 1000000.0", 0)} AS system_uptime_seconds,
        row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS sample_number
 FROM sessions"""
 
