@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from telewatch.llm import op8_lines as O
 
-LINE = "The quick brown fox jumps over the lazy dog near the river bank in the early morning light"
+LINE = ("The quick brown fox jumps over the lazy dog near the river bank in the early morning light "
+        "while seven grey herons watch from a fallen oak and count small fish below them")
 
 
 def run(df):
