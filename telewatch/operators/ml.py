@@ -23,7 +23,7 @@ from ..functions import risk as R
 from ..schemas import FEATURES
 
 SEED = 42
-ROWS_PER_PARTITION = 500_000     # of the prepared frames (a vector of 10 doubles per row)
+ROWS_PER_PARTITION = 100_000     # of the prepared frames (a vector of 10 doubles per row)
 # The comparison table's model names and columns, in order.
 MODEL_NAMES = ["Random Forest", "XGBoost", "MLP Neural Net", "Logistic Regression"]
 COMPARISON_COLUMNS = ["Model", "Train Acc", "Train F1", "Train Prec", "Train Recall", "Test Acc",
@@ -109,7 +109,7 @@ def fit_and_compare(spark: SparkSession, train: DataFrame, test: DataFrame,
 
     def prepared(side: DataFrame, n: int) -> DataFrame:
         """Only what the fits read, in partitions of bounded size, cached with spill."""
-        parts = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION))
+        parts = max(1, -(-n // ROWS_PER_PARTITION))
         return prep.transform(side).select(needed).repartition(parts).persist()
     tr, te = prepared(train, n_train), prepared(test, n_test)
     rows, fitted = [], {}
