@@ -19,10 +19,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, components, mix, stage, table, window_hashes, word_hashes
+from .common import (arrow_batches, components, mix, pairs_apart, stage, table, window_hashes,
+                     word_hashes)
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 75
@@ -173,19 +174,15 @@ def _open_nodes(members: DataFrame, comp: DataFrame) -> DataFrame:
     """``(node, comp)`` of the members of buckets that hold several components."""
     placed = stage(members.join(comp, "node", "left")
                    .select("key", "node", F.coalesce("component", "node").alias("comp")))
-    several = (placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-               .where(F.col("low") < F.col("high")).select("key"))
+    # a bucket of two is finished: its one pair was the star
+    several = (placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+                                         F.count(F.lit(1)).alias("n"))
+               .where((F.col("low") < F.col("high")) & (F.col("n") > 2)).select("key"))
     return stage(placed.join(several, "key").select("node", "comp").distinct())
 
 
 def _apart(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of different components that can still be similar.
-
-    An exact prefix filter: with the shingles of every set in one order (rarest
-    first), two similar sets share one among the first ``n - ceil(t n) + 1``,
-    and the first one they share leaves enough behind it in both.  Members of
-    the largest component at a shingle are not compared with each other.
-    """
+    """Pairs ``(a, b)`` of ``nodes(node, comp)`` that can still be similar."""
 
     def flatten(batches):
         for batch in batches:
@@ -199,21 +196,7 @@ def _apart(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     rows = nodes.join(sets, "node").select("node", "comp", "shingles").mapInArrow(
         flatten, "node long, comp long, n long, s long")
-    seen = rows.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
-    order = Window.partitionBy("node").orderBy("f", "s")
-    first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    prefix = stage(rows.join(seen, "s").withColumn("i", F.row_number().over(order))
-                   .where((F.col("i") <= first) & (F.col("f") > 1)).drop("f"))
-    top = (prefix.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c"))
-           .groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("top")))
-    few = prefix.join(top, "s").where(F.col("comp") != F.col("top"))
-    a, b = few.alias("a"), prefix.alias("b")
-    behind = 1 + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.comp") != F.col("b.comp"))
-                   & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-                   & ((100 + percent) * behind >= percent * (F.col("a.n") + F.col("b.n"))))
-    return pairs.select(F.least("a.node", "b.node").alias("a"),
-                        F.greatest("a.node", "b.node").alias("b")).distinct()
+    return pairs_apart(rows, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT,

@@ -6,13 +6,16 @@ shingles; candidates share a band of minima, are verified by the exact Jaccard
 similarity of their shingle sets, and the links are joined by a distributed
 union-find.
 
-* Shingles are 12 characters, started at every word and every 6 characters
+* Shingles are 12 characters, started at every word and every 10 characters
   inside longer words, so all characters count and a line has few of them.
 * Minima: the shingle hashes lie on a circle, and the successor of a fixed
-  point is a MinHash of the set (a rotated order).  Sixteen points are read off
+  point is a MinHash of the set (a rotated order).  Twelve points are read off
   the sorted hashes; pairs of successors are the bands.
-* As for documents, a bucket emits a star to its smallest member first; only
-  buckets that stay in several components compare these with each other.
+* A bucket emits stars: all its members against one of them.  What stays apart
+  in a bucket after a few stars meets through an exact prefix filter.
+* Before the wide rows are shuffled a second time, a bit filter of fixed size
+  (broadcast, at most 2**18 words) drops most of those that cannot meet a
+  partner; the exact join follows, so the filter only saves work.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, components, stage, table
+from .common import SPACE_CLASS, components, pairs_apart, stage, table
 
-SHINGLE = r"(?=(.{1,12}))[^ ]{1,6} *"
+SHINGLE = r"(?=(.{1,12}))[^ ]{1,10} *"
 PERCENT = 80
-BANDS = 6                    # pairs of minima, of 16 points on the circle
-POINT_BITS = 4
+POINT_BITS = 4               # 16 points on the circle
+PAIRS = ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11))
+STARS = 6                    # further stars per bucket before the prefix filter
+FILTER_WORDS = 1 << 18       # of 64 bits: the size of the broadcast filter
 
 
 def text_lines(text: Column) -> Column:
@@ -45,24 +50,48 @@ def _rows(docs: DataFrame) -> DataFrame:
             .withColumn("line", line_key(F.col("line"))).where(F.col("line") != ""))
 
 
+def _hashes(line: Column) -> Column:
+    return F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s))
+
+
 def shingles(line: Column) -> Column:
     """Distinct shingle hashes, sorted."""
-    return F.sort_array(F.array_distinct(F.transform(
-        F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s))))
+    return F.sort_array(F.array_distinct(_hashes(line)))
+
+
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, rk, line_no, node, h, keys`` of every line that is not blank:
+    128-bit digest, 64-bit hash and band keys (no text)."""
+    lines = _rows(docs).withColumn("sh", F.sort_array(_hashes(F.col("line"))))
+    return _with_bands(lines).select("doc_id", "rk", "line_no", F.unhex(F.md5("line")).alias("node"),
+                                     F.xxhash64("line").alias("h"), "keys")
 
 
 def _with_bands(rows: DataFrame) -> DataFrame:
     """Adds ``keys``: one per band.  Needs ``sh`` (sorted hashes) as a column."""
     point = 64 - POINT_BITS
-    heads = rows.withColumn("_heads", F.filter("sh", lambda x, i: (i == 0) | (
-        F.shiftright(x, point) != F.shiftright(F.get("sh", i - 1), point))))
+    heads = rows.withColumn("_heads", F.filter("sh", lambda x, i: F.coalesce(
+        F.shiftright(x, point) != F.shiftright(F.get("sh", i - 1), point), F.lit(True))))
+    low = -(1 << (POINT_BITS - 1))
+    used = sorted({p for pair in PAIRS for p in pair})
 
     def successor(b: int) -> Column:          # first head at or after point b, around the circle
-        return F.coalesce(F.get(F.filter("_heads", lambda x: F.shiftright(x, point) >= b), F.lit(0)),
+        return F.coalesce(F.get(F.filter("_heads", lambda x: F.shiftright(x, point) >= low + b), F.lit(0)),
                           F.get("_heads", F.lit(0)))
-    low = -(1 << (POINT_BITS - 1))
-    keys = [F.xxhash64(F.lit(j), successor(low + 2 * j), successor(low + 2 * j + 1)) for j in range(BANDS)]
-    return heads.withColumn("keys", F.array(*keys)).drop("_heads")
+    points = heads.withColumn("_at", F.array(*[successor(b) for b in used]))
+    keys = [F.xxhash64(F.lit(j), F.get("_at", F.lit(used.index(a))), F.get("_at", F.lit(used.index(b))))
+            for j, (a, b) in enumerate(PAIRS)]
+    return points.withColumn("keys", F.array(*keys)).drop("_heads", "_at")
+
+
+def _maybe_in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``column`` (a hash) may be in ``wanted``; none that is gets lost."""
+    word = F.shiftright(F.col(column), 6).bitwiseAND(F.lit(FILTER_WORDS - 1))
+    bits = (wanted.select(word.alias("_word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("_bit"))
+            .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    return (rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
+            .where(F.expr(f"(shiftrightunsigned(_bits, cast({column} & 63 as int)) & 1) = 1"))
+            .drop("_word", "_bits"))
 
 
 def _similar(x: Column, y: Column, percent: int) -> Column:
@@ -70,19 +99,18 @@ def _similar(x: Column, y: Column, percent: int) -> Column:
     return 100 * common >= percent * (F.size(x) + F.size(y) - common)
 
 
-def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similar_lines(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(node, component)`` of the lines with a similar line; a node is the
-    128-bit digest of the compared line."""
-    lines = _rows(docs).select("line").withColumn("h", F.xxhash64("line"))
-    # the outer form infers no filter on the keys, which would repeat their computation per element
-    band = _with_bands(lines.withColumn("sh", shingles(F.col("line")))).select(
-        "h", F.explode_outer("keys").alias("key"))
-    hubs = (band.groupBy("key").agg(F.min("h").alias("hub"), F.max("h").alias("top"))
-            .where(F.col("hub") < F.col("top")).select("key", "hub"))
-    members = stage(band.join(hubs, "key").where(F.col("h") != F.col("hub"))
+    128-bit digest of the compared line.  ``signed`` is ``signed_lines(docs)``,
+    written."""
+    band = signed.select("h", F.explode_outer("keys").alias("key"))
+    hubs = stage(band.groupBy("key").agg(F.min("h").alias("hub"), F.max("h").alias("top"))
+                 .where(F.col("hub") < F.col("top")).select("key", "hub"))
+    members = stage(_maybe_in(band, "key", hubs).join(hubs, "key").where(F.col("h") != F.col("hub"))
                     .select("key", "hub", "h").distinct())
-    wanted = members.select(F.explode(F.array("hub", "h")).alias("h")).distinct()
-    sets = stage(lines.join(wanted, "h", "left_semi")
+    wanted = stage(members.select(F.explode(F.array("hub", "h")).alias("h")).distinct())
+    lines = _rows(docs).select("line").withColumn("h", F.xxhash64("line"))
+    sets = stage(_maybe_in(lines, "h", wanted).join(wanted, "h", "left_semi")
                  .select("h", F.unhex(F.md5("line")).alias("node"), "line").dropDuplicates(["node"])
                  .select("h", "node", shingles(F.col("line")).alias("sh")))
 
@@ -94,27 +122,48 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     links = stage(verify(members.select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()))
     comp = stage(components(links))
-    # buckets left in several components: their members are compared across
-    place = (sets.join(comp, "node", "left")
-             .groupBy("h").agg(F.min(F.coalesce("component", "node")).alias("comp"),
-                               F.max(F.size("sh")).alias("n")))
-    placed = (members.join(place, "h")
-              .join(place.select(F.col("h").alias("hub"), F.col("comp").alias("hub_comp")), "hub"))
-    placed = stage(placed)
-    open_keys = (placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(
-        F.col("comp") != F.col("hub_comp")).alias("apart"))
-        .where((F.col("n") > 1) & (F.col("apart") > 0)).select("key"))
-    rest = stage(placed.select("key", "h", "comp", "n").join(open_keys, "key"))
-    a, b = rest.alias("a"), rest.alias("b")
-    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h"))
-                   & (F.col("a.comp") != F.col("b.comp"))
-                   & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")))
-    extra = stage(verify(cross.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()))
-    if extra.limit(1).count():
-        comp = components(links.unionByName(extra))
+    # Buckets left in several components get stars around other members while
+    # that joins them: around members of the largest buckets first, since they
+    # carry the minima that most others have.  What is still apart is compared
+    # exactly, through the shingles that could link it.
+    everyone = members.select("key", "h").unionByName(members.select("key", F.col("hub").alias("h")).distinct())
+    sizes = stage(everyone.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
+    weight = stage(everyone.join(sizes, "key").groupBy("h").agg(F.sum("size").alias("weight")))
+    rest, apart = _open(everyone, sets, comp)
+    for turn in range(STARS):
+        if not apart:
+            return comp
+        order = F.struct("weight", F.xxhash64(F.col("h"), F.lit(turn)))
+        centre = stage(rest.join(weight, "h").groupBy("key").agg(F.max_by(F.struct("h", "comp"), order).alias("c")))
+        pairs = rest.join(centre, "key").where(F.col("comp") != F.col("c.comp")).select(
+            F.least("h", "c.h").alias("a"), F.greatest("h", "c.h").alias("b")).distinct()
+        links = stage(links.unionByName(verify(pairs)))
+        comp = stage(components(links))
+        before = apart
+        rest, apart = _open(rest.select("key", "h"), sets, comp)
+        if apart > 0.95 * before:
+            break
+    if apart:
+        rows = rest.select("h", "comp").distinct().join(sets.select("h", "sh"), "h").select(
+            F.col("h").alias("node"), "comp", F.size("sh").alias("n"), F.explode_outer("sh").alias("s"))
+        comp = components(stage(links.unionByName(verify(pairs_apart(rows, percent)))))
     return comp
 
 
+def _open(members: DataFrame, sets: DataFrame, comp: DataFrame) -> tuple[DataFrame, int]:
+    """``(key, h, comp)`` of the buckets with several components, and how many
+    pairs of different components they hold.  A bucket of two is finished: its
+    one pair was the star."""
+    place = stage(sets.select("h", "node").join(comp, "node", "left")
+                  .groupBy("h").agg(F.min(F.coalesce("component", "node")).alias("comp")))
+    placed = stage(members.join(place, "h"))
+    per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    several = stage(per.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
+                    .withColumn("pairs", (F.col("n") * F.col("n") - F.col("q")) / 2).where((F.col("pairs") > 0) & (F.col("n") > 2))
+                    .select("key", "pairs"))
+    return stage(placed.join(several.select("key"), "key")), int(several.agg(F.sum("pairs")).first()[0] or 0)
+
+
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with only the first line of every group of similar lines.
 
@@ -125,12 +174,15 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     number) of a group stays.
 
     Recall: a pair with similarity s shares none of the six bands of two
-    minima with probability (1 - s**2)**6 (0.2 % at 0.8); links given are exact.
+    minima with probability (1 - s**2)**6 (0.2 % at 0.8); links given
+    are exact.
 
-    Shape: equal lines meet in a partial aggregate on a 128-bit digest, band
-    rows in a partial minimum and a star join on the band key that adaptive
-    execution can split; the texts are shuffled for the candidates' shingles
-    and once by document at the end.  No line, bucket or group is gathered.
+    Shape: one pass over the texts writes digests and band keys (about 70 bytes
+    per line); equal lines meet in a partial aggregate on the digest, band rows
+    in a partial minimum and a star join on the band key that adaptive
+    execution can split; the texts of candidates are fetched behind the bit
+    filter, and all texts are shuffled once by document at the end.  No line,
+    bucket or group is gathered.
 
     Edge cases: null text counts as '' and stays null; blank lines are never
     removed; a null doc_id comes after every id; rows equal in doc_id and text
@@ -138,9 +190,9 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines and keeps its row; an empty table gives an empty result; extra
     columns are kept (``n_lines`` and ``n_removed`` are replaced).
     """
-    comp = similar_lines(docs, percent)
-    first = (_rows(docs).select("doc_id", "rk", "line_no", F.unhex(F.md5("line")).alias("node"))
-             .groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rk",
+    signed = stage(signed_lines(docs))
+    comp = similar_lines(docs, signed, percent)
+    first = (signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rk",
                                                  "line_no")).alias("first")))
     placed = first.join(comp, "node", "left")
     alone = placed.where(F.col("component").isNull()).select("first")
@@ -174,7 +226,7 @@ k AS (
   SELECT doc_id, rid, raw, line_no, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM l),
 d AS (SELECT line, row_number() OVER () AS n FROM (SELECT DISTINCT line FROM k WHERE line <> '')),
 chunk AS (
-  SELECT n, line, regexp_extract_all(line, '[^ ]{1,6} *') AS parts FROM d),
+  SELECT n, line, regexp_extract_all(line, '[^ ]{1,10} *') AS parts FROM d),
 sh AS (
   SELECT DISTINCT n, substr(line, 1 + coalesce(list_sum(list_transform(parts[1:i - 1], lambda p: length(p))), 0)::BIGINT, 12) AS s
   FROM chunk, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) t),
