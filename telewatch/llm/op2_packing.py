@@ -30,7 +30,7 @@ END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 PER_GROUP = 8_192           # pieces packed together by one task
 NODES = 20_000              # branch-and-bound nodes per group
-WORDS_CACHED = 400_000      # words per generation of the cache of one worker
+WORDS_CACHED = 150_000      # entries per generation of the caches of one worker
 
 
 # ------------------------------------------------------------------ tokens
