@@ -23,13 +23,14 @@ QUERY_EVERY = 50
 PIVOTS = 64                  # bounded sample that fits the index
 PER_CELL = 4_096             # vectors per annulus aimed at
 PER_BLOCK = 1_024            # queries visited together
-LIMIT = 1 << 26              # a larger scaled component would not fit a long score
+LIMIT = 1 << 63              # a scaled component from here on does not fit a long itself
 SLACK = 1e-6                 # relative room for rounding in the bounds
 
 
 def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """``vec_id, v`` (long components ``floor(scale * x)``, x as double) of the
-    rows that take part: id and vector not null, every component finite."""
+    rows that take part: id and vector not null, every component finite and a
+    long when scaled."""
     v = F.col("embedding")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
                   & (F.abs(x.cast("double") * scale) < F.lit(float(LIMIT))))
@@ -45,11 +46,29 @@ def _matrix(lists, dim: int):
     return out
 
 
+def _peak(m) -> int:
+    return max(int(m.max()), -int(m.min()))
+
+
 def _dot(a, b):
-    """Exact integer products; by BLAS while doubles hold every sum."""
-    if a.size and b.size and int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1] < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    """Exact integer products, and a matrix of -1, 0 or 1: below, inside or
+    above what a long holds (None when all are inside); by BLAS while doubles
+    hold every sum."""
+    if not a.size or not b.size:
+        return a @ b.T, None
+    most = _peak(a) * _peak(b) * a.shape[1]
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    if most < 1 << 53:
+        return (x @ y.T).astype(np.int64), None
+    low = a @ b.T                                      # exact modulo 2**64
+    if most < 1 << 63:
+        return low, None
+    # a double sum tells the multiple of 2**64 where its error is far below one
+    high = np.rint((x @ y.T - low) / 2.0 ** 64)
+    error = (np.abs(x) @ np.abs(y).T) * ((a.shape[1] + 4) * 2.0 ** -52)
+    for i, j in np.argwhere(error >= 2.0 ** 61).tolist():
+        high[i, j] = sum(p * q for p, q in zip(a[i].tolist(), b[j].tolist(), strict=True)) + (1 << 63) >> 64
+    return low, np.sign(high).astype(np.int8)
 
 
 def _lift(m, top: float):
@@ -64,7 +83,7 @@ def _distances(a, b):
 
 
 def _visit(pairs: DataFrame, queries: DataFrame, cells: DataFrame, dim: int, k: int) -> DataFrame:
-    """Exact scores of ``pairs(query_id, cell)``: at most k per pair."""
+    """Exact scores of ``pairs(query_id, cell)``: at most k per pair, null if too low for a long."""
     asked = pairs.join(queries, "query_id").select("cell", "block", "query_id", "q")
     visited = asked.select("cell", F.col("block").alias("to")).distinct()
     held = cells.join(visited, "cell").select("cell", F.col("to").alias("block"), "vec_id", "v")
@@ -77,10 +96,19 @@ def _visit(pairs: DataFrame, queries: DataFrame, cells: DataFrame, dim: int, k:
         vec, v = vec[order], _matrix(right.column("v").to_pylist(), dim)[order]
         out = ([], [], [])
         for at in range(0, len(ids), PER_BLOCK):       # a repeated pair cannot widen the matrix
-            s = _dot(q[at:at + PER_BLOCK], v)
+            s, beyond = _dot(q[at:at + PER_BLOCK], v)
             own = ids[at:at + PER_BLOCK, None] == vec[None, :]
-            for row, qid, mine in zip(s, ids[at:at + PER_BLOCK].tolist(), own, strict=True):
-                cand = np.flatnonzero(~mine)
+            low = None if beyond is None else beyond < 0
+            if beyond is not None and (over := (beyond > 0) & ~own).any():
+                i, j = np.argwhere(over)[0]
+                raise OverflowError(f"the score of query {ids[at + i]} and vector {vec[j]} does not fit a long")
+            for i, (row, qid, mine) in enumerate(zip(s, ids[at:at + PER_BLOCK].tolist(), own, strict=True)):
+                cand = np.flatnonzero(~mine if low is None else ~(mine | low[i]))
+                if low is not None and len(cand) < k:  # below every long: after all others
+                    under = np.flatnonzero(low[i] & ~mine)[:k - len(cand)]
+                    out[0].extend([qid] * len(under))
+                    out[1].extend(vec[under].tolist())
+                    out[2].extend([None] * len(under))
                 if len(cand) > 4 * k:
                     floor = np.partition(row[cand], len(cand) - k)[len(cand) - k]
                     cand = cand[row[cand] >= floor]
@@ -112,11 +140,14 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, scale:
     bounded by ``pivots``; every row is indexed and the result is exact.
 
     Edge cases: rows with a null id, a null vector or a null or non-finite
-    component take no part, nor do scaled components of 2**26 or more (the
-    score would not fit); shorter vectors count as filled with zeros; rows
-    with the id of the query are its own; a query id that occurs twice is
-    asked once; fewer than k candidates give fewer rows; empty tables give an
-    empty result; extra columns do not take part.
+    component take no part, nor do rows with a scaled component of 2**63 or
+    more (it is no long itself); products and sums are exact at any size, and
+    a result with a score that does not fit a long raises; vectors that are
+    much longer than the others loosen the bound for all, so more annuli are
+    visited; shorter vectors count as filled with zeros; rows with the id of
+    the query are its own; a query id that occurs twice is asked once; fewer
+    than k candidates give fewer rows; empty tables give an empty result;
+    extra columns do not take part.
     """
     spark = vectors.sparkSession
     arrow_batches(spark, 4096)
@@ -174,7 +205,9 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, scale:
             .join(first, ["query_id", "cell"], "left_anti").select("query_id", "cell"))
     found = near.select("query_id", "vec_id", "score").unionByName(
         _visit(rest, queries, cells, dim, k))
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    fits = F.coalesce("score", F.raise_error(F.lit("a score among the results does not fit a long")).cast("long"))
+    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id",
+                                  fits.alias("score"))
 
 
 def op5_topk(spark, sf_dir) -> DataFrame:

@@ -51,3 +51,39 @@ def test_fewer_candidates_and_empty(spark):
     assert run(spark, [(0, [1.0]), (1, [1.0])]) == {(0, 1, 1, 65536)}
     assert run(spark, [(0, [1.0])]) == set()
     assert run(spark, []) == set()
+
+
+def test_large_finite_vectors_take_part(spark):
+    rows = [(0, [1.0, 2.0]), (50, [-0.5, 3.0]), (1, [2.0 ** 20, 1.0]), (2, [-(2.0 ** 40), 2.0 ** 40]),
+            (3, [-(2.0 ** 45), 0.25]), (100, [2.0 ** 26, 2.0 ** 26 + 8])] + [(i, [i / 8, 1.0]) for i in range(4, 12)]
+    vec = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = set()
+    for q in (0, 50, 100):
+        s = sorted((-sum(a * b for a, b in zip(vec[q], vec[i], strict=True)), i) for i in vec if i != q)
+        want |= {(q, r + 1, i, -score) for r, (score, i) in enumerate(s[:5])}
+    assert {i for _, _, i, _ in want} >= {1, 2}
+    assert run(spark, rows) == want == run(spark, rows, per_cell=2, pivots=3)
+
+
+def test_wide_products_are_exact():
+    import numpy as np
+    rng = random.Random(3)
+    a, b = ([[rng.choice((1, -1)) * rng.getrandbits(rng.choice((8, 30, 45, 62))) for _ in range(6)] for _ in range(40)]
+            for _ in range(2))
+    b += [[-x for x in row[:3]] + row[3:] for row in a]
+    got, beyond = O._dot(np.array(a), np.array(b))
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            true = sum(p * q for p, q in zip(x, y, strict=True))
+            side = (true >= 1 << 63) - (true < -(1 << 63))
+            assert beyond[i, j] == side and (side or got[i, j] == true)
+
+
+def test_a_score_beyond_a_long_raises(spark):
+    far = 2.0 ** 30
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, [(0, [far * 256]), (1, [far * 256])])
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, [(0, [far * 256]), (1, [-far * 256])])
+    low = [(0, [far * 256]), (1, [-far * 256]), *((i, [1.0]) for i in range(2, 7))]
+    assert {r[2] for r in run(spark, low)} == {2, 3, 4, 5, 6}
