@@ -33,27 +33,53 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]),
              "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]),
              "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"])}
-# Words of class, id and role attributes that name a part which is not the article.
-BOILERPLATE = frozenset("ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion "
-                        "banner cookie cookies consent gdpr notice notification popup modal overlay alert "
-                        "newsletter subscribe subscription signup login paywall sidebar side widget widgets nav "
-                        "navbar navigation menu breadcrumb breadcrumbs toolbar topbar footer masthead copyright "
-                        "comment comments disqus reply replies respond share sharing social related "
-                        "recommended recommendations pagination pager skip "
-                        "complementary contentinfo search".split())
+# Words of class, id and role attributes that name a part which is not the article.  A name counts when all its
+# words are listed; a part is left out by its name alone when one of them is in PLAIN, else if its text agrees.
+PLAIN = frozenset("ad ads adv advert advertisement adverts advertising sponsor sponsored promo "
+                  "cookie cookies consent gdpr popup modal "
+                  "newsletter subscribe paywall sidebar widget widgets nav "
+                  "navbar navigation breadcrumb breadcrumbs toolbar topbar footer masthead "
+                  "comment comments disqus pagination pager "
+                  "complementary contentinfo".split())
+BOILERPLATE = PLAIN | frozenset("promotion banner notice notification overlay alert subscription signup login side "
+                                "menu copyright reply replies respond share sharing social related "
+                                "recommended recommendations skip search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_WORDS = frozenset("article main".split())
 SPLIT_NAME = re.compile(r"[^a-z]+")
 CUT_TAG = re.compile(r"<[A-Za-z/!?][^>]*\Z")
 
 
+def _names(attrs) -> tuple[bool | None, bool | None, set[str]]:
+    """What class and role, and what the id, say of an element: None if no name
+    in them is listed, else whether one is plain; and all words of the names."""
+    said: dict[bool, bool | None] = {True: None, False: None}
+    seen: set[str] = set()
+    for k, v in attrs:
+        if k in ("class", "id", "role") and v:
+            for name in v.lower().split():
+                words = {w for w in SPLIT_NAME.split(name) if w}
+                seen |= words
+                if words and words <= BOILERPLATE:
+                    said[k == "id"] = bool(said[k == "id"] or words & PLAIN)
+    return said[False], said[True], seen
+
+
 class _Lines(HTMLParser):
-    """Parser events to lines ``(text, tags, link characters, containers)``."""
+    """Parser events to lines ``(text, tags, link characters, containers)``.
+
+    ``within`` has, for each line, the parts by a name that all its text is in
+    (numbers into ``parts``: is the name plain, does it count only beside an
+    article element)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []    # (tag, container id or -1, left out)
+        self.open: list[tuple[str, int, bool, int]] = []    # (tag, container id or -1, left out, part or -1)
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.kinds: list[str] = []                     # by container id
+        self.parts: list[tuple[bool, bool]] = []
+        self.within: list[frozenset[int]] = []
+        self.shared: frozenset[int] | None = None      # parts that all text of the line so far is in
         self.text: list[str] = []
         self.tags = 0
         self.links = 0
@@ -61,10 +87,12 @@ class _Lines(HTMLParser):
     def _end_line(self):
         words = "".join(self.text).split()
         if words:
-            path = tuple(c for _, c, _ in self.open if c >= 0)
+            path = tuple(c for _, c, _, _ in self.open if c >= 0)
             self.lines.append((" ".join(words), self.tags, self.links, path))
+            self.within.append(self.shared or frozenset())
             self.tags = self.links = 0
         self.text.clear()
+        self.shared = None
 
     def _out(self) -> bool:
         return bool(self.open) and self.open[-1][2]
@@ -75,7 +103,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        names = [t for t, _, _ in self.open]
+        names = [t for t, *_ in self.open]
         if "head" in names and tag not in HEAD_ONLY:
             self._close(len(names) - 1 - names[::-1].index("head"))
         if self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
@@ -89,13 +117,20 @@ class _Lines(HTMLParser):
                 if name in BLOCKS:
                     break
         out = self._out() or tag in NOT_TEXT or tag in NOT_ARTICLE
-        inside = any(t in ("article", "main") for t, _, _ in self.open)
+        inside = any(t in ("article", "main") for t, *_ in self.open)
         if tag == "header" and not inside:
             out = True
+        part = -1
         if not out and tag not in ("html", "body", "article", "main"):
-            words = {w for k, v in attrs if k in ("class", "id", "role") and v
-                     for w in SPLIT_NAME.split(v.lower())}
-            out = bool(words & BOILERPLATE) and not words & ARTICLE_WORDS
+            named, by_id, words = _names(attrs)
+            if tag in HEADINGS or any(t == "article" for t, *_ in self.open):
+                by_id = None                           # an anchor of the article
+            if not words & ARTICLE_WORDS and (named is not None or by_id is not None):
+                if named or by_id and not inside:
+                    out = True
+                else:
+                    part = len(self.parts)
+                    self.parts.append((bool(by_id), named is None and inside))
             role = next((v for k, v in attrs if k == "role"), None)
             if role == "main":
                 tag_kind = "main"
@@ -109,7 +144,7 @@ class _Lines(HTMLParser):
         if tag in BLOCKS and not out:
             container = len(self.kinds)
             self.kinds.append(tag_kind)
-        self.open.append((tag, container, out))
+        self.open.append((tag, container, out, part))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -129,14 +164,17 @@ class _Lines(HTMLParser):
                 return                                 # a stray inline end tag
 
     def _close(self, k: int):
-        if any(t in BLOCKS for t, _, _ in self.open[k:]):
+        if any(t in BLOCKS for t, *_ in self.open[k:]):
             self._end_line()
         del self.open[k:]
 
     def handle_data(self, data):
         if not self._out():
             self.text.append(data)
-            if any(t == "a" for t, _, _ in self.open):
+            if data.strip():
+                here = frozenset(p for *_, p in self.open if p >= 0)
+                self.shared = here if self.shared is None else self.shared & here
+            if any(t == "a" for t, *_ in self.open):
                 self.links += len(data.strip())
 
 
@@ -170,6 +208,34 @@ def threshold(values: list[float]) -> float:
     return cut
 
 
+def _ratios(lines) -> tuple[list[float], float]:
+    ratio = smooth([len(t) / max(1, tags) for t, tags, _, _ in lines])
+    return ratio, threshold(ratio)
+
+
+def _left_out(parser: _Lines) -> set[int]:
+    """Lines of the named parts whose text is sparse or mostly links."""
+    lines, gone = parser.lines, set()
+    article = "article" in parser.kinds
+    members: dict[int, list[int]] = {}
+    for i, parts in enumerate(parser.within):
+        for p in parts:
+            members.setdefault(p, []).append(i)
+    if not members:
+        return gone
+    _, cut = _ratios(lines)
+    for p, mine in members.items():
+        plain, beside = parser.parts[p]
+        if beside and not article:
+            continue
+        size = sum(len(lines[i][0]) for i in mine)
+        # smoothed among its own lines, so that its surroundings do not count
+        own = smooth([len(lines[i][0]) / max(1, lines[i][1]) for i in mine])
+        if plain or sum(own) / len(own) < cut or 2 * sum(lines[i][2] for i in mine) > size:
+            gone.update(mine)
+    return gone
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the main text joined by one space; '' when there is none."""
     if not html:
@@ -180,11 +246,11 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser._end_line()
-    lines, kinds = parser.lines, parser.kinds
+    gone, kinds = _left_out(parser), parser.kinds
+    lines = [line for i, line in enumerate(parser.lines) if i not in gone]
     if not lines:
         return ""
-    ratio = smooth([len(t) / max(1, tags) for t, tags, _, _ in lines])
-    cut = threshold(ratio)
+    ratio, cut = _ratios(lines)
     content = [i for i, r in enumerate(ratio) if r >= cut]
     size = sum(len(lines[i][0]) for i in content)
 

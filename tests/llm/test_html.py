@@ -54,3 +54,28 @@ def test_whole_driver_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF001}/pages.parquet").collect()}
     assert len(got) == len(pages)
     assert all(r.text == O.main_text(pages[r.page_id]) and r.n_chars == len(r.text) > 0 for r in got)
+
+
+def test_heading_anchors_and_slugs_do_not_name_a_part():
+    text = "A sentence of the article that goes on for quite a while, as sentences of articles do."
+    for slug in ("search", "search-algorithms", "related-work", "social-impact", "share", "comments", "side-effects"):
+        article = (f'<article><h1 id="{slug}">On it</h1><p>{text}</p><h2 id="{slug}">Short head</h2><p id="{slug}">Les.</p>'
+                   f'<section id="{slug}"><h3>More</h3><p>{text}</p></section></article>')
+        want = f"On it {text} Short head Les. More {text}"
+        assert O.main_text(f"<body><nav>menu</nav>{article}<footer>f</footer></body>") == want
+        assert O.main_text(f"<body><main>{article[9:-10]}</main></body>") == want
+    for name in ("related-work", "alert-fatigue", "ad-hoc", "menu-design"):
+        assert O.main_text(f'<article><p>{text}</p><div class="{name}">Les.</div></article>') == f"{text} Les."
+
+
+def test_a_name_that_may_be_of_the_article_needs_its_text_to_agree():
+    text = "A sentence of the article that goes on for quite a while, as sentences of articles do."
+    for name in ("notice", "alert", "related", "social"):
+        assert O.main_text(f'<article><p>{text}</p><div class="{name}"><p>{text}</p></div></article>') == f"{text} {text}"
+        links = "".join(f"<li><a href=/{i}>{text}</a></li>" for i in range(3))
+        assert O.main_text(f'<article><p>{text}</p><ul class="{name}">{links}</ul></article>') == text
+        assert O.main_text(f'<article><p>{text}</p><div class="{name}">Go</div><p>{text}</p></article>') == f"{text} {text}"
+        assert O.main_text(f'<article><p>{text} <b class="{name}">Go</b></p></article>') == f"{text} Go"
+    for name in ("ad", "x comments", "cookie-notice"):
+        assert O.main_text(f'<article><p>{text}</p><div class="{name}"><p>{text}</p></div></article>') == text
+    assert O.main_text(f'<main><article><p>{text}</p></article><div id="comments"><p>{text * 9}</p></div></main>') == text
