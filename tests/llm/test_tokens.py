@@ -64,3 +64,39 @@ def test_a_large_id_and_a_partial_id(spark):
     with open(f"{folder}/f.bin", "wb") as f:
         f.write(np.array([256, 1, 0, 65535, 0], "<u2").tobytes() + b"\x01")   # zero bytes inside ids
     assert counts(spark, folder) == [("f.bin", 0, 0, 2, True), ("f.bin", 1, 3, 1, True)]
+
+
+def test_a_file_above_two_gigabytes(spark):
+    folder = tempfile.mkdtemp(prefix="telewatch tok%20-")
+    size, ends = (1 << 31) + 4096, [5, 1 << 20, (1 << 30) + 17, (1 << 30) + 2000]
+    with open(f"{folder}/f.bin", "wb") as f:           # sparse: ids 0 but for the separators
+        f.truncate(size)
+        for e in ends:
+            f.seek(2 * e)
+            f.write(b"\x07\x00")
+    starts = [0, *(e + 1 for e in ends)]
+    want = [("f.bin", i, a, b - a, i < len(ends)) for i, (a, b) in enumerate(zip(starts, [*ends, size // 2], strict=True))]
+    assert counts(spark, folder, separator=7) == want
+
+
+def test_written_files_are_bounded_by_bytes(spark, monkeypatch):
+    import os
+    rows = [(" ".join(["word"] * (i % 50)),) for i in range(300)]
+    docs = spark.createDataFrame(rows, "text string").coalesce(1)
+    folder = tempfile.mkdtemp(prefix="telewatch-tok-")
+    monkeypatch.setattr(O, "FILE_BYTES", 4096)
+    O.write_token_files(docs, folder)
+    sizes = [os.path.getsize(f"{folder}/{n}") for n in os.listdir(folder) if n.startswith("part-")]
+    assert len(sizes) > 1 and max(sizes) <= 4096
+    assert sorted(r[3] for r in counts(spark, folder)) == sorted(i % 50 for i in range(300))
+
+
+def test_blocks_read_by_spark_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    folder = tempfile.mkdtemp(prefix="telewatch-tok-")
+    docs = [list(map(int, rng.integers(1, 9, n))) for n in (0, 40, 3, 700, 0)]
+    flat(folder, "f.bin", docs, tail=[4])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.tok.link./in", f"file://{folder}")
+    got = counts(spark, "viewfs://tok/in", block=64)
+    assert got == counts(spark, folder, block=64) == expected({"f.bin": (docs, [4])})
