@@ -186,9 +186,10 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def completions(count: list[int], sizes: list[int], room: int, width: int = 24) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the multiset ``count`` by waste.
+    """The most promising fillings of ``room`` from the multiset ``count`` by waste.
 
-    One, two or three sizes, largest first; what then still fits is filled
+    At most ``width`` first pieces, and for each as many second ones that leave
+    a perfect third, are looked at (``every_completion`` has all).  One, two or three sizes, largest first; what then still fits is filled
     greedily.  A filling is dominated when another of no more pieces uses at
     least as much of the room with pieces that are larger one by one, so for
     a chosen prefix only the largest last piece is tried.
@@ -245,6 +246,37 @@ def completions(count: list[int], sizes: list[int], room: int, width: int = 24)
     return sorted(found, key=lambda f: (found[f], len(f), [-x for x in f]))
 
 
+def every_completion(count: list[int], sizes: list[int], room: int) -> Iterator[tuple[int, ...] | None]:
+    """All fillings of ``room`` to which no piece left can be added, lazily and
+    largest pieces first; None for a dead end (a piece passed over still fits)."""
+    stock = [s for s in reversed(sizes) if s <= room]
+    free = [count[s] for s in stock]
+    ascending = stock[::-1]
+    fill: list[int] = []                                  # places in ``stock``
+    at, left, n = 0, room, len(stock)
+    while True:
+        grown = not fill and at == 0
+        while True:
+            at = max(at, n - bisect_left(ascending, left + 1))
+            while at < n and not free[at]:
+                at += 1
+            if at >= n:
+                break
+            fill.append(at)
+            free[at] -= 1
+            left -= stock[at]
+            grown = True
+        if grown:
+            least = next((stock[k] for k in range(n - 1, -1, -1) if free[k]), room + 1)
+            yield None if least <= left else tuple(stock[k] for k in fill)
+        if not fill:
+            return
+        at = fill.pop()
+        free[at] += 1
+        left += stock[at]
+        at += 1
+
+
 def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
     """Pack ``lengths`` into few bins: branch and bound over bin completions.
 
@@ -252,8 +284,10 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> lis
     meets the lower bound ``ceil(sum / capacity)``.  Else depth-first search:
     the largest piece left opens a bin, its completions are tried by waste,
     and a branch whose waste exceeds what an improved solution may lose is
-    pruned.  ``nodes`` bounds the search; the incumbent is then returned, so
-    every piece is always placed.
+    pruned.  The first search takes the promising completions of each bin; when
+    it is exhausted, a second one takes all, so that its end is a proof.
+    ``nodes`` bounds both together; the incumbent is then returned, so every
+    piece is always placed.
     """
     incumbent = best_fit(lengths, capacity)
     total = sum(lengths)
@@ -268,7 +302,7 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> lis
     best_n = len(incumbent)
     # one frame per bin: (pieces of the bin, options left, waste before)
     chosen: list[tuple[int, ...]] = []
-    options: list[list[tuple[int, ...]]] = []
+    options: list[Iterator[tuple[int, ...] | None]] = []
     wastes = [0]
     placed = 0
     visited = 0
@@ -290,47 +324,56 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> lis
             return None
         top = sizes[-1]
         take((top,))
-        fills = completions(count, sizes, capacity - top)
+        fills = fillings(count.copy(), sizes.copy(), capacity - top)
         give((top,))
-        return [(top, *f) for f in reversed(fills)]
-
-    frame = open_bin()
-    while frame is not None:
-        options.append(frame)
-        frame = None
-        while options:
-            allowed = (best_n - 1) * capacity - total     # waste an improvement may have
-            if visited >= nodes or allowed < 0:
-                options.clear()
-                break
-            if len(chosen) == len(options):               # back at this bin: undo its filling
-                fill = chosen.pop()
-                give(fill)
-                placed -= sum(fill)
-                wastes.pop()
-            if not options[-1]:
-                options.pop()
-                continue
-            fill = options[-1].pop()
-            waste = wastes[-1] + capacity - sum(fill)
-            visited += 1
-            last = placed + sum(fill) == total            # the last bin may stay part empty
-            if (waste - (capacity - sum(fill)) if last else waste) > allowed \
-                    or len(chosen) + 1 >= best_n:
-                continue
-            take(fill)
-            chosen.append(fill)
-            placed += sum(fill)
-            wastes.append(waste)
-            if last:
-                best, best_n = list(chosen), len(chosen)
-                if best_n <= bound:
+        return ((top, *f) if f is not None else None for f in fills)
+
+    ended = False
+    for fillings in (completions, every_completion):
+        frame = open_bin()
+        while frame is not None:
+            options.append(frame)
+            frame = None
+            while options:
+                allowed = (best_n - 1) * capacity - total     # waste an improvement may have
+                if visited >= nodes or allowed < 0:
+                    ended = True
                     options.clear()
                     break
-                continue
-            frame = open_bin()
-            break
-        if not options:
+                if len(chosen) == len(options):               # back at this bin: undo its filling
+                    fill = chosen.pop()
+                    give(fill)
+                    placed -= sum(fill)
+                    wastes.pop()
+                fill = next(options[-1], ())
+                if fill == ():
+                    options.pop()
+                    continue
+                if fill is None:
+                    visited += 1
+                    continue
+                waste = wastes[-1] + capacity - sum(fill)
+                visited += 1
+                last = placed + sum(fill) == total            # the last bin may stay part empty
+                if (waste - (capacity - sum(fill)) if last else waste) > allowed \
+                        or len(chosen) + 1 >= best_n:
+                    continue
+                take(fill)
+                chosen.append(fill)
+                placed += sum(fill)
+                wastes.append(waste)
+                if last:
+                    best, best_n = list(chosen), len(chosen)
+                    if best_n <= bound:
+                        ended = True
+                        options.clear()
+                        break
+                    continue
+                frame = open_bin()
+                break
+            if not options:
+                break
+        if ended:
             break
     if best is None:
         return incumbent

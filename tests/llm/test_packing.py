@@ -92,3 +92,29 @@ def test_groups_lose_little(spark, per_group):
     assert len(got) == len(rows)
     bound = -(-sum(r[1] for r in rows) // O.CAPACITY)
     assert check_packing(got) <= bound * 1.05 + 1
+
+
+@pytest.mark.parametrize("capacity,lengths,bins", [
+    (200, [128, 121, 95, 50, 47, 34, 31, 24, 21, 18, 15, 8, 6, 2], 3),
+    (200, [157, 113, 81, 67, 52, 31, 25, 24, 22, 21, 7], 3),
+    (200, [134, 106, 103, 102, 84, 80, 68, 65, 60, 56, 50, 47, 43, 43, 37, 36, 30, 24, 12, 12, 4, 4], 6)])
+def test_an_exhausted_search_is_a_proof(capacity, lengths, bins):
+    packed = O.bin_completion(lengths, capacity)
+    assert sorted(i for b in packed for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= capacity for b in packed)
+    assert len(packed) == bins == -(-sum(lengths) // capacity)
+
+
+@given(st.lists(st.integers(1, 20), max_size=8), st.integers(0, 40))
+@settings(max_examples=150, deadline=None)
+def test_every_completion(lengths, room):
+    from itertools import combinations
+    want = set()
+    for r in range(len(lengths) + 1):
+        for c in combinations(range(len(lengths)), r):
+            left = room - sum(lengths[i] for i in c)
+            if left >= 0 and all(lengths[i] > left for i in range(len(lengths)) if i not in c):
+                want.add(tuple(sorted((lengths[i] for i in c), reverse=True)))
+    count = [lengths.count(s) for s in range(41)]
+    got = [f for f in O.every_completion(count, sorted(set(lengths)), room) if f is not None]
+    assert len(got) == len(set(got)) and set(got) == want
