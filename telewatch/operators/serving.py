@@ -14,12 +14,13 @@ here every query is per ``system_id`` and runs over the whole history:
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import risk as R
-from .ordered import ordered_scan
+from .ordered import materialize, ordered_scan
 
 DEFAULT_SYSTEM = "SYSTEM-01"
 PAGE_SIZE = 20
@@ -29,11 +30,12 @@ HISTORY_COLUMNS = ["id", "ts", "system_id", "cpu_percent", "memory_percent",
                    "memory_available_mb", "disk_write_mbps", "process_count"]
 
 
-def predictions(metrics: DataFrame, t: R.Thresholds = R.DEFAULT) -> DataFrame:
-    """Stored prediction per metric row in rule mode (R1-R3, R6, R7; ledger L4)."""
+def predictions(metrics: DataFrame, t: R.Thresholds = R.DEFAULT, keep: Sequence[str] = ()) -> DataFrame:
+    """Stored prediction per metric row in rule mode (R1-R3, R6, R7; ledger L4);
+    ``keep`` names further columns of the rows to carry along."""
     risk = R.risk_score()
     return metrics.select(
-        "system_id", "id", "ts",
+        *keep, "system_id", "id", "ts",
         risk.alias("risk_score"),
         R.stored_level(risk, t).alias("risk_level"),
         F.lit(0.95).alias("confidence"),
@@ -165,6 +167,53 @@ def paginate(df: DataFrame, page_size: int = PAGE_SIZE, key: str = "system_id")
             .drop("_pos", "_n"))
 
 
+def write_paged(metrics: DataFrame, path: str, page_size: int = PAGE_SIZE, key: str = "system_id") -> None:
+    """Q7 by keyset, the store: ``rows`` sorted by (key, ts, id) over all files,
+    and ``pages``, a row per page with the key of its first row.
+
+    One ordered scan gives the positions.  Rows without a time have no place in
+    the order and are left out.
+    """
+    scan = materialize(ordered_scan(metrics.where("ts IS NOT NULL"), [key], ["ts", "id"], row_number="_pos",
+                                    key_count="_n"))
+    (scan.drop("_pos", "_n").repartitionByRange(key, "ts", "id").sortWithinPartitions(key, "ts", "id")
+     .write.mode("overwrite").parquet(f"{path}/rows"))
+    (scan.where((F.col("_pos") - 1) % page_size == 0)
+     .select(key, ((F.col("_pos") - 1) / page_size + 1).cast("long").alias("page"),
+             page_count(F.col("_n"), page_size).alias("pages"), "ts", "id")
+     .repartitionByRange(key, "page").sortWithinPartitions(key, "page")
+     .write.mode("overwrite").parquet(f"{path}/pages"))
+
+
+def read_page(spark: SparkSession, path: str, system, page: int, key: str = "system_id") -> DataFrame:
+    """Q7 by keyset: the rows of one page, oldest first, with ``row_in_page`` and ``pages``.
+
+    Two rows of the page index give the range of keys; the read of the rows is a
+    pushed filter on it, which the row group statistics of the sorted files cut
+    to about one row group, however deep the page.  A page that does not exist
+    has no rows.
+    """
+    same = F.col(key).eqNullSafe(F.lit(system))
+    index = spark.read.parquet(f"{path}/pages").where(same & F.col("page").isin(page, page + 1))
+    found = {r["page"]: r for r in index.collect()}                # two rows at most
+    rows = spark.read.parquet(f"{path}/rows").where(same)
+    if page not in found:
+        return rows.where(F.lit(False)).withColumns({"row_in_page": F.lit(0).cast("long"), "pages": F.lit(0).cast("long")})
+
+    def time(r) -> Column:
+        value = F.lit(r["ts"].strftime("%Y-%m-%d %H:%M:%S.%f"))
+        return value.cast(spark.read.parquet(f"{path}/rows").schema["ts"].dataType)
+
+    first, following = found[page], found.get(page + 1)
+    rows = rows.where((F.col("ts") >= time(first)) & ((F.col("ts") > time(first)) | (F.col("id") >= first["id"])))
+    if following is not None:
+        rows = rows.where((F.col("ts") <= time(following))
+                          & ((F.col("ts") < time(following)) | (F.col("id") < following["id"])))
+    order = Window.partitionBy(key).orderBy("ts", "id")             # the rows of one page
+    return rows.withColumns({"row_in_page": F.row_number().over(order).cast("long"),
+                             "pages": F.lit(first["pages"]).cast("long")})
+
+
 def page_count(n_rows: Column, page_size: int = PAGE_SIZE) -> Column:
     return F.greatest(F.lit(1), F.ceil(n_rows / F.lit(page_size))).cast("long")
 

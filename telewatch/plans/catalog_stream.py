@@ -4,6 +4,8 @@ Each builder writes the telemetry of the driver data as raw tick files, runs
 the Structured Streaming query to its end with an ``availableNow`` trigger (a
 few files per micro-batch, in an order that is not the event order), and
 returns what the sinks hold.  The DuckDB twins compute the same rows in batch.
+Ticks of the driver data are hours apart, so they arrive up to two days late
+and the state retains three.
 """
 
 from __future__ import annotations
@@ -14,18 +16,22 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..schemas import TICK
+from ..operators.ordered import materialize
 from ..session import scratch_table_dir
 from ..sources import readings as RD
 from ..sources.tables import TELEMETRY_CTE, telemetry
 from ..streaming.live import run_to_end, start_alerts, start_live
-from ..streaming.replay import read_latest
+from ..streaming.commits import read_sink
 from .catalog import rnd
 from .catalog_alerts import (COOLDOWN_S, MOD_BAND, SCORED_CTE, STREAK, STREAK_CTE,
                              _rec, cooldown_sql)
 from .registry import register
 
-TICK_FILES = 12
-FILES_PER_BATCH = 4
+TICK_FILES = 6
+FILES_PER_BATCH = 2
+DELAY_S = 172_800
+RETAIN_S = 259_200
+LATE_RETAIN_S = 518_400
 
 
 def ticks(spark, sf_dir):
@@ -42,28 +48,50 @@ def ticks(spark, sf_dir):
     return t.select(*[f.name for f in TICK.fields])
 
 
-def write_ticks(spark, sf_dir) -> str:
-    """Tick files dealt by a hash of the tick: no file is a slice of time."""
-    path = scratch_table_dir(spark, f"ticks-{uuid.uuid4().hex}")
-    ticks(spark, sf_dir).repartition(TICK_FILES, F.xxhash64("system_id", "id")).write.parquet(path)
+def write_arrivals(arrivals, path: str) -> str:
+    """One file per value of ``_file``, written in that order (a file source
+    takes files by their time)."""
+    rows = materialize(arrivals)
+    for n in range(TICK_FILES):
+        rows.where(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
+def _span(spark, sf_dir):
+    """First time of the ticks and the seconds that a file covers."""
+    first, last = telemetry(spark, sf_dir).agg(F.min("ts"), F.max("ts")).first()
+    return first, (last - first).total_seconds() / TICK_FILES + 1
+
+
+def _file(seconds, first, width):
+    """Number of the file that an arrival ``seconds`` after a tick falls in."""
+    since = F.timestamp_diff("SECOND", F.lit(first), F.col("ts")) + seconds
+    return F.least(F.lit(TICK_FILES - 1), F.floor(since / F.lit(width)).cast("int"))
+
+
+def write_ticks(spark, sf_dir) -> str:
+    """Tick files by arrival: every tick up to ``DELAY_S`` after its time, by a hash of it."""
+    first, width = _span(spark, sf_dir)
+    delay = F.pmod(F.xxhash64("system_id", "id"), F.lit(DELAY_S))
+    return write_arrivals(ticks(spark, sf_dir).withColumn("_file", _file(delay, first, width)),
+                          scratch_table_dir(spark, f"ticks-{uuid.uuid4().hex}"))
+
+
 def _live(spark, sf_dir) -> str:
     base = scratch_table_dir(spark, f"live-{uuid.uuid4().hex}")
     out = os.path.join(base, "out")
     run_to_end(start_live(spark, write_ticks(spark, sf_dir), out, os.path.join(base, "state"),
-                          max_files=FILES_PER_BATCH))
+                          max_files=FILES_PER_BATCH, cooldown_s=COOLDOWN_S, streak_len=STREAK, retain_s=RETAIN_S))
     return out
 
 
 def live_pipeline(spark, sf_dir):
     """Every tick as the metrics, predictions and packet sinks hold it."""
     out = _live(spark, sf_dir)
-    metrics = read_latest(spark, out, "metrics")
-    preds = read_latest(spark, out, "predictions").select("system_id", "id", "risk_score", "risk_level")
+    metrics = read_sink(spark, out, "metrics")
+    preds = read_sink(spark, out, "predictions").select("system_id", "id", "risk_score", "risk_level")
     packet = F.from_json("value", "disk double, risk double, top_mem_process string, timestamp string")
-    packets = read_latest(spark, out, "packets").select(
+    packets = read_sink(spark, out, "packets").select(
         "system_id", "id", packet["disk"].alias("packet_disk"), packet["risk"].alias("packet_risk"),
         packet["top_mem_process"].alias("packet_mem_process"), packet["timestamp"].alias("packet_time"))
     return metrics.join(preds, ["system_id", "id"]).join(packets, ["system_id", "id"])
@@ -93,7 +121,7 @@ register("t6_live_pipeline", "T6 S9 S10 S11 S12 C2 C5 C13", LIVE_SQL)(live_pipel
 
 def live_log(spark, sf_dir):
     """Every row of the live log, read back from its CSV files as text."""
-    log = read_latest(spark, _live(spark, sf_dir), "live_log", "csv")
+    log = read_sink(spark, _live(spark, sf_dir), "live_log")
     return log.select("timestamp", "top_cpu_process", "top_mem_process",
                       *[F.col(c).try_cast("double").alias(c) for c in ("cpu", "memory", "disk", "risk")],
                       *[F.col(c).try_cast("int").alias(c) for c in ("process_count", "memory_available_mb")])
@@ -113,8 +141,8 @@ def stream_alerts(spark, sf_dir):
     base = scratch_table_dir(spark, f"alerts-{uuid.uuid4().hex}")
     out = os.path.join(base, "out")
     run_to_end(start_alerts(spark, write_ticks(spark, sf_dir), out, os.path.join(base, "state"),
-                            COOLDOWN_S, STREAK, max_files=FILES_PER_BATCH))
-    return read_latest(spark, out, "alerts")
+                            COOLDOWN_S, STREAK, max_files=FILES_PER_BATCH, retain_s=RETAIN_S))
+    return read_sink(spark, out, "alerts")
 
 
 STREAM_ALERTS_SQL = _rec(TELEMETRY_CTE, SCORED_CTE,
@@ -126,3 +154,57 @@ UNION ALL
 SELECT system_id, id, ts, 'SUSTAINED_HIGH', streak FROM streaks"""
 
 register("t1_t2_streaming_state", "T1 T2 S11", STREAM_ALERTS_SQL)(stream_alerts)
+
+
+def late_and_repeated(spark, sf_dir):
+    """S11 of a stream that repeats ticks and brings some far too late.
+
+    Files cover a sixth of the time each; ticks whose id is divisible by 13 come
+    again two files later, those divisible by 29 come with the last file only.
+    One file per micro-batch.  Returns the kept ticks with their counter delta
+    and every tick that was put aside with its kind.
+    """
+    base = scratch_table_dir(spark, f"arrivals-{uuid.uuid4().hex}")
+    first, width = _span(spark, sf_dir)
+    own = F.when(F.col("id") % 29 == 0, TICK_FILES - 1).otherwise(_file(F.lit(0), first, width))
+    rows = ticks(spark, sf_dir).withColumn("_file", own)
+    again = rows.where(F.col("id") % 13 == 0).withColumn("_file", F.least(F.col("_file") + 2, F.lit(TICK_FILES - 1)))
+    source = write_arrivals(rows.unionByName(again), os.path.join(base, "ticks"))
+    out = os.path.join(base, "out")
+    run_to_end(start_live(spark, source, out, os.path.join(base, "state"), max_files=1, cooldown_s=COOLDOWN_S,
+                          streak_len=STREAK, retain_s=LATE_RETAIN_S))
+    kept = read_sink(spark, out, "metrics").select("system_id", "id", "ts", F.lit("tick").alias("kind"), "disk_write_mbps")
+    aside = read_sink(spark, out, "aside").select("system_id", "id", "ts", "kind",
+                                                  F.lit(None).cast("double").alias("disk_write_mbps"))
+    return kept.unionByName(aside)
+
+
+LATE_SQL = "WITH " + TELEMETRY_CTE + f""", counted AS (
+  SELECT system_id, id, ts,
+         sum(CAST(round(value * 100.0) AS BIGINT) * 10486) OVER (PARTITION BY system_id ORDER BY ts, id) AS counter
+  FROM telemetry),
+span AS (SELECT min(ts) AS first, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS s FROM telemetry),
+own AS (
+  SELECT c.*, CASE WHEN id % 29 = 0 THEN {TICK_FILES - 1}
+                   ELSE least({TICK_FILES - 1}, CAST(floor(
+                     (epoch_us(ts) - epoch_us(first)) // 1000000 / (s / {TICK_FILES} + 1)) AS INTEGER)) END AS f
+  FROM counted c, span),
+arrivals AS (
+  SELECT * FROM own UNION ALL
+  SELECT system_id, id, ts, counter, least(f + 2, {TICK_FILES - 1}) FROM own WHERE id % 13 = 0),
+clocked AS (
+  SELECT a.*, (SELECT max(b.ts) FROM arrivals b WHERE b.system_id = a.system_id AND b.f < a.f) AS clock
+  FROM arrivals a),
+judged AS (
+  SELECT *, clock IS NOT NULL AND ts < clock - INTERVAL {LATE_RETAIN_S} SECOND AS late FROM clocked),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY system_id, ts, late ORDER BY f, id) AS n FROM judged),
+kinds AS (
+  SELECT *, CASE WHEN late THEN 'late' WHEN n > 1 THEN 'repeated' ELSE 'tick' END AS kind FROM placed),
+kept AS (
+  SELECT *, counter - lag(counter) OVER (PARTITION BY system_id ORDER BY ts, id) AS moved FROM kinds WHERE kind = 'tick')
+SELECT system_id, id, ts, kind, coalesce({rnd('moved / 1048576.0', 2)}, 0.0) AS disk_write_mbps FROM kept
+UNION ALL
+SELECT system_id, id, ts, kind, NULL FROM kinds WHERE kind <> 'tick'"""
+
+register("s11_late_and_repeated", "S11 T6 C2", LATE_SQL)(late_and_repeated)

@@ -1,9 +1,10 @@
-"""The live pipeline as one Structured Streaming query.
+"""The live pipeline as one Structured Streaming query.
 
-tick files -> (optional duplicate drop on (system_id, id)) -> ``foreachBatch``:
-counter delta against the previous tick (C2), top process of the tick's list
-(C5), scoring, and the four sinks: metrics, predictions, live packets and the
-live log.  Results follow event order however ticks arrive; see ``replay``.
+tick files -> top process of the tick's list (C5) and scoring -> keyed state
+(``state``: order, repeats, counter delta C2, alerts T1 and T2) ->
+``foreachBatch`` appending to the sinks: metrics, predictions, live packets,
+the live log, alerts, and the ticks put aside (late, repeated, untimed).
+``commits.read_sink`` reads them.
 """
 
 from __future__ import annotations
@@ -11,50 +12,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import risk as R
-from ..operators.alerts import moderate_cooldown, sustained_high
-from ..operators.derive import counter_deltas, top_of_list
-from ..operators.ordered import materialize
+from ..operators.derive import MIB, counter_deltas, top_of_list
 from ..operators.serving import predictions
 from ..schemas import TICK
 from ..sources.sinks import live_log_rows, live_packets
-from .replay import Replay, query_id
+from .commits import Sinks, query_id
+from .state import ASIDE, RETAIN_S, tick_changes
 
+COOLDOWN_S, STREAK = 300.0, 30
+PAYLOAD = ("cpu_percent double, memory_percent double, memory_available_mb double, process_count int, "
+           "top_cpu_process string, top_mem_process string")
 
-def read_ticks(spark: SparkSession, path: str, max_files: int | None = None,
-               dedupe_watermark: str | None = None) -> DataFrame:
-    """Tick source (parquet files; a message bus in a deployment).
 
-    By default every tick is kept, late ones included.  With
-    ``dedupe_watermark`` set, repeated ``(system_id, id)`` ticks are dropped
-    within that event-time window; note that Spark then also drops ticks
-    older than the watermark, so only enable it where such ticks are
-    redeliveries, not real data.
-    """
+def read_ticks(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Tick source (parquet files; a message bus in a deployment).  Repeated
+    and late ticks are told apart by the keyed state, none is dropped here."""
     reader = spark.readStream.schema(TICK)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    ticks = reader.parquet(path)
-    if dedupe_watermark:
-        ticks = (ticks.withColumn("event_time", F.col("ts").cast("timestamp"))
-                 .withWatermark("event_time", dedupe_watermark)
-                 .dropDuplicatesWithinWatermark(["system_id", "id"])
-                 .drop("event_time"))
-    return ticks
+    return reader.parquet(path)
+
+
+def _with_top(ticks: DataFrame) -> DataFrame:
+    return ticks.withColumns({"top_cpu_process": top_of_list("processes", "cpu_percent"),
+                              "top_mem_process": top_of_list("processes", "memory_percent")}).drop("processes")
 
 
 def derive_ticks(ticks: DataFrame) -> DataFrame:
-    """C2 + C5 on raw ticks: written MiB since the previous tick of the system
-    (0 on its first), and the busiest processes of the tick's list."""
+    """C2 + C5 on a table of raw ticks: written MiB since the previous tick of the
+    system (0 on its first), and the busiest processes of the tick's list."""
     rows = counter_deltas(ticks, ["disk_write_bytes"], key="system_id")
-    return rows.withColumnRenamed("disk_write_bytes_delta_mb", "disk_write_mbps").withColumns({
-        "top_cpu_process": top_of_list("processes", "cpu_percent"),
-        "top_mem_process": top_of_list("processes", "memory_percent")}).drop("processes", "disk_write_bytes")
+    return _with_top(rows).withColumnRenamed("disk_write_bytes_delta_mb", "disk_write_mbps").drop("disk_write_bytes")
+
+
+def tick_rows(changes: DataFrame) -> DataFrame:
+    """Derived ticks (first versions and revisions) among the changes of a batch."""
+    p = F.from_json("payload", PAYLOAD)
+    delta = F.coalesce(F.round(F.col("moved") / F.lit(MIB), 2), F.lit(0.0))
+    return (changes.where("kind = 'tick'").withColumn("_p", p)
+            .select("system_id", "id", _time().alias("ts"), "rev", "_p.*", delta.alias("disk_write_mbps")))
+
+
+def _time():
+    """Epoch microseconds as a time without a zone, whatever the session zone."""
+    return F.expr("timestamp_ntz '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, "
+                  "cast(cast(t AS decimal(20,0)) / 1000000 AS decimal(18,6)))")
+
+
+def alert_rows(changes: DataFrame) -> DataFrame:
+    return changes.where("kind = 'alert'").select("system_id", "id", _time().alias("ts"), "alert_type", "streak", "sign")
+
 
+def aside_rows(changes: DataFrame) -> DataFrame:
+    return changes.where(F.col("kind").isin(*ASIDE)).select("system_id", "id", _time().alias("ts"), "kind", "payload")
 
-def metric_rows(rows: DataFrame) -> DataFrame:
+
+def metric_rows(rows: DataFrame, *keep: str) -> DataFrame:
     """Metrics row with the reference's rounding (1 / 1 / int / 2 digits)."""
     return rows.select(
+        *keep,
         "id", "ts", F.coalesce("system_id", F.lit("SYSTEM-01")).alias("system_id"),
         F.round("cpu_percent", 1).alias("cpu_percent"),
         F.round("memory_percent", 1).alias("memory_percent"),
@@ -64,34 +80,42 @@ def metric_rows(rows: DataFrame) -> DataFrame:
         "top_cpu_process", "top_mem_process")
 
 
-def write_batch(out_dir: str):
-    """foreachBatch body: all four sinks for the systems a micro-batch touched."""
+def write_batch(out_dir: str, ticks: bool = True):
+    """foreachBatch body: append the batch to all sinks, then commit it."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        tables = Replay(out_dir, query_id(batch))
-        ticks = tables.absorb(batch, batch_id)
-        if ticks is None:
-            return
-        rows = materialize(derive_ticks(ticks))
-        tables.publish(_with_bucket(metric_rows, rows), "metrics", batch_id)
-        tables.publish(_with_bucket(predictions, rows), "predictions", batch_id)
-        packets = live_packets(rows.withColumn(
-            "memory_available_bytes", F.col("memory_available_mb") * 1048576.0), ("bucket", "system_id", "id"))
-        tables.publish(packets, "packets", batch_id)
-        tables.publish(live_log_rows(packets, ("bucket",)), "live_log", batch_id, "csv")
+        sinks = Sinks(batch.sparkSession, out_dir, query_id(batch))
+        batch.persist()
+        try:
+            if ticks:
+                rows = tick_rows(batch)
+                keyed = ("system_id", "id", "rev")
+                sinks.write(metric_rows(rows, "rev"), "metrics", batch_id)
+                sinks.write(predictions(rows, keep=("rev",)), "predictions", batch_id)
+                packets = live_packets(rows.withColumn(
+                    "memory_available_bytes", F.col("memory_available_mb") * 1048576.0), keyed)
+                sinks.write(packets, "packets", batch_id)
+                log = live_log_rows(packets, keyed)
+                sinks.write(log.select(*[c for c in log.columns if c not in keyed], *keyed), "live_log", batch_id)
+            sinks.write(alert_rows(batch), "alerts", batch_id)
+            sinks.write(aside_rows(batch), "aside", batch_id)
+            sinks.commit(batch_id)
+        finally:
+            batch.unpersist()
     return run
 
 
-def _with_bucket(shape, rows: DataFrame) -> DataFrame:
-    """Rows shaped for a sink, keyed again by the bucket of their system."""
-    from .replay import bucket_of
-    return shape(rows).withColumn("bucket", bucket_of("system_id"))
-
-
 def start_live(spark: SparkSession, source: str, out_dir: str, checkpoint: str,
-               available_now: bool = True, max_files: int | None = None):
-    """Start the live query; returns the StreamingQuery."""
-    ticks = read_ticks(spark, source, max_files)
-    writer = (ticks.writeStream.foreachBatch(write_batch(out_dir))
+               available_now: bool = True, max_files: int | None = None, cooldown_s: float = COOLDOWN_S,
+               streak_len: int = STREAK, retain_s: float | None = RETAIN_S):
+    """Start the live query; returns the StreamingQuery.
+
+    ``retain_s`` is how far a tick may lie behind the latest one of its system
+    and still be put in its place (None: any tick); see ``state``.
+    """
+    ticks = _with_top(read_ticks(spark, source, max_files))
+    names = [f.split()[0] for f in PAYLOAD.split(", ")]
+    changes = tick_changes(ticks, cooldown_s, streak_len, retain_s, F.to_json(F.struct(*names)))
+    writer = (changes.writeStream.outputMode("append").foreachBatch(write_batch(out_dir))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="1 second")
@@ -112,28 +136,11 @@ def run_to_end(query, timeout_s: float | None = None) -> None:
         raise TimeoutError(f"the stream did not finish within {timeout_s} s")
 
 
-def alert_rows(scored: DataFrame, cooldown_s: float, streak_len: int) -> DataFrame:
-    """T1 + T2 of scored ticks: ``system_id, id, ts, alert_type, streak``."""
-    moderate = moderate_cooldown(scored, cooldown_s).select(
-        "system_id", "id", "ts", F.lit("MODERATE").alias("alert_type"), F.lit(None).cast("long").alias("streak"))
-    high = sustained_high(scored, streak_len).select(
-        "system_id", "id", "ts", F.lit("SUSTAINED_HIGH").alias("alert_type"), F.col("streak").cast("long").alias("streak"))
-    return moderate.unionByName(high)
-
-
 def start_alerts(spark: SparkSession, source: str, out_dir: str, checkpoint: str,
-                 cooldown_s: float, streak_len: int, max_files: int | None = None):
-    """Streaming T1 + T2 in event order; read them with ``replay.read_latest(..., "alerts")``."""
-    from .replay import bucket_of
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        tables = Replay(out_dir, query_id(batch))
-        ticks = tables.absorb(batch, batch_id)
-        if ticks is not None:
-            scored = materialize(ticks.withColumn("risk_score", R.risk_score()))
-            tables.publish(alert_rows(scored, cooldown_s, streak_len)
-                           .withColumn("bucket", bucket_of("system_id")), "alerts", batch_id)
-
-    return (read_ticks(spark, source, max_files).select("system_id", "id", "ts", "cpu_percent", "memory_percent")
-            .writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+                 cooldown_s: float = COOLDOWN_S, streak_len: int = STREAK, max_files: int | None = None,
+                 retain_s: float | None = RETAIN_S):
+    """Streaming T1 + T2 alone: the alerts and aside sinks of ``start_live``."""
+    ticks = read_ticks(spark, source, max_files).select("system_id", "id", "ts", "cpu_percent", "memory_percent")
+    return (tick_changes(ticks, cooldown_s, streak_len, retain_s).writeStream.outputMode("append")
+            .foreachBatch(write_batch(out_dir, ticks=False)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
