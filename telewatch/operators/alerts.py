@@ -208,12 +208,21 @@ def sustained_high(df: DataFrame, length: int = 30, key: str = "system_id",
                    t: R.Thresholds = R.DEFAULT) -> DataFrame:
     """Every ``length``-th consecutive high sample fires; any other resets
     (also one without a score)."""
-    high = F.coalesce(F.col("risk_score") >= t.band_high, F.lit(False))   # no score: not high
+    high = _is_high(t)
     s = ordered_scan(df, [key], ["ts", "id"], row_number="_rn",
                      last_position={"_last_low": ~high})
+    return _streak_fires(s, length, t)
+
+
+def _is_high(t: R.Thresholds) -> Column:
+    return F.coalesce(F.col("risk_score") >= t.band_high, F.lit(False))   # no score: not high
+
+
+def _streak_fires(scanned: DataFrame, length: int, t: R.Thresholds) -> DataFrame:
+    """T2 on rows that carry their position and that of the last row that was not high."""
     streak = F.col("_rn") - F.coalesce(F.col("_last_low"), F.lit(0))
-    return (s.withColumn("streak", streak)
-            .filter(high & (F.col("streak") % F.lit(length) == 0))
+    return (scanned.withColumn("streak", streak)
+            .filter(_is_high(t) & (F.col("streak") % F.lit(length) == 0))
             .drop("_rn", "_last_low"))
 
 
@@ -237,19 +246,26 @@ def banner_changes(df: DataFrame, key: str = "system_id",
 def with_resolution(df: DataFrame, key: str = "system_id",
                     t: R.Thresholds = R.DEFAULT) -> DataFrame:
     """Adds ``resolved_at``: the first sample at or after each row back in NORMAL band."""
-    normal = F.col("risk_score") < t.band_moderate
-    rev = df.withColumn("_nt", -_micros()).withColumn("_nid", -F.col("id"))
-    s = ordered_scan(rev, [key], ["_nt", "_nid"],
-                     running_max={"_next_normal": F.when(normal, F.struct(F.col("_nt"), F.col("ts")))})
-    return s.withColumn("resolved_at", F.col("_next_normal.ts")).drop("_nt", "_nid", "_next_normal")
+    return ordered_scan(df, [key], ["ts", "id"], next_min={"resolved_at": _normal_time(t)})
+
+
+def _normal_time(t: R.Thresholds) -> Column:
+    return F.when(F.col("risk_score") < t.band_moderate, F.col("ts"))
 
 
 def alert_table(scored: DataFrame, cooldown_s: float = 300.0, streak: int = 30,
                 key: str = "system_id", t: R.Thresholds = R.DEFAULT) -> DataFrame:
-    """Alerts from T1 and T2, with the time each condition cleared."""
-    resolved = materialize(with_resolution(scored, key, t))
-    moderate = moderate_cooldown(resolved, cooldown_s, key, t)
-    high = sustained_high(resolved, streak, key, t)
+    """Alerts from T1 and T2, with the time each condition cleared.
+
+    One ordered scan gives both streaks and resolution times; what can become
+    an alert (the moderate band and the streaks) is written once.
+    """
+    scan = ordered_scan(scored.select("id", "ts", key, "risk_score"), [key], ["ts", "id"], row_number="_rn",
+                        last_position={"_last_low": ~_is_high(t)}, next_min={"resolved_at": _normal_time(t)})
+    risk = F.col("risk_score")
+    scan = materialize(scan.filter(risk >= t.band_moderate))
+    moderate = moderate_cooldown(scan, cooldown_s, key, t)
+    high = _streak_fires(scan, streak, t)
 
     def shape(frame: DataFrame, spec) -> DataFrame:
         kind, sev, fault = spec
@@ -258,3 +274,13 @@ def alert_table(scored: DataFrame, cooldown_s: float = 300.0, streak: int = 30,
                             "resolved_at")
     return shape(moderate, MODERATE_ALERT).unionByName(shape(high, HIGH_ALERT))
 
+
+
+def write_alerts(alerts: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The alert table, one folder per day, for the queries that read it."""
+    (alerts.withColumn("dt", F.to_date("ts")).repartition("dt").sortWithinPartitions("ts", "id")
+     .write.mode(mode).partitionBy("dt").parquet(path))
+
+
+def read_alerts(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("dt")

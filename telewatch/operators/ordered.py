@@ -10,7 +10,9 @@ keys share one.  Each segment is scanned with an ordinary window on
 ``(keys, segment)``; a summary of one row per (key, segment) carries counts,
 last values and running maxima across segment boundaries and is joined back.
 
-There is one algorithm at every size, and a written segment never changes, so
+The input is evaluated once: it is written as it comes, counted from the
+written files, and only what exceeds one segment is laid out again by range.
+The scans are the same at every size, and a written segment never changes, so
 every branch of the plan (and every task retry after an executor loss) agrees
 on it.  Null keys are a key of their own, as in a plain window.  The summary
 has about ``rows / rows_per_segment + keys`` rows; adaptive execution
@@ -48,9 +50,11 @@ def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     splits runs of rows that are equal in every order column.
     """
     per_segment = per_segment or rows_per_segment(df)
-    parts = max(1, -(-df.count() // per_segment))
-    tied = df.withColumn(TIE, F.monotonically_increasing_id())
-    laid = tied.repartitionByRange(parts, *keys, *order, TIE) if parts > 1 else tied.coalesce(1)
+    tied = materialize(df.withColumn(TIE, F.monotonically_increasing_id()))
+    parts = -(-tied.count() // per_segment)                # row counts of the written files
+    if parts <= 1:
+        return tied.withColumn(SEG, F.lit(0))
+    laid = tied.repartitionByRange(parts, *keys, *order, TIE)
     return materialize(laid.withColumn(SEG, F.spark_partition_id()))
 
 
@@ -60,6 +64,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                  running_sums: dict[str, str | Column] | None = None,
                  running_max: dict[str, str | Column] | None = None,
                  last_position: dict[str, Column] | None = None,
+                 next_min: dict[str, str | Column] | None = None,
                  key_count: str | None = None,
                  per_segment: int | None = None) -> DataFrame:
     """Add per-key ordered columns without putting a whole key in one task.
@@ -74,13 +79,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                      ``row_number``) of the latest row so far where the
                      condition held; null when it never held.  This is the
                      gaps-and-islands primitive.
+    ``next_min``     {output: expression} smallest value on this row or a later
+                     one of the key, nulls skipped.
     ``key_count``    name of a column with the number of rows of the key.
     An empty list of keys scans the whole frame as one key.
     """
     lags, last_position = lags or {}, last_position or {}
-    running_sums, running_max = running_sums or {}, running_max or {}
+    running_sums, running_max, next_min = running_sums or {}, running_max or {}, next_min or {}
     keys, order = list(keys), list(order)
-    inputs = {**running_sums, **running_max, **last_position}
+    inputs = {**running_sums, **running_max, **last_position, **next_min}
     seg = segments(df.withColumns({f"_in_{n}": _col(e) for n, e in inputs.items()}) if inputs else df,
                    keys, order, per_segment)
 
@@ -90,6 +97,10 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     cols |= {f"_lag_{out}": F.lag(src).over(w) for out, src in lags.items()}
     cols |= {f"_rs_{n}": F.sum(f"_in_{n}").over(run) for n in running_sums}
     cols |= {f"_rm_{n}": F.max(f"_in_{n}").over(run) for n in running_max}
+    if next_min:                                            # from the last row back
+        back = Window.partitionBy(*keys, SEG).orderBy(*[F.col(c).desc() for c in (*order, TIE)])
+        cols |= {f"_nm_{n}": F.min(f"_in_{n}").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                 for n in next_min}
     local = seg.withColumns(cols)
     if last_position:
         local = local.withColumns({f"_lp_{n}": F.max(F.when(F.col(f"_in_{n}"), F.col("_lrn"))).over(run)
@@ -102,6 +113,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                              F.struct(*[F.col(o) for o in order], F.col(TIE))).alias("_last"))
     aggs += [F.sum(f"_in_{n}").alias(f"_tot_{n}") for n in running_sums]
     aggs += [F.max(f"_in_{n}").alias(f"_max_{n}") for n in running_max]
+    aggs += [F.min(f"_in_{n}").alias(f"_min_{n}") for n in next_min]
     # positions inside a segment exist only after its window
     aggs += [F.max(f"_lp_{n}").alias(f"_lpmax_{n}") for n in last_position]
     summary = (local if last_position else seg).groupBy(*keys, SEG).agg(*aggs)
@@ -116,6 +128,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         carry.append(F.lag("_last").over(ws).alias("_prev"))
     carry += [F.sum(f"_tot_{n}").over(before).alias(f"_cs_{n}") for n in running_sums]
     carry += [F.max(f"_max_{n}").over(before).alias(f"_cm_{n}") for n in running_max]
+    if next_min:
+        after = Window.partitionBy(*keys).orderBy(F.col(SEG).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carry += [F.min(f"_min_{n}").over(after).alias(f"_cn_{n}") for n in next_min]
     carry += [F.col(f"_lpmax_{n}") for n in last_position]
     summary = summary.select(*carry)
     if last_position:
@@ -140,6 +155,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         exprs[n] = F.coalesce(mine + prior, mine, prior)
     for n in running_max:
         exprs[n] = F.greatest(F.col(f"_rm_{n}"), F.col(f"_cm_{n}"))
+    for n in next_min:
+        exprs[n] = F.least(F.col(f"_nm_{n}"), F.col(f"_cn_{n}"))
     for n in last_position:
         exprs[n] = F.coalesce(F.col(f"_lp_{n}") + F.col("_off"), F.col(f"_cl_{n}"))
     out = out.withColumns(exprs)

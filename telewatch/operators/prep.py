@@ -1,9 +1,11 @@
 """Training-set preparation (D1-D8): labelled scan, guard, ids, exact balancing.
 
-Sampling is exact and reproducible: rows are ranked inside each label by a
+Sampling is exact and reproducible: rows are ordered inside each label by a
 seeded md5 of their id (no ``sample``/``randomSplit``, whose sizes vary and
-which change with partitioning).  Ranks come from the skew-safe ordered scan,
-so a label holding a third of the data is still ranked by many tasks.
+which change with partitioning).  The N smallest are found by selection: a
+histogram of the leading bits of the hash (partial aggregates) tells the bucket
+the N-th row is in, and only the rows of that bucket are ranked.  A null label
+is a label of its own.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from .ordered import global_row_number, ordered_scan
 
 TARGET_PER_CLASS = 8366
 SEED = 42
+SELECT_BITS = 16             # leading bits of the hash in the histogram
 
 
 def hash_rank_key(*parts: Column) -> Column:
@@ -33,6 +36,37 @@ def distinct_labels(df: DataFrame, label: str = "label") -> DataFrame:
     return df.select(label).distinct()
 
 
+def pick_smallest(df: DataFrame, wanted: Column, seed: int = SEED, label: str = "label",
+                  id_col: str = "process_id", name: str = "_picked") -> DataFrame:
+    """Adds ``name``: whether a row is among the ``wanted`` rows of its label with
+    the smallest seeded hash (ties by id).
+
+    ``wanted`` is an expression of ``_cnt``, the rows of the label.  The input is
+    read three times (histogram, rows off the border bucket, rows in it); only
+    rows of the border bucket, one in 2**``SELECT_BITS``, are shuffled.
+    """
+    keyed = df.withColumn("_h", hash_rank_key(F.col(id_col), F.lit(seed))).withColumn(
+        "_b", F.shiftright("_h", 60 - SELECT_BITS).cast("int"))
+    bars = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bars = bars.withColumns({"_cnt": F.sum("_n").over(Window.partitionBy(label)),
+                             "_before": F.coalesce(F.sum("_n").over(w), F.lit(0))})
+    left = wanted - F.col("_before")
+    cuts = bars.groupBy(F.col(label).alias("_label")).agg(
+        F.max(F.when(left > 0, F.struct(F.col("_b").alias("b"), left.alias("need")))).alias("_cut"))
+    marked = keyed.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
+    border = F.coalesce(F.col("_cut.b"), F.lit(-1))        # nothing is wanted: no row is below
+    off = marked.where(F.col("_b") != border).withColumn(name, F.col("_b") < border)
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", id_col))
+    on = marked.where(F.col("_b") == border).withColumn(name, rank <= F.col("_cut.need"))
+    return off.unionByName(on).drop("_h", "_b", "_label", "_cut")
+
+
+def _is_one_of(label: str, names: list) -> Column:
+    known = F.col(label).isin([n for n in names if n is not None])
+    return F.coalesce(known, F.lit(False)) | (F.col(label).isNull() if None in names else F.lit(False))
+
+
 def balance(df: DataFrame, n: int = TARGET_PER_CLASS, seed: int = SEED,
             label: str = "label", id_col: str = "process_id") -> DataFrame:
     """Exactly ``n`` rows per label.
@@ -41,33 +75,33 @@ def balance(df: DataFrame, n: int = TARGET_PER_CLASS, seed: int = SEED,
     seeded hash (no repeats).  Smaller labels are drawn with replacement:
     slot ``s`` in 1..n takes the row ranked ``hash(label, s, seed) mod count + 1``.
     Slots are generated with ``spark.range`` (distributed) and matched by an
-    equi-join on (label, rank).
+    equi-join on (label, rank); only these labels are ranked.
     """
     spark = df.sparkSession
-    ranked = ordered_scan(df.withColumn("_h", hash_rank_key(F.col(id_col), F.lit(seed))),
-                          [label], ["_h", id_col], row_number="_rank")
     # one row per label (a handful): fetched once to plan the two branches
     counts = {r[label]: r["_cnt"] for r in
               df.groupBy(label).agg(F.count(F.lit(1)).alias("_cnt")).collect()}
     big = [k for k, c in counts.items() if c >= n]
-    small = sorted(k for k, c in counts.items() if c < n)
-
-    without = ranked.filter(F.col(label).isin(big) & (F.col("_rank") <= n))
+    small = sorted((k for k, c in counts.items() if c < n), key=lambda k: (k is not None, k))
+    without = pick_smallest(df.filter(_is_one_of(label, big)), F.lit(n), seed, label, id_col).filter("_picked").drop("_picked")
     if not small:
-        return without.drop("_h", "_rank")
+        return without
 
+    ranked = ordered_scan(df.filter(_is_one_of(label, small)).withColumn("_h", hash_rank_key(F.col(id_col), F.lit(seed))),
+                          [label], ["_h", id_col], row_number="_rank")
     # slot s of small label i: row hash(label, s, seed) mod count + 1 of that label
-    names = F.array(*[F.lit(k) for k in small])
+    kind = df.schema[label].dataType
+    names = F.array(*[F.lit(k).cast(kind) for k in small])
     sizes = F.array(*[F.lit(counts[k]) for k in small])
     slots = spark.range(0, n * len(small)).select(
-        F.element_at(names, (F.col("id") / F.lit(n)).cast("int") + 1).alias(label),
+        F.element_at(names, (F.col("id") / F.lit(n)).cast("int") + 1).alias("_label"),
         F.element_at(sizes, (F.col("id") / F.lit(n)).cast("int") + 1).alias("_cnt"),
         (F.col("id") % F.lit(n) + 1).alias("_slot"))
     picks = slots.select(
-        label, (F.pmod(hash_rank_key(F.col(label), F.col("_slot"), F.lit(seed)), F.col("_cnt")) + 1)
-        .alias("_rank"))
-    with_rep = ranked.join(picks, [label, "_rank"])
-    return without.unionByName(with_rep).drop("_h", "_rank")
+        "_label", (F.pmod(hash_rank_key(F.col("_label"), F.col("_slot"), F.lit(seed)), F.col("_cnt")) + 1)
+        .alias("_place"))
+    with_rep = ranked.join(picks, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_rank") == F.col("_place")))
+    return without.unionByName(with_rep.drop("_h", "_rank", "_label", "_place"))
 
 
 def audit(df: DataFrame, label: str = "label", file_col: str | None = "source_file",
@@ -87,13 +121,9 @@ def stratified_split(df: DataFrame, train_fraction: float = 0.8, seed: int = SEE
                      label: str = "label", id_col: str = "process_id") -> DataFrame:
     """M3: per label, the floor(fraction * count) rows with the smallest seeded
     hash go to train, the rest to test (column ``split``)."""
-    ranked = ordered_scan(df.withColumn("_h", hash_rank_key(F.col(id_col), F.lit(seed))),
-                          [label], ["_h", id_col], row_number="_rank")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_cnt"))
-    cut = F.floor(F.col("_cnt") * F.lit(train_fraction))
-    return (ranked.join(counts, label)
-            .withColumn("split", F.when(F.col("_rank") <= cut, "train").otherwise("test"))
-            .drop("_h", "_rank", "_cnt"))
+    wanted = F.floor(F.col("_cnt") * F.lit(train_fraction))
+    return (pick_smallest(df, wanted, seed, label, id_col)
+            .withColumn("split", F.when(F.col("_picked"), "train").otherwise("test")).drop("_picked"))
 
 
 def label_index(df: DataFrame, label: str = "label", out: str = "label_idx") -> DataFrame:

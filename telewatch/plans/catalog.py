@@ -7,10 +7,13 @@ and are stated next to each query.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import risk as R
 from ..operators import serving as Q
+from ..session import scratch_table_dir
 from ..sources.tables import TELEMETRY_CTE, telemetry
 from .registry import register
 
@@ -346,6 +349,27 @@ FROM (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY ts, id) AS po
 
 register("q7_pagination", "Q7 Q6", PAGE_SQL)(pagination)
 
+DEEP_PAGE = 3
+
+
+def page_by_keyset(spark, sf_dir):
+    """Q7: one deep page of the first system, read through the page index."""
+    path = scratch_table_dir(spark, f"paged-{uuid.uuid4().hex}")
+    m = telemetry(spark, sf_dir).select("system_id", "id", "ts", "cpu_percent", "memory_percent")
+    Q.write_paged(m, path, page_size=20)
+    first = m.agg(F.min("system_id")).first()[0]
+    return Q.read_page(spark, path, first, DEEP_PAGE).withColumn("page", F.lit(DEEP_PAGE).cast("long"))
+
+
+KEYSET_SQL = f"""WITH {TELEMETRY_CTE}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY ts, id) AS pos,
+         count(*) OVER (PARTITION BY system_id) AS n FROM telemetry)
+SELECT system_id, id, ts, cpu_percent, memory_percent, CAST((pos - 1) % 20 + 1 AS BIGINT) AS row_in_page,
+       CAST(greatest(1, ceil(n / 20.0)) AS BIGINT) AS pages, CAST({DEEP_PAGE} AS BIGINT) AS page
+FROM ranked WHERE system_id = (SELECT min(system_id) FROM telemetry) AND ceil(pos / 20.0) = {DEEP_PAGE}"""
+
+register("q7_page_by_keyset", "Q7", KEYSET_SQL)(page_by_keyset)
+
 
 def latest_series(spark, sf_dir):
     """Q10 with N = 50 (live monitor)."""

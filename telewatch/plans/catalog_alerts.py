@@ -7,10 +7,14 @@ the streak length are scaled to it: moderate cooldown 86,400 s, high gap
 
 from __future__ import annotations
 
+import uuid
+
 from ..functions import risk as R
 from ..operators import alerts as A
 from ..operators import serving as Q
+from ..session import scratch_table_dir
 from ..sources import readings as RD
+from ..sources.files import exists
 from ..sources.tables import TELEMETRY_CTE, telemetry
 from .registry import register
 
@@ -162,8 +166,22 @@ ALERTS_CTES = [TELEMETRY_CTE, SCORED_CTE, RESOLVED_CTE,
 register("t7_alert_table", "T7 T1 T2", _rec(*ALERTS_CTES) + "SELECT * FROM alerts")(alert_rows)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_alerts(spark, sf_dir):
+    """The alert table of ``sf_dir``, written once per application by T7 and read
+    by the queries over it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED or not exists(spark, _STORED[key]):
+        path = scratch_table_dir(spark, f"alerts-{uuid.uuid4().hex}")
+        A.write_alerts(alert_rows(spark, sf_dir), path)
+        _STORED[key] = path
+    return A.read_alerts(spark, _STORED[key])
+
+
 def newest_alerts(spark, sf_dir):
-    return Q.newest(alert_rows(spark, sf_dir), 20)
+    return Q.newest(stored_alerts(spark, sf_dir), 20)
 
 
 register("q3_newest_alerts", "Q3 T7",
@@ -171,7 +189,7 @@ register("q3_newest_alerts", "Q3 T7",
 
 
 def active_alerts(spark, sf_dir):
-    return Q.alert_status(alert_rows(spark, sf_dir), drop_resolved=True)
+    return Q.alert_status(stored_alerts(spark, sf_dir), drop_resolved=True)
 
 
 register("q9_active_alerts", "Q9 T7",

@@ -102,7 +102,7 @@ def audit(spark, sf_dir):
     label are summed, since part file names are random."""
     rows, _ = read_labelled(spark, write_labelled_folders(spark, sf_dir))
     rank = F.create_map(*[F.lit(x) for kv in RD.LABEL_RANK.items() for x in kv])[F.col("label")]
-    ided = materialize(P.assign_ids(rows.withColumn("_rank", rank), ["_rank", "source_file", "_block", "_row"]))
+    ided = materialize(P.assign_ids(rows.withColumn("_rank", rank), ["_rank", "source_file", "place"]))
     per_file = P.audit(ided, columns=[*FEATURES, "label"])
     return per_file.groupBy("label").agg(
         F.sum("rows").alias("rows"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"),

@@ -1,11 +1,11 @@
 """CSV sources (S1-S4) and the per-file schema guard.
 
 Files are never schema-inferred and columns are never taken by position: the
-first line of every file names its columns, which may differ in order and
-number between files.  Lines are read by Spark's text source (any file system
-it can reach), the first line of each file is a small aggregate per file, and
-the fields of a line are looked up through the header of its own file.  No
-file list comes to the driver.
+first record of every file names its columns, which may differ in order and
+number between files.  Records are read by byte range (``ranged``), quoted line
+breaks included, and their fields are looked up through the header of their own
+file.  The header index is written once (one row per file, a few KB read of
+each); no file list comes to the driver.
 """
 
 from __future__ import annotations
@@ -16,64 +16,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import materialize
 from ..schemas import CALIBRATION, FEATURES, LABEL_FOLDERS, MODERATE, TELEMETRY
+from . import ranged
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.exists(p)
 
 
-def _lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """``line`` with its place: file, block of the file, position in the block."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = (spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(paths))
-    return raw.select(F.rtrim(F.col("value"), F.lit("\r")).alias("line"),
-                      F.col("_metadata.file_path").alias("source_file"),
-                      F.col("_metadata.file_block_start").alias("_block"),
-                      F.monotonically_increasing_id().alias("_row"))
-
-
-def headers(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """One row per CSV file that has a line: its path, its header columns and
-    the place of the header (one partial aggregate over the lines)."""
-    first = F.min(F.struct("_block", "_row", "line")).alias("first")
-    return _lines(spark, paths).groupBy("source_file").agg(first).select(
-        F.col("source_file").alias("file"),
-        F.transform(F.split("first.line", ","), lambda c: F.trim(c, F.lit(' "'))).alias("columns"),
-        F.col("first._block").alias("head_block"), F.col("first._row").alias("head_row"))
-
-
 def schema_guard(spark: SparkSession, paths: Sequence[str] | str,
-                 required: Sequence[str] = FEATURES) -> DataFrame:
-    """Per file, the required columns it lacks (empty array = accepted)."""
+                 required: Sequence[str] = FEATURES, nested: bool = False) -> DataFrame:
+    """``file, size, columns, missing`` of every file, from its first record;
+    ``missing`` holds the required columns it lacks (empty = accepted)."""
     req = F.array(*[F.lit(c) for c in required])
-    return headers(spark, paths).select("*", F.array_except(req, F.col("columns")).alias("missing"))
+    found = ranged.headers(spark, ranged.csv_files(spark, paths, nested))
+    return materialize(found.withColumn("missing", F.array_except(req, F.col("columns"))))
 
 
 def read_by_name(spark: SparkSession, paths: Sequence[str] | str, schema: T.StructType,
                  guard: DataFrame | None = None) -> DataFrame:
-    """Rows of CSV files typed by ``schema`` by column name.
+    """Records of CSV files typed by ``schema`` by column name.
 
     A column that a file lacks, and a value that does not parse, is null; other
-    columns of a file are ignored.  ``guard`` limits the read to its files.
-    Adds ``source_file``, ``_block`` and ``_row``: the order of the rows in a
-    file.  Quoted fields are understood, quoted line breaks are not.
+    columns of a file are ignored; of columns with one name the first counts.
+    ``guard`` limits the read to its files; else all ``.csv`` files in and below
+    ``paths`` are read.  Adds ``source_file`` and ``place``, the byte of the file
+    a record starts at.  Quoted fields may hold commas, doubled quotes and line
+    breaks.
     """
-    known = (headers(spark, paths) if guard is None else guard).select(
-        F.col("file").alias("source_file"), "columns", "head_block", "head_row")
+    known = schema_guard(spark, paths, (), nested=True) if guard is None else guard
     width = known.agg(F.max(F.size("columns"))).first()[0] or 1
     names = [f"c{i}" for i in range(width)]
-    fields = F.from_csv("line", ", ".join(f"{n} string" for n in names))
-    rows = (_lines(spark, paths).join(known, "source_file")
-            .where((F.col("_block") != F.col("head_block")) | (F.col("_row") != F.col("head_row")))
-            .where(F.trim("line") != "").withColumn("_f", fields)
+    fields = F.from_csv("record", ", ".join(f"{n} string" for n in names), {"escape": '"'})
+    rows = (ranged.csv_records(spark, known)
+            .join(known.select(F.col("file").alias("source_file"), "columns"), "source_file")
+            .withColumn("_f", fields)
             .withColumn("_v", F.array(*[F.col(f"_f.{n}") for n in names])))
     return rows.select(
         *[F.get("_v", F.array_position("columns", f.name).cast("int") - 1).try_cast(f.dataType).alias(f.name)
-          for f in schema.fields], "source_file", "_block", "_row")
+          for f in schema.fields], "source_file", "place")
 
 
 def read_labelled(spark: SparkSession, base: str, folders: dict[str, str] = LABEL_FOLDERS,
@@ -82,11 +67,13 @@ def read_labelled(spark: SparkSession, base: str, folders: dict[str, str] = LABE
     """S1 + D1-D4: labelled-folder scan.
 
     Returns ``(rows, rejected)``: the feature rows of every accepted file with
-    ``label``, ``source_file`` and their place (``_block``, ``_row``); and
-    ``(file, missing)`` for skipped files.  Missing folders are skipped.
+    ``label``, ``source_file`` and ``place`` (the byte a row starts at); and
+    ``(file, missing)`` for skipped files.  The ``.csv`` files of the folders
+    themselves are read, not those of folders inside them; missing folders are
+    skipped.
     """
     present = [f"{base.rstrip('/')}/{folder}" for folder in folders
-               if _exists(spark, f"{base.rstrip('/')}/{folder}")]
+               if exists(spark, f"{base.rstrip('/')}/{folder}")]
     if not present:
         raise FileNotFoundError(f"no labelled folders under {base}")
     guard = schema_guard(spark, present, required)
@@ -95,19 +82,19 @@ def read_labelled(spark: SparkSession, base: str, folders: dict[str, str] = LABE
     rows = read_by_name(spark, present, wanted, guard.filter(F.size("missing") == 0))
     label_map = F.create_map(*[F.lit(x) for kv in folders.items() for x in kv])
     folder = F.regexp_extract("source_file", r"/([^/]+)/[^/]+$", 1)
-    return (rows.select(*required, "source_file", "_block", "_row", label_map[folder].alias("label")),
+    return (rows.select(*required, "source_file", "place", label_map[folder].alias("label")),
             rejected)
 
 
 def read_telemetry_csv(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """Collector CSV (24 columns) with its declared types, by name."""
-    df = read_by_name(spark, paths, TELEMETRY).drop("source_file", "_block", "_row")
+    df = read_by_name(spark, paths, TELEMETRY).drop("source_file", "place")
     return df.withColumn("ts", F.to_timestamp_ntz("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
 def read_moderate_csv(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """S3: moderate-session CSV (21 columns) with ISO-8601 timestamps, by name."""
-    df = read_by_name(spark, paths, MODERATE).drop("source_file", "_block", "_row")
+    df = read_by_name(spark, paths, MODERATE).drop("source_file", "place")
     return df.withColumn("ts", F.to_timestamp_ntz("timestamp"))
 
 
@@ -116,4 +103,4 @@ def read_calibration_csv(spark: SparkSession, paths: Sequence[str] | str,
     """The four calibration measures of a live-data CSV, declared types, by
     name; ``keys`` are read as text and other columns of the log ignored."""
     schema = T.StructType([T.StructField(k, T.StringType()) for k in keys] + CALIBRATION.fields)
-    return read_by_name(spark, paths, schema).drop("source_file", "_block", "_row")
+    return read_by_name(spark, paths, schema).drop("source_file", "place")

@@ -1,12 +1,19 @@
 """CSV sources and sinks: labelled folders, schema guard, collector / moderate layouts."""
 
+import contextlib
+import csv
+import io
 import os
+import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from telewatch.schemas import FEATURES
-from telewatch.sources.files import (read_calibration_csv, read_labelled, read_moderate_csv,
+from telewatch.schemas import FEATURES, TELEMETRY
+from telewatch.sources import ranged
+from telewatch.sources.files import (read_by_name, read_calibration_csv, read_labelled, read_moderate_csv,
                                      read_telemetry_csv, schema_guard)
 from telewatch.sources.sinks import write_session_files
 
@@ -107,13 +114,98 @@ def test_files_of_one_folder_may_order_columns_differently(spark):
     assert rows == {(1.0, 2.0, 3.0, 4.0), (10.0, 20.0, 30.0, 40.0)}
 
 
-def test_rows_keep_the_order_of_their_file(spark):
+@pytest.mark.parametrize("step", [None, 100, 16_384])
+def test_rows_keep_the_order_of_their_file(spark, step):
     base = tempfile.mkdtemp(prefix="telewatch-rows-")
     _write(f"{base}/normal/a.csv", list(FEATURES), [[float(i)] * 9 + [i] for i in range(3000)])
-    rows, _ = read_labelled(spark, base)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")      # the file is split
+    with _ranges(spark, step):
+        rows, _ = read_labelled(spark, base)
+        got = [r["process_count"] for r in rows.orderBy("source_file", "place").collect()]
+    assert got == list(range(3000))
+
+
+def test_folders_inside_a_labelled_folder_are_not_read(spark):
+    base = tempfile.mkdtemp(prefix="telewatch-nested-")
+    _write(f"{base}/normal/a.csv", list(FEATURES), [[1.0] * 9 + [1]])
+    _write(f"{base}/normal/archive/b.csv", list(FEATURES), [[2.0] * 9 + [2]])
+    _write(f"{base}/normal/archive/c.csv", ["other"], [[2.0]])
+    rows, rejected = read_labelled(spark, base)
+    assert [(r["label"], r["process_count"]) for r in rows.collect()] == [("Normal", 1)]
+    assert rejected.count() == 0
+
+
+@contextlib.contextmanager
+def _ranges(spark, step):
+    if step:
+        spark.conf.set(ranged.RANGE_BYTES_CONF, step)
     try:
-        got = [r["process_count"] for r in rows.orderBy("source_file", "_block", "_row").collect()]
+        yield
     finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert got == list(range(3000))
+        spark.conf.unset(ranged.RANGE_BYTES_CONF)
+
+
+def _quoted_rows(seed, n=300):
+    rng = random.Random(seed)
+    parts = ['plain', 'a,b', 'say ""', '"', '\n', '\r\n', '\n\n', 'é', ' ', 'x' * 50, '1,2\n3,"4"']
+    return [[f"h{i}", str(i / 4), "".join(rng.choice(parts) for _ in range(rng.randint(0, 6))).strip() or "z", str(i)]
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("step", [7, 64, 1000, None])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_equal_a_plain_parser(spark, step, end):
+    base = tempfile.mkdtemp(prefix="telewatch-quoted-")
+    want = {}
+    for name in ("a", "b"):
+        rows = _quoted_rows(name, 40 if step == 7 else 300)
+        with open(f"{base}/{name}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator=end)
+            w.writerow(["hostname", "cpu_percent", "ssd_model", "process_count"])
+            w.writerows(rows)
+        with open(f"{base}/{name}.csv", newline="", encoding="utf-8") as f:
+            want[name] = [(r["hostname"], float(r["cpu_percent"]), r["ssd_model"], int(r["process_count"]))
+                          for r in csv.DictReader(f)]
+    schema = T.StructType([f for f in TELEMETRY.fields
+                           if f.name in ("hostname", "cpu_percent", "ssd_model", "process_count")])
+    with _ranges(spark, step):
+        got = read_by_name(spark, base, schema).orderBy("source_file", "place").collect()
+    for name in want:
+        mine = [(r.hostname, r.cpu_percent, r.ssd_model, r.process_count) for r in got
+                if r.source_file.endswith(f"{name}.csv")]
+        assert mine == want[name]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 10, 1 << 20])
+def test_ranges_cover_every_record_once(monkeypatch, chunk):
+    """Any cut of any file: the records of its ranges are those of the whole file."""
+    monkeypatch.setattr(ranged, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    for _ in range(60):
+        data = "".join(rng.choice(['a', ',', '\n', '"b\nc"', '""', '\r\n', 'é']) for _ in range(rng.randint(0, 40))).encode()
+        whole = list(ranged.records_of(io.BytesIO(data), 0, len(data), False))
+        assert [p for p, _ in whole] == sorted({p for p, _ in whole})
+        for step in (1, 2, 5, 13):
+            got = []
+            for at in range(0, len(data), step):
+                got += ranged.records_of(io.BytesIO(data), at, at + step, data[:at].count(b'"') % 2 == 1)
+            assert got == whole
+
+
+def test_the_guard_reads_a_few_kb_of_each_file(spark, monkeypatch):
+    """A header longer than the first read is read whole; nothing behind it is."""
+    class Counted(io.BytesIO):
+        got = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            Counted.got += len(out)
+            return out
+    wide = [f"column_{i}_with_a_long_name" for i in range(1000)] + ['two\nlines']
+    body = io.StringIO()
+    csv.writer(body).writerow(wide)
+    assert ranged.header_of(Counted(("\ufeff" + body.getvalue() + "1,2,3\n" * 10 ** 6).encode())) == wide
+    assert Counted.got < 70_000
+    Counted.got = 0
+    assert ranged.header_of(Counted(b"a,b\n" + b"1,2\n" * 10 ** 6)) == ["a", "b"]
+    assert Counted.got == ranged.HEAD
+    assert ranged.header_of(io.BytesIO(b"")) == [] and ranged.header_of(io.BytesIO(b"x, y ")) == ["x", "y"]
