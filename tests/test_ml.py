@@ -50,8 +50,8 @@ def test_logistic_regression_floor_and_round_trip(spark):
 
 
 def test_boosted_trees_serve_probabilities(spark):
-    """One-vs-rest margins become class probabilities; the saved pipeline scales
-    with the population statistics of the train side."""
+    """Softmax margins are the class probabilities, also of the saved pipeline, which
+    scales with the population statistics of the train side."""
     t = RD.with_process_ids(RD.training_rows(spark, SF001))
     s = P.stratified_split(t)
     train = s.filter("split = 'train'")
@@ -64,5 +64,10 @@ def test_boosted_trees_serve_probabilities(spark):
     assert {k for r in rows for k in r["probabilities"]} == {"high", "moderate", "normal"}
     z = fitted["XGBoost"].stages[0].transform(train).agg(F.avg("_z_cpu_percent"), F.stddev_pop("_z_cpu_percent")).first()
     assert abs(z[0]) < 1e-9 and abs(z[1] - 1) < 1e-9
+    path = tempfile.mkdtemp(prefix="telewatch-model-") + "/boosted"
+    M.save_model(fitted["XGBoost"], path)
+    again = M.model_level(RD.training_rows(spark, SF001), M.load_model(path))
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
     est = M.estimators(100)
-    assert est["XGBoost"].getClassifier().getMaxIter() == 100 and est["Random Forest"].getMaxDepth() == 30
+    assert est["XGBoost"].getOrDefault("rounds") == 100 and est["Random Forest"].getMaxDepth() == 30
+    assert est["MLP Neural Net"].getOrDefault("hidden") == [64, 32]
