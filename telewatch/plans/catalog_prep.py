@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import ml as M
@@ -17,7 +18,7 @@ from ..operators.ordered import materialize
 from ..schemas import FEATURES
 from ..session import scratch_table_dir
 from ..sources import readings as RD
-from ..sources.files import read_labelled
+from ..sources.files import exists, read_labelled
 from ..sources.tables import TELEMETRY_CTE
 from .catalog_calibrate import sig, sig_sql
 from .registry import register
@@ -246,7 +247,7 @@ def split_then_balance(spark, sf_dir):
         F.sum("process_id").alias("sum_ids"), F.countDistinct("process_id").alias("distinct_ids"))
 
 
-SIDES_SQL = _sql(TELEMETRY_CTE, RD.TRAINING_CTE, RD.IDS_CTE, SPLIT_CTE,
+SIDES_CTES = _sql(TELEMETRY_CTE, RD.TRAINING_CTE, RD.IDS_CTE, SPLIT_CTE,
                  "side AS (SELECT label, process_id FROM split WHERE split = 'train')", f"""ranked AS (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, process_id) AS rk,
          count(*) OVER (PARTITION BY label) AS cnt
@@ -259,7 +260,8 @@ SIDES_SQL = _sql(TELEMETRY_CTE, RD.TRAINING_CTE, RD.IDS_CTE, SPLIT_CTE,
   UNION ALL
   SELECT 'train', r.label, r.process_id FROM picks p JOIN ranked r ON r.label = p.label AND r.rk = p.rk
   UNION ALL
-  SELECT 'test', label, process_id FROM split WHERE split = 'test')""") + """
+  SELECT 'test', label, process_id FROM split WHERE split = 'test')""")
+SIDES_SQL = SIDES_CTES + """
 SELECT split, label, count(*) AS rows, CAST(sum(process_id) AS BIGINT) AS sum_ids,
        count(DISTINCT process_id) AS distinct_ids
 FROM rows_of GROUP BY split, label"""
@@ -267,17 +269,93 @@ FROM rows_of GROUP BY split, label"""
 register("m3_split_then_balance", "M3 D6 M12", SIDES_SQL)(split_then_balance)
 
 
-def model_comparison(spark, sf_dir):
-    """M1, M5-M9, M11, M12 (+ S8 sink, S15 round trip): the whole comparison
-    table, as read back from its CSV."""
+_COMPARED: dict[tuple[str, str], str] = {}
+
+
+def _compared(spark, sf_dir) -> str:
+    """Folder of the comparison of ``sf_dir``: the table as CSV (S8), the saved
+    boosted model (S15), the rows per side, and that model's predictions of the
+    test side.  Written once per application, read by the queries over it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _COMPARED and exists(spark, f"{_COMPARED[key]}/predicted/_SUCCESS"):
+        return _COMPARED[key]
     train, test = comparison_sides(spark, sf_dir)
     table, fitted = M.fit_and_compare(spark, train, test)
     out = scratch_table_dir(spark, f"models-{uuid.uuid4().hex}")
     table.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/comparison")
     M.save_model(fitted["XGBoost"], f"{out}/xgboost")
+    train.select(F.lit("train").alias("split")).unionByName(test.select("split")).groupBy("split").count().write.parquet(
+        f"{out}/sides")
+    test.write.parquet(f"{out}/test")
+    _predicted(fitted["XGBoost"], spark.read.parquet(f"{out}/test")).write.parquet(f"{out}/predicted")
+    _COMPARED[key] = out
+    return out
+
+
+def _predicted(model, rows):
+    return model.transform(rows).select("process_id", "label", "prediction",
+                                        vector_to_array("probability").alias("probability"))
+
+
+def _comparison_table(spark, out: str):
     schema = ", ".join(f"`{c}` {'string' if c == 'Model' else 'double'}" for c in M.COMPARISON_COLUMNS)
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(
         f"{out}/comparison")
 
 
+def model_comparison(spark, sf_dir):
+    """M1, M5-M9, M11, M12 (+ S8 sink, S15 round trip): the whole comparison
+    table, as read back from its CSV."""
+    return _comparison_table(spark, _compared(spark, sf_dir))
+
+
 register("m12_model_comparison", "M1 M5 M6 M7 M8 M9 M10 M11 M12 S8 S15")(model_comparison)
+
+
+ACCURACY_FLOOR = 0.9
+
+
+def model_properties(spark, sf_dir):
+    """What is exact about the comparison, per model: the rows
+    of both sides, measures within 0 and 1, the accuracy floor, times taken."""
+    out = _compared(spark, sf_dir)
+    sides = spark.read.parquet(f"{out}/sides").agg(
+        F.max(F.when(F.col("split") == "train", F.col("count"))).alias("train_rows"),
+        F.max(F.when(F.col("split") == "test", F.col("count"))).alias("test_rows")).first()
+    measures = [c for c in M.COMPARISON_COLUMNS if c.startswith(("Train ", "Test ")) and "Time" not in c]
+    inside = F.forall(F.array(*[F.col(c) for c in measures]), lambda x: (x >= 0) & (x <= 1))
+    return _comparison_table(spark, out).select(
+        F.col("Model").alias("model"), F.lit(sides["train_rows"]).cast("long").alias("train_rows"),
+        F.lit(sides["test_rows"]).cast("long").alias("test_rows"), inside.alias("measures_in_range"),
+        ((F.col("Test Acc") >= ACCURACY_FLOOR) & (F.col("Train Acc") >= ACCURACY_FLOOR)).alias("above_floor"),
+        ((F.col("Latency (μs)") > 0) & (F.col("Train Time (s)") > 0)).alias("timed"))
+
+
+_MODELS = ", ".join(f"('{m}')" for m in M.MODEL_NAMES)
+PROPERTIES_SQL = SIDES_CTES + f"""
+SELECT m.model, (SELECT count(*) FROM rows_of WHERE split = 'train') AS train_rows,
+       (SELECT count(*) FROM rows_of WHERE split = 'test') AS test_rows,
+       true AS measures_in_range, true AS above_floor, true AS timed
+FROM (VALUES {_MODELS}) m(model)"""
+
+register("m12_model_properties", "M5 M6 M7 M8 M11 M12 S8", PROPERTIES_SQL)(model_properties)
+
+
+def model_round_trip(spark, sf_dir):
+    """The loaded model against the one that was saved, per class of
+    the test side: support, equal predictions, probabilities that sum to 1."""
+    out = _compared(spark, sf_dir)
+    again = _predicted(M.load_model(f"{out}/xgboost"), spark.read.parquet(f"{out}/test")).withColumnsRenamed(
+        {"prediction": "p2", "probability": "q2"}).drop("label")
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    return spark.read.parquet(f"{out}/predicted").join(again, "process_id").groupBy("label").agg(
+        F.count(F.lit(1)).alias("support"),
+        F.bool_and((F.col("prediction") == F.col("p2")) & (F.col("probability") == F.col("q2"))).alias("same_after_load"),
+        F.bool_and(F.abs(total - 1.0) < 1e-9).alias("sum_to_one"))
+
+
+ROUND_TRIP_SQL = SIDES_CTES + """
+SELECT label, count(*) AS support, true AS same_after_load, true AS sum_to_one
+FROM rows_of WHERE split = 'test' GROUP BY label"""
+
+register("s15_model_round_trip", "S15 M1 M9", ROUND_TRIP_SQL)(model_round_trip)

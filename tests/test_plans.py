@@ -7,7 +7,7 @@ from telewatch.plans.registry import entries
 
 from .conftest import SF001
 
-SLOW = {"m12_model_comparison", "r5_model_level"}
+SLOW = {"m12_model_comparison", "m12_model_properties", "s15_model_round_trip", "r5_model_level", "r5_served_properties"}
 NAMES = set(entries())         # the training-data queries have their own tests
 
 
