@@ -32,8 +32,8 @@ KEEP_SHARE = 50              # per cent of a phrase that a longer one must cover
 TOP = 2_000
 SCALE = 1_000_000
 NO_LANGUAGE = "und"
-CHUNK = 2_000_000            # words (and four times the distinct words) held by a task
-BUCKET_BYTES = 1 << 26       # text behind one bucket of phrase hashes
+CHUNK = 1_000_000            # words (and four times the distinct words) held by a task
+BUCKET_BYTES = 1 << 24       # text behind one bucket of phrase hashes
 BITS_EACH = 16               # bits of the filter per candidate
 MOST_BITS = 1 << 30          # 128 MB at most are broadcast
 CUT = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
