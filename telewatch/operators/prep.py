@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import global_row_number, ordered_scan
+from .ordered import global_row_number, ordered_scan, rows_per_segment
 
 TARGET_PER_CLASS = 8366
 SEED = 42
@@ -43,7 +43,8 @@ def pick_smallest(df: DataFrame, wanted: Column, seed: int = SEED, label: str =
 
     ``wanted`` is an expression of ``_cnt``, the rows of the label.  The input is
     read three times (histogram, rows off the border bucket, rows in it); only
-    rows of the border bucket, one in 2**``SELECT_BITS``, are shuffled.
+    rows of the border bucket, one in 2**``SELECT_BITS``, are shuffled.  One row
+    per label goes to the driver.
     """
     keyed = df.withColumn("_h", hash_rank_key(F.col(id_col), F.lit(seed))).withColumn(
         "_b", F.shiftright("_h", 60 - SELECT_BITS).cast("int"))
@@ -52,14 +53,19 @@ def pick_smallest(df: DataFrame, wanted: Column, seed: int = SEED, label: str =
     bars = bars.withColumns({"_cnt": F.sum("_n").over(Window.partitionBy(label)),
                              "_before": F.coalesce(F.sum("_n").over(w), F.lit(0))})
     left = wanted - F.col("_before")
-    cuts = bars.groupBy(F.col(label).alias("_label")).agg(
-        F.max(F.when(left > 0, F.struct(F.col("_b").alias("b"), left.alias("need")))).alias("_cut"))
-    marked = keyed.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
-    border = F.coalesce(F.col("_cut.b"), F.lit(-1))        # nothing is wanted: no row is below
-    off = marked.where(F.col("_b") != border).withColumn(name, F.col("_b") < border)
+    cuts = bars.groupBy(label).agg(
+        F.max(F.when(left > 0, F.struct(F.col("_b").alias("b"), left.alias("need")))).alias("cut")).collect()
+    # one row per label: the bucket of its last row and how many that bucket gives
+    border, need = F.lit(-1), F.lit(0)                     # nothing is wanted: no row is below
+    for r in cuts:
+        if r["cut"] is not None:
+            mine = F.col(label).eqNullSafe(F.lit(r[label]))
+            border = F.when(mine, r["cut"]["b"]).otherwise(border)
+            need = F.when(mine, r["cut"]["need"]).otherwise(need)
+    off = keyed.where(F.col("_b") != border).withColumn(name, F.col("_b") < border)
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", id_col))
-    on = marked.where(F.col("_b") == border).withColumn(name, rank <= F.col("_cut.need"))
-    return off.unionByName(on).drop("_h", "_b", "_label", "_cut")
+    on = keyed.where(F.col("_b") == border).withColumn(name, rank <= need)
+    return off.unionByName(on).drop("_h", "_b")
 
 
 def _is_one_of(label: str, names: list) -> Column:
@@ -87,8 +93,11 @@ def balance(df: DataFrame, n: int = TARGET_PER_CLASS, seed: int = SEED,
     if not small:
         return without
 
-    ranked = ordered_scan(df.filter(_is_one_of(label, small)).withColumn("_h", hash_rank_key(F.col(id_col), F.lit(seed))),
-                          [label], ["_h", id_col], row_number="_rank")
+    few = df.filter(_is_one_of(label, small)).withColumn("_h", hash_rank_key(F.col(id_col), F.lit(seed)))
+    if n <= rows_per_segment(df):                          # so has each of these labels: one task may rank it
+        ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy("_h", id_col)))
+    else:
+        ranked = ordered_scan(few, [label], ["_h", id_col], row_number="_rank")
     # slot s of small label i: row hash(label, s, seed) mod count + 1 of that label
     kind = df.schema[label].dataType
     names = F.array(*[F.lit(k).cast(kind) for k in small])

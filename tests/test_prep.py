@@ -1,5 +1,6 @@
 """Properties of ids, balancing and the stratified split."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from telewatch.operators import prep as P
@@ -51,3 +52,55 @@ def test_label_encoding_alphabetical(spark):
     t = P.label_index(RD.training_rows(spark, SF001))
     got = {r["label"]: r["label_idx"] for r in t.select("label", "label_idx").distinct().collect()}
     assert got == {"High": 0.0, "Moderate": 1.0, "Normal": 2.0}
+
+
+def _labelled(spark, n=4000):
+    rows = [(i // 2 * 2, ["a", "b", None, "c"][i % 7 % 4] if i % 50 else "rare", i) for i in range(n)]   # ids occur twice
+    return spark.createDataFrame(rows, "process_id long, label string, x int").repartition(5)
+
+
+def _ranked(spark, df):
+    """Plain version: rows by label in the order of (hash, id)."""
+    rows = df.withColumn("h", P.hash_rank_key(F.col("process_id"), F.lit(P.SEED))).collect()
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.h, r.process_id)):
+        out.setdefault(r.label, []).append(r.process_id)
+    return out
+
+
+@pytest.mark.parametrize("bits", [1, 4, 16])
+@pytest.mark.parametrize("wanted", [0, 1, 60, 500, 10 ** 6])
+def test_selection_equals_a_plain_sort(spark, monkeypatch, bits, wanted):
+    """Also with a null label, repeated ids, and more or fewer rows than wanted."""
+    monkeypatch.setattr(P, "SELECT_BITS", bits)
+    df = _labelled(spark)
+    got = {}
+    for r in P.pick_smallest(df, F.lit(wanted)).where("_picked").collect():
+        got.setdefault(r.label, []).append(r.process_id)
+    want = {k: v[:wanted] for k, v in _ranked(spark, df).items() if wanted}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("segment", [None, 100])
+def test_balance_with_a_null_label(spark, segment):
+    df = _labelled(spark)
+    if segment:
+        spark.conf.set("telewatch.ordered.rowsPerSegment", segment)
+    try:
+        rows = P.balance(df, 700).collect()
+    finally:
+        spark.conf.unset("telewatch.ordered.rowsPerSegment")
+    per = {}
+    for r in rows:
+        per.setdefault(r.label, []).append(r.x)
+    assert {k: len(v) for k, v in per.items()} == {k: 700 for k in ("a", "b", "c", None, "rare")}
+    counts = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+    assert all(len(set(v)) == 700 for k, v in per.items() if counts[k] >= 700)
+
+
+def test_split_with_a_null_label(spark):
+    df = _labelled(spark)
+    got = {(r["label"], r["split"]): r["count"] for r in P.stratified_split(df).groupBy("label", "split").count().collect()}
+    for r in df.groupBy("label").count().collect():
+        assert got[r["label"], "train"] == int(r["count"] * 0.8)
+        assert got[r["label"], "train"] + got[r["label"], "test"] == r["count"]
