@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ordered_scan
 from .common import table
 
 END = "<|end|>\n"
@@ -43,6 +44,14 @@ def loss_mask(turns: Column) -> Column:
         F.char_length(F.concat(t["text"], F.lit(END))).cast("string"))), ",")
 
 
+def _free(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many leading underscores as make them new to ``df``."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def format_preferences(pairs: DataFrame) -> DataFrame:
     """``pairs`` with arrays of turns ``chosen`` and ``rejected`` gains
 
@@ -53,25 +62,27 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     Edge cases: null role or text counts as ''; conversations without a common
     turn have an empty prompt; when one is a prefix of the other (or both are
     equal) the shorter completion is empty with an empty mask; a null list of
-    turns counts as empty; extra columns are kept.
+    turns counts as empty; extra columns are kept whatever their names, except
+    that columns named like the six results are replaced.
     """
     empty = F.expr("cast(array() as array<struct<turn:bigint,role:string,text:string>>)")
-    base = pairs.withColumn("_c", F.coalesce("chosen", empty)) \
-                .withColumn("_r", F.coalesce("rejected", empty))
-    short = F.least(F.size("_c"), F.size("_r"))
+    c, r, p, cc, rc = _free(pairs, "c", "r", "p", "cc", "rc")
+    base = pairs.withColumn(c, F.coalesce("chosen", empty)) \
+                .withColumn(r, F.coalesce("rejected", empty))
+    short = F.least(F.size(c), F.size(r))
     differ = F.filter(F.sequence(F.lit(0), short), lambda i: F.coalesce(
-        (F.get("_c", i)["role"] != F.get("_r", i)["role"])
-        | (F.get("_c", i)["text"] != F.get("_r", i)["text"]), F.lit(True)))
+        (F.get(c, i)["role"] != F.get(r, i)["role"])
+        | (F.get(c, i)["text"] != F.get(r, i)["text"]), F.lit(True)))
     base = base.withColumn("prompt_turns", F.least(F.get(differ, F.lit(0)), short))
-    rest = {"_p": F.slice("_c", F.lit(1), F.col("prompt_turns")),
-            "_cc": F.slice("_c", F.col("prompt_turns") + 1, F.size("_c")),
-            "_rc": F.slice("_r", F.col("prompt_turns") + 1, F.size("_r"))}
+    rest = {p: F.slice(c, F.lit(1), F.col("prompt_turns")),
+            cc: F.slice(c, F.col("prompt_turns") + 1, F.size(c)),
+            rc: F.slice(r, F.col("prompt_turns") + 1, F.size(r))}
     return (base.withColumns(rest)
-            .withColumns({"prompt": render(F.col("_p")),
-                          "chosen_text": render(F.col("_cc")), "chosen_mask": loss_mask(F.col("_cc")),
-                          "rejected_text": render(F.col("_rc")),
-                          "rejected_mask": loss_mask(F.col("_rc"))})
-            .drop("_c", "_r", "_p", "_cc", "_rc"))
+            .withColumns({"prompt": render(F.col(p)),
+                          "chosen_text": render(F.col(cc)), "chosen_mask": loss_mask(F.col(cc)),
+                          "rejected_text": render(F.col(rc)),
+                          "rejected_mask": loss_mask(F.col(rc))})
+            .drop(c, r, p, cc, rc))
 
 
 def preference_pairs(turns: DataFrame) -> DataFrame:
@@ -80,14 +91,18 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     * ``opening``: conversations that share all turns up to the first user
       turn; the one with the smallest id is chosen, every other one is
       rejected against it (a star: the pairs grow with the conversations).
-    * ``swap``: for the first of each opening, the conversation is chosen and
-      the same conversation with its last assistant turn replaced by the last
-      assistant turn of its neighbour (ids 2k and 2k+1) is rejected.  Without
-      such turns on both sides there is no pair.
+    * ``swap``: for the first of each opening, if it has an assistant turn, the
+      conversation is chosen and the same conversation with its last assistant
+      turn replaced by that of the one before it is rejected.  The one before it
+      is the previous such conversation in the order of ids, of another opening
+      then; the first of them takes the last one.  So every answered
+      conversation is in a pair, whatever the ids, unless the table has one
+      opening and no other conversation of it.
 
     The first of an opening is a partial minimum; the join back to it is an
-    inner join that adaptive execution splits for a hot opening.  Rows with a
-    null ``conv_id`` belong to no conversation and give no pair.
+    inner join that adaptive execution splits for a hot opening.  The order of
+    ids is a segmented scan over the ids alone.  Rows with a null ``conv_id``
+    belong to no conversation and give no pair.
     """
     conv = conversation_turns(turns.where(F.col("conv_id").isNotNull()))
     first_user = F.array_position(F.transform("turns", lambda t: t["role"]), "user")
@@ -105,17 +120,20 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     opening = (others.join(heads.select("_first", F.col("turns").alias("chosen")), "_first")
                .select("pair_id", F.lit("opening").alias("kind"), "chosen", "rejected"))
     answers = F.filter("turns", lambda t: t["role"] == "assistant")
-    last = F.element_at(answers, -1)
-    # the last assistant answer of each conversation, to be lent to its neighbour
-    lend = (conv.withColumn("_a", F.when(F.size(answers) > 0, last))
-            .where(F.col("_a").isNotNull())
-            .select((F.col("conv_id").bitwiseXOR(F.lit(1))).alias("pair_id"), "_a"))
+    last = F.try_element_at(answers, F.lit(-1))
+    ids = ordered_scan(heads.where(F.size(answers) > 0).select("conv_id"), [], ["conv_id"],
+                       lags={"_lender": "conv_id"})
+    end = ids.agg(F.max("conv_id")).first()[0]
+    lender = (ids.withColumn("_lender", F.coalesce("_lender", F.lit(end)))
+              .where(F.col("_lender") != F.col("conv_id"))
+              .select(F.col("conv_id").alias("pair_id"), "_lender"))
+    lend = (heads.select(F.col("conv_id").alias("_lender"), last.alias("_a"))
+            .join(lender, "_lender").select("pair_id", "_a"))
     swap = (heads.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"))
             .join(lend, "pair_id")
             .withColumn("_at", F.array_max(F.filter(
                 F.sequence(F.lit(1), F.size("chosen")),
                 lambda i: F.element_at("chosen", i)["role"] == "assistant")))
-            .where(F.col("_at").isNotNull())
             .select("pair_id", F.lit("swap").alias("kind"), "chosen",
                     F.concat(F.slice("chosen", F.lit(1), F.col("_at") - 1), F.array("_a"))
                     .alias("rejected")))
@@ -153,14 +171,17 @@ opened AS (
          list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS answers
   FROM conv),
 tagged AS (SELECT *, min(conv_id) OVER (PARTITION BY opening) AS head FROM opened),
+answered AS (
+  SELECT conv_id, turns, answers,
+         coalesce(lag(conv_id) OVER (ORDER BY conv_id), max(conv_id) OVER ()) AS lender
+  FROM tagged WHERE conv_id = head AND len(answers) > 0),
 pairs AS (
   SELECT r.conv_id AS pair_id, 'opening' AS kind, c.turns AS chosen, r.turns AS rejected
   FROM tagged r JOIN tagged c ON c.conv_id = r.head WHERE r.conv_id <> r.head
   UNION ALL
   SELECT c.conv_id, 'swap', c.turns,
          list_concat(c.turns[1:c.answers[-1] - 1], [n.turns[n.answers[-1]]])
-  FROM tagged c JOIN tagged n ON n.conv_id = xor(c.conv_id, 1::BIGINT)
-  WHERE c.conv_id = c.head AND len(c.answers) > 0 AND len(n.answers) > 0),
+  FROM answered c JOIN answered n ON n.conv_id = c.lender WHERE c.lender <> c.conv_id),
 cut AS (
   SELECT *, len(list_filter(range(1, least(len(chosen), len(rejected)) + 1), lambda i:
               len(list_filter(range(1, i + 1), lambda j: chosen[j].role <> rejected[j].role
