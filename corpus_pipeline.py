@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telewatch.llm import (op2_packing, op4_near_dups, op6_quality, op8_lines, op9_mixing)
-from telewatch.llm.common import stage, table
+from telewatch.llm.common import WORD_PATTERN, stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,18 +26,26 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of similar lines one stays; every document stays, ``n_chars`` follows its text."""
+    """Of similar lines one stays; ``n_chars`` follows the text.  A document that
+    lost its last line with a word goes: its text is all in others.  One that
+    had no word before stays as it is."""
     out = op8_lines.dedup_lines(docs.select(COLUMNS))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(WORD_PATTERN)
+    return (out.where(~F.coalesce(emptied, F.lit(False)))
+            .withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS))
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (equal rows count as one)."""
+    """One document of each near-duplicate group stays.  Rows equal in id and
+    text count as one; theirs is the smallest (lang, source, n_chars), nulls
+    first.  Rows without an id are in no group and stay."""
     docs = docs.select(COLUMNS)
     found = op4_near_dups.near_duplicates(docs)
     kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()))
+    named = (docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text")
+             .agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest")))
+    return (named.select("doc_id", "text", "rest.*").select(COLUMNS)
+            .unionByName(docs.where(F.col("doc_id").isNull())))
 
 
 def mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
