@@ -34,7 +34,8 @@ CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"])
              "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]),
              "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"])}
 # Words of class, id and role attributes that name a part which is not the article.  A name counts when all its
-# words are listed; a part is left out by its name alone when one of them is in PLAIN, else if its text agrees.
+# words are listed; a part is left out by its name alone when one of them is in PLAIN, or when the name is a word of
+# BOILERPLATE with one of LAYOUT ("share-bar", "related-posts"), else if its text agrees.
 PLAIN = frozenset("ad ads adv advert advertisement adverts advertising sponsor sponsored promo "
                   "cookie cookies consent gdpr popup modal "
                   "newsletter subscribe paywall sidebar widget widgets nav "
@@ -44,6 +45,9 @@ PLAIN = frozenset("ad ads adv advert advertisement adverts advertising sponsor s
 BOILERPLATE = PLAIN | frozenset("promotion banner notice notification overlay alert subscription signup login side "
                                 "menu copyright reply replies respond share sharing social related "
                                 "recommended recommendations skip search".split())
+LAYOUT = frozenset("area bar block bottom box column container content feed footer form group holder inner item items "
+                   "left links list outer panel post posts reader readers right section site slot stories thread top "
+                   "unit user users wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_WORDS = frozenset("article main".split())
 SPLIT_NAME = re.compile(r"[^a-z]+")
@@ -60,8 +64,10 @@ def _names(attrs) -> tuple[bool | None, bool | None, set[str]]:
             for name in v.lower().split():
                 words = {w for w in SPLIT_NAME.split(name) if w}
                 seen |= words
-                if words and words <= BOILERPLATE:
-                    said[k == "id"] = bool(said[k == "id"] or words & PLAIN)
+                if words & BOILERPLATE and words <= BOILERPLATE | LAYOUT:
+                    said[k == "id"] = bool(said[k == "id"] or words & PLAIN or words & LAYOUT)
+                elif words == {"site", "header"}:
+                    said[k == "id"] = True
     return said[False], said[True], seen
 
 
@@ -69,15 +75,15 @@ class _Lines(HTMLParser):
     """Parser events to lines ``(text, tags, link characters, containers)``.
 
     ``within`` has, for each line, the parts by a name that all its text is in
-    (numbers into ``parts``: is the name plain, does it count only beside an
-    article element)."""
+    (numbers into ``parts``: does the name count only beside an article
+    element)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, int]] = []    # (tag, container id or -1, left out, part or -1)
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.kinds: list[str] = []                     # by container id
-        self.parts: list[tuple[bool, bool]] = []
+        self.parts: list[bool] = []
         self.within: list[frozenset[int]] = []
         self.shared: frozenset[int] | None = None      # parts that all text of the line so far is in
         self.text: list[str] = []
@@ -123,14 +129,15 @@ class _Lines(HTMLParser):
         part = -1
         if not out and tag not in ("html", "body", "article", "main"):
             named, by_id, words = _names(attrs)
-            if tag in HEADINGS or any(t == "article" for t, *_ in self.open):
+            anchor = tag in HEADINGS or inside and tag == "p"
+            if anchor or not by_id and any(t == "article" for t, *_ in self.open):
                 by_id = None                           # an anchor of the article
             if not words & ARTICLE_WORDS and (named is not None or by_id is not None):
-                if named or by_id and not inside:
+                if named or by_id:
                     out = True
                 else:
                     part = len(self.parts)
-                    self.parts.append((bool(by_id), named is None and inside))
+                    self.parts.append(named is None and inside)
             role = next((v for k, v in attrs if k == "role"), None)
             if role == "main":
                 tag_kind = "main"
@@ -225,13 +232,12 @@ def _left_out(parser: _Lines) -> set[int]:
         return gone
     _, cut = _ratios(lines)
     for p, mine in members.items():
-        plain, beside = parser.parts[p]
-        if beside and not article:
+        if parser.parts[p] and not article:
             continue
         size = sum(len(lines[i][0]) for i in mine)
         # smoothed among its own lines, so that its surroundings do not count
         own = smooth([len(lines[i][0]) / max(1, lines[i][1]) for i in mine])
-        if plain or sum(own) / len(own) < cut or 2 * sum(lines[i][2] for i in mine) > size:
+        if sum(own) / len(own) < cut or 2 * sum(lines[i][2] for i in mine) > size:
             gone.update(mine)
     return gone
 

@@ -58,7 +58,7 @@ def test_whole_driver_table(spark):
 
 def test_heading_anchors_and_slugs_do_not_name_a_part():
     text = "A sentence of the article that goes on for quite a while, as sentences of articles do."
-    for slug in ("search", "search-algorithms", "related-work", "social-impact", "share", "comments", "side-effects"):
+    for slug in ("search", "search-algorithms", "related-work", "social-impact", "share", "side-effects"):
         article = (f'<article><h1 id="{slug}">On it</h1><p>{text}</p><h2 id="{slug}">Short head</h2><p id="{slug}">Les.</p>'
                    f'<section id="{slug}"><h3>More</h3><p>{text}</p></section></article>')
         want = f"On it {text} Short head Les. More {text}"
@@ -79,3 +79,33 @@ def test_a_name_that_may_be_of_the_article_needs_its_text_to_agree():
     for name in ("ad", "x comments", "cookie-notice"):
         assert O.main_text(f'<article><p>{text}</p><div class="{name}"><p>{text}</p></div></article>') == text
     assert O.main_text(f'<main><article><p>{text}</p></article><div id="comments"><p>{text * 9}</p></div></main>') == text
+
+
+#: attributes of parts that are not the article, whatever their text
+PARTS = ['id="comments"', 'class="comments-area"', 'class="comment-list"', 'class="reader-comments"',
+         'id="disqus_thread"', 'class="site-footer"', 'class="related-posts"', 'class="sidebar-left"', 'id="sidebar"',
+         'class="ad-container"', 'class="advert-box"', 'class="newsletter-box"', 'class="cookie-notice-bar"',
+         'class="comments"', 'class="share-bar"', 'id="newsletter"', 'class="widget-area"']
+
+
+@pytest.mark.parametrize("attr", PARTS)
+def test_named_parts_go_inside_and_beside_the_article(attr):
+    text = "A sentence of the article that goes on for quite a while, as sentences of articles do."
+    other = "A text of the page that is as long as those of the article and could be taken for one of them."
+    part = f"<div {attr}><p>{other}</p><p>{other}</p></div>"
+    body = f"<h1>On it</h1><p>{text}</p><h2>Les</h2><p>{text}</p>"
+    want = f"On it {text} Les {text}"
+    assert O.main_text(f"<body><article>{body}{part}</article></body>") == want
+    assert O.main_text(f"<body><main>{body}{part}</main></body>") == want
+    assert O.main_text(f"<body><main><article>{body}</article>{part}</main></body>") == want
+    assert O.main_text(f"<body><div class='story'>{body}</div>{part}</body>") == want
+    section = part.replace("<div", "<section").replace("</div", "</section")
+    assert O.main_text(f"<body><article>{body}{section}</article></body>") == want
+
+
+def test_page_headers_go_and_article_headers_stay():
+    text = "A sentence of the article that goes on for quite a while, as sentences of articles do."
+    page = f'<body><main><header class="site-header"><a href=/>Home</a> Site</header><header><h1>On it</h1></header><p>{text}</p></main>'
+    assert O.main_text(page) == f"On it {text}"
+    for name in ("post-content", "item-list", "left-column", "content", "reader", "comment-worthy", "widget-design"):
+        assert O.main_text(f'<article><h1>On it</h1><div class="{name}"><p>{text}</p></div></article>') == f"On it {text}"
