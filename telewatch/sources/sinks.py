@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import csv
+import io
+import os
+import re
+import uuid
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import risk as R
+from ..operators.ordered import materialize, ordered_scan
 from ..schemas import LIVE_LOG_COLUMNS
 
 MIB = 1048576.0
@@ -63,6 +71,132 @@ def write_session_files(df: DataFrame, path: str, mode: str = "overwrite",
      .partitionBy("host", "session").csv(path))
 
 
+ROWS_PER_FILE = 5_000_000
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme; the folder is made if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    return fs.makeQualified(at).toString().rstrip("/")
+
+
+class _OneFile:
+    """A CSV file that appears under its name when it is whole: written beside
+    it under a name of this attempt, then moved, so a task that is repeated or
+    runs twice replaces the file by an equal one."""
+
+    def __init__(self, folder: str, name: str, columns: list[str]):
+        self.rows, self.name, self.fs = 0, name, None
+        attempt = f".{uuid.uuid4().hex}"
+        if folder.startswith("file:"):
+            base = re.sub(r"^file:/+", "/", folder)
+            self.temp, self.path = f"{base}/{attempt}", f"{base}/{name}"
+            self.raw = open(self.temp, "wb")
+        else:                                              # hdfs, s3, gs, abfs
+            from pyarrow.fs import FileSystem
+            self.fs, base = FileSystem.from_uri(folder)
+            self.temp, self.path = f"{base}/{attempt}", f"{base}/{name}"
+            self.raw = self.fs.open_output_stream(self.temp)
+        self.text = io.TextIOWrapper(self.raw, "utf-8", newline="")
+        self.csv = csv.writer(self.text)
+        self.csv.writerow(columns)
+
+    def write(self, batch: pa.RecordBatch):
+        self.csv.writerows(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        self.rows += batch.num_rows
+
+    def finish(self):
+        self.text.close()
+        if self.fs is None:
+            os.replace(self.temp, self.path)
+        else:
+            self.fs.move(self.temp, self.path)
+
+    def drop(self):
+        self.text.close()
+        if self.fs is None:
+            os.remove(self.temp)
+        else:
+            self.fs.delete_file(self.temp)
+
+
+def write_collection_files(df: DataFrame, path: str, host: str = "hostname", session: str = "session_id",
+                           order: str = "timestamp", rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """One CSV file with a header per host and collection run, named
+    ``<host>_<yyyyMMdd_HHmmss>.csv`` by the run's first timestamp.
+
+    Returns the manifest ``(file, n_rows)``, a row per file, once all are
+    written.  All columns but ``session`` are written, in their order, rows by
+    ``order``.  Files of the folder with other names stay, one of the same name
+    is replaced.
+
+    Shape: rows are numbered per run by an ordered scan, so a run beyond
+    ``rows_per_file`` goes on in a further file, as after a restart, and no task
+    holds more than its files; one shuffle by file, sorted inside, streamed to
+    the file by the task that has it.
+
+    Edge cases: runs of a host that begin in the same second, and further files
+    of a run that do, get ``_2``, ``_3``, ... in the order of (session, part); a null host is
+    ``unknown``, a run without a timestamp that parses is ``undated``;
+    characters of a host that cannot be in a name are percent-encoded; nulls are
+    empty fields; an empty frame writes no file.
+    """
+    spark = df.sparkSession
+    folder = _qualified(spark, path)
+    columns = [c for c in df.columns if c != session]
+    keys = [host, session]
+    parts = ordered_scan(df, keys, [order], row_number="_row").withColumn(
+        "_part", F.floor((F.col("_row") - 1) / F.lit(rows_per_file)))
+    starts = parts.groupBy(*keys, "_part").agg(F.min(F.col(order).try_cast("timestamp_ntz")).alias("_start"))
+    stem = F.concat(F.url_encode(F.coalesce(F.col(host).cast("string"), F.lit("unknown"))), F.lit("_"),
+                    F.coalesce(F.date_format("_start", "yyyyMMdd_HHmmss"), F.lit("undated")))
+    again = F.row_number().over(Window.partitionBy("_stem").orderBy(F.col("_host"), F.col("_session"), F.col("_p")))
+    named = materialize(
+        starts.select(F.col(host).alias("_host"), F.col(session).alias("_session"), F.col("_part").alias("_p"),
+                      stem.alias("_stem"))
+        .withColumn("_n", again)
+        .select("_host", "_session", "_p", F.concat("_stem", F.when(F.col("_n") > 1, F.concat(
+            F.lit("_"), F.col("_n").cast("string"))).otherwise(F.lit("")), F.lit(".csv")).alias("_file")))
+    same = (F.col(host).eqNullSafe(F.col("_host")) & F.col(session).eqNullSafe(F.col("_session"))
+            & (F.col("_part") == F.col("_p")))
+    rows = (parts.join(named, same)
+            .select("_file", "_row", *[F.col(c).cast("string").alias(c) for c in columns])
+            .repartition("_file").sortWithinPartitions("_file", "_row"))
+
+    def write(batches):
+        out, done = None, []
+        try:
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                at = 0
+                while at < len(names):
+                    end = at + 1
+                    while end < len(names) and names[end] == names[at]:
+                        end += 1
+                    if out is None or out.name != names[at]:
+                        if out is not None:
+                            whole, out = out, None
+                            whole.finish()
+                            done.append((whole.name, whole.rows))
+                        out = _OneFile(folder, names[at], columns)
+                    out.write(batch.slice(at, end - at).select(columns))
+                    at = end
+            if out is not None:
+                whole, out = out, None
+                whole.finish()
+                done.append((whole.name, whole.rows))
+        except BaseException:
+            if out is not None:
+                out.drop()
+            raise
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()),
+                                          pa.array([r for _, r in done], pa.int64())], names=["file", "n_rows"])
+
+    return materialize(rows.mapInArrow(write, "file string, n_rows long"))
+
+
 def write_table(df: DataFrame, path: str, mode: str = "append",
                 partition_by: list[str] | None = None) -> None:
     """Parquet tables, append-only by default."""

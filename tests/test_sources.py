@@ -15,7 +15,7 @@ from telewatch.schemas import FEATURES, TELEMETRY
 from telewatch.sources import ranged
 from telewatch.sources.files import (read_by_name, read_calibration_csv, read_labelled, read_moderate_csv,
                                      read_telemetry_csv, schema_guard)
-from telewatch.sources.sinks import write_session_files
+from telewatch.sources.sinks import write_collection_files, write_session_files
 
 
 def _write(path, header, rows):
@@ -209,3 +209,31 @@ def test_the_guard_reads_a_few_kb_of_each_file(spark, monkeypatch):
     assert ranged.header_of(Counted(b"a,b\n" + b"1,2\n" * 10 ** 6)) == ["a", "b"]
     assert Counted.got == ranged.HEAD
     assert ranged.header_of(io.BytesIO(b"")) == [] and ranged.header_of(io.BytesIO(b"x, y ")) == ["x", "y"]
+
+
+def test_one_named_file_per_run(spark):
+    base = tempfile.mkdtemp(prefix="telewatch-runs-")
+    rows = [("2024-01-01 10:00:00", "h1", "a, \"b\"\nc", "s1"), ("2024-01-01 10:00:01", "h1", None, "s1"),
+            ("2024-01-01 10:00:00", "h1", "x", "s2"), ("2024-01-01 11:00:00", "h/2 ü", "", "s1"),
+            ("2024-01-02 11:00:00", None, "y", "s1"), (None, "h3", "z", None), ("no time", "h3", "w", None)]
+    rows += [(f"2024-02-01 00:00:{i:02d}", "hot", str(i), "s9") for i in range(25)]
+    df = spark.createDataFrame(rows, "timestamp string, hostname string, note string, session_id string")
+    for parts in (1, 5):                                   # written again: the same files, no others
+        found = write_collection_files(df.repartition(parts), base, rows_per_file=10)
+        manifest = {r["file"]: r["n_rows"] for r in found.collect()}
+        assert manifest == {
+            "h1_20240101_100000.csv": 2, "h1_20240101_100000_2.csv": 1, "h%2F2+%C3%BC_20240101_110000.csv": 1,
+            "unknown_20240102_110000.csv": 1, "h3_undated.csv": 2, "hot_20240201_000000.csv": 10,
+            "hot_20240201_000010.csv": 10, "hot_20240201_000020.csv": 5}
+        assert sorted(n for n in os.listdir(base) if not n.startswith(".")) == sorted(manifest)
+        assert not [n for n in os.listdir(base) if n.startswith(".") and not n.endswith(".crc")]
+    held = []
+    for name in manifest:
+        with open(os.path.join(base, name), encoding="utf-8", newline="") as f:
+            head, *body = list(csv.reader(f))
+        assert head == ["timestamp", "hostname", "note"] and body == sorted(body)
+        held += [tuple(x) for x in body]
+    assert sorted(held) == sorted(tuple(x or "" for x in r[:3]) for r in rows)
+    back = read_by_name(spark, base, df.drop("session_id").schema)
+    assert back.count() == len(rows) and back.where("hostname = 'h1' AND note LIKE '%\\nc'").count() == 1
+    assert write_collection_files(df.limit(0), tempfile.mkdtemp(prefix="telewatch-runs-")).count() == 0
