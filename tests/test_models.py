@@ -140,6 +140,25 @@ def test_network_with_one_partition_is_plain_adam(spark):
     assert model.losses == pytest.approx(losses, abs=1e-7)
 
 
+def test_network_states_add_up_after_many_steps(spark):
+    """Rows times steps pass 64 bits when they are counted in units of 2**-32."""
+    x, y = _data(7, 2000)
+    rows = _frame(spark, x, y, 2).select(N.F.col("label").alias("y"), N.vector_to_array("features").alias("x"))
+    shapes, steps = N.layer_sizes(4, [3], 3), 3_000_000
+    w = N.initial_weights(shapes, 1)
+    settings = {"batch": 200, "step": 1e-3, "alpha": 1e-4, "epochs": 1, "seed": 42}
+    state, done, losses = N._one_job(rows, (w, np.zeros_like(w), np.zeros_like(w)), steps, shapes, 4, settings, 0)
+    assert steps < done <= steps + 10 and np.isfinite(state[0]).all() and np.isfinite(losses).all()
+
+
+def test_a_diverged_network_is_an_error():
+    whole, part = N.fixed(np.array([-1.25, 3e9, 2.0 ** 40 + 0.5]))
+    assert (whole + part / N.UNIT).tolist() == [-1.25, 3e9, 2.0 ** 40 + 0.5]
+    for bad in (np.nan, np.inf, 1e30):
+        with pytest.raises(ArithmeticError):
+            N.fixed(np.array([0.0, bad]))
+
+
 def test_network_learns_stops_and_round_trips(spark, tmp_path):
     x, y = _data(6, 900)
     df = _frame(spark, x, y, 2)
