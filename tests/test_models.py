@@ -100,6 +100,28 @@ def test_boosting_does_not_depend_on_partitions(spark, monkeypatch):
     assert all(f.trees == fitted[0].trees and f.losses == fitted[0].losses for f in fitted)
 
 
+def test_of_two_siblings_one_is_added_up():
+    """Sums of both children from one of them equal those of all rows; the smaller one is taken."""
+    rng = np.random.default_rng(8)
+    bins, y, margin = rng.integers(0, 256, (5, 3000)).astype(np.uint8), rng.integers(0, 3, 3000), rng.normal(size=(3000, 3))
+    gh, asked = B.both_derivatives(margin, y), []
+
+    def full(trees, nodes):
+        sums = B.no_sums(nodes, 5)
+        B.add_block(sums, bins, gh, trees, nodes)
+        return sums
+    trees = [B.new_tree() for _ in range(3)]
+    level, sums = [[0]] * 3, full(trees, [[0]] * 3)
+    for _ in range(4):
+        splits, wanted = B.grow(trees, level, sums, {"l2": 1.0, "min_child": 1.0, "eta": 0.3})
+        level, sums = B.both_children(sums, splits, wanted, full(trees, wanted))
+        assert all((a == b).all() for a, b in zip(sums, full(trees, level), strict=True))
+        rows = [dict(B.leaves(t, bins)) for t in trees]
+        asked.append(sum(len(r[n]) for r, w in zip(rows, wanted, strict=True) for n in w))
+        assert [2 * len(w) for w in wanted] == [len(nodes) for nodes in level]
+    assert max(asked) <= 0.6 * 3 * 3000
+
+
 def test_boosting_without_rows_or_vectors(spark):
     empty = spark.createDataFrame([], "label int, f array<double>").select(
         "label", array_to_vector("f").alias("features"))
