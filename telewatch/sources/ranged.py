@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import materialize
+
 RANGE_BYTES_CONF = "telewatch.csv.rangeBytes"
 RANGE_BYTES = 1 << 26
 CHUNK = 1 << 22              # bytes held at once by a task, besides one record
@@ -116,6 +118,7 @@ def headers(spark: SparkSession, files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.list_(pa.string()))],
                                              names=["file", "size", "columns"])
 
+    files = materialize(files)                     # listed once; a small file costs a task as much as a large one
     n = files.count()
     dealt = files.repartition(max(1, -(-n // FILES_PER_TASK)), "file")
     return dealt.mapInArrow(read, "file string, size long, columns array<string>")

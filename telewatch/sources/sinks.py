@@ -7,8 +7,10 @@ import io
 import os
 import re
 import uuid
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,15 +62,67 @@ def write_session_files(df: DataFrame, path: str, mode: str = "overwrite",
     """One CSV folder per host and session, with header.
 
     The files keep the collector columns (hostname included); the folders are
-    named by copies of the host and session keys.  Rows are range-partitioned
-    on (host, session, time) first: each task writes a contiguous run of
-    sessions (few open files, few small files), and a very large session is
-    cut by time across several tasks instead of landing in one.
+    named by the host and session keys, as Spark's partitioned writer names
+    them.  Rows are range-partitioned on (host, session, time) first: each task
+    writes a contiguous run of sessions (few open files, few small files), and a
+    very large session is cut by time across several tasks instead of landing in
+    one.  ``mode`` is that of a Spark writer.
+
+    Tasks write the files where they belong, each under a hidden name until it
+    is whole, so nothing is moved one by one on the driver; a task that runs
+    again replaces its files by equal ones.  ``_SUCCESS`` follows when all are
+    written.
     """
-    out = df.withColumn("host", F.col(host)).withColumn("session", F.col(session)).drop(session)
-    keys = [F.col("host"), F.col("session")] + ([F.col(order)] if order in df.columns else [])
-    (out.repartitionByRange(*keys).write.mode(mode).option("header", True)
-     .partitionBy("host", "session").csv(path))
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if mode in ("ignore", "error", "errorifexists") and fs.exists(at):
+        if mode == "ignore":
+            return
+        raise FileExistsError(f"{path} exists")
+    if mode == "overwrite":
+        fs.delete(at, True)
+    folder, run = _qualified(spark, path), uuid.uuid4().hex
+    columns = [c for c in df.columns if c != session]
+    keys = ["_host", "_session"]
+    out = df.select(F.col(host).cast("string").alias("_host"), F.col(session).cast("string").alias("_session"),
+                    (F.col(order) if order in df.columns else F.lit(None).cast("string")).alias("_at"),
+                    F.to_csv(F.struct(*columns)).alias("_line"))
+    # a number of its own: adaptive execution would leave all files to a few tasks
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = out.repartitionByRange(parts, *keys, "_at").sortWithinPartitions(*keys, "_at").select(*keys, "_line")
+
+    def write(batches):
+        out, key, n = None, None, 0
+        name = f"part-{TaskContext.get().partitionId():05d}-{run}.csv"
+        try:
+            for batch in batches:
+                for h, s, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if out is None or key != (h, s):
+                        if out is not None:
+                            whole, out = out, None
+                            whole.finish()
+                        key, n = (h, s), n + 1
+                        out = _OneFile(f"{folder}/host={_folder_value(h)}/session={_folder_value(s)}", name, columns, True)
+                    out.text.write(line + "\n")
+            if out is not None:
+                whole, out = out, None
+                whole.finish()
+        except BaseException:
+            if out is not None:
+                out.drop()
+            raise
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    rows.mapInArrow(write, "files long").agg(F.sum("files")).first()
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"), True).close()
+
+
+def _folder_value(value: str | None) -> str:
+    """A key in the name of a folder, escaped as Spark does."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
 ROWS_PER_FILE = 5_000_000
@@ -87,20 +141,24 @@ class _OneFile:
     it under a name of this attempt, then moved, so a task that is repeated or
     runs twice replaces the file by an equal one."""
 
-    def __init__(self, folder: str, name: str, columns: list[str]):
+    def __init__(self, folder: str, name: str, columns: list[str], make: bool = False):
         self.rows, self.name, self.fs = 0, name, None
         attempt = f".{uuid.uuid4().hex}"
         if folder.startswith("file:"):
             base = re.sub(r"^file:/+", "/", folder)
             self.temp, self.path = f"{base}/{attempt}", f"{base}/{name}"
+            if make:
+                os.makedirs(base, exist_ok=True)
             self.raw = open(self.temp, "wb")
         else:                                              # hdfs, s3, gs, abfs
             from pyarrow.fs import FileSystem
-            self.fs, base = FileSystem.from_uri(folder)
+            self.fs, base = FileSystem.from_uri(quote(folder, safe=":/@"))
             self.temp, self.path = f"{base}/{attempt}", f"{base}/{name}"
+            if make:
+                self.fs.create_dir(base, recursive=True)
             self.raw = self.fs.open_output_stream(self.temp)
         self.text = io.TextIOWrapper(self.raw, "utf-8", newline="")
-        self.csv = csv.writer(self.text)
+        self.csv = csv.writer(self.text, lineterminator="\n" if make else "\r\n")
         self.csv.writerow(columns)
 
     def write(self, batch: pa.RecordBatch):

@@ -8,6 +8,7 @@ import random
 import tempfile
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +73,34 @@ def test_session_files_round_trip(spark):
     assert first["ssd_model"] is None
 
 
+def test_session_files_are_written_in_place(spark, monkeypatch):
+    """By as many tasks as there are partitions, not by Spark's partitioned
+    writer; the same folders and the same records as that one writes."""
+    rows = [("2024-01-01 10:00:00", "a:b/c%", "", None, "s=1"), ("2024-01-01 10:00:02", "a:b/c%", 'q"x,\ny', 1.0, "s=1"),
+            ("2024-01-01 10:00:01", None, "z", 0.1, ""), *[(f"2024-01-01 11:{i:02d}:00", f"h{i}", "t", 2.0, "s") for i in range(40)]]
+    df = spark.createDataFrame(rows, "timestamp string, hostname string, top_cpu_process string, cpu_percent double, session_id string")
+    base, plain = (tempfile.mkdtemp(prefix="telewatch-sessions-") for _ in range(2))
+    (df.withColumnRenamed("session_id", "session").selectExpr("*", "hostname AS host").coalesce(1).sortWithinPartitions(
+        "host", "session", "timestamp").write.mode("overwrite").option("header", True).partitionBy("host", "session").csv(plain))
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", None)
+    write_session_files(df, base)
+
+    def held(folder):
+        out = {}
+        for at, _, names in os.walk(folder):
+            for name in sorted(n for n in names if n.endswith(".csv")):
+                with open(os.path.join(at, name), newline="") as f:
+                    out.setdefault(os.path.relpath(at, folder), []).append(f.read())
+        return out
+    assert held(base) == held(plain) and "_SUCCESS" in os.listdir(base)
+    tasks = {n.split("-")[1] for _, _, names in os.walk(base) for n in names if n.endswith(".csv")}
+    assert len(tasks) > 1
+    with pytest.raises(FileExistsError):
+        write_session_files(df, base, mode="error")
+    write_session_files(df, base, mode="append")
+    assert all(len(files) == 2 for files in held(base).values())
+
+
 def test_moderate_and_calibration_csv(spark):
     base = tempfile.mkdtemp(prefix="telewatch-moderate-")
     from telewatch.schemas import MODERATE
