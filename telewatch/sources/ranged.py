@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import csv
 import io
+import os
 import re
 from collections.abc import Iterator, Sequence
 from urllib.parse import quote
@@ -45,11 +46,68 @@ def open_file(path: str):
 
 def csv_files(spark: SparkSession, paths: Sequence[str] | str, nested: bool = False) -> DataFrame:
     """``file, size`` of the ``.csv`` files in the folders (or below them, if
-    ``nested``), or of the files themselves; names only, no content is read."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option(
-        "recursiveFileLookup", nested).load(paths)
-    return found.where("length > 0").select(F.col("path").alias("file"), F.col("length").alias("size"))
+    ``nested``), or of the files themselves; names only, no content is read.
+
+    A task lists the folders given, further ones the folders in them; names that
+    Spark takes for hidden are left out, as are empty files.
+    """
+    found = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        here = fs.globStatus(at)
+        if not here:
+            raise FileNotFoundError(path)
+        found += [(s.getPath().toString(), FOLDER if s.isDirectory() else s.getLen()) for s in here]
+    schema = "file string, size long"
+    entries = spark.createDataFrame(found, schema).coalesce(1).mapInArrow(_listed(False), schema)
+    if nested:
+        entries = materialize(entries)
+        folders = entries.where(F.col("size") == FOLDER)
+        tasks = max(1, -(-folders.count() // FILES_PER_TASK))
+        entries = entries.where(F.col("size") != FOLDER).unionByName(
+            folders.repartition(tasks, "file").mapInArrow(_listed(True), schema))
+    return entries.where((F.col("size") > 0) & F.col("file").endswith(".csv"))
+
+
+FOLDER = -1                  # stands for the size of a folder
+
+
+def _children(folder: str) -> Iterator[tuple[str, int]]:
+    """``(path, size)`` of what a folder holds, hidden names left out."""
+    if folder.startswith("file:"):
+        with os.scandir(re.sub(r"^file:/+", "/", folder)) as held:
+            found = [(e.name, FOLDER if e.is_dir() else e.stat().st_size) for e in held]
+    else:
+        from pyarrow.fs import FileSelector, FileSystem, FileType
+        fs, base = FileSystem.from_uri(quote(folder, safe=":/@"))
+        found = [(i.base_name, FOLDER if i.type == FileType.Directory else i.size) for i in fs.get_file_info(FileSelector(base))]
+    for name, size in found:
+        if not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")):
+            yield f"{folder.rstrip('/')}/{name}", size
+
+
+def _listed(nested: bool):
+    def run(batches):
+        out = []
+        for batch in batches:
+            todo = [(path, size, True) for path, size in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            while todo:
+                path, size, into = todo.pop()
+                if size == FOLDER and into:
+                    todo += [(*child, nested) for child in _children(path)]
+                else:
+                    out.append((path, size))
+                if len(out) >= PER_BATCH:
+                    yield _entries(out)
+                    out = []
+        yield _entries(out)
+    return run
+
+
+def _entries(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())],
+                                      names=["file", "size"])
 
 
 def _ends(data: bytes, inside: bool):

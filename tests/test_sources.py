@@ -101,6 +101,26 @@ def test_session_files_are_written_in_place(spark, monkeypatch):
     assert all(len(files) == 2 for files in held(base).values())
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The files that Spark's reader finds, without its listing."""
+    for name in ("a.csv", "b.txt", "_c.csv", ".d.csv", "e%3A é.csv", "x/f.csv", "x/y/g.csv", "x/_h/i.csv", "x/.l/m.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("a,b\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    want = {}
+    for nested in (False, True):
+        want[nested] = {(r.path, r.length) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option(
+            "recursiveFileLookup", nested).load(str(tmp_path)).where("length > 0").select("path", "length").collect()}
+    one = str(tmp_path / "x/f.csv")
+    monkeypatch.setattr(type(spark), "read", None)
+    monkeypatch.setattr(ranged, "materialize", lambda df: df)
+    for nested in (False, True):
+        assert {tuple(r) for r in ranged.csv_files(spark, str(tmp_path), nested).collect()} == want[nested]
+    assert [r.size for r in ranged.csv_files(spark, one).collect()] == [8]
+    with pytest.raises(FileNotFoundError):
+        ranged.csv_files(spark, str(tmp_path / "none"))
+
+
 def test_moderate_and_calibration_csv(spark):
     base = tempfile.mkdtemp(prefix="telewatch-moderate-")
     from telewatch.schemas import MODERATE
