@@ -1,11 +1,12 @@
 """Registered streaming queries (T6, S5, S9, S10, S11, S12; streaming T1 + T2).
 
-Each builder writes the telemetry of the driver data as raw tick files, runs
-the Structured Streaming query to its end with an ``availableNow`` trigger (a
-few files per micro-batch, in an order that is not the event order), and
-returns what the sinks hold.  The DuckDB twins compute the same rows in batch.
-Ticks of the driver data are hours apart, so they arrive up to two days late
-and the state retains three.
+Each builder lets the telemetry of the driver data arrive as raw tick files, in
+six arrivals whose order is not the event order: the files of an arrival (one or
+two, as many files as tasks) are added to the source folder and the Structured
+Streaming query runs to its end on them with an ``availableNow`` trigger, from
+the checkpoint of the run before.  It returns what the sinks hold.  The DuckDB
+twins compute the same rows in batch.  Ticks of the driver data are hours apart,
+so they arrive up to two days late and the state retains three.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..schemas import TICK
-from ..operators.ordered import materialize
 from ..session import scratch_table_dir
 from ..sources import readings as RD
 from ..sources.tables import TELEMETRY_CTE, telemetry
@@ -27,8 +27,8 @@ from .catalog_alerts import (COOLDOWN_S, MOD_BAND, SCORED_CTE, STREAK, STREAK_CT
                              _rec, cooldown_sql)
 from .registry import register
 
-TICK_FILES = 6
-FILES_PER_BATCH = 2
+ARRIVALS = 6
+ARRIVALS_PER_BATCH = 2
 DELAY_S = 172_800
 RETAIN_S = 259_200
 LATE_RETAIN_S = 518_400
@@ -48,40 +48,43 @@ def ticks(spark, sf_dir):
     return t.select(*[f.name for f in TICK.fields])
 
 
-def write_arrivals(arrivals, path: str) -> str:
-    """One file per value of ``_file``, written in that order (a file source
-    takes files by their time)."""
-    rows = materialize(arrivals)
-    for n in range(TICK_FILES):
-        rows.where(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(path)
-    return path
+def deliver(arrivals, path: str, start, per_run: int = ARRIVALS_PER_BATCH) -> None:
+    """Runs the stream that ``start(path)`` starts to its end on every ``per_run``
+    arrivals (values of ``_file``), in that order: a micro-batch each, written
+    by as many tasks as the ticks have, so no arrival meets in one task."""
+    staged = path + "-staged"
+    spark = arrivals.sparkSession
+    arrivals.write.partitionBy("_file").parquet(staged)
+    rows = spark.read.schema(arrivals.schema).parquet(staged)
+    for n in range(0, ARRIVALS, per_run):
+        rows.where(F.col("_file").between(n, n + per_run - 1)).drop("_file").write.mode("append").parquet(path)
+        run_to_end(start(path))
 
 
 def _span(spark, sf_dir):
-    """First time of the ticks and the seconds that a file covers."""
+    """First time of the ticks and the seconds that an arrival covers."""
     first, last = telemetry(spark, sf_dir).agg(F.min("ts"), F.max("ts")).first()
-    return first, (last - first).total_seconds() / TICK_FILES + 1
+    return first, (last - first).total_seconds() / ARRIVALS + 1
 
 
 def _file(seconds, first, width):
-    """Number of the file that an arrival ``seconds`` after a tick falls in."""
+    """Number of the arrival that a tick coming ``seconds`` after its time falls in."""
     since = F.timestamp_diff("SECOND", F.lit(first), F.col("ts")) + seconds
-    return F.least(F.lit(TICK_FILES - 1), F.floor(since / F.lit(width)).cast("int"))
+    return F.least(F.lit(ARRIVALS - 1), F.floor(since / F.lit(width)).cast("int"))
 
 
-def write_ticks(spark, sf_dir) -> str:
-    """Tick files by arrival: every tick up to ``DELAY_S`` after its time, by a hash of it."""
+def tick_arrivals(spark, sf_dir):
+    """Ticks by arrival: every tick up to ``DELAY_S`` after its time, by a hash of it."""
     first, width = _span(spark, sf_dir)
     delay = F.pmod(F.xxhash64("system_id", "id"), F.lit(DELAY_S))
-    return write_arrivals(ticks(spark, sf_dir).withColumn("_file", _file(delay, first, width)),
-                          scratch_table_dir(spark, f"ticks-{uuid.uuid4().hex}"))
+    return ticks(spark, sf_dir).withColumn("_file", _file(delay, first, width))
 
 
 def _live(spark, sf_dir) -> str:
     base = scratch_table_dir(spark, f"live-{uuid.uuid4().hex}")
     out = os.path.join(base, "out")
-    run_to_end(start_live(spark, write_ticks(spark, sf_dir), out, os.path.join(base, "state"),
-                          max_files=FILES_PER_BATCH, cooldown_s=COOLDOWN_S, streak_len=STREAK, retain_s=RETAIN_S))
+    deliver(tick_arrivals(spark, sf_dir), os.path.join(base, "ticks"), lambda source: start_live(
+        spark, source, out, os.path.join(base, "state"), cooldown_s=COOLDOWN_S, streak_len=STREAK, retain_s=RETAIN_S))
     return out
 
 
@@ -140,8 +143,8 @@ register("s5_live_log", "S5 S12 T6", LOG_SQL)(live_log)
 def stream_alerts(spark, sf_dir):
     base = scratch_table_dir(spark, f"alerts-{uuid.uuid4().hex}")
     out = os.path.join(base, "out")
-    run_to_end(start_alerts(spark, write_ticks(spark, sf_dir), out, os.path.join(base, "state"),
-                            COOLDOWN_S, STREAK, max_files=FILES_PER_BATCH, retain_s=RETAIN_S))
+    deliver(tick_arrivals(spark, sf_dir), os.path.join(base, "ticks"), lambda source: start_alerts(
+        spark, source, out, os.path.join(base, "state"), COOLDOWN_S, STREAK, retain_s=RETAIN_S))
     return read_sink(spark, out, "alerts")
 
 
@@ -159,20 +162,20 @@ register("t1_t2_streaming_state", "T1 T2 S11", STREAM_ALERTS_SQL)(stream_alerts)
 def late_and_repeated(spark, sf_dir):
     """S11 of a stream that repeats ticks and brings some far too late.
 
-    Files cover a sixth of the time each; ticks whose id is divisible by 13 come
-    again two files later, those divisible by 29 come with the last file only.
-    One file per micro-batch.  Returns the kept ticks with their counter delta
+    Arrivals cover a sixth of the time each; ticks whose id is divisible by 13 come
+    again two arrivals later, those divisible by 29 come with the last one only.
+    One arrival per micro-batch.  Returns the kept ticks with their counter delta
     and every tick that was put aside with its kind.
     """
     base = scratch_table_dir(spark, f"arrivals-{uuid.uuid4().hex}")
     first, width = _span(spark, sf_dir)
-    own = F.when(F.col("id") % 29 == 0, TICK_FILES - 1).otherwise(_file(F.lit(0), first, width))
+    own = F.when(F.col("id") % 29 == 0, ARRIVALS - 1).otherwise(_file(F.lit(0), first, width))
     rows = ticks(spark, sf_dir).withColumn("_file", own)
-    again = rows.where(F.col("id") % 13 == 0).withColumn("_file", F.least(F.col("_file") + 2, F.lit(TICK_FILES - 1)))
-    source = write_arrivals(rows.unionByName(again), os.path.join(base, "ticks"))
+    again = rows.where(F.col("id") % 13 == 0).withColumn("_file", F.least(F.col("_file") + 2, F.lit(ARRIVALS - 1)))
     out = os.path.join(base, "out")
-    run_to_end(start_live(spark, source, out, os.path.join(base, "state"), max_files=1, cooldown_s=COOLDOWN_S,
-                          streak_len=STREAK, retain_s=LATE_RETAIN_S))
+    deliver(rows.unionByName(again), os.path.join(base, "ticks"), lambda source: start_live(
+        spark, source, out, os.path.join(base, "state"), cooldown_s=COOLDOWN_S, streak_len=STREAK,
+        retain_s=LATE_RETAIN_S), per_run=1)
     kept = read_sink(spark, out, "metrics").select("system_id", "id", "ts", F.lit("tick").alias("kind"), "disk_write_mbps")
     aside = read_sink(spark, out, "aside").select("system_id", "id", "ts", "kind",
                                                   F.lit(None).cast("double").alias("disk_write_mbps"))
@@ -185,13 +188,13 @@ LATE_SQL = "WITH " + TELEMETRY_CTE + f""", counted AS (
   FROM telemetry),
 span AS (SELECT min(ts) AS first, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS s FROM telemetry),
 own AS (
-  SELECT c.*, CASE WHEN id % 29 = 0 THEN {TICK_FILES - 1}
-                   ELSE least({TICK_FILES - 1}, CAST(floor(
-                     (epoch_us(ts) - epoch_us(first)) // 1000000 / (s / {TICK_FILES} + 1)) AS INTEGER)) END AS f
+  SELECT c.*, CASE WHEN id % 29 = 0 THEN {ARRIVALS - 1}
+                   ELSE least({ARRIVALS - 1}, CAST(floor(
+                     (epoch_us(ts) - epoch_us(first)) // 1000000 / (s / {ARRIVALS} + 1)) AS INTEGER)) END AS f
   FROM counted c, span),
 arrivals AS (
   SELECT * FROM own UNION ALL
-  SELECT system_id, id, ts, counter, least(f + 2, {TICK_FILES - 1}) FROM own WHERE id % 13 = 0),
+  SELECT system_id, id, ts, counter, least(f + 2, {ARRIVALS - 1}) FROM own WHERE id % 13 = 0),
 clocked AS (
   SELECT a.*, (SELECT max(b.ts) FROM arrivals b WHERE b.system_id = a.system_id AND b.f < a.f) AS clock
   FROM arrivals a),

@@ -17,7 +17,7 @@ from ..operators.serving import predictions
 from ..schemas import TICK
 from ..sources.sinks import live_log_rows, live_packets
 from .commits import Sinks, query_id
-from .state import ASIDE, RETAIN_S, tick_changes
+from .state import ASIDE, GROUPS, RETAIN_S, tick_changes
 
 COOLDOWN_S, STREAK = 300.0, 30
 PAYLOAD = ("cpu_percent double, memory_percent double, memory_available_mb double, process_count int, "
@@ -106,15 +106,16 @@ def write_batch(out_dir: str, ticks: bool = True):
 
 def start_live(spark: SparkSession, source: str, out_dir: str, checkpoint: str,
                available_now: bool = True, max_files: int | None = None, cooldown_s: float = COOLDOWN_S,
-               streak_len: int = STREAK, retain_s: float | None = RETAIN_S):
+               streak_len: int = STREAK, retain_s: float | None = RETAIN_S, groups: int = GROUPS):
     """Start the live query; returns the StreamingQuery.
 
     ``retain_s`` is how far a tick may lie behind the latest one of its system
-    and still be put in its place (None: any tick); see ``state``.
+    and still be put in its place (None: any tick), ``groups`` the number of
+    state rows that hold the systems; see ``state``.
     """
     ticks = _with_top(read_ticks(spark, source, max_files))
     names = [f.split()[0] for f in PAYLOAD.split(", ")]
-    changes = tick_changes(ticks, cooldown_s, streak_len, retain_s, F.to_json(F.struct(*names)))
+    changes = tick_changes(ticks, cooldown_s, streak_len, retain_s, F.to_json(F.struct(*names)), groups=groups)
     writer = (changes.writeStream.outputMode("append").foreachBatch(write_batch(out_dir))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
@@ -138,9 +139,9 @@ def run_to_end(query, timeout_s: float | None = None) -> None:
 
 def start_alerts(spark: SparkSession, source: str, out_dir: str, checkpoint: str,
                  cooldown_s: float = COOLDOWN_S, streak_len: int = STREAK, max_files: int | None = None,
-                 retain_s: float | None = RETAIN_S):
+                 retain_s: float | None = RETAIN_S, groups: int = GROUPS):
     """Streaming T1 + T2 alone: the alerts and aside sinks of ``start_live``."""
     ticks = read_ticks(spark, source, max_files).select("system_id", "id", "ts", "cpu_percent", "memory_percent")
-    return (tick_changes(ticks, cooldown_s, streak_len, retain_s).writeStream.outputMode("append")
+    return (tick_changes(ticks, cooldown_s, streak_len, retain_s, groups=groups).writeStream.outputMode("append")
             .foreachBatch(write_batch(out_dir, ticks=False)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -2,9 +2,12 @@
 
 One stateful operator holds, per system, the ticks of its last ``retain_s``
 seconds and what came before them as a carry: the last moderate fire, the
-length of the running high streak and the last write counter.  A micro-batch
-loads the state of the systems it touches and nothing else; what it costs
-follows its own ticks and the retained ones, not the history.
+length of the running high streak and the last write counter.  Systems share
+``GROUPS`` state rows by a hash of their name, since Spark hands every state
+row to Python as pandas frames of its own, which costs far more than the few
+ticks of a system.  A micro-batch loads the state rows of the systems it touches
+and folds these systems only; what it costs follows its own ticks and the
+retained ones, not the history.
 
 Ticks are decided on arrival, in event order.  A tick that arrives after later
 ones is put in its place: the retained ticks are folded again from the carry,
@@ -38,10 +41,14 @@ ASIDE = ("late", "repeated", "untimed")
 
 CHANGES = ("system_id string, id long, t long, kind string, rev int, sign int, moved long, "
            "alert_type string, streak long, payload string")
-STATE = ("clock long, fire long, streak long, counter long, ts array<long>, ids array<long>, risks array<double>, "
-         "counters array<long>, payloads array<string>, moved array<long>, revs array<int>, fired array<boolean>, "
-         "streaks array<long>")
+#: One entry per system, ``held`` its retained ticks; then one per retained tick, system after system.
+STATE = ("systems array<string>, held array<int>, clocks array<long>, fires array<long>, runs array<long>, "
+         "lasts array<long>, ts array<long>, ids array<long>, risks array<double>, counters array<long>, "
+         "payloads array<string>, moved array<long>, revs array<int>, fired array<boolean>, streaks array<long>")
+PER_SYSTEM = ("clock", "fire", "streak", "counter")
 PER_TICK = ("ts", "ids", "risks", "counters", "payloads", "moved", "revs", "fired", "streaks")
+#: State rows that systems are dealt out to; a checkpoint keeps the number it was started with.
+GROUPS = 1024
 
 
 def _order(tick) -> tuple:
@@ -130,14 +137,35 @@ class System:
         self.carry, self.ticks = keep, self.ticks[kept:]
 
 
+def unpack(row) -> dict:
+    """``{system: System.saved()}`` of a state row."""
+    names, held, *rest = row
+    systems, ticks = rest[:len(PER_SYSTEM)], rest[len(PER_SYSTEM):]
+    out, at = {}, 0
+    for name, n, *carry in zip(names, held, *systems, strict=True):
+        out[name] = (*carry, *(x[at:at + n] for x in ticks))
+        at += n
+    return out
+
+
+def pack(systems: dict) -> tuple:
+    """The state row of ``{system: System.saved()}``."""
+    columns = list(zip(*systems.values(), strict=True)) or [()] * (len(PER_SYSTEM) + len(PER_TICK))
+    per_system, per_tick = columns[:len(PER_SYSTEM)], columns[len(PER_SYSTEM):]
+    return (list(systems), [len(x) for x in per_tick[0]], *map(list, per_system),
+            *([v for part in column for v in part] for column in per_tick))
+
+
 def tick_changes(ticks: DataFrame, cooldown_s: float, streak_len: int, retain_s: float | None = RETAIN_S,
-                 payload=None, t: R.Thresholds = R.DEFAULT) -> DataFrame:
+                 payload=None, t: R.Thresholds = R.DEFAULT, groups: int = GROUPS) -> DataFrame:
     """C2, T1, T2, repeats and late ticks of a stream of ``TICK`` rows, as rows of ``CHANGES``.
 
     ``payload`` is a string column that a tick carries through the state, for
     the sinks.  With ``retain_s`` None every tick is retained and none is late.
     The state of a system that falls silent stays (its retained ticks and the
-    carry); a null system is a system of its own.
+    carry); a null system is a system of its own.  ``groups`` state rows hold
+    all systems; it must not change under a checkpoint, and a deployment whose
+    systems hold more than some MB a row starts with more.
     """
     import pandas as pd
     rules = {"cooldown": int(round(cooldown_s * US)), "length": streak_len, "moderate": t.band_moderate,
@@ -148,13 +176,19 @@ def tick_changes(ticks: DataFrame, cooldown_s: float, streak_len: int, retain_s:
         return [None if v is None or v != v else kind(v) for v in values]
 
     def step(key, frames, state):
-        system = System(state.get if state.exists else None)
-        new = []
+        held = unpack(state.get) if state.exists else {}
+        new: dict = {}
         for f in frames:
-            new.extend(zip(nullable(f["t"], int), nullable(f["id"], int), nullable(f["risk"], float),
-                           nullable(f["counter"], int), f["payload"].where(f["payload"].notna(), None), strict=True))
-        rows = [(key[0], *row) for row in system.absorb(new, rules)]
-        state.update(system.saved())
+            for name, *tick in zip(nullable(f["system_id"], str), nullable(f["t"], int), nullable(f["id"], int),
+                                   nullable(f["risk"], float), nullable(f["counter"], int),
+                                   nullable(f["payload"], str), strict=True):
+                new.setdefault(name, []).append(tuple(tick))
+        rows = []
+        for name, arrived in new.items():
+            system = System(held.get(name))
+            rows.extend((name, *row) for row in system.absorb(arrived, rules))
+            held[name] = system.saved()
+        state.update(pack(held))
         if rows:
             columns = list(zip(*rows, strict=True))
             kinds = ("object", "Int64", "Int64", "object", "Int32", "Int32", "Int64", "object", "Int64", "object")
@@ -166,4 +200,5 @@ def tick_changes(ticks: DataFrame, cooldown_s: float, streak_len: int, retain_s:
     rows = ticks.select("system_id", F.col("id").cast("string").alias("id"), epoch_micros("ts").cast("string").alias("t"),
                         R.risk_score().alias("risk"), counter.cast("string").alias("counter"),
                         (F.lit(None).cast("string") if payload is None else payload).alias("payload"))
-    return rows.groupBy("system_id").applyInPandasWithState(step, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("system_id"), F.lit(groups)))
+    return rows.groupBy("_group").applyInPandasWithState(step, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)

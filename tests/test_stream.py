@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from telewatch.functions import risk as R
 from telewatch.operators import alerts as A
+from telewatch.plans import catalog_stream as C
 from telewatch.plans.catalog_stream import ticks
 from telewatch.sources.tables import telemetry
 from telewatch.streaming.live import derive_ticks, run_to_end, start_alerts, start_live
 from telewatch.streaming.commits import Sinks, read_sink
-from telewatch.streaming.state import System
+from telewatch.streaming.state import System, pack, unpack
 
 from .conftest import SF001
 
@@ -231,3 +232,51 @@ def test_merged_runs_cover_the_batches():
     for n in (0, 5, 16, 31, 32, 256, 300, 4096 + 272):
         spans = Sinks._spans(None, n)
         assert [x for a, b in spans for x in range(a, b)] == list(range(n // 16 * 16))
+
+
+def test_systems_share_state_rows(spark):
+    """Every state row costs Python a set of pandas frames, so many systems are in one."""
+    base = _tick_files(spark, 2)
+    out = os.path.join(base, "out")
+    q = start_alerts(spark, os.path.join(base, "ticks"), out, os.path.join(base, "ckpt"), cooldown_s=86400, streak_len=3,
+                     max_files=1, retain_s=0, groups=3)
+    run_to_end(q, 300)
+    assert _alerts(spark, out) == _batch_alerts(spark)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 3 < _systems(spark)
+
+
+def _systems(spark):
+    return telemetry(spark, SF001).select("system_id").distinct().count()
+
+
+def test_a_state_row_gives_its_systems_back():
+    rules = {"cooldown": 50, "length": 2, "moderate": 0.4, "high": 0.7, "retain": 100}
+    held = {}
+    for name, n in (("a", 3), (None, 1), ("b", 0), ("c", 2)):
+        system = System()
+        list(system.absorb([(1000 + k, k, 0.5, k, None) for k in range(n)], rules))
+        held[name] = system.saved()
+    assert unpack(pack(held)) == held
+    assert unpack(pack({})) == {}
+
+
+def test_an_arrival_of_many_files_is_one_batch(spark, tmpdir_path):
+    """An arrival is written by many tasks and still read in one micro-batch, in order."""
+    rows = spark.range(0, 600, 1, 4).selectExpr("id", "cast(id % 6 as int) as _file")
+    path, seen = os.path.join(tmpdir_path, "ticks"), []
+
+    class Ended:
+        def awaitTermination(self):
+            seen.append((len(glob.glob(path + "/*.parquet")), spark.read.parquet(path).count()))
+    C.deliver(rows, path, lambda source: Ended(), per_run=2)
+    assert [n for _, n in seen] == [200, 400, 600]
+    assert seen[0][0] > 2
+
+
+@pytest.mark.parametrize("query", ["t1_t2_streaming_state", "s11_late_and_repeated"])
+def test_each_run_of_arrivals_is_a_batch(spark, monkeypatch, query):
+    runs = []
+    monkeypatch.setattr(C, "run_to_end", lambda q: (run_to_end(q), runs.append(
+        [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]])))
+    {"t1_t2_streaming_state": C.stream_alerts, "s11_late_and_repeated": C.late_and_repeated}[query](spark, SF001)
+    assert [len(r) for r in runs] == [1] * (3 if query == "t1_t2_streaming_state" else 6)
