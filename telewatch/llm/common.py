@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import materialize
@@ -80,6 +80,9 @@ def components(links: DataFrame) -> DataFrame:
             .distinct())
 
 
+BITMAP = 8                  # words of 64 bits
+
+
 def pairs_apart(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of nodes of different components that can still be similar.
 
@@ -89,21 +92,32 @@ def pairs_apart(rows: DataFrame, percent: int) -> DataFrame:
     sets share one among the first ``n - ceil(t n) + 1``, and the first one
     they share leaves enough behind it in both.  Members of the largest
     component at an element are not compared with each other there, so a large
-    group of similar sets costs one row per member, not a row per pair.
+    group of similar sets costs one row per member, not a row per pair.  A
+    bitmap of ``64 * BITMAP`` bits per set goes along: every bit that only one of two sets
+    has stands for an element that the other lacks, so sets with more such bits
+    than a similar pair has elements apart make no row.
     """
     seen = rows.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
     order = Window.partitionBy("node").orderBy("f", "s")
     first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    prefix = stage(rows.join(seen, "s").withColumn("i", F.row_number().over(order))
+    whole = Window.partitionBy("node")
+
+    def bits(part: int) -> Column:
+        mine = F.when(F.pmod("s", F.lit(BITMAP)) == part, F.expr(f"shiftleft(1L, cast((s >> {BITMAP.bit_length() - 1}) & 63 AS int))"))
+        return F.coalesce(F.bit_or(mine).over(whole), F.lit(0).cast("long"))
+    maps = [f"_b{k}" for k in range(BITMAP)]
+    prefix = stage(rows.join(seen, "s").withColumns({"i": F.row_number().over(order)} | {m: bits(k) for k, m in enumerate(maps)})
                    .where((F.col("i") <= first) & (F.col("f") > 1)).drop("f"))
     top = stage(prefix.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c"))
                 .groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("top")))
     few = prefix.join(top, "s").where(F.col("comp") != F.col("top"))
     a, b = few.alias("a"), prefix.alias("b")
     behind = 1 + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    unlike = sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in maps)
     pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.comp") != F.col("b.comp"))
                    & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-                   & ((100 + percent) * behind >= percent * (F.col("a.n") + F.col("b.n"))))
+                   & ((100 + percent) * behind >= percent * (F.col("a.n") + F.col("b.n")))
+                   & ((100 + percent) * unlike <= (100 - percent) * (F.col("a.n") + F.col("b.n"))))
     return pairs.select(F.least("a.node", "b.node").alias("a"),
                         F.greatest("a.node", "b.node").alias("b")).distinct()
 

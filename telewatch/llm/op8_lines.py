@@ -141,7 +141,7 @@ def similar_lines(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) ->
         comp = stage(components(links))
         before = apart
         rest, apart = _open(rest.select("key", "h"), sets, comp)
-        if apart > 0.95 * before:
+        if apart > 0.8 * before:         # the exact filter is cheaper than another round
             break
     if apart:
         rows = rest.select("h", "comp").distinct().join(sets.select("h", "sh"), "h").select(

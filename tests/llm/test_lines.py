@@ -47,3 +47,21 @@ def test_links_are_exact(spark):
     comp = components(sh, links)
     kept = {r[0] for r in run(df) if r[2] == 0}
     assert kept == {c for c in comp.values()}
+
+
+def test_unlike_sets_with_common_elements_make_no_pairs(spark):
+    """Sets drawn from a small pool share many elements: few pairs are given but the similar ones."""
+    import random
+
+    from telewatch.llm.common import pairs_apart
+    rng = random.Random(3)
+    pool = [rng.randrange(-2 ** 62, 2 ** 62) for _ in range(45)]
+    sets = {k: set(rng.sample(pool, 20)) for k in range(300)}
+    for k in range(0, 300, 30):                        # ten similar pairs
+        sets[1000 + k] = set(list(sets[k])[:19]) | {rng.randrange(2 ** 62)}
+    rows = spark.createDataFrame([(k, k, len(v), x) for k, v in sets.items() for x in v], "node long, comp long, n int, s long")
+    found = {(r.a, r.b) for r in pairs_apart(rows, 80).collect()}
+    similar = {(a, b) for a in sets for b in sets if a < b
+               and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(similar) >= 10 and similar <= found
+    assert len(found) <= 20 * len(similar)
