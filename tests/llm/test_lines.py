@@ -65,3 +65,19 @@ def test_unlike_sets_with_common_elements_make_no_pairs(spark):
                and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert len(similar) >= 10 and similar <= found
     assert len(found) <= 20 * len(similar)
+
+
+def test_separators_inside_a_line_are_characters(spark):
+    """A shingle goes on behind U+2028 and U+0085, which do not end a line."""
+    for sep in ("\u2028", "\u0085"):
+        df = spark.createDataFrame([(1, f"x{sep}oneside"), (2, f"x{sep}another")], "doc_id long, text string")
+        assert [r[2] for r in run(df)] == [0, 0]
+
+
+def test_lines_meet_the_bit_filter_before_they_are_shuffled(spark, monkeypatch):
+    """A left semi join was moved below the filter, so every line was shuffled."""
+    plans, stage = [], O.stage
+    monkeypatch.setattr(O, "stage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stage(df))
+    df = spark.createDataFrame([(1, LINE), (2, LINE.replace("lazy", "lame"))], "doc_id long, text string")
+    assert [r[2] for r in run(df)] == [0, 1]
+    assert any("_bits" in p for p in plans) and not any("LeftSemi" in p for p in plans)
