@@ -55,12 +55,15 @@ class WordTokens:
     vocabulary file states (lower case; letters, single digits, runs of signs,
     English contractions), and each part goes to its BPE model; all other
     words, and any that may hold a special token, take the whole tokenizer in
-    one call.  ``dtype`` is the packed id type.
+    one call.  A text of nothing but the former is split into parts as a whole:
+    its parts are far fewer than its words with their signs and capitals.
+    ``dtype`` is the packed id type.
     """
 
     SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]"
-                       "|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+    PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:[stmd]|re|ve|ll)"
+                       "|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9 \t-\r]+")
+    OTHER = re.compile("[^!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff \t-\r]")
 
     def __init__(self, vocabulary: str, dtype: str = "<u4"):
         import public_tokenizers
@@ -103,6 +106,15 @@ class WordTokens:
     def packed(self, texts: list[bytes]) -> Iterator[bytes]:
         """Packed little-endian ids of each text (UTF-8 bytes)."""
         for text in texts:
+            whole = text.decode("utf-8", "replace")
+            if "<|" not in whole and not self.OTHER.search(whole):
+                parts = self.PARTS.findall(whole.lower())
+                known, ids = self.parts, {}
+                for p in set(parts):
+                    ids[p] = known.get(p) or self._part(p)
+                    known = self.parts
+                yield b"".join(map(ids.__getitem__, parts))
+                continue
             words = text.split()
             if len(self.young) > WORDS_CACHED:
                 self.old, self.young = self.young, {}

@@ -134,3 +134,15 @@ def test_foreign_keys_fail_their_fingerprint():
 def test_repeated_keys_raise():
     with pytest.raises(ValueError, match="distinct"):
         O.perfect_hash(np.array([5, 5], np.uint64))
+
+
+def test_texts_split_as_a_whole_equal_the_tokenizer(tokenizer):
+    """Texts of plain words are split into parts in one go, without a cache entry per word."""
+    texts = ["It's HE'LL x''s don'T,, 12.5%...ÀÉß\t\n\r\x0b\x0c(word)", " a,b ;c×d", "", " ", "Word <|endoftext|> x", "'S 've'd ,'m",
+             "café İx 日本 y", "nul\x00 \x1c z"]
+    tokens = O.PackedTokens(O.VOCABULARY, "<u2")
+    for t, ids in zip(texts, tokens.packed([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    plain = O.PackedTokens(O.VOCABULARY, "<u2")
+    list(plain.packed([b"Anou, anou. ANOU anou; (anou)"]))
+    assert not plain.young and set(plain.parts) == {"anou", ",", ".", ";", "(", ")"}
