@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import materialize
+from ..session import shuffles_dropped
 
 # A word is a maximal run of characters other than space and \x09-\x0D; for
 # bytes this is exactly what bytes.split() cuts.
@@ -38,9 +39,10 @@ def arrow_batches(spark: SparkSession, rows: int = 256) -> None:
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"),
-                    F.bit_xor(F.xxhash64("src", "dst")).alias("x"),
-                    F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("s")).first()
+    with shuffles_dropped(edges.sparkSession):
+        row = edges.agg(F.count(F.lit(1)).alias("n"),
+                        F.bit_xor(F.xxhash64("src", "dst")).alias("x"),
+                        F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("s")).first()
     return tuple(row)
 
 
@@ -80,6 +82,19 @@ def components(links: DataFrame) -> DataFrame:
             .distinct())
 
 
+def components_with(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links behind ``comp`` (written) and of further
+    ``links``: only what the new links join is contracted again."""
+    new = stage(links.join(comp.toDF("src", "_a"), "src", "left").join(comp.toDF("dst", "_b"), "dst", "left")
+                .select(F.coalesce("_a", "src").alias("src"), F.coalesce("_b", "dst").alias("dst"))
+                .where(F.col("src") != F.col("dst")).distinct())
+    top = stage(components(new).toDF("_node", "_top"))
+    moved = (comp.join(top, F.col("component") == F.col("_node"), "left")
+             .select("node", F.coalesce("_top", "component").alias("component")))
+    fresh = top.join(comp, F.col("_node") == F.col("node"), "left_anti").toDF("node", "component")
+    return moved.unionByName(fresh)
+
+
 BITMAP = 8                  # words of 64 bits
 
 

@@ -26,13 +26,12 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, components, pairs_apart, stage, table
+from .common import SPACE_CLASS, components, components_with, pairs_apart, stage, table
 
 SHINGLE = r"(?s)(?=(.{1,12}))[^ ]{1,10}+ *+"
 SPACES = " \t\n\x0b\x0c\r"     # the characters of SPACE_CLASS
 PERCENT = 80
 POINTS = [k * (1 << 64) // 10 - (1 << 63) for k in range(10)]    # on the circle of 64-bit hashes
-STARS = 6                    # further stars per bucket before the prefix filter
 FILTER_WORDS = 1 << 18       # of 64 bits: the size of the broadcast filter
 
 
@@ -126,46 +125,24 @@ def similar_lines(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) ->
 
     links = stage(verify(members.select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()))
     comp = stage(components(links))
-    # Buckets left in several components get stars around other members while
-    # that joins them: around members of the largest buckets first, since they
-    # carry the minima that most others have.  What is still apart is compared
-    # exactly, through the shingles that could link it.
+    # What is still apart in a bucket is compared exactly, through the shingles
+    # that could link it.
     everyone = members.select("key", "h").unionByName(members.select("key", F.col("hub").alias("h")).distinct())
-    sizes = stage(everyone.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
-    weight = stage(everyone.join(sizes, "key").groupBy("h").agg(F.sum("size").alias("weight")))
-    rest, apart = _open(everyone, sets, comp)
-    for turn in range(STARS):
-        if not apart:
-            return comp
-        order = F.struct("weight", F.xxhash64(F.col("h"), F.lit(turn)))
-        centre = stage(rest.join(weight, "h").groupBy("key").agg(F.max_by(F.struct("h", "comp"), order).alias("c")))
-        pairs = rest.join(centre, "key").where(F.col("comp") != F.col("c.comp")).select(
-            F.least("h", "c.h").alias("a"), F.greatest("h", "c.h").alias("b")).distinct()
-        links = stage(links.unionByName(verify(pairs)))
-        comp = stage(components(links))
-        before = apart
-        rest, apart = _open(rest.select("key", "h"), sets, comp)
-        if apart > 0.8 * before:         # the exact filter is cheaper than another round
-            break
-    if apart:
-        rows = rest.select("h", "comp").distinct().join(sets.select("h", "sh"), "h").select(
-            F.col("h").alias("node"), "comp", F.size("sh").alias("n"), F.explode_outer("sh").alias("s"))
-        comp = components(stage(links.unionByName(verify(pairs_apart(rows, percent)))))
-    return comp
-
-
-def _open(members: DataFrame, sets: DataFrame, comp: DataFrame) -> tuple[DataFrame, int]:
-    """``(key, h, comp)`` of the buckets with several components, and how many
-    pairs of different components they hold.  A bucket of two is finished: its
-    one pair was the star."""
-    place = stage(sets.select("h", "node").join(comp, "node", "left")
-                  .groupBy("h").agg(F.min(F.coalesce("component", "node")).alias("comp")))
+    rest = _open(everyone, sets, comp)
+    rows = rest.join(sets.select("h", "sh"), "h").select(
+        F.col("h").alias("node"), "comp", F.size("sh").alias("n"), F.explode_outer("sh").alias("s"))
+    return components_with(comp, stage(verify(pairs_apart(rows, percent))))
+
+
+def _open(members: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """``(h, comp)`` of the lines in buckets with several components.  A bucket
+    of two is finished: its one pair was the star."""
+    place = (sets.select("h", "node").join(comp, "node", "left")
+             .groupBy("h").agg(F.min(F.coalesce("component", "node")).alias("comp")))
     placed = stage(members.join(place, "h"))
-    per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    several = stage(per.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-                    .withColumn("pairs", (F.col("n") * F.col("n") - F.col("q")) / 2).where((F.col("pairs") > 0) & (F.col("n") > 2))
-                    .select("key", "pairs"))
-    return stage(placed.join(several.select("key"), "key")), int(several.agg(F.sum("pairs")).first()[0] or 0)
+    several = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(
+        (F.col("low") < F.col("high")) & (F.col("n") > 2))
+    return placed.join(several.select("key"), "key").select("h", "comp").distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -170,9 +170,10 @@ def materialize(df: DataFrame) -> DataFrame:
     The folder comes from ``spark.checkpoint.dir`` (shared storage on a
     cluster), so a lost executor does not lose the table.
     """
-    from ..session import scratch_table_dir
+    from ..session import scratch_table_dir, shuffles_dropped
     path = scratch_table_dir(df.sparkSession, f"stage-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -104,6 +106,22 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(_scratch_root(spark), name)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when each query ends, not when
+    the driver's garbage collector finds them.  For queries whose plan is run
+    once, as that of a written table is."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the written tables of this application (when no DataFrame that
     reads them is needed any more)."""

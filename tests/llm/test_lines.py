@@ -81,3 +81,13 @@ def test_lines_meet_the_bit_filter_before_they_are_shuffled(spark, monkeypatch):
     df = spark.createDataFrame([(1, LINE), (2, LINE.replace("lazy", "lame"))], "doc_id long, text string")
     assert [r[2] for r in run(df)] == [0, 1]
     assert any("_bits" in p for p in plans) and not any("LeftSemi" in p for p in plans)
+
+
+def test_links_are_contracted_once(spark, monkeypatch):
+    """Further stars around members of open buckets contracted all links anew each time."""
+    calls, components = [], O.components
+    monkeypatch.setattr(O, "components", lambda links: calls.append(1) or components(links))
+    words = [f"{w}{k}" for k, w in enumerate(LINE.split() * 3)]
+    chain = [(i, " ".join(["other" + w if k < 2 * i else w for k, w in enumerate(words)])) for i in range(40)]
+    assert len(run(spark.createDataFrame(chain, "doc_id long, text string"))) == 40
+    assert len(calls) == 1
