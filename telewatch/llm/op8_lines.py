@@ -11,8 +11,8 @@ union-find.
 * Minima: the shingle hashes lie on a circle, and the first hashes after a
   fixed point are the smallest ones of the set in a rotated order.  The first
   three after each of ten points are the bands.
-* A bucket emits stars: all its members against one of them.  What stays apart
-  in a bucket after a few stars meets through an exact prefix filter.
+* A bucket emits a star: all its members against one of them.  What stays apart
+  in a bucket after that meets through an exact prefix filter.
 * Before the wide rows are shuffled a second time, a bit filter of fixed size
   (broadcast, at most 2**18 words) drops most of those that cannot meet a
   partner; the exact join follows, so the filter only saves work.
