@@ -6,8 +6,9 @@ of the multinomial log loss.  Features are binned once by approximate quantiles
 per (class, node, feature, bin), and the driver takes the best split of every
 node from classes x nodes x features x bins sums at most.  Of two siblings only
 the one with fewer rows is added up, the other is what is left of the parent.
-Rows never leave the executors; they are held in blocks of arrays, and their
-gradients are worked out once per round.
+Rows stay in a written table of the shared folder, in blocks of arrays, and their
+gradients are worked out once per round.  A task passes its blocks on one after
+the other, so the memory of an executor does not grow with the rows.
 
 Gradients are rounded to multiples of 2**-32 and added as integers, so a fit
 does not depend on how rows are spread over partitions.
@@ -29,7 +30,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import materialize
+from ..session import BATCH_BYTES, conf_set, drop_table
+from .ordered import written
 
 # Defaults of the reference's booster.
 ETA = 0.3
@@ -47,7 +49,11 @@ BLOCK = 32_768               # training rows held as one row of arrays
 BLOCKS_PER_TASK = 32
 COUNTED = 8                  # one of so many rows is counted, to tell the smaller of two siblings
 DRIVER_TASKS = 32            # tasks whose sums the driver adds itself
-CUT_LINEAGE = 10             # rounds between two written tables of margins
+BATCH = 4 << 20              # bytes of blocks that go to a Python worker at once
+# Blocks are few and large: without these the writer holds 100 of them, and the
+# reader all that are in one row group.  Random doubles do not get smaller.
+TABLE = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false",
+         "compression": "none"}
 SKETCH_ERROR = 1e-4
 LEAST_HESSIAN = 1e-16
 
@@ -263,9 +269,10 @@ class SoftmaxBoosting(Estimator, _BoostingParams, DefaultParamsReadable, Default
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> SoftmaxBoostingModel:
-        """One job per level and one written table of margins every ``CUT_LINEAGE``
-        rounds.  Up to ``WHOLE`` rows, no more than one task takes anyway, are one
-        job that does all rounds by the same steps; the trees are the same.
+        """One job per level and one written table of margins per round, which takes
+        the place of the one before.  Up to ``WHOLE`` rows, no more than one task
+        takes anyway, are one job that does all rounds by the same steps; the
+        trees are the same.
 
         ``losses`` of the model is the mean log loss before each round.  Rows
         with a null label or vector take no part; an empty frame gives a model
@@ -303,28 +310,22 @@ class SoftmaxBoosting(Estimator, _BoostingParams, DefaultParamsReadable, Default
             trees, losses = _in_one_task(rows.coalesce(1).mapInArrow(start, STATE), n_features, k, rounds, depth, settings)
             return self._copyValues(SoftmaxBoostingModel(cuts=cuts, trees=trees, losses=losses))
         tasks = max(spark_tasks(df), -(-n // (BLOCK * BLOCKS_PER_TASK)))
-        state = materialize(rows.mapInArrow(start, STATE)).coalesce(tasks).persist()
-        trees, losses, held = [], [], [state]
-        for done in range(rounds):
-            loss = []
-
-            def added(new, wanted, at=state, loss=loss):
-                sums, total = _level(at, tasks, new, wanted, n_features, k)
-                loss.append(total)
-                return sums
-            trees.append(grow_trees(added, k, n_features, depth, settings))
-            losses.append(loss[0] / LOSS_UNIT / n)
-            if done + 1 == rounds:
-                break
-            state = _moved(state, trees[-1], n_features, k)
-            if (done + 1) % CUT_LINEAGE == 0:
-                state = materialize(state).coalesce(tasks)
-            state = state.persist()                # filled by the first level of the next round
-            held.append(state)
-            if len(held) > 2:
-                held.pop(0).unpersist()
-        for frame in held:
-            frame.unpersist()
+        trees, losses, spark = [], [], df.sparkSession
+        state, path = written(rows.mapInArrow(start, STATE), **TABLE)
+        with conf_set(spark, BATCH_BYTES, str(BATCH)):
+            for done in range(rounds):
+                loss = []
+
+                def added(new, wanted, at=state.coalesce(tasks), loss=loss):
+                    sums, total = _level(at, tasks, new, wanted, n_features, k)
+                    loss.append(total)
+                    return sums
+                trees.append(grow_trees(added, k, n_features, depth, settings))
+                losses.append(loss[0] / LOSS_UNIT / n)
+                before = path
+                if done + 1 < rounds:
+                    state, path = written(_moved(state.coalesce(tasks), trees[-1], n_features, k), **TABLE)
+                drop_table(spark, before)
         return self._copyValues(SoftmaxBoostingModel(cuts=cuts, trees=trees, losses=losses))
 
 

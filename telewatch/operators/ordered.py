@@ -170,11 +170,17 @@ def materialize(df: DataFrame) -> DataFrame:
     The folder comes from ``spark.checkpoint.dir`` (shared storage on a
     cluster), so a lost executor does not lose the table.
     """
+    return written(df)[0]
+
+
+def written(df: DataFrame, **options) -> tuple[DataFrame, str]:
+    """``materialize`` with options of the writer; also gives the folder, for
+    ``session.drop_table`` when nothing reads the table any more."""
     from ..session import scratch_table_dir, shuffles_dropped
     path = scratch_table_dir(df.sparkSession, f"stage-{uuid.uuid4().hex}")
     with shuffles_dropped(df.sparkSession):
-        df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
+    return df.sparkSession.read.parquet(path), path
 
 
 def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_id",

@@ -114,17 +114,31 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the queries run inside go when each query ends, not when
     the driver's garbage collector finds them.  For queries whose plan is run
     once, as that of a written table is."""
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    with conf_set(spark, SHUFFLE_CLEANUP, "true"):
+        yield
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def conf_set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session that holds for the queries run inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        spark.conf.set(key, before)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the written tables of this application (when no DataFrame that
     reads them is needed any more)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    drop_table(spark, _scratch_root(spark))
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a written table of this application, or a folder of them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,13 +1,17 @@
 """Softmax boosting and the ReLU network against plain versions."""
 
+import glob
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.functions import array_to_vector
 
 from telewatch.operators import boosting as B
 from telewatch.operators import network as N
+from telewatch.session import scratch_table_dir
 
 
 def _data(seed, n=600, features=4):
@@ -192,3 +196,37 @@ def test_network_learns_stops_and_round_trips(spark, tmp_path):
     model.write().overwrite().save(str(tmp_path / "net"))
     again = N.ReluNetworkModel.load(str(tmp_path / "net"))
     assert again.transform(df).exceptAll(model.transform(df)).count() == 0
+
+
+def test_blocks_go_one_after_the_other(spark):
+    """Neither the table of blocks nor a batch for a Python worker holds all blocks of a task."""
+    def blocks(batches):
+        for _ in batches:
+            for i in range(24):
+                rng = np.random.default_rng(i)
+                yield B._block(rng.integers(0, 3, B.BLOCK), rng.integers(0, 256, (10, B.BLOCK)).astype(np.uint8),
+                               rng.normal(size=(B.BLOCK, 3)))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+    state, path = B.written(spark.range(1).coalesce(1).mapInArrow(blocks, B.STATE), **B.TABLE)
+    file, = glob.glob(path.removeprefix("file:") + "/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) <= 8 << 20
+    before = spark.conf.get(B.BATCH_BYTES)
+    with B.conf_set(spark, B.BATCH_BYTES, str(B.BATCH)):
+        got = state.coalesce(1).mapInArrow(sizes, "n long, bytes long").collect()
+    assert spark.conf.get(B.BATCH_BYTES) == before
+    assert sum(r.n for r in got) == 24 and max(r.bytes for r in got) <= 2 * B.BATCH
+    B.drop_table(spark, path)
+
+
+def test_boosting_leaves_no_table_behind(spark, monkeypatch):
+    """Tables of margins go when the next one is written, and the last with the fit."""
+    monkeypatch.setattr(B, "WHOLE", 0)
+    x, y = _data(9, 300)
+    root = scratch_table_dir(spark, "").removeprefix("file:")
+    before = set(glob.glob(f"{root}/*"))
+    model = B.SoftmaxBoosting(featuresCol="features", labelCol="label", rounds=12, depth=2).fit(_frame(spark, x, y))
+    assert len(model.losses) == 12 and set(glob.glob(f"{root}/*")) == before
