@@ -71,3 +71,20 @@ def test_boosted_trees_serve_probabilities(spark):
     est = M.estimators(100)
     assert est["XGBoost"].getOrDefault("rounds") == 100 and est["Random Forest"].getMaxDepth() == 30
     assert est["MLP Neural Net"].getOrDefault("hidden") == [64, 32]
+
+
+def test_prepared_frames_leave_the_heap_to_the_fits(spark, monkeypatch):
+    t = RD.with_process_ids(RD.training_rows(spark, SF001))
+    levels, made = [], M.estimators
+
+    def watched(*args, **kwargs):
+        est = made(*args, **kwargs)["Logistic Regression"]
+
+        class Watched(type(est)):
+            def _fit(self, df):
+                levels.append(df.storageLevel)
+                return est._fit(df)
+        return {"Logistic Regression": Watched()}
+    monkeypatch.setattr(M, "estimators", watched)
+    M.fit_and_compare(spark, t, t)
+    assert [(x.useDisk, x.useMemory) for x in levels] == [(True, False)]

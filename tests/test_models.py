@@ -230,3 +230,15 @@ def test_boosting_leaves_no_table_behind(spark, monkeypatch):
     before = set(glob.glob(f"{root}/*"))
     model = B.SoftmaxBoosting(featuresCol="features", labelCol="label", rounds=12, depth=2).fit(_frame(spark, x, y))
     assert len(model.losses) == 12 and set(glob.glob(f"{root}/*")) == before
+
+
+def test_sketches_to_merge_do_not_grow_with_the_partitions(spark, monkeypatch):
+    x, y = _data(10, 400)
+    parts, cuts = [], B._quantile_cuts
+
+    def counted(rows, *rest):
+        parts.append(rows.rdd.getNumPartitions())
+        return cuts(rows, *rest)
+    monkeypatch.setattr(B, "_quantile_cuts", counted)
+    B.SoftmaxBoosting(featuresCol="features", labelCol="label", rounds=1, depth=1).fit(_frame(spark, x, y, 40))
+    assert parts == [B.spark_tasks(spark.range(1))]
